@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat_format, quality_rules, url_filter
+from quadrat.llm import chat_format, decontaminate, quality_rules, secret_scan, url_filter
 from quadrat.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -79,5 +79,44 @@ q AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_
 """
 OP8_SQL = f"WITH {QUALITY_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed FROM q"
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op4_chat_format": op4_chat_format, "op8_quality_rules": op8_quality_rules}
-ORACLES = {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_quality_rules": OP8_SQL}
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), path="doc_id")
+    return secret_scan.digests(rows).withColumnRenamed("path", "doc_id")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.col("n_hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.verdict().alias("contaminated"),
+    )
+
+
+HITS_SQL = r"""
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+im AS (SELECT item, ws, least(13, len(ws)) AS m FROM iw WHERE len(ws) > 0),
+iv AS (SELECT DISTINCT item, m, list_slice(ws, i, i + m - 1) AS g FROM (SELECT item, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM im)),
+dv AS (SELECT doc_id, m, i, list_slice(ws, i, i + m - 1) AS g FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM dw CROSS JOIN (SELECT DISTINCT m FROM im) WHERE len(ws) >= m)),
+hit AS (SELECT doc_id, i, dv.m AS m, item FROM dv JOIN iv ON dv.m = iv.m AND dv.g = iv.g),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+con AS (SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id)
+"""
+OP10_SQL = f"WITH {HITS_SQL} SELECT * FROM con"
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_chat_format": op4_chat_format,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLES = {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_decontaminate": OP10_SQL}
