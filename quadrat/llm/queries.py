@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat_format, decontaminate, quality_rules, secret_scan, url_filter
+from quadrat.llm import chat_format, decontaminate, language_id, pii, quality_rules, secret_scan, url_filter
 from quadrat.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -85,6 +85,21 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(rows).withColumnRenamed("path", "doc_id")
 
 
+PII_KEY = "production key of the deployment"  # a parameter; set your own
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language_id.fold(F.col("doc_id")) == 2
+    profiles = language_id.fit(docs.where(~held))
+    found = language_id.predict(docs.select("doc_id", "text"), profiles)
+    return found.select(F.col("key").alias("doc_id"), (language_id.fold(F.col("key")) == 2).alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_langs"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
@@ -114,8 +129,10 @@ OP10_SQL = f"WITH {HITS_SQL} SELECT * FROM con"
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_pii": op2_pii,
     "op3_secret_scan": op3_secret_scan,
     "op4_chat_format": op4_chat_format,
+    "op5_language_id": op5_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
