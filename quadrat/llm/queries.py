@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat_format, decontaminate, language_id, pii, quality_rules, secret_scan, url_filter
+from quadrat.llm import chat_format, decontaminate, language_id, packing, pii, quality_rules, secret_scan, url_filter
 from quadrat.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -100,6 +100,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), (language_id.fold(F.col("key")) == 2).alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_langs"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, _ = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.withColumnRenamed("key", "doc_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
@@ -133,6 +138,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
