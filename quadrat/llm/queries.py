@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat_format, decontaminate, language_id, packing, pii, quality_rules, secret_scan, url_filter
+from quadrat.llm import chat_format, decontaminate, language_id, near_dedup, packing, pii, quality_rules, secret_scan, url_filter
 from quadrat.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -105,6 +105,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("key", "doc_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
@@ -140,6 +145,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_decontaminate": OP10_SQL}
