@@ -156,6 +156,19 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     return out.select("id", "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(covered, F.lit(0)).alias("n_hit"))
 
 
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns.
+
+    A row is named by its id and a hash of its text, so ids may repeat or be null.
+    """
+    name = F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("address"))
+    found = contamination(docs.select(name.alias("id"), F.col(f"`{text}`").alias("text")), items, key="id")
+    bad = found.where(verdict()).select(F.col("id.id").alias("bad_id"), F.col("id.address").alias("bad_address")).distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"))
+    kept = row.join(bad, F.col("name.id").eqNullSafe(F.col("bad_id")) & (F.col("name.address") == F.col("bad_address")), "left_anti")
+    return kept.select("row.*")
+
+
 def verdict() -> Column:
     """The contamination rule: some hit, and at least a twentieth of the words."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))

@@ -180,7 +180,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (smallest id of the component), node, kept (one row of each component)."""
+    """id, address (hash of the text), n_shingles, component_id (smallest id of the component), node, kept (one row of each component)."""
     d = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     d = d.withColumn("address", F.xxhash64("text"))
     kind = d.schema["id"].dataType.simpleString()
@@ -216,7 +216,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         comps = roots(links.unionByName(more))
 
     of_print = nodes.select("print", "node").join(comps, "node", "left").select("print", F.coalesce("root", "node").alias("node"))
-    placed_rows = rows.join(of_print, "print", "left").select("id", "row", "n_shingles", F.coalesce("node", "row").alias("node"))
+    placed_rows = rows.join(of_print, "print", "left").select("id", "address", "row", "n_shingles", F.coalesce("node", "row").alias("node"))
     smallest = placed_rows.groupBy("node").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     out = placed_rows.join(smallest, "node")
-    return out.select("id", "n_shingles", "component_id", "node", (F.col("row") == F.col("first.row")).alias("kept"))
+    return out.select("id", "address", "n_shingles", "component_id", "node", (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    A row is named by its id and a hash of its text; rows equal in both are one document.
+    """
+    kept = stored(near_duplicates(docs, key, text).where("kept").select(F.col("id").alias("kept_id"), F.col("address").alias("kept_address")).distinct(), "near-dedup-kept")
+    name = F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("address"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"))
+    out = row.join(kept, F.col("name.id").eqNullSafe(F.col("kept_id")) & (F.col("name.address") == F.col("kept_address")), "left_semi")
+    repeated = not row.groupBy("name").count().where("count > 1").isEmpty()
+    return (out.dropDuplicates(["name"]) if repeated else out).select("row.*")

@@ -109,6 +109,16 @@ def judge(book: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     return book.withColumn("kept", F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0).withColumn("policy", F.lit(policy.version))
 
 
+def keep(docs: DataFrame, policy: Policy = STANDARD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with all their columns; no shuffle.
+
+    The verdict is a column before it selects, so the measurements are taken once.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    judged = judge(ledger(whole, key="row"), policy)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row")).otherwise(F.slice(F.array("row"), 1, 0))).alias("row")).select("row.*")
+
+
 def ablation(book: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """rule, n_docs, n_failing, n_only (documents that only this rule of the policy rejects).
 
