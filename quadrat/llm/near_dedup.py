@@ -15,9 +15,10 @@ if the Jaccard similarity of their sets is at least THRESHOLD.
 3. First round: each node is tried against the first node of the bucket that it
    shares most often.  Links are confirmed on the full sets, not the signatures.
 4. Second round: only buckets whose members still lie in different components
-   matter.  There, members of different components whose signatures differ in at
-   most REACH places are tried, all of them.  Pairs inside a component can't
-   change the result, so a group of near copies never becomes all its pairs.
+   matter.  Members of different components whose signatures differ in at most
+   REACH places are joined to clusters by a spanning set of edges; each cluster is
+   compared on the full sets in tiles of two blocks, which emit one link for a
+   pair of components.  No link is lost and no list of all pairs is made.
 5. Components of the confirmed links, by star steps in Spark.
 
 Defined results
@@ -52,6 +53,8 @@ CHUNKS, SYMBOLS, ERRORS = 12, 4, 1
 REACH = 29
 #: Bytes of the comparison table of one step within a bucket.
 TABLE = 16_000_000
+#: Members beyond which a bucket isn't compared by signatures first; nodes in a block of a tile.
+LARGE, TILE = 1000, 400
 
 _seeds = mix(np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _variants = [tuple(i for i in range(SYMBOLS) if i not in out) for out in combinations(range(SYMBOLS), ERRORS)]
@@ -118,26 +121,31 @@ def _enumerate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["key", "node"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket in different components within REACH; the rows come sorted by key."""
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (node, smaller node) that join what lies within REACH across components in a bucket; a spanning set, not all pairs.
 
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    The rows come sorted by key.
+    """
+
+    def edges(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         node, comp = t["node"].to_numpy(), t["comp"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(len(node), -1)
-        left, right = [], []
+        label, met = np.arange(len(node)), np.zeros(len(node), bool)
         step = max(1, TABLE // (2 * sig.shape[1] * len(node)))
         for at in range(0, len(node) - 1, step):
-            rest = slice(at, None)
             far = np.zeros((min(step, len(node) - at), len(node) - at), np.int16)
             for j in range(sig.shape[1]):
-                far += sig[at : at + step, None, j] != sig[None, rest, j]
-            i, k = np.nonzero((far <= REACH) & (comp[at : at + step, None] != comp[None, rest]))
-            later = k > i
-            left.append(node[at + i[later]])
-            right.append(node[at + k[later]])
-        empty = np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *left])), pa.array(np.concatenate([empty, *right]))], ["a", "b"])
+                far += sig[at : at + step, None, j] != sig[None, at:, j]
+            close = (far <= REACH) & (comp[at : at + step, None] != comp[None, at:])
+            for i in np.flatnonzero(close.any(axis=1)):
+                group = np.append(at + np.flatnonzero(close[i]), at + i)
+                met[group] = True
+                old = np.unique(label[group])
+                if len(old) > 1:
+                    label[np.isin(label, old)] = old[0]
+        at = np.flatnonzero(met)
+        return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -146,11 +154,55 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             part = b.slice(lo, hi - lo)
             if held and held[0].column("key")[0] != part.column("key")[0]:
-                yield pairs(held)
+                yield edges(held)
                 held = []
             held.append(part)
     if held:
-        yield pairs(held)
+        yield edges(held)
+
+
+def _tile(unit: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links across components in a tile, one for each pair of components; exact, by an index of the shingles."""
+    sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in unit["text"]])
+    size = np.array([len(x) for x in sets])
+    node, comp, block = (unit[c].to_numpy() for c in ("node", "comp", "block"))
+    left, right = (np.flatnonzero(block == x) for x in (block.min(), block.max()))
+    words, post = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+    order = np.argsort(post, kind="stable")
+    holder = np.repeat(np.arange(len(right)), size[right])[order]
+    first = np.searchsorted(post[order], np.arange(len(words) + 1))
+    out = {}
+    for i in left:
+        at = np.minimum(np.searchsorted(words, sets[i]), len(words) - 1)
+        at = at[words[at] == sets[i]]
+        n = first[at + 1] - first[at]
+        slots = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(holder[slots], minlength=len(right))
+        for k in np.flatnonzero((100 * both >= THRESHOLD * (size[i] + size[right] - both)) & (comp[right] != comp[i])):
+            j = right[k]
+            out.setdefault((min(comp[i], comp[j]), max(comp[i], comp[j])), (int(node[i]), int(node[j])))
+    return list(out.values())
+
+
+def _tiles(rows: pd.DataFrame) -> pd.DataFrame:
+    found = [x for _, unit in rows.groupby(["cluster", "i", "j"], sort=False) for x in _tile(unit)]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _across_clusters(near: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links between different components of nodes that ``near`` joins.
+
+    A cluster of near nodes is cut into blocks of about TILE nodes and compared
+    block by block: no task holds more than two blocks, and no pair is a row.
+    """
+    members = stored(roots(near).select("node", F.col("root").alias("cluster")), "near-dedup-clusters")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    m = members.join(blocks, "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
+    part = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(8 * slices(near.sparkSession))).cast("int")
+    return m.join(texts, "node").groupBy(part.alias("part")).applyInPandas(_tiles, "a long, b long")
 
 
 def _confirm(key: tuple, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
@@ -206,12 +258,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = stored(confirmed(first, texts), "near-dedup-links")
     comps = roots(links)
     placed = shared.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    rest = placed.join(open_, "key", "left_semi").join(nodes.select("node", "sig"), "node")
-    cross = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(confirmed(cross, texts), "near-dedup-links")
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min("node").alias("least")).where("low != high").select("key", "size", "least")
+    rest = placed.join(open_, "key")
+    # a bucket too large to compare in one task counts as near throughout
+    large = rest.where(F.col("size") > LARGE).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    small = rest.where(F.col("size") <= LARGE).select("key", "node", "comp").join(nodes.select("node", "sig"), "node")
+    near = small.repartition("key").sortWithinPartitions("key").mapInArrow(_near, "a long, b long").unionByName(large)
+    more = stored(_across_clusters(near, comps, texts), "near-dedup-links")
     if not more.isEmpty():
         comps = roots(links.unionByName(more))
 
