@@ -1 +1,245 @@
-"""Queries."""
+"""Aggregations over the panels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from quadrat.operators import metrics as M
+from quadrat.operators import states as St
+from quadrat.plans.panels import Panels, query
+from quadrat.plans.projections import SLICES, R
+
+PICK = "sha2(sample_id, 256)"
+#: Forty of each class, in hash order: the selection of the first slice.
+CHOSEN_SQL = "chosen AS (SELECT sample_id, class_name FROM targets QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY sha256(sample_id)) <= 40), dict AS (SELECT DISTINCT class_name, field, value FROM states), cnt AS (SELECT d.class_name, d.field, d.value, count(c.sample_id) AS n FROM dict d LEFT JOIN (SELECT s.* FROM states s SEMI JOIN chosen c ON c.sample_id = s.sample_id) c USING (class_name, field, value) GROUP BY ALL)"
+
+
+def chosen(p: Panels, k: int = 40):
+    w = Window.partitionBy("class_name").orderBy(F.sha2("sample_id", 256))
+    return p.targets.select("sample_id", "class_name").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def chosen_counts(p: Panels):
+    picked = p.states.join(F.broadcast(chosen(p).select("sample_id")), "sample_id", "left_semi")  # 40 a class
+    return St.support(picked, St.dictionary(p.states))
+
+
+@query("agg_state_counts", CHOSEN_SQL + " SELECT * FROM cnt")
+def agg_state_counts(p: Panels):
+    return chosen_counts(p)
+
+
+COVER_SQL = "count(*) AS n_states, round(avg((n > 0)::INT), 6) AS occurrence, round(avg(least(n / 10, 1)), 6) AS completion, round(avg((n >= 10)::INT), 6) AS at_cap, round(avg(ln(1 + least(n, 10))) / ln(11), 6) AS capped_log"
+
+
+def _rounded(df, keys):
+    return df.select(*keys, "n_states", *[R(c).alias(c) for c in ("occurrence", "completion", "at_cap", "capped_log")])
+
+
+@query("agg_coverage_metrics", CHOSEN_SQL + f" SELECT class_name, {COVER_SQL} FROM cnt GROUP BY class_name")
+def agg_coverage_metrics(p: Panels):
+    return _rounded(St.coverage(chosen_counts(p), 10), ["class_name"])
+
+
+@query("agg_coverage_namespaces", CHOSEN_SQL + f" SELECT class_name, CASE WHEN field IN ('scale', 'ship_year') THEN 'shared' ELSE 'specific' END AS namespace, {COVER_SQL} FROM cnt GROUP BY ALL UNION ALL SELECT class_name, 'all', {COVER_SQL} FROM cnt GROUP BY ALL")
+def agg_coverage_namespaces(p: Panels):
+    c = chosen_counts(p).withColumn("namespace", F.explode(F.array(F.lit("all"), F.when(F.col("field").isin("scale", "ship_year"), "shared").otherwise("specific"))))
+    return _rounded(St.coverage(c, 10, ("class_name", "namespace")), ["class_name", "namespace"])
+
+
+@query("agg_pool_ceiling", CHOSEN_SQL + ", pool AS (SELECT class_name, field, value, count(*) AS pool FROM states GROUP BY ALL) SELECT class_name, count(*) AS n_states, sum((n > 0)::INT)::BIGINT AS reached, sum(greatest(0, 20 - n))::BIGINT AS shortfall, round(sum(least(n, 20)) / sum(least(pool, 20)), 6) AS of_reachable, round(avg(least(n / 20, 1)), 6) AS of_all FROM cnt JOIN pool USING (class_name, field, value) GROUP BY class_name")
+def agg_pool_ceiling(p: Panels):
+    pool = St.support(p.states).withColumnRenamed("n", "pool")
+    j = chosen_counts(p).join(pool, ["class_name", "field", "value"])
+    n, top = F.col("n"), F.lit(20)
+    return j.groupBy("class_name").agg(F.count("*").alias("n_states"), F.count_if(n > 0).alias("reached"), F.sum(F.greatest(F.lit(0), top - n)).alias("shortfall"), R(F.sum(F.least(n, top)) / F.sum(F.least("pool", top))).alias("of_reachable"), R(F.avg(F.least(n / 20, F.lit(1.0)))).alias("of_all"))
+
+
+@query("agg_selection_composition", CHOSEN_SQL + " SELECT class_name, scale, n, mean_quantity, round(n / sum(n) OVER (PARTITION BY class_name), 6) AS share FROM (SELECT t.class_name, t.scale, count(*) AS n, round(avg(l_quantity), 6) AS mean_quantity FROM targets t SEMI JOIN chosen c ON c.sample_id = t.sample_id GROUP BY ALL)")
+def agg_selection_composition(p: Panels):
+    t = p.targets.join(F.broadcast(chosen(p).select("sample_id")), "sample_id", "left_semi")  # 40 a class
+    g = t.groupBy("class_name", "scale").agg(F.count("*").alias("n"), R(F.avg("l_quantity")).alias("mean_quantity"))
+    return g.withColumn("share", R(F.col("n") / F.sum("n").over(Window.partitionBy("class_name"))))
+
+
+@query("agg_field_weighted", CHOSEN_SQL + " SELECT class_name, round(sum(w * (n > 0)::INT) / sum(w), 6) AS weighted FROM (SELECT *, 1 / count(*) OVER (PARTITION BY class_name, field) AS w FROM cnt) GROUP BY class_name")
+def agg_field_weighted(p: Panels):
+    c = chosen_counts(p).withColumn("w", 1 / F.count("*").over(Window.partitionBy("class_name", "field")))
+    return c.groupBy("class_name").agg(R(F.sum(F.col("w") * (F.col("n") > 0).cast("int")) / F.sum("w")).alias("weighted"))
+
+
+@query("agg_coverage_band", CHOSEN_SQL + " SELECT *, CASE WHEN n < 1 THEN 'missing' WHEN n < 10 THEN 'sparse' WHEN n < 30 THEN 'weak' ELSE 'covered' END AS band, greatest(0, 30 - n) AS deficit, n < 30 AS gap FROM cnt")
+def agg_coverage_band(p: Panels):
+    n = F.col("n")
+    return chosen_counts(p).withColumn("band", St.band(n)).withColumn("deficit", F.greatest(F.lit(0), 30 - n)).withColumn("gap", n < 30)
+
+
+@query("agg_feature_quality", "q AS (SELECT class_name, field, avg((value <> 'unknown')::INT) AS known, count(*) AS n FROM fields2 GROUP BY ALL) SELECT class_name, field, n, round(known, 6) AS known, CASE WHEN known >= 0.97 THEN 'PASS' WHEN known >= 0.9 THEN 'WARNING' ELSE 'GAP' END AS status FROM q")
+def agg_feature_quality(p: Panels):
+    known = F.avg((F.col("value") != "unknown").cast("int"))
+    q = p.fields2.groupBy("class_name", "field").agg(F.count("*").alias("n"), known.alias("known"))
+    return q.withColumn("status", F.when(F.col("known") >= 0.97, "PASS").when(F.col("known") >= 0.9, "WARNING").otherwise("GAP")).withColumn("known", R("known"))
+
+
+@query("agg_field_inventory", "SELECT 'first' AS source, class_name, field, count(*) AS annotated, count(*) FILTER (WHERE value <> 'unknown') AS known, count(DISTINCT value) FILTER (WHERE value <> 'unknown') AS n_values FROM fields GROUP BY ALL UNION ALL SELECT 'second', class_name, field, count(*), count(*) FILTER (WHERE value <> 'unknown'), count(DISTINCT value) FILTER (WHERE value <> 'unknown') FROM fields2 GROUP BY ALL")
+def agg_field_inventory(p: Panels):
+    both = p.fields.withColumn("source", F.lit("first")).unionByName(p.fields2.withColumn("source", F.lit("second")))
+    known = F.col("value") != "unknown"
+    return both.groupBy("source", "class_name", "field").agg(F.count("*").alias("annotated"), F.count_if(known).alias("known"), F.count_distinct(F.when(known, F.col("value"))).alias("n_values"))
+
+
+CONF_SQL = "g AS (SELECT model, seed, t AS label, q AS predicted FROM (SELECT DISTINCT model, seed FROM facts) CROSS JOIN range(3) AS a(t) CROSS JOIN range(3) AS b(q)), cm AS (SELECT g.model, g.seed, g.label, g.predicted, count(f.label) AS n FROM g LEFT JOIN facts f USING (model, seed, label, predicted) GROUP BY ALL), ms AS (SELECT model, seed, label, n AS tp, row_ AS support, coalesce(n / nullif(col_, 0), 0) AS precision, coalesce(n / nullif(row_, 0), 0) AS recall FROM (SELECT *, sum(n) OVER (PARTITION BY model, seed, label) AS row_, sum(n) OVER (PARTITION BY model, seed, predicted) AS col_ FROM cm) WHERE label = predicted), mf AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM ms)"
+
+
+@query("agg_confusion", CONF_SQL + " SELECT model, seed, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 FROM mf GROUP BY ALL")
+def agg_confusion(p: Panels):
+    m = M.macro(M.class_metrics(M.confusion(p.facts, ["model", "seed"], 3), ["model", "seed"]), ["model", "seed"])
+    return m.select("model", "seed", *[R(c).alias(c) for c in m.columns[2:]])
+
+
+@query("agg_confusion_flow", CONF_SQL + " SELECT label AS \"true\", predicted AS pred, sum(n)::BIGINT AS n FROM cm GROUP BY ALL")
+def agg_confusion_flow(p: Panels):
+    return M.confusion(p.facts, ["model", "seed"], 3).groupBy("true", "pred").agg(F.sum("n").alias("n"))
+
+
+@query("agg_binary_reference", "c AS (SELECT count(*) FILTER (WHERE NOT a AND NOT b)::DOUBLE AS tn, count(*) FILTER (WHERE NOT a AND b)::DOUBLE AS fp, count(*) FILTER (WHERE a AND NOT b)::DOUBLE AS fn, count(*) FILTER (WHERE a AND b)::DOUBLE AS tp FROM (SELECT quality = 1 AS a, toxic = 0 AS b FROM labels)), k AS (SELECT *, tn + fp + fn + tp AS n FROM c) SELECT tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, tp::BIGINT AS tp, round((tp + tn) / n, 6) AS agreement, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(((tp + tn) / n - ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (n * n)) / (1 - ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (n * n)), 6) AS kappa FROM k")
+def agg_binary_reference(p: Panels):
+    a, b = F.col("quality") == 1, F.col("toxic") == 0
+    c = p.table("labels").agg(F.count_if(~a & ~b).alias("tn"), F.count_if(~a & b).alias("fp"), F.count_if(a & ~b).alias("fn"), F.count_if(a & b).alias("tp"))
+    return M.binary(c).select("tn", "fp", "fn", "tp", *[R(x).alias(x) for x in ("agreement", "precision", "recall", "f1", "kappa")])
+
+
+SR_SQL = "sr AS (SELECT model, seed, s.class_name, field, value, count(*) AS n, sum(correct)::BIGINT AS n_correct FROM states s JOIN facts f ON f.sample_id = s.sample_id GROUP BY ALL)"
+
+
+@query("agg_state_failure", SR_SQL + ", w AS (SELECT *, n_correct / n AS recall, n >= 20 AS ok, row_number() OVER (PARTITION BY model, seed ORDER BY (n >= 20) DESC, n_correct / n, class_name, field, value) AS r FROM sr) SELECT model, seed, count(*) FILTER (WHERE ok) AS n_eligible, count(*) FILTER (WHERE ok AND n_correct < n) AS n_failed, round(avg(recall) FILTER (WHERE ok), 6) AS macro_recall, round(avg(recall) FILTER (WHERE ok AND r <= 5), 6) AS worst5 FROM w GROUP BY ALL")
+def agg_state_failure(p: Panels):
+    r = M.state_failure(M.state_recall(p.facts, p.states, ["model", "seed"]), ["model", "seed"], 20, "supported")
+    return r.withColumn("macro_recall", R("macro_recall")).withColumn("worst5", R("worst5"))
+
+
+@query("agg_rare_common_recall", "sr AS (SELECT model, s.class_name, field, value, count(*) AS n, sum(correct)::BIGINT AS n_correct FROM states s JOIN facts f ON f.sample_id = s.sample_id JOIN targets t ON t.sample_id = s.sample_id WHERE t.split = 'D' GROUP BY ALL), tr AS (SELECT s.class_name, field, value, count(*) AS support FROM states s JOIN targets t ON t.sample_id = s.sample_id WHERE t.split = 'B' GROUP BY ALL) SELECT model, round(avg(n_correct / n) FILTER (WHERE coalesce(support, 0) < 300), 6) AS rare, round(avg(n_correct / n) FILTER (WHERE coalesce(support, 0) >= 300), 6) AS common FROM sr LEFT JOIN tr USING (class_name, field, value) GROUP BY model")
+def agg_rare_common_recall(p: Panels):
+    split = p.targets.select("sample_id", "split")
+    s = p.states.join(split, "sample_id")
+    support = St.support(s.where("split = 'B'")).withColumnRenamed("n", "support")
+    r = M.state_recall(p.facts, s.where("split = 'D'"), ["model"]).join(support, ["class_name", "field", "value"], "left").withColumn("recall", F.col("n_correct") / F.col("n"))
+    rare = F.coalesce("support", F.lit(0)) < 300
+    return r.groupBy("model").agg(R(F.avg(F.when(rare, F.col("recall")))).alias("rare"), R(F.avg(F.when(~rare, F.col("recall")))).alias("common"))
+
+
+@query("agg_slice_recall", "SELECT model, round(avg(correct) FILTER (WHERE scale = 'tiny'), 6) AS tiny, round(avg(correct) FILTER (WHERE discount_band = 'high'), 6) AS deep, round(avg(correct) FILTER (WHERE scale = 'absent'), 6) AS absent FROM facts JOIN targets USING (sample_id) GROUP BY model")
+def agg_slice_recall(p: Panels):
+    j = p.facts.select("sample_id", "model", "correct").join(p.targets.select("sample_id", "scale", "discount_band"), "sample_id")
+    recall = lambda c: R(F.avg(F.when(c, F.col("correct"))))
+    return j.groupBy("model").agg(recall(F.col("scale") == "tiny").alias("tiny"), recall(F.col("discount_band") == "high").alias("deep"), recall(F.col("scale") == "absent").alias("absent"))
+
+
+LEDGER_SQL = "bm AS (SELECT sample_id, class_name, label, model, sum(1 - correct) AS wrong, count(*) AS runs FROM facts GROUP BY ALL), tot AS (SELECT sample_id, class_name, label, sum(wrong)::BIGINT AS error_runs, sum(runs)::BIGINT AS runs, count(*) FILTER (WHERE 3 * wrong >= 6) AS stable_models FROM bm GROUP BY ALL), vt AS (SELECT sample_id, predicted, count(*) AS v FROM facts GROUP BY ALL), top AS (SELECT sample_id, predicted AS dominant FROM vt QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY v DESC, predicted) = 1), ledger AS (SELECT tot.*, dominant, CASE WHEN error_runs = 0 THEN 'always_right' WHEN stable_models >= 2 THEN 'shared' WHEN stable_models >= 1 THEN 'model_specific' ELSE 'unstable' END AS stability FROM tot JOIN top USING (sample_id))"
+
+
+@query("agg_error_ledger", LEDGER_SQL + " SELECT * FROM ledger")
+def agg_error_ledger(p: Panels):
+    return M.error_ledger(p.facts, 3)
+
+
+@query("agg_factor_risk", "m AS (SELECT class_name, field, value, sum(error_runs)::BIGINT AS wrong, sum(runs)::BIGINT AS n FROM states JOIN ledger USING (sample_id, class_name) GROUP BY ALL), t AS (SELECT class_name, sum(error_runs)::BIGINT AS total_wrong, sum(runs)::BIGINT AS total FROM ledger GROUP BY ALL) SELECT class_name, field, value, n, round(wrong / n, 6) AS rate_with, round((total_wrong - wrong) / (total - n), 6) AS rate_without FROM m JOIN t USING (class_name) WHERE n >= 60 AND total - n >= 60".replace("m AS", LEDGER_SQL + ", m AS", 1))
+def agg_factor_risk(p: Panels):
+    led = M.error_ledger(p.facts, 3)
+    m = p.states.join(led.select("sample_id", "error_runs", "runs"), "sample_id").groupBy("class_name", "field", "value").agg(F.sum("error_runs").alias("wrong"), F.sum("runs").alias("n"))
+    t = led.groupBy("class_name").agg(F.sum("error_runs").alias("total_wrong"), F.sum("runs").alias("total"))
+    return M.with_and_without(m, t, ["class_name"], 60).select("class_name", "field", "value", "n", R("rate_with").alias("rate_with"), R("rate_without").alias("rate_without"))
+
+
+@query("agg_fp_sources", LEDGER_SQL + " SELECT class_name, count(*) AS n, count(*) FILTER (WHERE error_runs > 0) AS any_error, count(*) FILTER (WHERE stability = 'shared') AS stable, round(sum(error_runs) / sum(runs), 6) AS rate FROM ledger GROUP BY class_name")
+def agg_fp_sources(p: Panels):
+    return M.error_ledger(p.facts, 3).groupBy("class_name").agg(F.count("*").alias("n"), F.count_if(F.col("error_runs") > 0).alias("any_error"), F.count_if(F.col("stability") == "shared").alias("stable"), R(F.sum("error_runs") / F.sum("runs")).alias("rate"))
+
+
+@query("agg_group_error_rates", "q AS (SELECT unnest(list_filter([CASE WHEN area_ratio < 0.03 THEN 'small' END, CASE WHEN discount_band = 'high' THEN 'deep_discount' END, CASE WHEN linestatus = 'O' THEN 'open_line' END, CASE WHEN tax_band = 'unknown' THEN 'untaxed' END], lambda x: x IS NOT NULL)) AS tag, correct FROM targets JOIN facts USING (sample_id)) SELECT tag, count(*) AS n, round(avg(1 - correct), 6) AS error_rate FROM q GROUP BY tag HAVING count(*) >= 20")
+def agg_group_error_rates(p: Panels):
+    from quadrat.functions.scalar import slices
+
+    t = p.targets.select("sample_id", F.explode(slices({k: F.expr(v) for k, v in SLICES.items()})).alias("tag"))
+    per_sample = p.facts.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum(1 - F.col("correct")).alias("wrong"))
+    g = t.join(per_sample, "sample_id").groupBy("tag").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
+    return g.where("n >= 20").select("tag", "n", R(F.col("wrong") / F.col("n")).alias("error_rate"))
+
+
+@query("agg_discrimination", "k AS (SELECT l_quantity AS s, count(*) AS k FROM targets GROUP BY ALL) SELECT sum(k)::BIGINT AS n, count(*) AS n_distinct, max(k) AS largest_tie, round(max(k) / sum(k), 6) AS largest_share, round(sum(k * (k - 1)) / (sum(k) * (sum(k) - 1)), 6) AS tied_pairs FROM k")
+def agg_discrimination(p: Panels):
+    k = p.targets.groupBy("l_quantity").agg(F.count("*").alias("k"))
+    n = F.sum("k")
+    return k.agg(n.alias("n"), F.count("*").alias("n_distinct"), F.max("k").alias("largest_tie"), R(F.max("k") / n).alias("largest_share"), R(F.sum(F.col("k") * (F.col("k") - 1)) / (n * (n - 1))).alias("tied_pairs"))
+
+
+@query("agg_mean_sd_ci", "a AS (SELECT model, seed, avg(correct) AS x FROM facts GROUP BY ALL) SELECT model, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM a GROUP BY model")
+def agg_mean_sd_ci(p: Panels):
+    a = p.facts.groupBy("model", "seed").agg(F.avg("correct").alias("x"))
+    return a.groupBy("model").agg(R(F.avg("x")).alias("mean"), R(F.stddev_samp("x")).alias("sd"), R(F.percentile("x", 0.025)).alias("low"), R(F.percentile("x", 0.975)).alias("high"))
+
+
+@query("agg_percentile", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def agg_percentile(p: Panels):
+    return p.table("events").groupBy("event_type").agg(R(F.percentile("value", 0.5)).alias("p50"), R(F.percentile("value", 0.95)).alias("p95"))
+
+
+@query("agg_run_seed_rollup", "a AS (SELECT class_name, model, seed, avg(correct) AS x FROM facts GROUP BY ALL), m AS (SELECT class_name, model, avg(x) AS x FROM a GROUP BY ALL) SELECT class_name, round(avg(x), 6) AS mean, round(min(x), 6) AS worst, round(max(x), 6) AS best FROM m GROUP BY class_name")
+def agg_run_seed_rollup(p: Panels):
+    a = p.facts.groupBy("class_name", "model", "seed").agg(F.avg("correct").alias("x")).groupBy("class_name", "model").agg(F.avg("x").alias("x"))
+    return a.groupBy("class_name").agg(R(F.avg("x")).alias("mean"), R(F.min("x")).alias("worst"), R(F.max("x")).alias("best"))
+
+
+@query("agg_category_consensus", "v AS (SELECT source, lang, count(*) AS n, avg(n_chars) AS mean_chars FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS r, n / sum(n) OVER (PARTITION BY source) AS share FROM v) SELECT source, lang AS category, n, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN 'accepted' ELSE 'mixed' END AS decision FROM r WHERE r = 1")
+def agg_category_consensus(p: Panels):
+    v = p.table("documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source")
+    r = v.withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "lang"))).withColumn("share", F.col("n") / F.sum("n").over(w)).where("r = 1")
+    return r.select("source", F.col("lang").alias("category"), "n", R("share").alias("share"), F.when(F.col("share") >= 0.5, "accepted").otherwise("mixed").alias("decision"))
+
+
+OOF_SQL = "c AS (SELECT s.class_name, field, value, model, sum(1 - correct) AS err, count(*) AS n FROM states s JOIN facts f ON f.sample_id = s.sample_id WHERE seed = 1 GROUP BY ALL), g AS (SELECT model, avg(1 - correct) AS pooled FROM facts WHERE seed = 1 GROUP BY model), oof AS (SELECT class_name, field, value, avg((err + 10 * pooled) / (n + 10)) * greatest(0, 2000 - max(n)) / 2000 AS priority FROM c JOIN g USING (model) GROUP BY class_name, field, value)"
+
+
+def oof_priority(p: Panels):
+    f = p.facts.where("seed = 1")
+    c = M.state_recall(f, p.states, ["model"]).join(F.broadcast(f.groupBy("model").agg(F.avg(1 - F.col("correct")).alias("pooled"))), "model")  # a row for each model
+    smooth = (F.col("n") - F.col("n_correct") + 10 * F.col("pooled")) / (F.col("n") + 10)
+    return c.groupBy("class_name", "field", "value").agg((F.avg(smooth) * F.greatest(F.lit(0), 2000 - F.max("n")) / 2000).alias("priority"))
+
+
+@query("agg_oof_priority", OOF_SQL + " SELECT class_name, field, value, round(priority, 6) AS priority FROM oof")
+def agg_oof_priority(p: Panels):
+    return oof_priority(p).withColumn("priority", R("priority"))
+
+
+@query("agg_priority_normalise", OOF_SQL + " SELECT class_name, field, value, round(least(1, greatest(0, priority / (SELECT quantile_cont(priority, 0.95) FROM oof WHERE priority > 0))), 6) AS scaled FROM oof")
+def agg_priority_normalise(p: Panels):
+    o = oof_priority(p)
+    top = o.agg(F.percentile(F.when(F.col("priority") > 0, F.col("priority")), 0.95).alias("top"))
+    return o.crossJoin(F.broadcast(top)).select("class_name", "field", "value", R(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("priority") / F.col("top")))).alias("scaled"))  # one row
+
+
+@query("agg_sampling_weights", "m AS (SELECT sample_id, class_name, CASE scale WHEN 'tiny' THEN 3.0 WHEN 'small' THEN 2.0 ELSE 1.0 END AS k FROM targets) SELECT sample_id, round(k / avg(k) OVER (PARTITION BY class_name) / count(*) OVER (PARTITION BY class_name) * 1000, 6) AS weight FROM m")
+def agg_sampling_weights(p: Panels):
+    k = F.when(F.col("scale") == "tiny", 3.0).when(F.col("scale") == "small", 2.0).otherwise(1.0)
+    t = p.targets.select("sample_id", "class_name", k.alias("k"))
+    sums = t.groupBy("class_name").agg(F.avg("k").alias("mean"), F.count("*").alias("n"))  # pre-aggregated; classes are few
+    return t.join(F.broadcast(sums), "class_name").select("sample_id", R(F.col("k") / F.col("mean") / F.col("n") * 1000).alias("weight"))
+
+
+@query("agg_request_cost", "SELECT event_type AS backend, count(*) AS attempts, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS tokens, count(*) FILTER (WHERE json_extract(props, '$.k') IS NULL) AS missing, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS span_s FROM events GROUP BY event_type")
+def agg_request_cost(p: Panels):
+    k = F.get_json_object("props", "$.k").cast("long")
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    return p.table("events").groupBy(F.col("event_type").alias("backend")).agg(F.count("*").alias("attempts"), F.sum(k).alias("tokens"), F.count_if(k.isNull()).alias("missing"), R(F.percentile("value", 0.5)).alias("median"), R(F.percentile("value", 0.95)).alias("p95"), F.floor((us(F.max("ts")) - us(F.min("ts"))) / 1_000_000).alias("span_s"))
+
+
+@query("agg_sensitivity_slope", "a AS (SELECT ship_year, avg(correct) AS y, count(*) / (SELECT count(*) FROM facts) AS x FROM facts JOIN targets USING (sample_id) GROUP BY ship_year), c AS (SELECT ship_year, y, sum(x) OVER (ORDER BY ship_year) AS x FROM a) SELECT ship_year, round((y - lag(y) OVER (ORDER BY ship_year)) / nullif(x - lag(x) OVER (ORDER BY ship_year), 0), 6) AS slope FROM c")
+def agg_sensitivity_slope(p: Panels):
+    j = p.facts.select("sample_id", "correct").join(p.targets.select("sample_id", "ship_year"), "sample_id")
+    a = j.groupBy("ship_year").agg(F.avg("correct").alias("y"), F.count("*").alias("n"))
+    w = Window.orderBy("ship_year")  # a row for each stage
+    a = a.withColumn("x", F.sum("n").over(w) / F.sum("n").over(Window.partitionBy()))
+    return a.select("ship_year", R(F.try_divide(F.col("y") - F.lag("y").over(w), F.col("x") - F.lag("x").over(w))).alias("slope"))
