@@ -46,11 +46,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def groups(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about GROUP_BYTES."""
+def groups(sizes: Sequence[int], limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``limit`` bytes."""
     start = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > GROUP_BYTES:
+        if total and total + n > limit:
             yield start, i
             start, total = i, 0
         total += n
