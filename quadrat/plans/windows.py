@@ -1 +1,205 @@
-"""Queries."""
+"""Windows, ranks and set operations over the panels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from quadrat.operators import ranking as Rk
+from quadrat.operators import risk
+from quadrat.operators import states as St
+from quadrat.plans.aggregates import CONF_SQL, LEDGER_SQL
+from quadrat.plans.panels import Panels, query
+from quadrat.plans.projections import R
+from quadrat.operators import metrics as M
+
+CLASS = ["class_name"]
+
+
+@query("win_avg_rank", "SELECT sample_id, rank() OVER w + (count(*) OVER (PARTITION BY class_name, l_quantity) - 1) / 2 AS rank FROM targets WINDOW w AS (PARTITION BY class_name ORDER BY l_quantity)")
+def win_avg_rank(p: Panels):
+    return Rk.average_rank(p.targets.select("sample_id", "class_name", "l_quantity"), "l_quantity", CLASS).select("sample_id", "rank")
+
+
+TIER_SQL = risk.SCORE_SQL + ", tiers AS (SELECT *, ntile(5) OVER (PARTITION BY class_name ORDER BY mid, sample_id) AS tier FROM scores)"
+
+
+def tiers(p: Panels):
+    return Rk.five_tiers(risk.scores(p.targets), "mid", "sample_id", CLASS)
+
+
+@query("win_five_tiers", TIER_SQL + " SELECT sample_id, tier FROM tiers")
+def win_five_tiers(p: Panels):
+    return tiers(p).select("sample_id", "tier")
+
+
+@query("win_tiers_floor", risk.SCORE_SQL + " SELECT sample_id, (floor((row_number() OVER (PARTITION BY class_name ORDER BY mid, sample_id) - 1) * 5 / count(*) OVER (PARTITION BY class_name)) + 1)::INT AS tier FROM scores")
+def win_tiers_floor(p: Panels):
+    return Rk.tiers_floor(risk.scores(p.targets), "mid", "sample_id", CLASS).select("sample_id", "tier")
+
+
+@query("win_largest_target", "SELECT class_name, image_id, sample_id, round((x1 - x0) * (y1 - y0), 6) AS area FROM boxes QUALIFY row_number() OVER (PARTITION BY class_name, image_id ORDER BY round((x1 - x0) * (y1 - y0), 6) DESC, sample_id) = 1")
+def win_largest_target(p: Panels):
+    area = R((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    b = p.boxes.withColumn("area", area)
+    best = b.groupBy("class_name", "image_id").agg(F.min(F.struct((-F.col("area")).alias("a"), "sample_id")).alias("m"))  # pre-aggregated, no sort
+    return best.select("class_name", "image_id", "m.sample_id", (-F.col("m.a")).alias("area"))
+
+
+ORDER_SQL = "ord AS (SELECT sample_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY sha256(concat_ws(':', '7', sample_id))) AS rank FROM targets)"
+
+
+def order(p: Panels):
+    return Rk.hash_order(p.targets.select("sample_id", "class_name"), CLASS, F.lit("7"), F.col("sample_id"))
+
+
+@query("win_nested_batches", ORDER_SQL + " SELECT class_name, b AS budget, count(*) AS n, max(ceil(rank / 20))::INT AS batches, round(avg(correct), 6) AS recall FROM ord JOIN facts USING (sample_id, class_name) JOIN (VALUES (20), (40), (80)) AS v(b) ON rank <= b GROUP BY ALL")
+def win_nested_batches(p: Panels):
+    budgets = p.spark.sql("SELECT * FROM VALUES (20), (40), (80) AS v(budget)")
+    o = order(p).where("rank <= 80").join(F.broadcast(budgets), F.col("rank") <= F.col("budget"))  # three budgets
+    j = p.facts.select("sample_id", "correct").join(o, "sample_id")
+    return j.groupBy("class_name", "budget").agg(F.count("*").alias("n"), F.max(F.ceil(F.col("rank") / 20)).cast("int").alias("batches"), R(F.avg("correct")).alias("recall"))
+
+
+@query("win_sliding_windows", ORDER_SQL + " SELECT class_name, s AS start, count(*) AS n, round(avg(correct), 6) AS recall FROM ord JOIN facts USING (sample_id, class_name) JOIN range(1, 62, 5) AS r(s) ON rank BETWEEN s AND s + 19 GROUP BY ALL")
+def win_sliding_windows(p: Panels):
+    # the windows that a rank lies in start at most 19 before it: generated, not joined
+    start = F.explode(F.filter(F.sequence(F.lit(1), F.lit(61), F.lit(5)), lambda s: (F.col("rank") >= s) & (F.col("rank") <= s + 19)))
+    o = order(p).where("rank <= 80").withColumn("start", start)
+    return p.facts.select("sample_id", "correct").join(o, "sample_id").groupBy("class_name", "start").agg(F.count("*").alias("n"), R(F.avg("correct")).alias("recall"))
+
+
+@query("win_new_states", ORDER_SQL + ", f AS (SELECT s.class_name, field, value, min(ceil(rank / 20))::INT AS batch FROM states s JOIN ord USING (sample_id) WHERE rank <= 200 GROUP BY ALL) SELECT class_name, batch, count(*) AS new_states FROM f GROUP BY ALL")
+def win_new_states(p: Panels):
+    o = order(p).where("rank <= 200").select("sample_id", F.ceil(F.col("rank") / 20).cast("int").alias("batch"))
+    first = p.states.join(F.broadcast(o), "sample_id").groupBy("class_name", "field", "value").agg(F.min("batch").alias("batch"))  # 200 a class
+    return first.groupBy("class_name", "batch").agg(F.count("*").alias("new_states"))
+
+
+@query("win_mixture_prefix", "d AS (SELECT sample_id, class_name, l_quantity < 12 AS high, row_number() OVER (PARTITION BY class_name, l_quantity < 12 ORDER BY sha256(concat_ws(':', '3', sample_id))) AS r FROM targets), m AS (SELECT d.*, s FROM d JOIN range(0, 101, 25) AS g(s) ON CASE WHEN high THEN r <= s * 40 // 100 ELSE r <= (100 - s) * 40 // 100 END) SELECT class_name, s AS share, count(*) AS n, round(avg(correct), 6) AS recall FROM m JOIN facts USING (sample_id, class_name) GROUP BY ALL")
+def win_mixture_prefix(p: Panels):
+    t = p.targets.select("sample_id", "class_name", (F.col("l_quantity") < 12).alias("high"))
+    d = Rk.hash_order(t, ["class_name", "high"], F.lit("3"), F.col("sample_id"), name="r").where("r <= 40")
+    m = d.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(25))))
+    m = m.where(F.when(F.col("high"), F.expr("r <= share * 40 div 100")).otherwise(F.expr("r <= (100 - share) * 40 div 100")))
+    j = p.facts.select("sample_id", "correct").join(F.broadcast(m.select("sample_id", "class_name", "share")), "sample_id")  # 40 a class and stratum
+    return j.groupBy("class_name", "share").agg(F.count("*").alias("n"), R(F.avg("correct")).alias("recall"))
+
+
+@query("win_topk_review_priority", LEDGER_SQL + " SELECT sample_id, stable_models, error_runs FROM ledger ORDER BY stable_models DESC, error_runs DESC, sample_id LIMIT 50")
+def win_topk_review_priority(p: Panels):
+    return M.error_ledger(p.facts, 3).orderBy(F.desc("stable_models"), F.desc("error_runs"), "sample_id").limit(50).select("sample_id", "stable_models", "error_runs")
+
+
+@query("win_top_two_shares", CONF_SQL + ", s AS (SELECT model, seed, label, round(f1, 6) AS f1 FROM mf), t AS (SELECT *, nth_value(f1, 2) OVER (PARTITION BY model, seed ORDER BY f1 DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM s) SELECT model, seed, label, round(CASE WHEN f1 > z THEN 1 WHEN f1 = z THEN (2 - sum((f1 > z)::INT) OVER w) / sum((f1 = z)::INT) OVER w ELSE 0 END, 6) AS share FROM t WINDOW w AS (PARTITION BY model, seed)")
+def win_top_two_shares(p: Panels):
+    m = M.class_metrics(M.confusion(p.facts, ["model", "seed"], 3), ["model", "seed"]).withColumn("f1", R("f1"))
+    return Rk.top_two(m.select("model", "seed", "label", "f1"), "f1", ["model", "seed"]).select("model", "seed", "label", R("share").alias("share"))
+
+
+@query("win_model_ranking", CONF_SQL + ", a AS (SELECT model, seed, round(avg(f1), 6) AS f1 FROM mf GROUP BY ALL) SELECT model, seed, rank() OVER (PARTITION BY seed ORDER BY f1 DESC) AS min_rank, rank() OVER (PARTITION BY seed ORDER BY f1 DESC) + (count(*) OVER (PARTITION BY seed, f1) - 1) / 2 AS avg_rank FROM a")
+def win_model_ranking(p: Panels):
+    a = M.macro(M.class_metrics(M.confusion(p.facts, ["model", "seed"], 3), ["model", "seed"]), ["model", "seed"]).select("model", "seed", R("macro_f1").alias("f1"))
+    r = F.rank().over(Window.partitionBy("seed").orderBy(F.desc("f1")))
+    return a.select("model", "seed", r.alias("min_rank"), (r + (F.count("*").over(Window.partitionBy("seed", "f1")) - 1) / 2).alias("avg_rank"))
+
+
+@query("win_stable_sort_hash", ORDER_SQL + " SELECT sample_id, rank FROM ord WHERE rank <= 100")
+def win_stable_sort_hash(p: Panels):
+    return order(p).where("rank <= 100").select("sample_id", "rank")
+
+
+@query("win_every_kth", "r AS (SELECT sample_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY sample_id) - 1 AS r, count(*) OVER (PARTITION BY class_name) AS n FROM targets), k AS (SELECT DISTINCT class_name, n, round_even(i * (n - 1) / 24, 0)::BIGINT AS r FROM r CROSS JOIN range(25) AS g(i)) SELECT sample_id, class_name FROM r SEMI JOIN k USING (class_name, r)")
+def win_every_kth(p: Panels):
+    w = Window.partitionBy("class_name")
+    t = p.targets.select("sample_id", "class_name").withColumn("r", F.row_number().over(w.orderBy("sample_id")) - 1)
+    n = t.groupBy("class_name").agg(F.max("r").alias("last"))
+    k = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(24)))).select("class_name", F.bround(F.col("i") * F.col("last") / 24).cast("long").alias("r")).distinct()
+    return t.join(F.broadcast(k), ["class_name", "r"], "left_semi").select("sample_id", "class_name")  # 25 a class
+
+
+@query("win_curve_auc", ORDER_SQL + ", c AS (SELECT class_name, b, avg(correct) AS y FROM ord JOIN facts USING (sample_id, class_name) JOIN (VALUES (10), (20), (40), (80)) AS v(b) ON rank <= b GROUP BY ALL), z AS (SELECT *, (b - lag(b, 1, 0) OVER w) * (y + lag(y, 1, 0.0) OVER w) / 2 AS a FROM c WINDOW w AS (PARTITION BY class_name ORDER BY b)) SELECT class_name, round(sum(a) / max(b), 6) AS area FROM z GROUP BY class_name")
+def win_curve_auc(p: Panels):
+    budget = F.explode(F.filter(F.array(*map(F.lit, (10, 20, 40, 80))), lambda b: F.col("rank") <= b))
+    o = order(p).where("rank <= 80").withColumn("b", budget)
+    c = p.facts.select("sample_id", "correct").join(o, "sample_id").groupBy("class_name", "b").agg(F.avg("correct").alias("y"))
+    return Rk.curve_area(c, "b", "y", CLASS).withColumn("area", R("area"))
+
+
+@query("win_trend_slope", ORDER_SQL + ", c AS (SELECT class_name, ceil(rank / 20)::INT AS batch, avg(correct) AS y FROM ord JOIN facts USING (sample_id, class_name) WHERE rank <= 200 GROUP BY ALL) SELECT class_name, round(regr_slope(y, batch), 6) AS slope, round(max_by(y, batch) - min_by(y, batch), 6) AS change FROM c GROUP BY class_name")
+def win_trend_slope(p: Panels):
+    o = order(p).where("rank <= 200").withColumn("batch", F.ceil(F.col("rank") / 20).cast("int"))
+    c = p.facts.select("sample_id", "correct").join(o, "sample_id").groupBy("class_name", "batch").agg(F.avg("correct").alias("y"))
+    return c.groupBy("class_name").agg(R(F.regr_slope("y", "batch")).alias("slope"), R(F.max_by("y", "batch") - F.min_by("y", "batch")).alias("change"))
+
+
+GAP_SQL = "sg AS (SELECT model, s.class_name, field, value, count(*) AS n, sum(correct)::BIGINT AS k FROM states s JOIN facts f ON f.sample_id = s.sample_id GROUP BY ALL), gp AS (SELECT *, sum(n) OVER w - n AS rest_n, sum(k) OVER w - k AS rest_k FROM sg WINDOW w AS (PARTITION BY model, class_name, field)), gap AS (SELECT model, class_name, field, value, n, rest_n, k / n - rest_k / nullif(rest_n, 0) AS gap, n >= 20 AND rest_n >= 20 AS eligible FROM gp)"
+
+
+@query("win_weak_states_topk", GAP_SQL + " SELECT model, class_name, field, value, round(gap, 6) AS gap FROM gap WHERE eligible AND gap <= -0.1 QUALIFY row_number() OVER (PARTITION BY model, class_name ORDER BY round(gap, 9), field, value) <= 3")
+def win_weak_states_topk(p: Panels):
+    from quadrat.operators.diagnosis import condition_gaps
+
+    g = condition_gaps(M.state_recall(p.facts, p.states, ["model"]), ["model"]).where("eligible and gap <= -0.1")
+    r = F.row_number().over(Window.partitionBy("model", "class_name").orderBy(F.round("gap", 9), "field", "value"))
+    return g.withColumn("r", r).where("r <= 3").select("model", "class_name", "field", "value", R("gap").alias("gap"))
+
+
+# -- sets --------------------------------------------------------------------------------------
+
+TWO_SQL = "oa AS (SELECT sample_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY sha256(concat_ws(':', '1', sample_id))) AS rank FROM targets), ob AS (SELECT sample_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY l_quantity, sample_id) AS rank FROM targets)"
+
+
+def two_orders(p: Panels):
+    t = p.targets.select("sample_id", "class_name", "l_quantity")
+    return Rk.hash_order(t, CLASS, F.lit("1"), F.col("sample_id")), t.withColumn("rank", F.row_number().over(Window.partitionBy("class_name").orderBy("l_quantity", "sample_id")))
+
+
+@query("set_overlap_jaccard", TWO_SQL + ", j AS (SELECT class_name, b, count(*) FILTER (WHERE oa.rank <= b AND ob.rank <= b) AS both_, count(*) FILTER (WHERE oa.rank <= b OR ob.rank <= b) AS any_ FROM oa JOIN ob USING (sample_id, class_name) CROSS JOIN (VALUES (100), (400)) AS v(b) GROUP BY ALL) SELECT class_name, b AS budget, both_ AS shared, round(both_ / b, 6) AS share, round(both_ / any_, 6) AS jaccard FROM j")
+def set_overlap_jaccard(p: Panels):
+    a, b = two_orders(p)
+    both = a.where("rank <= 400").select("sample_id", "class_name", F.col("rank").alias("a")).join(b.where("rank <= 400").select("sample_id", "class_name", F.col("rank").alias("b")), ["sample_id", "class_name"], "full_outer")
+    both = both.withColumn("budget", F.explode(F.array(F.lit(100), F.lit(400))))
+    ina, inb = F.coalesce(F.col("a") <= F.col("budget"), F.lit(False)), F.coalesce(F.col("b") <= F.col("budget"), F.lit(False))
+    g = both.groupBy("class_name", "budget").agg(F.count_if(ina & inb).alias("shared"), F.count_if(ina | inb).alias("any"))
+    return g.select("class_name", "budget", "shared", R(F.col("shared") / F.col("budget")).alias("share"), R(F.col("shared") / F.col("any")).alias("jaccard"))
+
+
+@query("set_universe_union", "u AS (SELECT class_name, field, value, 1 AS a, 0 AS b FROM states UNION ALL SELECT class_name, field, value, 0, 1 FROM states2) SELECT class_name, field, value, sum(a)::BIGINT AS first, sum(b)::BIGINT AS second FROM u GROUP BY ALL")
+def set_universe_union(p: Panels):
+    u = p.states.withColumn("src", F.lit(1)).unionByName(p.states2.withColumn("src", F.lit(2)))
+    return u.groupBy("class_name", "field", "value").agg(F.count_if(F.col("src") == 1).alias("first"), F.count_if(F.col("src") == 2).alias("second"))
+
+
+@query("set_consensus_mask", "SELECT a.class_name, field, value, count(*) AS positive FROM states a JOIN states2 b USING (class_name, sample_id, field, value) GROUP BY ALL")
+def set_consensus_mask(p: Panels):
+    return p.states.intersect(p.states2.select(p.states.columns)).groupBy("class_name", "field", "value").agg(F.count("*").alias("positive"))
+
+
+@query("set_disagreements", "d AS (SELECT a.sample_id, field FROM fields a JOIN fields2 b USING (class_name, sample_id, field) WHERE a.value IS DISTINCT FROM b.value), q AS (SELECT sample_id, 'differs:' || field AS reason FROM d UNION ALL SELECT sample_id, 'sample' FROM targets QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY sha256(sample_id)) <= 20) SELECT sample_id, array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons FROM q GROUP BY sample_id")
+def set_disagreements(p: Panels):
+    key = ["class_name", "sample_id", "field"]
+    d = p.fields.alias("a").join(p.fields2.alias("b"), key).where(~F.col("a.value").eqNullSafe(F.col("b.value"))).select("sample_id", F.concat(F.lit("differs:"), "field").alias("reason"))
+    from quadrat.plans.aggregates import chosen
+
+    q = d.unionByName(chosen(p, 20).select("sample_id", F.lit("sample").alias("reason")))
+    return q.groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+@query("set_hybrid_orders", TWO_SQL + ", h AS (SELECT sample_id, class_name, 0 AS src, rank FROM ob WHERE rank <= 75 UNION ALL SELECT sample_id, class_name, 1, rank FROM oa), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY class_name, sample_id ORDER BY src) = 1) SELECT sample_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY src, rank) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY src, rank) <= 100")
+def set_hybrid_orders(p: Panels):
+    a, b = two_orders(p)
+    h = b.where("rank <= 75").select("sample_id", "class_name", F.lit(0).alias("src"), "rank").unionByName(a.where("rank <= 175").select("sample_id", "class_name", F.lit(1).alias("src"), "rank"))
+    once = h.groupBy("class_name", "sample_id").agg(F.min(F.struct("src", "rank")).alias("m"))
+    r = once.select("sample_id", "class_name", F.row_number().over(Window.partitionBy("class_name").orderBy("m.src", "m.rank")).alias("rank"))
+    return r.where("rank <= 100")
+
+
+@query("set_gap_vs_random_overlap", "rd AS (SELECT s, sample_id, class_name, row_number() OVER (PARTITION BY s, class_name ORDER BY sha256(concat_ws(':', s::VARCHAR, sample_id))) AS rank FROM targets CROSS JOIN range(1, 6) AS g(s)), ob AS (SELECT sample_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY l_quantity, sample_id) AS rank FROM targets), c AS (SELECT s, count(*) FILTER (WHERE ob.sample_id IS NOT NULL) AS n FROM (SELECT * FROM rd WHERE rank <= 300) r LEFT JOIN (SELECT * FROM ob WHERE rank <= 300) ob USING (sample_id) GROUP BY s) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM c")
+def set_gap_vs_random_overlap(p: Panels):
+    t = p.targets.select("sample_id", "class_name", "l_quantity")
+    draws = t.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    draws = Rk.hash_order(draws, ["s", "class_name"], F.col("s").cast("string"), F.col("sample_id")).where("rank <= 300")
+    directed = t.withColumn("rank", F.row_number().over(Window.partitionBy("class_name").orderBy("l_quantity", "sample_id"))).where("rank <= 300").select("sample_id", F.lit(1).alias("hit"))
+    n = draws.join(directed, "sample_id", "left").groupBy("s").agg(F.count("hit").alias("n"))
+    return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), R(F.avg("n")).alias("mean"))
