@@ -25,7 +25,7 @@ _CASES = {
 }
 COMPONENT_SQL = f"cp AS (SELECT sample_id, {_CASES['scale']}::DOUBLE AS a, {_CASES['tax']}::DOUBLE AS b FROM targets), comp AS (SELECT sample_id, (a * 3 + coalesce(b, 0)) / 4 AS lo, (a * 3 + coalesce(b, 1)) / 4 AS hi, (3 + (b IS NOT NULL)::INT) / 4 AS kn FROM cp)"
 SCORE_SQL = f"""sc AS (SELECT *, {_CASES['scale']}::DOUBLE AS a, {_CASES['discount']}::DOUBLE AS b, {_CASES['tax']}::DOUBLE AS c, {_CASES['line']}::DOUBLE AS d FROM targets),
-scores AS (SELECT sample_id, class_name, split, (a + b + coalesce(c, 0) + d) * 25 AS low, (a + b + coalesce(c, 1) + d) * 25 AS high, (a + b + d + (coalesce(c, 0) + coalesce(c, 1)) / 2) * 25 AS mid, (3 + (c IS NOT NULL)::INT) / 4 AS known FROM sc)"""
+scores AS (SELECT sample_id, class_name, split, round((a + b + coalesce(c, 0) + d) * 25, 6) AS low, round((a + b + coalesce(c, 1) + d) * 25, 6) AS high, round((a + b + d + (coalesce(c, 0) + coalesce(c, 1)) / 2) * 25, 6) AS mid, (3 + (c IS NOT NULL)::INT) / 4 AS known FROM sc)"""
 
 
 def dimensions() -> list[Column]:
@@ -39,10 +39,13 @@ def components() -> Column:
 
 
 def scores(targets: DataFrame, scheme: str = "equal", without: int | None = None) -> DataFrame:
-    """low, high and mid of the 0-100 score, and the known weight; ``without`` drops a dimension."""
+    """low, high and mid of the 0-100 score, and the known weight; ``without`` drops a dimension.
+
+    Scores are rounded, so sums taken in another order tie alike.
+    """
     parts = [(d, w) for i, (d, w) in enumerate(zip(dimensions(), SCHEMES[scheme], strict=True)) if i != without]
     s = targets.withColumn("_s", S.interval(parts))
-    return s.select("sample_id", "class_name", "split", (F.col("_s.lower") * 100).alias("low"), (F.col("_s.upper") * 100).alias("high"), (F.col("_s.midpoint") * 100).alias("mid"), F.col("_s.known").alias("known"))
+    return s.select("sample_id", "class_name", "split", *[F.round(F.col(f"_s.{a}") * 100, 6).alias(b) for a, b in (("lower", "low"), ("upper", "high"), ("midpoint", "mid"))], F.col("_s.known").alias("known"))
 
 
 def points_13(targets: DataFrame) -> DataFrame:

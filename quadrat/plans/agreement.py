@@ -1 +1,101 @@
-"""Queries."""
+"""Agreement of annotators over the panels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quadrat.functions import scalar as S
+from quadrat.operators import agreement as Ag
+from quadrat.operators import risk
+from quadrat.operators import ranking as Rk
+from quadrat.plans.panels import Panels, query
+from quadrat.plans.projections import R
+
+PAIR_SQL = "pr AS (SELECT a.class_name, a.sample_id, field, a.value AS l, b.value AS r FROM fields a JOIN fields2 b USING (class_name, sample_id, field))"
+
+
+def pairs(p: Panels):
+    return Ag.pairs(p.fields, p.fields2)
+
+
+@query("ag_exact_kappa", PAIR_SQL + ", n AS (SELECT field, count(*)::DOUBLE AS n, avg((l = r)::INT) AS exact FROM pr GROUP BY field), m AS (SELECT field, sum(a * b) AS ab FROM (SELECT field, l AS v, count(*)::DOUBLE AS a FROM pr GROUP BY ALL) JOIN (SELECT field, r AS v, count(*)::DOUBLE AS b FROM pr GROUP BY ALL) USING (field, v) GROUP BY field) SELECT field, round(exact, 6) AS exact, round((exact - ab / (n * n)) / nullif(1 - ab / (n * n), 0), 6) AS kappa FROM n JOIN m USING (field)")
+def ag_exact_kappa(p: Panels):
+    return Ag.kappa(pairs(p), ["field"]).select("field", R("exact").alias("exact"), R("kappa").alias("kappa"))
+
+
+@query("ag_unknown_aware", PAIR_SQL + " SELECT class_name, field, count(*) AS n, count(*) FILTER (WHERE l = 'unknown') AS unknown_left, count(*) FILTER (WHERE r = 'unknown') AS unknown_right, round(avg((l <> 'unknown' AND r <> 'unknown')::INT), 6) AS both_known, round(avg((l = r)::INT) FILTER (WHERE l <> 'unknown' AND r <> 'unknown'), 6) AS agree_known FROM pr GROUP BY ALL")
+def ag_unknown_aware(p: Panels):
+    known = (F.col("left") != "unknown") & (F.col("right") != "unknown")
+    return pairs(p).groupBy("class_name", "field").agg(
+        F.count("*").alias("n"), F.count_if(F.col("left") == "unknown").alias("unknown_left"), F.count_if(F.col("right") == "unknown").alias("unknown_right"),
+        R(F.avg(known.cast("int"))).alias("both_known"), R(F.avg(F.when(known, (F.col("left") == F.col("right")).cast("int")))).alias("agree_known"),
+    )
+
+
+@query("ag_transitions", PAIR_SQL + " SELECT field, l AS \"left\", r AS \"right\", count(*) AS n FROM pr GROUP BY ALL")
+def ag_transitions(p: Panels):
+    return pairs(p).groupBy("field", "left", "right").agg(F.count("*").alias("n"))
+
+
+@query("ag_micro_macro", PAIR_SQL + ", f AS (SELECT class_name, field, count(*) AS n, sum((l = r)::INT) AS k FROM pr GROUP BY ALL) SELECT class_name, round(sum(k) / sum(n), 6) AS micro, round(avg(k / n), 6) AS macro FROM f GROUP BY class_name")
+def ag_micro_macro(p: Panels):
+    f = pairs(p).groupBy("class_name", "field").agg(F.count("*").alias("n"), F.sum((F.col("left") == F.col("right")).cast("int")).alias("k"))
+    return f.groupBy("class_name").agg(R(F.sum("k") / F.sum("n")).alias("micro"), R(F.avg(F.col("k") / F.col("n"))).alias("macro"))
+
+
+SECOND_SQL = (
+    "sc2 AS (SELECT sample_id, class_name, CASE scale WHEN 'tiny' THEN 1.0 WHEN 'small' THEN 0.75 WHEN 'medium' THEN 0.35 ELSE 0.0 END::DOUBLE AS a, CASE discount_band WHEN 'none' THEN 0.0 WHEN 'low' THEN 0.25 WHEN 'mid' THEN 0.5 ELSE 1.0 END::DOUBLE AS b, "
+    "CASE tax_band WHEN 'low' THEN 0.25 WHEN 'high' THEN 1.0 END::DOUBLE AS c, CASE linestatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 END::DOUBLE AS d FROM second), "
+    "scores2 AS (SELECT sample_id, class_name, (a + b + (coalesce(c, 0) + coalesce(c, 1)) / 2 + (coalesce(d, 0) + coalesce(d, 1)) / 2) * 25 AS mid FROM sc2)"
+)
+
+
+@query("ag_risk_shift", risk.SCORE_SQL + ", " + SECOND_SQL + ", j AS (SELECT a.sample_id, a.class_name, round(a.mid, 6) AS x, round(b.mid, 6) AS y, ntile(5) OVER (PARTITION BY a.class_name ORDER BY round(a.mid, 6), a.sample_id) AS t1, ntile(5) OVER (PARTITION BY a.class_name ORDER BY round(b.mid, 6), a.sample_id) AS t2 FROM scores a JOIN scores2 b USING (sample_id)), k AS (SELECT *, rank() OVER (PARTITION BY class_name ORDER BY x) + (count(*) OVER (PARTITION BY class_name, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY class_name ORDER BY y) + (count(*) OVER (PARTITION BY class_name, y) - 1) / 2 AS ry FROM j) SELECT class_name, round(avg(abs(x - y)), 6) AS mae, count(*) FILTER (WHERE t1 <> t2) AS tier_changes, count(*) FILTER (WHERE x <> y) AS score_changes, round(corr(rx, ry), 6) AS rank_correlation FROM k GROUP BY class_name")
+def ag_risk_shift(p: Panels):
+    b = risk.scores(p.second.withColumn("split", F.lit("B")))
+    j = risk.scores(p.targets).select("sample_id", "class_name", R("mid").alias("x")).join(b.select("sample_id", R("mid").alias("y")), "sample_id")
+    j = Rk.five_tiers(j, "x", "sample_id", ["class_name"]).withColumnRenamed("tier", "t1")
+    j = Rk.five_tiers(j, "y", "sample_id", ["class_name"]).withColumnRenamed("tier", "t2")
+    j = Rk.average_rank(Rk.average_rank(j, "x", ["class_name"], "rx"), "y", ["class_name"], "ry")
+    return j.groupBy("class_name").agg(R(F.avg(F.abs(F.col("x") - F.col("y")))).alias("mae"), F.count_if(F.col("t1") != F.col("t2")).alias("tier_changes"), F.count_if(F.col("x") != F.col("y")).alias("score_changes"), R(F.corr("rx", "ry")).alias("rank_correlation"))
+
+
+@query("ag_consistency_flags", "q AS (SELECT sample_id, list_filter([CASE WHEN discount_band = 'none' AND tax_band = 'unknown' THEN 'free_untaxed' END, CASE WHEN scale = 'tiny' AND linestatus = 'O' THEN 'tiny_open' END], lambda x: x IS NOT NULL) AS f FROM targets) SELECT sample_id, array_to_string(f, ',') AS flags FROM q WHERE len(f) > 0")
+def ag_consistency_flags(p: Panels):
+    rules = {"free_untaxed": (F.col("discount_band") == "none") & (F.col("tax_band") == "unknown"), "tiny_open": (F.col("scale") == "tiny") & (F.col("linestatus") == "O")}
+    return p.targets.select("sample_id", S.slices(rules).alias("f")).where("size(f) > 0").select("sample_id", F.array_join("f", ",").alias("flags"))
+
+
+@query("ag_agree_subset", PAIR_SQL + ", k AS (SELECT sample_id, class_name FROM pr GROUP BY ALL HAVING bool_and(l = r AND l <> 'unknown')) SELECT t.class_name, t.scale, count(*) AS n FROM targets t SEMI JOIN k ON k.sample_id = t.sample_id GROUP BY ALL")
+def ag_agree_subset(p: Panels):
+    agree = pairs(p).groupBy("sample_id").agg(F.bool_and((F.col("left") == F.col("right")) & (F.col("left") != "unknown")).alias("ok")).where("ok")
+    return p.targets.join(agree, "sample_id", "left_semi").groupBy("class_name", "scale").agg(F.count("*").alias("n"))
+
+
+@query("ag_human_agreement", PAIR_SQL + " SELECT field, count(*) AS n, sum((l = r)::INT)::BIGINT AS hits FROM pr SEMI JOIN (SELECT sample_id FROM targets QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY sha256(sample_id)) <= 40) c ON c.sample_id = pr.sample_id GROUP BY field")
+def ag_human_agreement(p: Panels):
+    from quadrat.plans.aggregates import chosen
+
+    reviewed = pairs(p).join(F.broadcast(chosen(p).select("sample_id")), "sample_id", "left_semi")  # 40 a class
+    return reviewed.groupBy("field").agg(F.count("*").alias("n"), F.sum((F.col("left") == F.col("right")).cast("int")).alias("hits"))
+
+
+@query("ag_consensus_reference", "q AS (SELECT t.class_name, list_distinct([t.linestatus, t.discount_band]) AS ref, list_distinct([s.linestatus, s.discount_band]) AS got FROM targets t JOIN second s USING (sample_id) WHERE t.tax_band = s.tax_band) SELECT class_name, sum(len(list_intersect(ref, got)))::BIGINT AS tp, sum(len(got) - len(list_intersect(ref, got)))::BIGINT AS fp, sum(len(ref) - len(list_intersect(ref, got)))::BIGINT AS fn FROM q GROUP BY class_name")
+def ag_consensus_reference(p: Panels):
+    j = p.targets.alias("t").join(p.second.alias("s"), "sample_id").where("t.tax_band = s.tax_band")
+    q = j.select("t.class_name", F.array_distinct(F.array("t.linestatus", "t.discount_band")).alias("ref"), F.array_distinct(F.array("s.linestatus", "s.discount_band")).alias("got"))
+    return q.groupBy("class_name").agg(F.sum(F.size(F.array_intersect("ref", "got"))).alias("tp"), F.sum(F.size(F.array_except("got", "ref"))).alias("fp"), F.sum(F.size(F.array_except("ref", "got"))).alias("fn"))
+
+
+@query("ag_state_frequency", "SELECT field, value, count(*) FILTER (WHERE s = 1) AS first, count(*) FILTER (WHERE s = 2) AS second FROM (SELECT *, 1 AS s FROM states UNION ALL SELECT *, 2 FROM states2) GROUP BY ALL")
+def ag_state_frequency(p: Panels):
+    u = p.states.withColumn("s", F.lit(1)).unionByName(p.states2.withColumn("s", F.lit(2)))
+    return u.groupBy("field", "value").agg(F.count_if(F.col("s") == 1).alias("first"), F.count_if(F.col("s") == 2).alias("second"))
+
+
+@query("ag_repeatability", "j AS (SELECT t.sample_id, [t.linestatus, t.discount_band, t.tax_band] AS a, [s.linestatus, s.discount_band, s.tax_band] AS b FROM targets t JOIN second s USING (sample_id)) SELECT round(avg((a = b)::INT), 6) AS exact, round(avg(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))), 6) AS jaccard, round(avg((list_contains(a, 'unknown') = list_contains(b, 'unknown'))::INT), 6) AS unknown_agreement FROM j")
+def ag_repeatability(p: Panels):
+    f = ["linestatus", "discount_band", "tax_band"]
+    j = p.targets.alias("t").join(p.second.alias("s"), "sample_id").select(F.array(*[f"t.{c}" for c in f]).alias("a"), F.array(*[f"s.{c}" for c in f]).alias("b"))
+    unknown = F.array_contains("a", "unknown") == F.array_contains("b", "unknown")
+    return j.agg(R(F.avg((F.col("a") == F.col("b")).cast("int"))).alias("exact"), R(F.avg(S.jaccard(F.col("a"), F.col("b")))).alias("jaccard"), R(F.avg(unknown.cast("int"))).alias("unknown_agreement"))

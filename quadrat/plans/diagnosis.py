@@ -1 +1,211 @@
-"""Queries."""
+"""Diagnosis of classifier errors over the panels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from quadrat.operators import diagnosis as Dx
+from quadrat.operators import metrics as M
+from quadrat.operators import ranking as Rk
+from quadrat.operators import risk
+from quadrat.plans.aggregates import CONF_SQL
+from quadrat.plans.panels import Panels, query
+from quadrat.plans.projections import R
+from quadrat.plans.windows import GAP_SQL, ORDER_SQL, TIER_SQL, order, tiers
+
+KEYS = ["model", "class_name", "field", "value"]
+
+
+@query("dx_condition_gap", GAP_SQL + " SELECT model, class_name, field, value, n, rest_n::BIGINT AS rest_n, round(gap, 6) AS gap, eligible FROM gap")
+def dx_condition_gap(p: Panels):
+    g = Dx.condition_gaps(M.state_recall(p.facts, p.states, ["model"]), ["model"])
+    return g.select(*KEYS, "n", "rest_n", R("gap").alias("gap"), "eligible")
+
+
+def split_gap_sql(name: str, split: str) -> str:
+    return GAP_SQL.replace("states s JOIN facts f ON f.sample_id = s.sample_id", f"states s JOIN facts f ON f.sample_id = s.sample_id JOIN targets t ON t.sample_id = s.sample_id WHERE t.split = '{split}'").replace("sg AS", f"sg{name} AS").replace("FROM sg ", f"FROM sg{name} ").replace("gp AS", f"gp{name} AS").replace("FROM gp)", f"FROM gp{name})").replace("gap AS (", f"gap{name} AS (")
+
+
+def split_gaps(p: Panels, split: str):
+    ids = p.targets.where(F.col("split") == split).select("sample_id")
+    return Dx.condition_gaps(M.state_recall(p.facts, p.states.join(ids, "sample_id", "left_semi"), ["model"]), ["model"])
+
+
+BOTH_SQL = split_gap_sql("b", "B") + ", " + split_gap_sql("d", "D")
+
+
+@query("dx_discover_confirm", BOTH_SQL + " SELECT model, class_name, field, value, round(b.gap, 6) AS gap, CASE WHEN NOT coalesce(d.eligible, false) THEN 'insufficient' WHEN d.gap <= -0.1 THEN 'confirmed' ELSE 'not_confirmed' END AS status FROM gapb b LEFT JOIN gapd d USING (model, class_name, field, value) WHERE b.eligible AND b.gap <= -0.1")
+def dx_discover_confirm(p: Panels):
+    found = split_gaps(p, "B").where("eligible and gap <= -0.1")
+    return Dx.confirm(found, split_gaps(p, "D"), KEYS, -0.1).select(*KEYS, R("gap").alias("gap"), "status")
+
+
+@query("dx_decompose_support", BOTH_SQL + ", f AS (SELECT coalesce(b.eligible, false) AS ea, coalesce(b.eligible AND b.gap <= -0.1, false) AS ca, coalesce(d.eligible, false) AS eb, coalesce(d.eligible AND d.gap <= -0.1, false) AS cb FROM gapb b FULL JOIN gapd d USING (model, class_name, field, value)) SELECT count(*) FILTER (WHERE ca AND NOT eb) AS only_left_eligible, count(*) FILTER (WHERE cb AND NOT ea) AS only_right_eligible, count(*) FILTER (WHERE ea AND eb AND ca AND NOT cb) AS left_gap, count(*) FILTER (WHERE ea AND eb AND cb AND NOT ca) AS right_gap, count(*) FILTER (WHERE ca) - count(*) FILTER (WHERE cb) AS total FROM f")
+def dx_decompose_support(p: Panels):
+    flag = lambda g: g.select(*KEYS, "eligible", F.coalesce(F.col("eligible") & (F.col("gap") <= -0.1), F.lit(False)).alias("confirmed"))
+    return Dx.decompose(flag(split_gaps(p, "B")), flag(split_gaps(p, "D")), KEYS)
+
+
+CELL_SQL = TIER_SQL + ", st AS (SELECT s.class_name, field, value, tier, count(*) AS n1, sum(correct) AS k1 FROM states s JOIN facts f ON f.sample_id = s.sample_id JOIN tiers t ON t.sample_id = s.sample_id WHERE model = 1 GROUP BY ALL), ft AS (SELECT class_name, field, tier, sum(n1) AS n, sum(k1) AS k FROM st GROUP BY ALL), cells AS (SELECT d.class_name, d.field, d.value, ft.tier, coalesce(n1, 0) AS n1, coalesce(k1, 0) AS k1, n - coalesce(n1, 0) AS n0, k - coalesce(k1, 0) AS k0 FROM (SELECT DISTINCT class_name, field, value FROM st) d JOIN ft USING (class_name, field) LEFT JOIN st ON st.class_name = d.class_name AND st.field = d.field AND st.value = d.value AND st.tier = ft.tier)"
+
+
+def cells(p: Panels, by: str = "tier"):
+    """Members and known complement of each state in each cell; the complement is the field's total less the state."""
+    t = tiers(p).select("sample_id", "tier") if by == "tier" else p.targets.select("sample_id", F.col("scale").alias("tier"))
+    k = p.facts.where("model = 1").groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("correct").alias("k"))
+    s = p.states if by == "tier" else p.states.where("field <> 'scale'")
+    st = s.join(t, "sample_id").join(k, "sample_id").groupBy("class_name", "field", "value", "tier").agg(F.sum("n").alias("n1"), F.sum("k").alias("k1"))
+    total = st.groupBy("class_name", "field", "tier").agg(F.sum("n1").alias("n"), F.sum("k1").alias("k"))
+    grid = st.select("class_name", "field", "value").distinct().join(total, ["class_name", "field"])
+    c = grid.join(st, ["class_name", "field", "value", "tier"], "left").na.fill(0, ["n1", "k1"])
+    return c.withColumn("n0", F.col("n") - F.col("n1")).withColumn("k0", F.col("k") - F.col("k1"))
+
+
+@query("dx_standardised_gap", CELL_SQL + " SELECT class_name, field, value, round(sum(k1) / sum(n1) - sum(k0) / nullif(sum(n0), 0), 6) AS pooled, round(sum((k1 / n1 - k0 / n0) * n1) FILTER (WHERE n1 >= 5 AND n0 >= 5) / sum(n1) FILTER (WHERE n1 >= 5 AND n0 >= 5), 6) AS standardised, round(coalesce(sum(n1) FILTER (WHERE n1 >= 5 AND n0 >= 5), 0) / sum(n1), 6) AS share_kept FROM cells GROUP BY ALL")
+def dx_standardised_gap(p: Panels):
+    g = Dx.standardised_gaps(cells(p), ["class_name", "field", "value"])
+    return g.select("class_name", "field", "value", R("pooled").alias("pooled"), R("standardised").alias("standardised"), R("share_kept").alias("share_kept"))
+
+
+@query("dx_area_adjusted_gap", CELL_SQL.replace(TIER_SQL, "tiers AS (SELECT sample_id, scale AS tier FROM targets)").replace("WHERE model = 1", "WHERE model = 1 AND field <> 'scale'") + " SELECT class_name, field, value, round(sum((k1 / n1 - k0 / n0) * n1) FILTER (WHERE n1 >= 2 AND n0 >= 2) / sum(n1) FILTER (WHERE n1 >= 2 AND n0 >= 2), 6) AS adjusted FROM cells GROUP BY ALL HAVING coalesce(sum(n1) FILTER (WHERE n1 >= 2 AND n0 >= 2), 0) / sum(n1) >= 0.5")
+def dx_area_adjusted_gap(p: Panels):
+    g = Dx.standardised_gaps(cells(p, "scale"), ["class_name", "field", "value"], 2, 0.5).where("eligible")
+    return g.select("class_name", "field", "value", R("standardised").alias("adjusted"))
+
+
+@query("dx_inclusion_weighted", "dr AS (SELECT s, sample_id, class_name FROM targets CROSS JOIN range(1, 6) AS g(s) QUALIFY row_number() OVER (PARTITION BY s, class_name ORDER BY sha256(concat_ws(':', s::VARCHAR, sample_id))) <= 200), w AS (SELECT sample_id, count(*) / 5 AS w FROM dr GROUP BY ALL) SELECT model, field, value, round(sum(w * correct) / sum(w), 6) AS recall FROM w JOIN states s USING (sample_id) JOIN facts f USING (sample_id) GROUP BY ALL")
+def dx_inclusion_weighted(p: Panels):
+    t = p.targets.select("sample_id", "class_name").withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    w = Rk.hash_order(t, ["s", "class_name"], F.col("s").cast("string"), F.col("sample_id")).where("rank <= 200").groupBy("sample_id").agg((F.count("*") / 5).alias("w"))
+    j = p.states.join(F.broadcast(w), "sample_id").join(p.facts.select("sample_id", "model", "correct"), "sample_id")  # at most 1,000 a class
+    return j.groupBy("model", "field", "value").agg(R(F.sum(F.col("w") * F.col("correct")) / F.sum("w")).alias("recall"))
+
+
+@query("dx_state_risk", "m AS (SELECT model, seed, class_name, field, value, count(*) AS n, sum(1 - correct) AS e FROM states JOIN facts USING (sample_id, class_name) GROUP BY ALL), t AS (SELECT model, seed, class_name, count(*) AS tn, sum(1 - correct) AS te FROM facts GROUP BY ALL), q AS (SELECT *, e / n - (te - e) / nullif(tn - n, 0) AS d, (e / n) / nullif((te - e) / nullif(tn - n, 0), 0) AS ratio FROM m JOIN t USING (model, seed, class_name)) SELECT class_name, field, value, round(avg(d), 6) AS difference, round(avg(ratio), 6) AS ratio, count(*) FILTER (WHERE d > 0) AS positive_runs, count(DISTINCT model) FILTER (WHERE d > 0) AS positive_models FROM q GROUP BY ALL")
+def dx_state_risk(p: Panels):
+    run = ["model", "seed"]
+    m = M.state_recall(p.facts, p.states, run)
+    t = p.facts.groupBy(*run, "class_name").agg(F.count("*").alias("tn"), F.sum(1 - F.col("correct")).alias("te"))
+    e = F.col("n") - F.col("n_correct")
+    rest = F.try_divide((F.col("te") - e).cast("double"), F.col("tn") - F.col("n"))
+    q = m.join(t, [*run, "class_name"]).withColumn("d", e / F.col("n") - rest).withColumn("ratio", F.try_divide(e / F.col("n"), rest))
+    return q.groupBy("class_name", "field", "value").agg(R(F.avg("d")).alias("difference"), R(F.avg("ratio")).alias("ratio"), F.count_if(F.col("d") > 0).alias("positive_runs"), F.count_distinct(F.when(F.col("d") > 0, F.col("model"))).alias("positive_models"))
+
+
+@query("dx_confusion_breadth", CONF_SQL + " SELECT model, seed, count(*) FILTER (WHERE n > 0 AND label <> predicted) AS met, round(count(*) FILTER (WHERE n > 0 AND label <> predicted) / 6, 6) AS breadth FROM cm GROUP BY ALL")
+def dx_confusion_breadth(p: Panels):
+    e = p.facts.where("correct = 0").select("model", "seed", "label", "predicted").distinct().groupBy("model", "seed").agg(F.count("*").alias("met"))
+    return e.withColumn("breadth", R(F.col("met") / 6))
+
+
+RARE_SQL = "ec AS (SELECT model, label, predicted, count(*) AS n FROM facts WHERE correct = 0 GROUP BY ALL), et AS (SELECT model, sum(n)::DOUBLE AS total, list(n::DOUBLE) AS ns FROM ec GROUP BY model)"
+
+
+def expected_sql(q: str) -> str:
+    return f"list_sum(list_transform(ns, lambda n: 1 - CASE WHEN total - n < {q} THEN 0 ELSE exp(lgamma(total - n + 1) - lgamma(total - n - {q} + 1) - lgamma(total + 1) + lgamma(total - {q} + 1)) END))"
+
+
+def error_types(p: Panels):
+    return p.facts.where("correct = 0").groupBy("model", "label", "predicted").agg(F.count("*").alias("n"))
+
+
+@query("dx_rarefaction", RARE_SQL + f" SELECT model, round({expected_sql('10')}, 5) AS at_10, round({expected_sql('30')}, 5) AS at_30 FROM et")
+def dx_rarefaction(p: Panels):
+    c = error_types(p)
+    a = risk.expected_unique(c, ["model"], 10).withColumnRenamed("expected", "a")
+    return a.join(risk.expected_unique(c, ["model"], 30), "model").select("model", F.round("a", 5).alias("at_10"), F.round("expected", 5).alias("at_30"))
+
+
+@query("dx_equal_error_pair", "s AS (SELECT f.*, scale IN ('tiny', 'small') AS low FROM facts f JOIN targets USING (sample_id)) SELECT model, count(*) FILTER (WHERE low AND correct = 0) AS errors_low, count(*) FILTER (WHERE NOT low AND correct = 0) AS errors_rest, least(count(*) FILTER (WHERE low AND correct = 0), count(*) FILTER (WHERE NOT low AND correct = 0)) AS compared FROM s GROUP BY model")
+def dx_equal_error_pair(p: Panels):
+    j = p.facts.join(p.targets.select("sample_id", F.col("scale").isin("tiny", "small").alias("low")), "sample_id")
+    g = j.groupBy("model").agg(F.count_if(F.col("low") & (F.col("correct") == 0)).alias("errors_low"), F.count_if(~F.col("low") & (F.col("correct") == 0)).alias("errors_rest"))
+    return g.withColumn("compared", F.least("errors_low", "errors_rest"))
+
+
+DROP_SQL = TIER_SQL + ", tm AS (SELECT model, seed, tier, round(avg(correct), 9) AS y FROM facts JOIN tiers USING (sample_id) GROUP BY ALL)"
+
+
+def tier_recall(p: Panels):
+    t = p.facts.select("sample_id", "model", "seed", "correct").join(tiers(p).select("sample_id", "tier"), "sample_id")
+    return t.groupBy("model", "seed", "tier").agg(F.round(F.avg("correct"), 9).alias("y"))
+
+
+@query("dx_tier_drop", DROP_SQL + " SELECT model, seed, round(max(y) FILTER (WHERE tier = 1) - max(y) FILTER (WHERE tier = 5), 6) AS drop_, round(avg(y), 6) AS area FROM tm GROUP BY ALL")
+def dx_tier_drop(p: Panels):
+    at = lambda k: F.max(F.when(F.col("tier") == k, F.col("y")))
+    return tier_recall(p).groupBy("model", "seed").agg(R(at(1) - at(5)).alias("drop_"), R(F.avg("y")).alias("area"))
+
+
+@query("dx_monotone_tiers", DROP_SQL + ", l AS (SELECT *, lead(y) OVER (PARTITION BY model, seed ORDER BY tier) AS nxt FROM tm) SELECT model, seed, bool_and(nxt < y) AS falling, count(*) FILTER (WHERE nxt > y) AS upward FROM l WHERE nxt IS NOT NULL GROUP BY ALL")
+def dx_monotone_tiers(p: Panels):
+    nxt = F.lead("y").over(Window.partitionBy("model", "seed").orderBy("tier"))
+    lead = tier_recall(p).withColumn("nxt", nxt).where("nxt is not null")
+    return lead.groupBy("model", "seed").agg(F.bool_and(F.col("nxt") < F.col("y")).alias("falling"), F.count_if(F.col("nxt") > F.col("y")).alias("upward"))
+
+
+@query("dx_risk_ablation", risk.SCORE_SQL + ", ab AS (SELECT sample_id, class_name, (b + (coalesce(c, 0) + coalesce(c, 1)) / 2 + d) / 3 * 100 AS no_scale, (a + b + (coalesce(c, 0) + coalesce(c, 1)) / 2) / 3 * 100 AS no_line, (a + b + d + (coalesce(c, 0) + coalesce(c, 1)) / 2) * 25 AS full_ FROM sc) SELECT class_name, round(avg(full_), 6) AS all_parts, round(avg(no_scale), 6) AS without_scale, round(avg(no_line), 6) AS without_line FROM ab GROUP BY class_name")
+def dx_risk_ablation(p: Panels):
+    mean = lambda without, name: risk.scores(p.targets, without=without).groupBy("class_name").agg(R(F.avg("mid")).alias(name))
+    return mean(None, "all_parts").join(mean(0, "without_scale"), "class_name").join(mean(3, "without_line"), "class_name")
+
+
+@query("dx_interaction_cells", "SELECT tax_band = 'high' AS a, discount_band = 'high' AS b, count(DISTINCT sample_id) AS samples, count(*) AS decisions, sum(1 - correct)::BIGINT AS errors FROM facts JOIN targets USING (sample_id) WHERE tax_band <> 'unknown' GROUP BY ALL")
+def dx_interaction_cells(p: Panels):
+    per = p.facts.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum(1 - F.col("correct")).alias("e"))
+    j = p.targets.where("tax_band <> 'unknown'").select("sample_id", (F.col("tax_band") == "high").alias("a"), (F.col("discount_band") == "high").alias("b")).join(per, "sample_id")
+    return j.groupBy("a", "b").agg(F.count("*").alias("samples"), F.sum("n").alias("decisions"), F.sum("e").alias("errors"))
+
+
+@query("dx_gap_vs_random", ORDER_SQL + ", d AS (SELECT avg(correct) AS y FROM facts SEMI JOIN (SELECT sample_id FROM targets QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY l_quantity, sample_id) <= 100) c ON c.sample_id = facts.sample_id), r AS (SELECT s, avg(correct) AS y FROM facts JOIN (SELECT s, sample_id FROM targets CROSS JOIN range(1, 20) AS g(s) QUALIFY row_number() OVER (PARTITION BY s, class_name ORDER BY sha256(concat_ws(':', s::VARCHAR, sample_id))) <= 100) q USING (sample_id) GROUP BY s) SELECT round(max(d.y) - avg(r.y), 6) AS delta, round(avg((r.y < d.y)::INT), 6) AS below, round((1 + count(*) FILTER (WHERE r.y <= d.y)) / (count(*) + 1), 6) AS p FROM r CROSS JOIN d")
+def dx_gap_vs_random(p: Panels):
+    t = p.targets.select("sample_id", "class_name", "l_quantity")
+    directed = t.withColumn("r", F.row_number().over(Window.partitionBy("class_name").orderBy("l_quantity", "sample_id"))).where("r <= 100").select("sample_id", F.lit(0).alias("s"))
+    draws = Rk.hash_order(t.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(19)))), ["s", "class_name"], F.col("s").cast("string"), F.col("sample_id")).where("rank <= 100").select("sample_id", "s")
+    per = p.facts.groupBy("sample_id").agg(F.sum("correct").alias("k"), F.count("*").alias("n"))
+    y = directed.unionByName(draws).join(per, "sample_id").groupBy("s").agg((F.sum("k") / F.sum("n")).alias("y"))
+    y = y.crossJoin(F.broadcast(y.where("s = 0").select(F.col("y").alias("d")))).where("s > 0")  # one row
+    return y.agg(R(F.max("d") - F.avg("y")).alias("delta"), R(F.avg((F.col("y") < F.col("d")).cast("int"))).alias("below"), R((1 + F.count_if(F.col("y") <= F.col("d"))) / (F.count("*") + 1)).alias("p"))
+
+
+@query("dx_challenge_suite", ORDER_SQL + ", m AS (SELECT o.class_name, o.sample_id, v.s AS suite, row_number() OVER (PARTITION BY o.class_name, v.s ORDER BY rank) AS r FROM ord o JOIN targets t USING (sample_id) JOIN (VALUES ('small'), ('deep')) AS v(s) ON (v.s = 'small' AND t.scale IN ('tiny', 'small')) OR (v.s = 'deep' AND t.discount_band = 'high')) SELECT suite, class_name, count(*) AS n, round(avg(correct), 6) AS recall FROM m JOIN facts USING (sample_id, class_name) WHERE r <= 30 GROUP BY ALL")
+def dx_challenge_suite(p: Panels):
+    from quadrat.functions.scalar import slices
+
+    suites = slices({"small": F.col("scale").isin("tiny", "small"), "deep": F.col("discount_band") == "high"})
+    m = order(p).join(p.targets.select("sample_id", F.explode(suites).alias("suite")), "sample_id")
+    m = m.withColumn("r", F.row_number().over(Window.partitionBy("class_name", "suite").orderBy("rank"))).where("r <= 30")
+    j = p.facts.select("sample_id", "correct").join(F.broadcast(m.select("sample_id", "suite", "class_name")), "sample_id")  # 30 a class and suite
+    return j.groupBy("suite", "class_name").agg(F.count("*").alias("n"), R(F.avg("correct")).alias("recall"))
+
+
+@query("dx_failed_state_universe", "SELECT model, count(*) AS supported, count(*) FILTER (WHERE k < n) AS failed FROM (SELECT model, s.class_name, field, value, count(*) AS n, sum(correct) AS k FROM states s JOIN facts f ON f.sample_id = s.sample_id GROUP BY ALL) WHERE n >= 15 GROUP BY model")
+def dx_failed_state_universe(p: Panels):
+    r = M.state_recall(p.facts, p.states, ["model"]).where("n >= 15")
+    return r.groupBy("model").agg(F.count("*").alias("supported"), F.count_if(F.col("n_correct") < F.col("n")).alias("failed"))
+
+
+@query("dx_factorial", "q AS (SELECT model, avg(correct) FILTER (WHERE linestatus = 'F' AND split = 'B') AS aa, avg(correct) FILTER (WHERE linestatus = 'F' AND split = 'D') AS ab, avg(correct) FILTER (WHERE linestatus = 'O' AND split = 'B') AS ba, avg(correct) FILTER (WHERE linestatus = 'O' AND split = 'D') AS bb FROM facts JOIN targets USING (sample_id) GROUP BY model) SELECT model, round((ba + bb - aa - ab) / 2, 6) AS main_line, round((ab + bb - aa - ba) / 2, 6) AS main_split, round(bb - ba - ab + aa, 6) AS interaction, sign(round(ba - aa, 9)) <> sign(round(bb - ab, 9)) AS reversed FROM q")
+def dx_factorial(p: Panels):
+    j = p.facts.select("sample_id", "model", "correct").join(p.targets.select("sample_id", F.concat("linestatus", "split").alias("cell")), "sample_id")
+    y = j.groupBy("model").pivot("cell", ["FB", "FD", "OB", "OD"]).agg(F.avg("correct"))
+    aa, ab, ba, bb = (F.col(c) for c in ("FB", "FD", "OB", "OD"))
+    return y.select("model", R((ba + bb - aa - ab) / 2).alias("main_line"), R((ab + bb - aa - ba) / 2).alias("main_split"), R(bb - ba - ab + aa).alias("interaction"), (F.signum(F.round(ba - aa, 9)) != F.signum(F.round(bb - ab, 9))).alias("reversed"))
+
+
+@query("dx_full_label_panel", "g AS (SELECT group_id, sample_id, l_quantity / 50 AS s FROM targets QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY sample_id) = 1), b AS (SELECT CASE WHEN s < 0.5 THEN 'low' ELSE 'high' END AS band, 1 - correct AS e FROM g JOIN facts USING (sample_id) WHERE model = 1 AND seed = 1) SELECT band, count(*) AS n, sum(e)::BIGINT AS errors, round(avg(e), 6) AS rate FROM b GROUP BY band")
+def dx_full_label_panel(p: Panels):
+    first = p.targets.groupBy("group_id").agg(F.min("sample_id").alias("sample_id"), F.min_by("l_quantity", "sample_id").alias("q"))
+    b = first.join(p.facts.where("model = 1 and seed = 1").select("sample_id", (1 - F.col("correct")).alias("e")), "sample_id")
+    return b.groupBy(F.when(F.col("q") / 50 < 0.5, "low").otherwise("high").alias("band")).agg(F.count("*").alias("n"), F.sum("e").alias("errors"), R(F.avg("e")).alias("rate"))
+
+
+@query("dx_panel_stability", "s AS (SELECT sample_id, sum(1 - correct) AS e, count(*) AS n, sum(1 - correct) FILTER (WHERE model = 1) AS e1, count(*) FILTER (WHERE model = 1) AS n1 FROM facts GROUP BY sample_id), v AS (SELECT sample_id, e / n AS x, (e - e1) / (n - n1) AS y FROM s), k AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM v) SELECT round(corr(rx, ry), 6) AS rank_correlation, round(avg(abs(rx - ry)), 4) AS mean_shift, max(abs(rx - ry)) AS max_shift, count(*) FILTER (WHERE abs(x - y) > 1e-9) AS changed FROM k")
+def dx_panel_stability(p: Panels):
+    one = F.col("model") == 1
+    s = p.facts.groupBy("sample_id").agg(F.sum(1 - F.col("correct")).alias("e"), F.count("*").alias("n"), F.sum(F.when(one, 1 - F.col("correct"))).alias("e1"), F.count_if(one).alias("n1"))
+    v = s.select("sample_id", (F.col("e") / F.col("n")).alias("x"), ((F.col("e") - F.col("e1")) / (F.col("n") - F.col("n1"))).alias("y"), F.lit(1).alias("g"))
+    k = Rk.average_rank(Rk.average_rank(v, "x", ["g"], "rx"), "y", ["g"], "ry")
+    shift = F.abs(F.col("rx") - F.col("ry"))
+    return k.agg(R(F.corr("rx", "ry")).alias("rank_correlation"), F.round(F.avg(shift), 4).alias("mean_shift"), F.max(shift).alias("max_shift"), F.count_if(F.abs(F.col("x") - F.col("y")) > 1e-9).alias("changed"))

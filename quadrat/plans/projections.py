@@ -9,7 +9,10 @@ from quadrat.operators import risk, states
 from quadrat.plans.panels import Panels, query
 
 R = lambda c: F.round(c, 6)
-BOX = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+
+
+def box():
+    return [F.col(c) for c in ("x0", "y0", "x1", "y1")]
 
 
 @query("prj_scale_state", "SELECT sample_id, scale FROM targets")
@@ -26,7 +29,7 @@ def prj_box_geometry(p: Panels):
     b = p.boxes.join(p.targets.select("sample_id", F.array("linestatus", "discount_band", "tax_band", "ship_year").alias("f")), "sample_id")
     unknown = F.size(F.filter("f", lambda x: x == "unknown"))
     out = (F.col("x1") > 1) | (F.col("y1") > 1) | (F.col("x0") <= 0) | (F.col("y0") <= 0)
-    return b.select("sample_id", R(S.box_area(*BOX)).alias("area"), R((F.col("x0") + F.col("x1")) / 2).alias("cx"), R((F.col("y0") + F.col("y1")) / 2).alias("cy"), out.alias("truncated"), unknown.alias("n_unknown"))
+    return b.select("sample_id", R(S.box_area(*box())).alias("area"), R((F.col("x0") + F.col("x1")) / 2).alias("cx"), R((F.col("y0") + F.col("y1")) / 2).alias("cy"), out.alias("truncated"), unknown.alias("n_unknown"))
 
 
 @query(
@@ -48,7 +51,7 @@ def prj_box_iou(p: Panels):
        round(least(1, x1 + (x1 - x0) * 0.05), 6) AS px1, round(least(1, y1 + (y1 - y0) * 0.05), 6) AS py1 FROM boxes""",
 )
 def prj_pad_box(p: Panels):
-    return p.boxes.select("sample_id", *[R(c).alias(f"p{n}") for c, n in zip(S.pad_box(BOX, F.lit(1.0), F.lit(1.0)), ("x0", "y0", "x1", "y1"), strict=True)])
+    return p.boxes.select("sample_id", *[R(c).alias(f"p{n}") for c, n in zip(S.pad_box(box(), F.lit(1.0), F.lit(1.0)), ("x0", "y0", "x1", "y1"), strict=True)])
 
 
 @query(
@@ -148,24 +151,27 @@ def fn_jaccard(p: Panels):
     return j.select("sample_id", R(S.jaccard(F.array("t.linestatus", "t.discount_band"), F.array("s.linestatus", "s.discount_band"))).alias("jaccard"))
 
 
-LOGITS = F.array(F.col("l_quantity") / 10, F.col("l_linenumber").cast("double"), (F.col("l_partkey") % 7).cast("double"))
+def logits():
+    return F.array(F.col("l_quantity") / 10, F.col("l_linenumber").cast("double"), (F.col("l_partkey") % 7).cast("double"))
+
+
 LOGIT_SQL = "l AS (SELECT sample_id, label, [l_quantity / 10, l_linenumber::DOUBLE, (l_partkey % 7)::DOUBLE] AS g FROM targets), e AS (SELECT sample_id, label, g, list_transform(g, lambda x: exp((x - list_max(g)) / 2)) AS e FROM l), pr AS (SELECT sample_id, label, g, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)"
 
 
 @query("fn_softmax_temperature", LOGIT_SQL + " SELECT sample_id, round(p[1], 6) AS p0, round(p[2], 6) AS p1, round(p[3], 6) AS p2 FROM pr")
 def fn_softmax_temperature(p: Panels):
-    s = p.targets.select("sample_id", S.softmax(LOGITS, 2.0).alias("p"))
+    s = p.targets.select("sample_id", S.softmax(logits(), 2.0).alias("p"))
     return s.select("sample_id", *[R(F.col("p")[i]).alias(f"p{i}") for i in range(3)])
 
 
 @query("fn_argmax", LOGIT_SQL + " SELECT sample_id, list_position(g, list_max(g)) - 1 AS best FROM pr")
 def fn_argmax(p: Panels):
-    return p.targets.select("sample_id", S.argmax(LOGITS).alias("best"))
+    return p.targets.select("sample_id", S.argmax(logits()).alias("best"))
 
 
 @query("fn_deepgini", LOGIT_SQL + " SELECT sample_id, round(1 - list_sum(list_transform(p, lambda x: x * x)), 6) AS gini FROM pr")
 def fn_deepgini(p: Panels):
-    return p.targets.select("sample_id", R(S.deepgini(S.softmax(LOGITS, 2.0))).alias("gini"))
+    return p.targets.select("sample_id", R(S.deepgini(S.softmax(logits(), 2.0))).alias("gini"))
 
 
 @query("fn_risk_map", "SELECT sample_id, CASE tax_band WHEN 'low' THEN 0.25 WHEN 'high' THEN 1.0 END AS points FROM targets")
@@ -214,7 +220,7 @@ def fn_panel_score_a(p: Panels):
 @query("fn_panel_score_b", LOGIT_SQL + ", m AS (SELECT sample_id, label, g, mo FROM pr CROSS JOIN range(1, 5) AS r(mo)), n AS (SELECT sample_id, list_transform(g, lambda x: exp((x - list_max(g)) / mo)) AS e, label FROM m) SELECT sample_id, round(1 - avg(e[label + 1] / list_sum(e)), 6) AS score FROM n GROUP BY sample_id")
 def fn_panel_score_b(p: Panels):
     temperatures = p.spark.range(1, 5).select(F.col("id").alias("model"), F.col("id").cast("double").alias("temperature"))
-    t = p.targets.select("sample_id", "label", LOGITS.alias("logits")).withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    t = p.targets.select("sample_id", "label", logits().alias("logits")).withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(4))))
     t = t.join(F.broadcast(temperatures), "model")  # one row for each model of the panel
     t = t.withColumn("p", S.softmax(F.col("logits"), F.col("temperature")))
     return t.groupBy("sample_id").agg(R(1 - F.avg(F.expr("p[label]"))).alias("score"))

@@ -1 +1,179 @@
-"""Queries."""
+"""Quotas, stratified and controlled draws over the panels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from quadrat.operators import ranking as Rk
+from quadrat.operators import sampling as Sm
+from quadrat.plans.aggregates import LEDGER_SQL
+from quadrat.plans.panels import Panels, query
+from quadrat.plans.projections import R
+from quadrat.plans.windows import TIER_SQL, tiers
+from quadrat.operators import metrics as M
+
+QUOTA_SQL = "c AS (SELECT class_name, scale, count(*) AS n FROM targets GROUP BY ALL), q0 AS (SELECT *, 200 * n // sum(n) OVER w AS q, 200 * n % sum(n) OVER w AS r FROM c WINDOW w AS (PARTITION BY class_name)), quotas AS (SELECT class_name, scale, (q + (row_number() OVER (PARTITION BY class_name ORDER BY r DESC, scale) <= 200 - sum(q) OVER (PARTITION BY class_name))::INT)::BIGINT AS quota FROM q0)"
+
+
+def scale_quotas(p: Panels):
+    c = p.targets.groupBy("class_name", "scale").agg(F.count("*").alias("n"))
+    return Sm.largest_remainder(c, ["class_name"], "n", F.lit(200), ["scale"])
+
+
+@query("smp_largest_remainder", QUOTA_SQL + " SELECT * FROM quotas")
+def smp_largest_remainder(p: Panels):
+    return scale_quotas(p).select("class_name", "scale", "quota")
+
+
+CELL_SQL = TIER_SQL + ", cl AS (SELECT t.class_name, tier, scale, count(*) AS n FROM tiers JOIN targets t USING (sample_id) GROUP BY ALL), cq AS (SELECT *, 40 * n // sum(n) OVER w AS q, 40 * n % sum(n) OVER w AS r FROM cl WINDOW w AS (PARTITION BY class_name, tier)), cellq AS (SELECT class_name, tier, scale, (q + (row_number() OVER (PARTITION BY class_name, tier ORDER BY r DESC, scale) <= 40 - sum(q) OVER (PARTITION BY class_name, tier))::INT)::BIGINT AS quota FROM cq)"
+
+
+def celled(p: Panels):
+    return tiers(p).select("sample_id", "class_name", "tier").join(p.targets.select("sample_id", "scale"), "sample_id")
+
+
+def cell_quotas(p: Panels):
+    c = celled(p).groupBy("class_name", "tier", "scale").agg(F.count("*").alias("n"))
+    return Sm.largest_remainder(c, ["class_name", "tier"], "n", F.lit(40), ["scale"]).select("class_name", "tier", "scale", "quota")
+
+
+@query("smp_cell_quotas", CELL_SQL + " SELECT * FROM cellq")
+def smp_cell_quotas(p: Panels):
+    return cell_quotas(p)
+
+
+@query("smp_tier_allocation", "w AS (SELECT t AS tier, t AS k FROM range(1, 6) AS g(t)), q AS (SELECT tier, 200 * k // 15 AS q, 200 * k % 15 AS r FROM w), n AS (SELECT DISTINCT class_name FROM targets) SELECT class_name, tier::INT AS tier, 40::BIGINT AS equal, (q + (row_number() OVER (PARTITION BY class_name ORDER BY r DESC, tier) <= 200 - sum(q) OVER (PARTITION BY class_name))::INT)::BIGINT AS risk_weighted FROM q CROSS JOIN n")
+def smp_tier_allocation(p: Panels):
+    c = p.targets.select("class_name").distinct().withColumn("tier", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("one", F.lit(1))
+    equal = Sm.largest_remainder(c, ["class_name"], "one", F.lit(200), ["tier"]).withColumnRenamed("quota", "equal")
+    return Sm.largest_remainder(equal, ["class_name"], "tier", F.lit(200), ["tier"]).select("class_name", "tier", "equal", F.col("quota").alias("risk_weighted"))
+
+
+@query("smp_stratified_random", QUOTA_SQL + " SELECT s AS repeat, sample_id, class_name, scale FROM (SELECT s, sample_id, class_name, scale, row_number() OVER (PARTITION BY s, class_name, scale ORDER BY sha256(concat_ws(':', '11', s::VARCHAR, sample_id))) AS r FROM targets CROSS JOIN range(1, 4) AS g(s)) JOIN quotas USING (class_name, scale) WHERE r <= quota")
+def smp_stratified_random(p: Panels):
+    t = p.targets.select("sample_id", "class_name", "scale").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    r = Rk.hash_order(t, ["repeat", "class_name", "scale"], F.lit("11"), F.col("repeat").cast("string"), F.col("sample_id"), name="_n")
+    q = scale_quotas(p).select("class_name", "scale", "quota")
+    return r.join(F.broadcast(q), ["class_name", "scale"]).where("_n <= quota").select("repeat", "sample_id", "class_name", "scale")  # cells are few
+
+
+@query("smp_random_orders", "SELECT s AS repeat, class_name, sample_id, rank FROM (SELECT s, class_name, sample_id, row_number() OVER (PARTITION BY s, class_name ORDER BY sha256(concat_ws(':', s::VARCHAR, sample_id))) AS rank FROM targets CROSS JOIN range(1, 4) AS g(s)) WHERE rank <= 100")
+def smp_random_orders(p: Panels):
+    t = p.targets.select("sample_id", "class_name").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return Rk.hash_order(t, ["repeat", "class_name"], F.col("repeat").cast("string"), F.col("sample_id")).where("rank <= 100").select("repeat", "class_name", "sample_id", "rank")
+
+
+@query("smp_review_sample", "SELECT class_name, sample_id FROM targets QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY sha256(concat_ws(':', '2024', sample_id))) <= 25")
+def smp_review_sample(p: Panels):
+    return Rk.hash_order(p.targets.select("class_name", "sample_id"), ["class_name"], F.lit("2024"), F.col("sample_id")).where("rank <= 25").select("class_name", "sample_id")
+
+
+@query("smp_review_queue", LEDGER_SQL + ", pk AS (SELECT sample_id FROM targets QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY sha256(concat_ws(':', '2024', sample_id))) <= 25), q AS (SELECT t.sample_id, list_filter([CASE WHEN pk.sample_id IS NOT NULL THEN 'sample' END, CASE WHEN stability = 'shared' THEN 'shared_error' END, CASE WHEN error_runs BETWEEN 1 AND 2 THEN 'disagreement' END, CASE WHEN tax_band = 'unknown' THEN 'missing' END], lambda x: x IS NOT NULL) AS r FROM targets t JOIN ledger USING (sample_id) LEFT JOIN pk ON pk.sample_id = t.sample_id) SELECT sample_id, array_to_string(r, ',') AS reasons FROM q WHERE len(r) > 0")
+def smp_review_queue(p: Panels):
+    from quadrat.functions.scalar import slices
+
+    pick = Rk.hash_order(p.targets.select("class_name", "sample_id"), ["class_name"], F.lit("2024"), F.col("sample_id")).where("rank <= 25").select("sample_id", F.lit(True).alias("picked"))
+    t = p.targets.select("sample_id", "tax_band").join(M.error_ledger(p.facts, 3).select("sample_id", "stability", "error_runs"), "sample_id").join(F.broadcast(pick), "sample_id", "left")  # 25 a class
+    r = slices({"sample": F.coalesce("picked", F.lit(False)), "shared_error": F.col("stability") == "shared", "disagreement": F.col("error_runs").between(1, 2), "missing": F.col("tax_band") == "unknown"})
+    return t.select("sample_id", r.alias("r")).where("size(r) > 0").select("sample_id", F.array_join("r", ",").alias("reasons"))
+
+
+@query("smp_staged_take", "a AS (SELECT sample_id, class_name, 'tiny' AS stage FROM targets WHERE scale = 'tiny' QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY sha256(concat_ws(':', 'tiny', sample_id))) <= 30), b AS (SELECT sample_id, class_name, 'deep' AS stage FROM targets ANTI JOIN a USING (sample_id) WHERE discount_band = 'high' QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY sha256(concat_ws(':', 'deep', sample_id))) <= 30), c AS (SELECT sample_id, class_name, 'rest' AS stage FROM targets WHERE sample_id NOT IN (SELECT sample_id FROM a UNION ALL SELECT sample_id FROM b) QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY sha256(concat_ws(':', 'rest', sample_id))) <= 40) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c")
+def smp_staged_take(p: Panels):
+    t = p.targets.select("sample_id", "class_name", "scale", "discount_band")
+    stages = [("tiny", F.col("scale") == "tiny", 30), ("deep", F.col("discount_band") == "high", 30), ("rest", F.lit(True), 40)]
+    return Sm.staged(t, "sample_id", stages, ["class_name"], F.col("sample_id")).select("sample_id", "class_name", "stage")
+
+
+@query("smp_round_robin", "r AS (SELECT sample_id, class_name, scale, row_number() OVER (PARTITION BY class_name, scale ORDER BY sha256(concat_ws(':', '5', sample_id))) AS turn FROM targets) SELECT sample_id, class_name, scale FROM r QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY turn, scale) <= 60")
+def smp_round_robin(p: Panels):
+    return Sm.round_robin(p.targets.select("sample_id", "class_name", "scale"), ["class_name"], "scale", 60, F.lit("5"), F.col("sample_id"))
+
+
+@query("smp_scarce_first", "a AS (SELECT group_id, min(sample_id) AS sample_id FROM targets WHERE class_name = 'A' GROUP BY group_id), r AS (SELECT group_id, min(sample_id) AS sample_id FROM targets WHERE class_name = 'R' AND group_id NOT IN (SELECT group_id FROM a) GROUP BY group_id), n AS (SELECT group_id, min(sample_id) AS sample_id FROM targets WHERE class_name = 'N' AND group_id NOT IN (SELECT group_id FROM a UNION ALL SELECT group_id FROM r) GROUP BY group_id) SELECT 'A' AS class_name, * FROM a UNION ALL SELECT 'R', * FROM r UNION ALL SELECT 'N', * FROM n")
+def smp_scarce_first(p: Panels):
+    claimed = None
+    for name in ("A", "R", "N"):  # the classes by scarcity; a few
+        pool = p.targets.where(F.col("class_name") == name)
+        if claimed is not None:
+            pool = pool.join(claimed.select("group_id"), "group_id", "left_anti")
+        got = pool.groupBy("group_id").agg(F.min("sample_id").alias("sample_id")).select(F.lit(name).alias("class_name"), "group_id", "sample_id")
+        claimed = got if claimed is None else claimed.unionByName(got)
+    return claimed
+
+
+@query("smp_prefix_until", "g AS (SELECT l_partkey % 50 AS package, class_name, count(*) AS n FROM targets GROUP BY ALL), o AS (SELECT package, row_number() OVER (ORDER BY sha256(package::VARCHAR)) AS rank FROM (SELECT DISTINCT package FROM g)), c AS (SELECT class_name, rank, sum(n) OVER (PARTITION BY class_name ORDER BY rank) AS have FROM g JOIN o USING (package)), f AS (SELECT class_name, min(rank) AS r FROM c WHERE have >= 200 GROUP BY class_name) SELECT max(r) AS packages FROM f")
+def smp_prefix_until(p: Panels):
+    g = p.targets.groupBy((F.col("l_partkey") % 50).alias("package"), "class_name").agg(F.count("*").alias("n"))
+    o = g.select("package").distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.sha2(F.col("package").cast("string"), 256))))  # 50 packages
+    c = g.join(o, "package").withColumn("have", F.sum("n").over(Window.partitionBy("class_name").orderBy("rank")))
+    return c.where("have >= 200").groupBy("class_name").agg(F.min("rank").alias("at")).agg(F.max("at").alias("packages"))
+
+
+@query("smp_controlled_mixture", "d AS (SELECT sample_id, class_name, scale IN ('tiny', 'small') AS high, row_number() OVER (PARTITION BY class_name, scale IN ('tiny', 'small') ORDER BY sha256(concat_ws(':', '4', sample_id))) AS r FROM targets), m AS (SELECT d.*, s FROM d CROSS JOIN range(0, 101, 20) AS g(s) WHERE CASE WHEN high THEN r <= s * 30 // 100 ELSE r <= 30 - s * 30 // 100 END) SELECT s AS share, model, round(avg(correct), 6) AS accuracy FROM m JOIN facts USING (sample_id, class_name) GROUP BY ALL")
+def smp_controlled_mixture(p: Panels):
+    t = p.targets.select("sample_id", "class_name", F.col("scale").isin("tiny", "small").alias("high"))
+    d = Rk.hash_order(t, ["class_name", "high"], F.lit("4"), F.col("sample_id"), name="r").where("r <= 30").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(20))))
+    m = d.where(F.expr("r <= if(high, share * 30 div 100, 30 - share * 30 div 100)"))
+    j = p.facts.select("sample_id", "model", "correct").join(F.broadcast(m.select("sample_id", "share")), "sample_id")  # 30 a class and stratum
+    return j.groupBy("share", "model").agg(R(F.avg("correct")).alias("accuracy"))
+
+
+@query("smp_random_strata", "d AS (SELECT s, sample_id, ntile(5) OVER (PARTITION BY s, class_name ORDER BY sha256(concat_ws(':', s::VARCHAR, sample_id))) AS tier FROM targets CROSS JOIN range(1, 11) AS g(s)), e AS (SELECT sample_id, avg(correct) AS y FROM facts GROUP BY sample_id), t AS (SELECT s, avg(y) FILTER (WHERE tier = 5) - avg(y) FILTER (WHERE tier = 1) AS d FROM d JOIN e USING (sample_id) GROUP BY s) SELECT round(min(d), 6) AS low, round(max(d), 6) AS high, round((1 + count(*) FILTER (WHERE abs(d) >= 0.01)) / 11, 6) AS p FROM t")
+def smp_random_strata(p: Panels):
+    t = p.targets.select("sample_id", "class_name").withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    tier = F.ntile(5).over(Window.partitionBy("s", "class_name").orderBy(F.sha2(F.concat_ws(":", F.col("s").cast("string"), "sample_id"), 256)))
+    e = p.facts.groupBy("sample_id").agg(F.avg("correct").alias("y"))
+    d = t.withColumn("tier", tier).join(e, "sample_id").groupBy("s").agg((F.avg(F.when(F.col("tier") == 5, F.col("y"))) - F.avg(F.when(F.col("tier") == 1, F.col("y")))).alias("d"))
+    return d.agg(R(F.min("d")).alias("low"), R(F.max("d")).alias("high"), R((1 + F.count_if(F.abs("d") >= 0.01)) / 11).alias("p"))
+
+
+MATCH_SQL = "ms AS (SELECT m AS method, f.sample_id, f.class_name, scale, correct, row_number() OVER (PARTITION BY m, f.class_name ORDER BY sha256(concat_ws(':', m::VARCHAR, f.sample_id))) AS pick FROM facts f JOIN targets USING (sample_id) CROSS JOIN range(1, 4) AS g(m) WHERE model = 1 AND seed = 1), mk AS (SELECT * FROM ms WHERE pick <= 300)"
+
+
+def methods(p: Panels):
+    f = p.facts.where("model = 1 and seed = 1").select("sample_id", "class_name", "correct").join(p.targets.select("sample_id", "scale"), "sample_id").withColumn("method", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return Rk.hash_order(f, ["method", "class_name"], F.col("method").cast("string"), F.col("sample_id"), name="pick").where("pick <= 300")
+
+
+def matched_sql(cell: str) -> str:
+    return MATCH_SQL + f", n AS (SELECT method, {cell}, count(*) AS n FROM mk GROUP BY ALL), l AS (SELECT {cell}, CASE WHEN count(*) = 3 THEN min(n) ELSE 0 END AS q FROM n GROUP BY ALL), r AS (SELECT mk.*, row_number() OVER (PARTITION BY method, {cell} ORDER BY pick) AS r FROM mk) SELECT method, sample_id FROM r JOIN l USING ({cell}) WHERE r <= q"
+
+
+@query("smp_outcome_matched", matched_sql("class_name, scale, correct"))
+def smp_outcome_matched(p: Panels):
+    return Sm.matched(methods(p), "method", ["class_name", "scale", "correct"], "pick").select("method", "sample_id")
+
+
+@query("smp_size_matched", matched_sql("class_name, scale"))
+def smp_size_matched(p: Panels):
+    return Sm.matched(methods(p), "method", ["class_name", "scale"], "pick").select("method", "sample_id")
+
+
+@query("smp_exact_cell_pairs", "c AS (SELECT sample_id, class_name, scale, linestatus, discount_band = 'high' AS case_ FROM targets), r AS (SELECT *, row_number() OVER (PARTITION BY class_name, scale, linestatus, case_ ORDER BY sha256(concat_ws(':', '9', sample_id))) AS r FROM c), j AS (SELECT a.class_name, a.sample_id AS case_id, b.sample_id AS reference_id FROM r a JOIN r b ON a.class_name = b.class_name AND a.scale = b.scale AND a.linestatus = b.linestatus AND a.r = b.r WHERE a.case_ AND NOT b.case_) SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY sha256(concat_ws(':', case_id, reference_id))) <= 30")
+def smp_exact_cell_pairs(p: Panels):
+    c = p.targets.select("sample_id", "class_name", "scale", "linestatus", (F.col("discount_band") == "high").alias("case"))
+    cell = ["class_name", "scale", "linestatus"]
+    r = Rk.hash_order(c, [*cell, "case"], F.lit("9"), F.col("sample_id"), name="r")
+    j = r.where("case").select(*cell, "r", F.col("sample_id").alias("case_id")).join(r.where("not case").select(*cell, "r", F.col("sample_id").alias("reference_id")), [*cell, "r"])
+    return Rk.hash_order(j, ["class_name"], "case_id", "reference_id").where("rank <= 30").select("class_name", "case_id", "reference_id")
+
+
+@query("smp_missingness", "h AS (SELECT s.* FROM states s WHERE NOT (('0x' || substr(sha256(concat_ws(':', '6', sample_id, field)), 1, 7))::BIGINT % 10 = 0)) SELECT class_name, field, value, count(*) AS n FROM h GROUP BY ALL")
+def smp_missingness(p: Panels):
+    draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit("6"), "sample_id", "field"), 256), 1, 7), 16, 10).cast("long") % 10
+    return p.states.where(~(draw == 0)).groupBy("class_name", "field", "value").agg(F.count("*").alias("n"))
+
+
+@query("smp_label_noise", None)
+def smp_label_noise(p: Panels):
+    """One value in twenty becomes another legal value of its field; unknown values stay."""
+    from quadrat.operators.states import dictionary
+
+    legal = dictionary(p.states).groupBy("class_name", "field").agg(F.array_sort(F.collect_list("value")).alias("legal"))
+    j = p.fields.join(F.broadcast(legal), ["class_name", "field"])  # a row for each field
+    draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit("8"), "sample_id", "field"), 256), 1, 12), 16, 10).cast("long")
+    others = F.filter("legal", lambda v: v != F.col("value"))
+    new = F.when((F.col("value") != "unknown") & (draw % 20 == 0) & (F.size(others) > 0), F.get(others, ((draw / 20).cast("long") % F.size(others)).cast("int"))).otherwise(F.col("value"))
+    return j.select("class_name", "sample_id", "field", new.alias("value"), (new != F.col("value")).alias("changed"))

@@ -1 +1,158 @@
-"""Queries."""
+"""Statistics over the panels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from quadrat.operators import ranking as Rk
+from quadrat.operators import stats as T
+from quadrat.plans.panels import Panels, query
+from quadrat.plans.projections import LOGIT_SQL, R, logits
+from quadrat.functions import scalar as S
+
+ERR_SQL = "er AS (SELECT sample_id, class_name, avg(1 - correct) AS e FROM facts GROUP BY ALL)"
+
+
+def error_share(p: Panels):
+    return p.facts.groupBy("sample_id", "class_name").agg(F.avg(1 - F.col("correct")).alias("e"))
+
+
+@query("st_spearman", ERR_SQL + ", j AS (SELECT er.class_name, round(e, 9) AS x, l_quantity AS y FROM er JOIN targets USING (sample_id)), k AS (SELECT class_name, rank() OVER (PARTITION BY class_name ORDER BY x) + (count(*) OVER (PARTITION BY class_name, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY class_name ORDER BY y) + (count(*) OVER (PARTITION BY class_name, y) - 1) / 2 AS ry FROM j) SELECT class_name, round(corr(rx, ry), 6) AS rho FROM k GROUP BY class_name")
+def st_spearman(p: Panels):
+    j = error_share(p).select("sample_id", "class_name", F.round("e", 9).alias("x")).join(p.targets.select("sample_id", F.col("l_quantity").alias("y")), "sample_id")
+    return T.spearman(j, "x", "y", ["class_name"]).withColumn("rho", R("rho"))
+
+
+@query("st_kendall", "c AS (SELECT label AS x, l_linenumber AS y, count(*) AS n FROM targets GROUP BY ALL), s AS (SELECT sum(CASE WHEN a.y < b.y THEN a.n * b.n ELSE 0 END)::DOUBLE AS c, sum(CASE WHEN a.y > b.y THEN a.n * b.n ELSE 0 END)::DOUBLE AS d FROM c a JOIN c b ON a.x < b.x), tx AS (SELECT sum(k * (k - 1) / 2) AS tx FROM (SELECT sum(n) AS k FROM c GROUP BY x)), ty AS (SELECT sum(k * (k - 1) / 2) AS ty FROM (SELECT sum(n) AS k FROM c GROUP BY y)), t AS (SELECT sum(n)::DOUBLE AS t FROM c) SELECT round((c - d) / sqrt((t * (t - 1) / 2 - tx) * (t * (t - 1) / 2 - ty)), 6) AS tau FROM s, tx, ty, t")
+def st_kendall(p: Panels):
+    c = p.targets.groupBy("label", "l_linenumber").agg(F.count("*").alias("n"))
+    return T.kendall(c, "label", "l_linenumber").withColumn("tau", R("tau"))
+
+
+@query("st_error_auc", "j AS (SELECT model, round(1 - area_ratio, 9) AS s, 1 - correct AS e FROM facts JOIN targets USING (sample_id) WHERE seed = 1), k AS (SELECT model, e, rank() OVER (PARTITION BY model ORDER BY s) + (count(*) OVER (PARTITION BY model, s) - 1) / 2 AS r FROM j) SELECT model, round((sum(r * e) - sum(e) * (sum(e) + 1) / 2) / (sum(e) * sum(1 - e)), 6) AS auc FROM k GROUP BY model")
+def st_error_auc(p: Panels):
+    j = p.facts.where("seed = 1").select("sample_id", "model", (1 - F.col("correct")).alias("e")).join(p.targets.select("sample_id", F.round(1 - F.col("area_ratio"), 9).alias("s")), "sample_id")
+    return T.error_auc(j, "s", "e", ["model"]).withColumn("auc", R("auc"))
+
+
+@query("st_calibration", LOGIT_SQL + ", c AS (SELECT list_max(p) AS conf, (list_position(p, list_max(p)) - 1 = label)::INT AS ok, p[label + 1] AS pt, list_sum(list_transform(p, lambda x: x * x)) - 2 * p[label + 1] + 1 AS b FROM pr), d AS (SELECT least(floor(conf * 10 + 1e-9), 9)::INT AS bin, count(*) AS n, avg(conf) AS conf, avg(ok) AS acc, sum(-ln(pt)) AS nll, sum(b) AS brier FROM c GROUP BY ALL) SELECT round(sum(nll) / sum(n), 6) AS nll, round(sum(brier) / sum(n), 6) AS brier, round(sum(n * abs(conf - acc)) / sum(n), 6) AS ece FROM d")
+def st_calibration(p: Panels):
+    c = p.targets.select("label", S.softmax(logits(), 2.0).alias("p"))
+    conf, pt = F.array_max("p"), F.get("p", F.col("label"))
+    c = c.select(conf.alias("conf"), (S.argmax(F.col("p")) == F.col("label")).cast("int").alias("ok"), (-F.log(pt)).alias("nll"), (F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x) - 2 * pt + 1).alias("brier"))
+    d = c.groupBy(F.least(F.floor(F.col("conf") * 10 + 1e-9), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"), F.avg("conf").alias("conf"), F.avg("ok").alias("acc"), F.sum("nll").alias("nll"), F.sum("brier").alias("brier"))
+    n = F.sum("n")
+    return d.agg(R(F.sum("nll") / n).alias("nll"), R(F.sum("brier") / n).alias("brier"), R(F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / n).alias("ece"))
+
+
+@query("st_temperature_fit", None)
+def st_temperature_fit(p: Panels):
+    """Temperature of the least mean loss: refined grids, one aggregate over all examples each."""
+    e = p.targets.select("label", logits().alias("l")).cache()
+    low, high = -3.0, 3.0
+    for _ in range(4):
+        step = (high - low) / 16
+        grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.lit(low) + i * step))
+        best = e.withColumn("t", grid).withColumn("loss", -F.log(F.get(S.softmax(F.col("l"), F.exp("t")), F.col("label")))).groupBy("t").agg(F.avg("loss").alias("loss")).orderBy("loss", "t").first()
+        low, high = best.t - step, best.t + step
+    e.unpersist()
+    return p.targets.limit(1).select(F.round(F.exp(F.lit((low + high) / 2)), 3).alias("temperature"))
+
+
+@query("st_holm", "m AS (SELECT field, value, count(*) / 1e6 AS p FROM states GROUP BY ALL), r AS (SELECT *, least(1, (count(*) OVER (PARTITION BY field) - row_number() OVER (PARTITION BY field ORDER BY p, value) + 1) * p) AS s FROM m) SELECT field, value, round(max(s) OVER (PARTITION BY field ORDER BY p, value ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM r")
+def st_holm(p: Panels):
+    m = p.states.groupBy("field", "value").agg((F.count("*") / 1e6).alias("p"))
+    return T.holm(m, "p", ["field"], "value").select("field", "value", R("adjusted").alias("adjusted"))
+
+
+@query("st_signflip", "a AS (SELECT class_name, model, avg(correct) - (SELECT avg(correct) FROM facts) AS v FROM facts GROUP BY ALL), l AS (SELECT class_name, list(v ORDER BY v) AS v FROM a GROUP BY class_name), x AS (SELECT class_name, abs(list_sum(v)) AS s0, abs(list_sum(list_transform(v, lambda x, i: CASE WHEN (f >> (i - 1)) % 2 = 1 THEN -x ELSE x END))) AS s FROM l CROSS JOIN range(16) AS g(f)) SELECT class_name, round(avg((s >= s0 - 1e-12)::INT), 6) AS p FROM x GROUP BY class_name")
+def st_signflip(p: Panels):
+    a = p.facts.groupBy("class_name", "model").agg(F.avg("correct").alias("y"))
+    mean = p.facts.agg(F.avg("correct").alias("m"))
+    a = a.crossJoin(F.broadcast(mean)).withColumn("v", F.col("y") - F.col("m"))  # one row
+    return T.sign_flips(a, "v", 4, ["class_name"]).withColumn("p", R("p"))
+
+
+@query("st_rank_biserial", "d AS (SELECT f.sample_id, avg(CASE WHEN model <= 2 THEN correct END) - avg(CASE WHEN model > 2 THEN correct END) AS d FROM facts f GROUP BY sample_id), z AS (SELECT round(d, 9) AS d, abs(round(d, 9)) AS a FROM d WHERE abs(d) > 1e-9), k AS (SELECT d, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS r FROM z) SELECT round(sum(r * sign(d)) / sum(r), 6) AS effect FROM k")
+def st_rank_biserial(p: Panels):
+    half = lambda c: F.avg(F.when(c, F.col("correct")))
+    d = p.facts.groupBy("sample_id").agg(F.round(half(F.col("model") <= 2) - half(F.col("model") > 2), 9).alias("d")).where("abs(d) > 1e-9").withColumn("a", F.abs("d")).withColumn("g", F.lit(1))
+    return Rk.average_rank(d, "a", ["g"], "r").agg(R(F.sum(F.col("r") * F.signum("d")) / F.sum("r")).alias("effect"))
+
+
+@query("st_win_counts", "a AS (SELECT model, seed, avg(correct) FILTER (WHERE split = 'B') - avg(correct) FILTER (WHERE split = 'D') AS d FROM facts JOIN targets USING (sample_id) GROUP BY ALL) SELECT count(*) FILTER (WHERE round(d, 9) > 0) AS wins, count(*) FILTER (WHERE round(d, 9) = 0) AS ties, count(*) FILTER (WHERE round(d, 9) < 0) AS losses FROM a")
+def st_win_counts(p: Panels):
+    j = p.facts.select("sample_id", "model", "seed", "correct").join(p.targets.select("sample_id", "split"), "sample_id")
+    d = j.groupBy("model", "seed").agg(F.round(F.avg(F.when(F.col("split") == "B", F.col("correct"))) - F.avg(F.when(F.col("split") == "D", F.col("correct"))), 9).alias("d"))
+    return d.agg(F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), F.count_if(F.col("d") < 0).alias("losses"))
+
+
+def image_replicates(p: Panels, n: int = 40):
+    """Weighted recall of each model in n replicates: images are weighted, per-image sums come first."""
+    per = p.facts.groupBy("sample_id", "class_name", "model").agg(F.sum("correct").alias("k"), F.count("*").alias("n"))
+    draws = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("w", T.poisson_weight("sample_id", "rep"))
+    return draws.groupBy("rep", "model").agg((F.sum(F.col("w") * F.col("k")) / F.sum(F.col("w") * F.col("n"))).alias("y"))
+
+
+@query("st_image_bootstrap", None)
+def st_image_bootstrap(p: Panels):
+    return image_replicates(p).groupBy("model").agg(R(F.avg("y")).alias("mean"), R(F.percentile("y", 0.025)).alias("low"), R(F.percentile("y", 0.975)).alias("high"))
+
+
+@query("st_contrast_record", None)
+def st_contrast_record(p: Panels):
+    y = image_replicates(p)
+    d = y.where("model = 1").select("rep", F.col("y").alias("a")).join(y.where("model = 4").select("rep", F.col("y").alias("b")), "rep").withColumn("d", F.col("a") - F.col("b"))
+    return d.agg(F.count("d").alias("finite"), R(F.percentile("d", 0.025)).alias("low"), R(F.percentile("d", 0.975)).alias("high"), R(F.avg((F.col("d") < 0.02).cast("int"))).alias("under"))
+
+
+@query("st_paired_bootstrap_models", None)
+def st_paired_bootstrap_models(p: Panels):
+    y = image_replicates(p)
+    a, b = y.select("rep", F.col("model").alias("a"), F.col("y").alias("ya")), y.select("rep", F.col("model").alias("b"), F.col("y").alias("yb"))
+    d = a.join(b, "rep").where("a < b").withColumn("d", F.col("ya") - F.col("yb"))
+    g = d.groupBy("a", "b").agg(F.avg("d").alias("difference"), F.avg((F.col("d") <= 0).cast("int")).alias("le"), F.avg((F.col("d") >= 0).cast("int")).alias("ge"))
+    g = g.withColumn("p", F.least(F.lit(1.0), 2 * F.least("le", "ge"))).withColumn("family", F.lit(1))
+    return T.holm(g, "p", ["family"], "a", "b").select("a", "b", R("difference").alias("difference"), R("p").alias("p"), R("adjusted").alias("adjusted"))
+
+
+@query("st_hier_bootstrap", None)
+def st_hier_bootstrap(p: Panels):
+    """Architectures are drawn, then seeds inside them; draws are hash numbers."""
+    m = p.facts.groupBy("model", "seed").agg(F.avg("correct").alias("y"))
+    slots = p.targets.limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(200))).alias("rep")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    slots = slots.withColumn("model", (F.pmod(F.xxhash64("rep", "i"), F.lit(4)) + 1).cast("int")).withColumn("seed", (F.pmod(F.xxhash64("rep", "i", "j"), F.lit(3)) + 1).cast("int"))
+    y = slots.join(F.broadcast(m), ["model", "seed"]).groupBy("rep", "i").agg(F.avg("y").alias("y")).groupBy("rep").agg(F.avg("y").alias("y"))  # 12 runs
+    return y.agg(R(F.avg("y")).alias("mean"), R(F.percentile("y", 0.025)).alias("low"), R(F.percentile("y", 0.975)).alias("high"))
+
+
+@query("st_permutation_rho", None)
+def st_permutation_rho(p: Panels):
+    """(1 + extreme) / (B + 1) over hash orders of the values."""
+    x = p.facts.join(p.targets.select("sample_id", "ship_year"), "sample_id").groupBy("ship_year").agg(F.avg("correct").alias("y")).withColumn("x", F.rank().over(Window.orderBy("ship_year"))).withColumn("r", F.rank().over(Window.orderBy("y")))  # a row for each year
+    rep = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
+    shuffled = F.when(F.col("rep") == 0, F.col("r")).otherwise(F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("rep", "x"))))
+    rho = rep.withColumn("s", shuffled).groupBy("rep").agg(F.corr("x", "s").alias("rho"))
+    seen = rho.where("rep = 0").select(F.col("rho").alias("seen"))
+    return rho.where("rep > 0").crossJoin(F.broadcast(seen)).agg(R(F.max("seen")).alias("rho"), R((1 + F.count_if(F.abs("rho") >= F.abs("seen") - 1e-12)) / (F.count("*") + 1)).alias("p"))  # one row
+
+
+@query("st_paired_cost_ratio", None)
+def st_paired_cost_ratio(p: Panels):
+    e = p.table("events").groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") != "click", F.col("value"))).alias("b")).where("a > 0 and b > 0")
+    r = e.withColumn("ratio", F.col("a") / F.col("b")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(100)))).withColumn("w", T.poisson_weight("user_id", "rep")).where("w > 0")
+    m = r.groupBy("rep").agg(F.median("ratio").alias("m"))
+    return m.agg(R(F.avg("m")).alias("median_ratio"), R(F.percentile("m", 0.025)).alias("low"), R(F.percentile("m", 0.975)).alias("high"))
+
+
+@query("st_loess", None)
+def st_loess(p: Panels):
+    """Tricube local line of the error rate over the size; sizes are few, so every size sees all sizes."""
+    y = p.facts.join(p.targets.select("sample_id", "l_quantity"), "sample_id").groupBy("l_quantity").agg(F.avg(1 - F.col("correct")).alias("y"), F.count("*").alias("n"))
+    a, b = y.select(F.col("l_quantity").alias("x0")), y.select(F.col("l_quantity").alias("x"), "y")
+    near = a.join(b, F.abs(F.col("x") - F.col("x0")) < 9)
+    u = F.abs(F.col("x") - F.col("x0")) / 9
+    w = F.pow(1 - F.pow(u, F.lit(3.0)), F.lit(3.0))
+    z = near.withColumn("w", w).withColumn("d", F.col("x") - F.col("x0")).groupBy("x0").agg(F.sum("w").alias("s"), F.sum(F.expr("w*d")).alias("sd"), F.sum(F.expr("w*d*d")).alias("sdd"), F.sum(F.expr("w*y")).alias("sy"), F.sum(F.expr("w*d*y")).alias("sdy"))
+    return z.select(F.col("x0").alias("size"), R(F.try_divide(F.col("sdd") * F.col("sy") - F.col("sd") * F.col("sdy"), F.col("s") * F.col("sdd") - F.col("sd") * F.col("sd"))).alias("smooth"))

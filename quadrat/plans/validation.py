@@ -1 +1,188 @@
-"""Queries."""
+"""Joins, checks and sources over the panels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from quadrat.operators import metrics as M
+from quadrat.operators import validation as V
+from quadrat.plans.panels import Panels, query
+from quadrat.plans.projections import LOGIT_SQL, R, logits
+from quadrat.plans.windows import TIER_SQL, tiers
+from quadrat.functions import scalar as S
+
+# -- joins ------------------------------------------------------------------------------------
+
+
+@query("jn_features_inner", "SELECT t.sample_id, t.scale, s.discount_band, round(b.confidence, 6) AS confidence FROM targets t JOIN second s USING (sample_id) JOIN boxes b USING (sample_id)")
+def jn_features_inner(p: Panels):
+    t = p.targets.select("sample_id", "scale").join(p.second.select("sample_id", "discount_band"), "sample_id")
+    return t.join(p.boxes.select("sample_id", R("confidence").alias("confidence")), "sample_id")
+
+
+@query("jn_predictions_fact", "SELECT sample_id, model, seed, predicted, correct FROM facts")
+def jn_predictions_fact(p: Panels):
+    return p.targets.select("sample_id", "label").join(p.preds.select("sample_id", "model", "seed", "predicted"), "sample_id").select("sample_id", "model", "seed", "predicted", (F.col("predicted") == F.col("label")).cast("int").alias("correct"))
+
+
+@query("jn_review_overlay", "SELECT t.sample_id, coalesce(CASE WHEN t.l_partkey % 9 = 0 AND t.l_suppkey % 2 = 0 THEN s.discount_band END, t.discount_band) AS discount_band, CASE WHEN t.l_partkey % 9 = 0 AND t.l_suppkey % 2 <> 0 THEN 'hash_mismatch' END AS issue FROM targets t JOIN second s USING (sample_id)")
+def jn_review_overlay(p: Panels):
+    t = p.targets.withColumn("hash", F.sha2("sample_id", 256))
+    ok = F.col("l_suppkey") % 2 == 0
+    reviews = p.targets.where("l_partkey % 9 = 0").select("sample_id", F.when(ok, F.sha2("sample_id", 256)).otherwise("stale").alias("review_hash")).join(p.second.select("sample_id", F.col("discount_band").alias("review")), "sample_id")
+    j = t.join(reviews, "sample_id", "left")
+    same = F.col("hash") == F.col("review_hash")
+    return j.select("sample_id", F.coalesce(F.when(same, F.col("review")), "discount_band").alias("discount_band"), F.when(F.col("review_hash").isNotNull() & ~same, "hash_mismatch").alias("issue"))
+
+
+@query("jn_split_assign", "SELECT group_id, count(DISTINCT split) AS splits, count(DISTINCT class_name) AS classes FROM targets GROUP BY group_id HAVING count(DISTINCT class_name) > 1")
+def jn_split_assign(p: Panels):
+    return p.targets.groupBy("group_id").agg(F.count_distinct("split").alias("splits"), F.count_distinct("class_name").alias("classes")).where("splits > 1 or classes > 1")
+
+
+@query("jn_anti_history", "SELECT sample_id FROM targets WHERE l_partkey NOT IN (SELECT l_partkey FROM targets WHERE split = 'D')")
+def jn_anti_history(p: Panels):
+    used = p.targets.where("split = 'D'").select("l_partkey").distinct()
+    return p.targets.join(used, "l_partkey", "left_anti").select("sample_id")
+
+
+@query("jn_split_overlap", "SELECT l_suppkey, count(DISTINCT split) AS splits FROM targets GROUP BY l_suppkey HAVING count(DISTINCT split) > 1")
+def jn_split_overlap(p: Panels):
+    return p.targets.groupBy("l_suppkey").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+
+
+@query("jn_same_cell_control", TIER_SQL + ", e AS (SELECT sample_id, avg(correct) AS y FROM facts GROUP BY sample_id), j AS (SELECT t.class_name, tier, y, discount_band = 'high' AS m FROM targets t JOIN tiers USING (sample_id) JOIN e USING (sample_id)), c AS (SELECT class_name, tier, avg(y) AS ctl FROM j WHERE NOT m GROUP BY ALL) SELECT class_name, round(avg(y - ctl), 6) AS difference, count(*) AS n FROM j JOIN c USING (class_name, tier) WHERE m GROUP BY class_name")
+def jn_same_cell_control(p: Panels):
+    e = p.facts.groupBy("sample_id").agg(F.avg("correct").alias("y"))
+    j = tiers(p).select("sample_id", "class_name", "tier").join(p.targets.select("sample_id", (F.col("discount_band") == "high").alias("m")), "sample_id").join(e, "sample_id")
+    control = j.where("not m").groupBy("class_name", "tier").agg(F.avg("y").alias("control"))
+    return j.where("m").join(F.broadcast(control), ["class_name", "tier"]).groupBy("class_name").agg(R(F.avg(F.col("y") - F.col("control"))).alias("difference"), F.count("*").alias("n"))  # a row for each tier
+
+
+@query("jn_score_previous", "a AS (SELECT model, seed, class_name, avg(correct) AS y FROM facts GROUP BY ALL), b AS (SELECT model, seed, class_name, y + CASE WHEN model = 2 THEN 0.001 ELSE 0 END AS y FROM a WHERE seed <> 3) SELECT model, seed, class_name, round(a.y, 6) AS \"new\", round(b.y, 6) AS \"old\" FROM a FULL JOIN b USING (model, seed, class_name) WHERE b.y IS NULL OR abs(a.y - b.y) > 1e-10")
+def jn_score_previous(p: Panels):
+    keys = ["model", "seed", "class_name"]
+    a = p.facts.groupBy(*keys).agg(F.avg("correct").alias("y"))
+    b = a.where("seed <> 3").withColumn("y", F.col("y") + F.when(F.col("model") == 2, 0.001).otherwise(0.0))
+    return V.differences(a, b, keys, "y").select(*keys, R("new").alias("new"), R("old").alias("old"))
+
+
+@query("jn_calibration_cohort", "SELECT sample_id FROM targets WHERE tax_band <> 'unknown'")
+def jn_calibration_cohort(p: Panels):
+    full = p.fields.groupBy("sample_id").agg(F.bool_and(F.col("value") != "unknown").alias("ok")).where("ok").select("sample_id")
+    return p.targets.join(full, "sample_id", "left_semi").select("sample_id")
+
+
+# -- checks -----------------------------------------------------------------------------------
+
+
+@query("dq_schema_rules", "SELECT field, count(DISTINCT value) AS n_values, bool_or(value = 'unknown') AS has_unknown FROM fields GROUP BY field")
+def dq_schema_rules(p: Panels):
+    return p.fields.groupBy("field").agg(F.count_distinct("value").alias("n_values"), F.bool_or(F.col("value") == "unknown").alias("has_unknown"))
+
+
+@query("dq_label_rules", "q AS (SELECT s.sample_id, list_filter([CASE WHEN s.linestatus = 'unknown' THEN 'linestatus_unknown' END, CASE WHEN s.discount_band = 'none' AND t.discount_band = 'high' THEN 'band_wrapped' END], lambda x: x IS NOT NULL) AS r FROM second s JOIN targets t USING (sample_id)) SELECT sample_id, unnest(r) AS code FROM q")
+def dq_label_rules(p: Panels):
+    j = p.second.join(p.targets.select("sample_id", F.col("discount_band").alias("first_band")), "sample_id")
+    return V.issues(j, "sample_id", {"linestatus_unknown": F.col("linestatus") == "unknown", "band_wrapped": (F.col("discount_band") == "none") & (F.col("first_band") == "high")})
+
+
+@query("dq_identity_binding", "SELECT sample_id, 'right' AS missing_in FROM targets WHERE split = 'D' AND l_partkey % 50 = 0")
+def dq_identity_binding(p: Panels):
+    d = p.targets.where("split = 'D'")
+    return V.missing(d, d.where("l_partkey % 50 <> 0"), ["sample_id"])
+
+
+@query("dq_exclusions", "u AS (SELECT sample_id, 'group' AS code FROM boxes WHERE is_group UNION ALL SELECT sample_id, 'depiction' FROM boxes WHERE is_depiction UNION ALL SELECT sample_id, 'unknown_tax' FROM targets WHERE tax_band = 'unknown') SELECT sample_id, string_agg(code, ',' ORDER BY code) AS reasons FROM u GROUP BY sample_id")
+def dq_exclusions(p: Panels):
+    a = V.issues(p.boxes, "sample_id", {"group": F.col("is_group"), "depiction": F.col("is_depiction")})
+    return V.reasons([a, V.issues(p.targets, "sample_id", {"unknown_tax": F.col("tax_band") == "unknown"})], "sample_id")
+
+
+@query("dq_stage_isolation", "SELECT sample_id, split, CASE WHEN split = 'B' THEN round(avg(1 - correct), 6) END AS score FROM facts JOIN targets USING (sample_id) GROUP BY sample_id, split")
+def dq_stage_isolation(p: Panels):
+    e = p.facts.groupBy("sample_id").agg(F.avg(1 - F.col("correct")).alias("e"))
+    return p.targets.select("sample_id", "split").join(e, "sample_id").select("sample_id", "split", F.when(F.col("split") == "B", R("e")).alias("score"))
+
+
+@query("dq_gates", "q AS (SELECT avg((tax_band <> 'unknown')::INT) AS known, count(*) - count(DISTINCT sample_id) AS rep, count(DISTINCT class_name) AS classes FROM targets) SELECT round(known, 6) AS known, rep AS repeats, classes, CASE WHEN rep > 0 THEN 'STOP' WHEN classes < 3 THEN 'REVISE' WHEN known < 0.95 THEN 'NEEDS_REVIEW' ELSE 'GO' END AS decision FROM q")
+def dq_gates(p: Panels):
+    q = p.targets.agg(F.avg((F.col("tax_band") != "unknown").cast("int")).alias("known"), (F.count("*") - F.count_distinct("sample_id")).alias("repeats"), F.count_distinct("class_name").alias("classes"))
+    decision = F.when(F.col("repeats") > 0, "STOP").when(F.col("classes") < 3, "REVISE").when(F.col("known") < 0.95, "NEEDS_REVIEW").otherwise("GO")
+    return q.select(R("known").alias("known"), "repeats", "classes", decision.alias("decision"))
+
+
+@query("dq_balance", "SELECT class_name, split, count(*) AS n, (SELECT count(*) // 6 FROM targets) AS expected FROM targets GROUP BY ALL")
+def dq_balance(p: Panels):
+    n = p.targets.groupBy("class_name", "split").agg(F.count("*").alias("n"))
+    return n.withColumn("expected", F.expr("sum(n) over () div 6"))  # six rows
+
+
+@query("dq_harmonise", "SELECT class_name, sample_id, scale, NULL::VARCHAR AS discount_band FROM targets WHERE split = 'B' UNION ALL SELECT class_name, sample_id, NULL, discount_band FROM second")
+def dq_harmonise(p: Panels):
+    a = p.targets.where("split = 'B'").select("class_name", "sample_id", "scale")
+    return a.unionByName(p.second.select("class_name", "sample_id", "discount_band"), allowMissingColumns=True)
+
+
+@query("dq_freeze_compare", None)
+def dq_freeze_compare(p: Panels):
+    t = p.targets.select("sample_id", "label")
+    return V.freeze_compare(t, t.repartition("label"))
+
+
+@query("dq_manifest_diff", None)
+def dq_manifest_diff(p: Panels):
+    """Files of the data folder against a manifest of their sizes, of which one is wrong."""
+    now = p.spark.read.format("binaryFile").load(f"{p.sf_dir}/nation.parquet").unionByName(p.spark.read.format("binaryFile").load(f"{p.sf_dir}/region.parquet"))
+    now = now.select(F.regexp_extract("path", "([^/]+)/*$", 1).alias("name"), "length", F.sha2("content", 256).alias("hash"))
+    manifest = now.select("name", F.when(F.col("name").contains("region"), F.col("length") + 1).otherwise(F.col("length")).alias("size"), F.col("hash").alias("known"))
+    j = manifest.join(now, "name", "left")
+    return j.select("name", F.when(F.col("length").isNull(), "missing").when((F.col("size") != F.col("length")) | (F.col("known") != F.col("hash")), "mismatched").otherwise("valid").alias("status"))
+
+
+@query("sel_validate", "SELECT class_name, sample_id FROM targets WHERE false")
+def sel_validate(p: Panels):
+    from quadrat.plans.aggregates import chosen
+
+    picked = chosen(p)
+    over = picked.groupBy("class_name").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("d")).where("n <> least(n, 40) or n <> d")
+    return picked.join(over, "class_name", "left_semi").select("class_name", "sample_id")
+
+
+# -- sources ----------------------------------------------------------------------------------
+
+
+@query("src_predictions_jsonl", "SELECT sample_id, model, seed, predicted BETWEEN 0 AND 2 AS valid FROM preds WHERE seed = 1")
+def src_predictions_jsonl(p: Panels):
+    from quadrat.sources import files
+
+    rows = p.preds.where("seed = 1").select(F.to_json(F.struct("sample_id", "model", "seed", "predicted")).alias("value"))
+    return files.predictions(rows, 3).select("sample_id", "model", "seed", "valid")
+
+
+@query("src_logits_matrix", LOGIT_SQL + " SELECT sample_id, round(g[1], 6) AS g0, round(g[3], 6) AS g2 FROM l")
+def src_logits_matrix(p: Panels):
+    m = p.targets.select("sample_id", logits().alias("logits"))
+    return m.join(p.targets.select("sample_id"), "sample_id", "left_semi").select("sample_id", R(F.col("logits")[0]).alias("g0"), R(F.col("logits")[2]).alias("g2"))
+
+
+@query("src_schema_dictionary", "SELECT field, value, value = 'unknown' AS exclusive FROM (SELECT DISTINCT field, value FROM fields)")
+def src_schema_dictionary(p: Panels):
+    from quadrat.sources import files
+
+    d = p.fields.groupBy("field").agg(F.to_json(F.array_sort(F.collect_set("value"))).alias("possible_values"))
+    return files.dictionary(d, ("unknown",))
+
+
+@query("src_filter_annotations", "SELECT class_name, count(*) AS n FROM targets WHERE class_name IN ('A', 'R') GROUP BY class_name")
+def src_filter_annotations(p: Panels):
+    return p.targets.select("class_name").where(F.col("class_name").isin("A", "R")).groupBy("class_name").agg(F.count("*").alias("n"))
+
+
+@query("src_annotation_json", None)
+def src_annotation_json(p: Panels):
+    from quadrat.sources import files
+
+    raw = p.targets.select("sample_id", F.to_json(F.struct("linestatus", F.array("scale", "discount_band").alias("tags"))).alias("value"))
+    return files.annotations(raw, "sample_id").groupBy("field", "value").agg(F.count("*").alias("n"))
