@@ -1,0 +1,17 @@
+"""A checkpoint folder for queries that iterate."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def ready(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder; a local session without one gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quadrat-"))
+    return df.checkpoint()

@@ -1 +1,121 @@
-"""Queries."""
+"""Near duplicates, leakage and neighbours over the embeddings panel."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from quadrat.functions import scalar as S
+from quadrat.operators import similar as Sim
+from quadrat.plans.panels import Panels, query
+from quadrat.plans.projections import R
+
+HASH_SQL = "hs AS (SELECT vec_id, label, predicted, planted, v, list_sum(list_transform(v, lambda x, i: CASE WHEN x > 0 AND i <= 62 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS h FROM vecs)"
+PAIR_SQL = HASH_SQL + ", hp AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h)) AS distance FROM hs a JOIN hs b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 6)"
+
+
+def hashed(p: Panels):
+    """Signs of the first 62 numbers as a hash."""
+    return p.vecs.withColumn("h", S.sign_bits(F.col("v"), 62))
+
+
+def near(p: Panels):
+    return Sim.hamming_pairs(hashed(p), None, "vec_id", "h", 6)
+
+
+@query("sim_hamming_pairs", PAIR_SQL + " SELECT a, b, distance FROM hp")
+def sim_hamming_pairs(p: Panels):
+    return near(p)
+
+
+CONFIRM_SQL = PAIR_SQL + ", cf AS (SELECT hp.*, list_cosine_similarity(x.v, y.v) AS cosine FROM hp JOIN vecs x ON x.vec_id = a JOIN vecs y ON y.vec_id = b), ok AS (SELECT * FROM cf WHERE (distance <= 4 AND cosine >= 0.9) OR (distance <= 6 AND cosine >= 0.95))"
+RULES = ((4, 0.9), (6, 0.95))
+
+
+@query("sim_cosine_confirm", CONFIRM_SQL + " SELECT a, b, distance, round(cosine, 6) AS cosine FROM ok")
+def sim_cosine_confirm(p: Panels):
+    return Sim.confirmed(near(p), p.vecs, "vec_id", "v", RULES).withColumn("cosine", R("cosine"))
+
+
+@query("sim_duplicate_status", CONFIRM_SQL + ", al AS (SELECT a, b, 'corroborated' AS s, 2 AS o FROM ok UNION ALL SELECT a, b, 'same_source', 1 FROM hp WHERE b = a + 1000000 UNION ALL SELECT a, b, 'exact', 0 FROM hp WHERE distance = 0) SELECT a, b, arg_min(s, o) AS status FROM al GROUP BY a, b")
+def sim_duplicate_status(p: Panels):
+    n = near(p)
+    tagged = lambda df, s, o: df.select("a", "b", F.lit(s).alias("s"), F.lit(o).alias("o"))
+    u = tagged(Sim.confirmed(n, p.vecs, "vec_id", "v", RULES), "corroborated", 2).unionByName(tagged(n.where("b = a + 1000000"), "same_source", 1)).unionByName(tagged(n.where("distance = 0"), "exact", 0))
+    return u.groupBy("a", "b").agg(F.min_by("s", "o").alias("status"))
+
+
+@query("sim_cross_leakage", HASH_SQL + " SELECT a.vec_id AS a, min(bit_count(xor(a.h, b.h))) AS distance FROM hs a JOIN hs b ON bit_count(xor(a.h, b.h)) <= 6 WHERE a.planted AND NOT b.planted GROUP BY a.vec_id")
+def sim_cross_leakage(p: Panels):
+    h = hashed(p)
+    return Sim.hamming_pairs(h.where("planted"), h.where("not planted"), "vec_id", "h", 6).groupBy("a").agg(F.min("distance").alias("distance"))
+
+
+@query("sim_cosine_topk", "q AS (SELECT * FROM vecs WHERE vec_id % 50 = 0), j AS (SELECT q.vec_id AS q, p.vec_id AS id, round(list_cosine_similarity(q.v, p.v), 9) AS cosine FROM q JOIN vecs p ON p.vec_id <> q.vec_id) SELECT q, id, round(cosine, 6) AS cosine FROM j QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) <= 5")
+def sim_cosine_topk(p: Panels):
+    q = p.vecs.where("vec_id % 50 = 0")  # the query set; the pool is all rows
+    return Sim.nearest(q, p.vecs, "vec_id", "v", 5).select("q", "id", R("cosine").alias("cosine"))
+
+
+@query("sim_dsa", None)
+def sim_dsa(p: Panels):
+    """Distance to the nearest of the own class over that one's distance to the nearest of another class."""
+    train, test = p.vecs.where("vec_id % 2 = 0 and not planted"), p.vecs.where("vec_id % 50 = 1 and not planted")
+    k = 40
+    own = Sim.nearest(test, train, "vec_id", "v", k).join(p.vecs.select(F.col("vec_id").alias("q"), F.col("predicted").alias("want")), "q").join(train.select(F.col("vec_id").alias("id"), "label"), "id").where("label = want")
+    first = own.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("rank"))).where("r = 1").select("q", "id", "label", F.sqrt(F.greatest(F.lit(1e-12), 2 - 2 * F.col("cosine"))).alias("d"))
+    met = train.join(first.select(F.col("id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    other = Sim.nearest(met, train, "vec_id", "v", k).join(train.select(F.col("vec_id").alias("id"), F.col("label").alias("other")), "id").select(F.col("q").alias("id"), "other", F.sqrt(F.greatest(F.lit(1e-12), 2 - 2 * F.col("cosine"))).alias("e"))
+    j = first.join(other, "id").where("other <> label").groupBy("q", "d").agg(F.min("e").alias("e"))
+    return j.select("q", R(F.col("d") / F.greatest(F.col("e"), F.lit(1e-12))).alias("dsa"))
+
+
+def text_groups(p: Panels):
+    """Documents of equal text, each linked to the smallest."""
+    d = p.table("documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    least = d.groupBy("h").agg(F.min("doc_id").alias("b"))
+    return d.join(least, "h").select(F.col("doc_id").alias("a"), "b")
+
+
+@query("sim_groups", "SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY text) AS root FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
+def sim_groups(p: Panels):
+    from quadrat.plans.shared import ready
+
+    return Sim.components(ready(text_groups(p)))
+
+
+@query("sim_conflicts_in_group", "SELECT min(doc_id) AS root, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
+def sim_conflicts_in_group(p: Panels):
+    d = p.table("documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    return d.groupBy("h").agg(F.min("doc_id").alias("root"), F.count("*").alias("n"), F.count_distinct("source").alias("sources")).where("sources > 1").select("root", "n", "sources")
+
+
+@query("sim_error_clusters", None)
+def sim_error_clusters(p: Panels):
+    """k-means on the normalised vectors of wrong samples; k = clamp(round(sqrt n), 2, 8)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    wrong = p.vecs.where("predicted <> label").select("vec_id", array_to_vector(F.transform("v", lambda x: x / S.norm(F.col("v")))).alias("features"))
+    k = max(2, min(8, round(wrong.count() ** 0.5)))
+    return KMeans(k=k, seed=7, maxIter=10).fit(wrong).transform(wrong).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+@query("sim_qualify_priority", None)
+def sim_qualify_priority(p: Panels):
+    """In the order of ids, a row that duplicates an accepted one is skipped; rounds on the duplicate graph."""
+    from quadrat.plans.shared import ready
+
+    e = ready(near(p).select("a", "b"))
+    accepted = rejected = None
+    left = ready(e)
+    while not left.isEmpty():
+        # accepted: nodes whose undecided neighbours all come later; rejected: their neighbours
+        now = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        out = left.join(now, "a", "left_semi").select(F.col("b").alias("a")).distinct()
+        accepted = now if accepted is None else accepted.unionByName(now)
+        rejected = out if rejected is None else rejected.unionByName(out)
+        left = ready(left.join(now, "a", "left_anti").join(out, "a", "left_anti").join(out.select(F.col("a").alias("b")), "b", "left_anti"))
+    none = p.vecs.select(F.col("vec_id").alias("a")).limit(0)
+    rejected = none if rejected is None else rejected
+    return p.vecs.select("vec_id").join(rejected.select(F.col("a").alias("vec_id")), "vec_id", "left_anti")
