@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrat.plans import agreement, aggregates, diagnosis, projections, sampling, selection, similarity, statistics, validation, windows  # noqa: F401
+from quadrat.plans import agreement, aggregates, diagnosis, projections, sampling, selection, similarity, statistics, streams, validation, windows  # noqa: F401
 from quadrat.plans.panels import REGISTRY, Panels, full_sql
 
 

@@ -1,17 +1,23 @@
-"""A checkpoint folder for queries that iterate."""
+"""The folder that driver and executors share, for queries that iterate or stream."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ready(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder; a local session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quadrat-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def ready(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
