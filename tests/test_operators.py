@@ -1,0 +1,138 @@
+"""Operators on small tables with results worked out by hand, and invariants."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quadrat.functions import scalar as S
+from quadrat.operators import diagnosis, ranking, sampling, selection, similar, stats, validation
+from quadrat.sources import files
+from quadrat.streaming import attempts
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_interval_spans_the_unknown(spark):
+    got = one(spark, S.interval([(F.lit(1.0), 0.5), (F.lit(None).cast("double"), 0.5)]))
+    assert (got.lower, got.upper, got.midpoint) == (0.5, 1.0, 0.75)
+
+
+def test_unmapped_value_is_an_error(spark):
+    with pytest.raises(Exception, match="without points"):
+        one(spark, S.mapped(F.lit("odd"), {"low": 1.0}))
+
+
+def test_iou_of_empty_boxes_is_nothing(spark):
+    z = [F.lit(0.0)] * 4
+    assert one(spark, S.box_iou(z, z)) == 0
+
+
+def test_average_rank_on_ties(spark):
+    d = spark.createDataFrame([(1, 5), (1, 5), (1, 9)], "g int, v int")
+    assert sorted(r["rank"] for r in ranking.average_rank(d, "v", ["g"]).collect()) == [1.5, 1.5, 3.0]
+
+
+def test_auc_of_ties(spark):
+    d = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)], "g int, s int, e int")
+    assert stats.error_auc(d, "s", "e", ["g"]).first().auc == 0.5
+
+
+def test_constant_ranks_give_null(spark):
+    d = spark.createDataFrame([(1, 1, 1), (1, 1, 2)], "g int, x int, y int")
+    assert stats.spearman(d, "x", "y", ["g"]).first().rho is None
+
+
+def test_a_mixture_can_fake_a_gap(spark):
+    # tiers 1 and 2 of 40; the state is on 5 and 35; correct only in tier 1
+    cells = spark.createDataFrame([("s", 1, 5, 5, 35, 35), ("s", 2, 35, 0, 5, 0)], "k string, tier int, n1 int, k1 int, n0 int, k0 int")
+    got = diagnosis.standardised_gaps(cells, ["k"]).first()
+    assert (round(got.pooled, 9), got.standardised) == (-0.75, 0.0)
+
+
+def test_quota_sums_to_the_budget(spark):
+    d = spark.createDataFrame([("a", c, n) for c, n in zip("xyz", (1, 1, 1), strict=True)], "g string, c string, n int")
+    q = {r.c: r.quota for r in sampling.largest_remainder(d, ["g"], "n", F.lit(10), ["c"]).collect()}
+    assert q == {"x": 4, "y": 3, "z": 3}
+
+
+def test_risk_weighted_allocation(spark):
+    d = spark.createDataFrame([("a", t) for t in range(1, 6)], "g string, tier int")
+    q = sorted((r.tier, r.quota) for r in sampling.largest_remainder(d, ["g"], "tier", F.lit(200), ["tier"]).collect())
+    assert [n for _, n in q] == [13, 27, 40, 53, 67]
+
+
+def plain_greedy(rows, budget, kind, cap, tie):
+    left, counts, out = dict(rows), {}, []
+    for _ in range(min(budget, len(left))):
+        gains = {i: sum(selection.weight(kind, counts.get(s, 0), cap) for s in st) for i, st in left.items()}
+        top = max(gains.values())
+        best = (min if tie == "min" else max)(i for i, g in gains.items() if abs(g - top) <= 1e-12)
+        for s in left.pop(best):
+            counts[s] = counts.get(s, 0) + 1
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("kind,tie", [("linear", "max"), ("concave", "min"), ("novelty", "min"), ("deficit", "max")])
+def test_greedy_equals_the_plain_rule(spark, kind, tie):
+    rng = random.Random(kind)
+    rows = {f"s{i:02}": sorted({f"f{k}={rng.choice('ab')}" for k in range(3)}) for i in range(30)}
+    states = spark.createDataFrame([("c", i, *s.split("=")) for i, st in rows.items() for s in st], "class_name string, sample_id string, field string, value string")
+    cells = spark.createDataFrame([("c", i, "all") for i in rows], "class_name string, sample_id string, cell string")
+    got = selection.greedy(selection.signatures(states, cells, 12, tie), 12, kind, 4, tie=tie).orderBy("rank").collect()
+    assert [r.sample_id for r in got] == plain_greedy(rows, 12, kind, 4, tie)
+
+
+def test_hamming_pairs_equal_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.getrandbits(63) if i % 3 else 7 ^ (1 << (i % 60))) for i in range(60)] + [(100, 7), (101, 7)]
+    d = spark.createDataFrame(rows, "id long, h long")
+    got = {(r.a, r.b) for r in similar.hamming_pairs(d, None, "id", "h", 4).collect()}
+    assert got == {(a, b) for a, x in rows for b, y in rows if a < b and bin(x ^ y).count("1") <= 4}
+
+
+def test_components_of_a_chain(spark):
+    spark.sparkContext.setCheckpointDir("/tmp/quadrat-test")
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (5, 5)], "a long, b long")
+    got = {r.node: r.root for r in similar.components(e).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 90: 90, 91: 90}
+
+
+def test_softmax_sums_to_one(spark):
+    p = one(spark, S.softmax(F.array(F.lit(1000.0), F.lit(999.0))))
+    assert math.isclose(sum(p), 1) and math.isclose(p[0], 1 / (1 + math.exp(-1)))
+
+
+def test_differences_see_a_missing_row(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
+    b = spark.createDataFrame([(1, 1.0 + 1e-12)], "k int, v double")
+    assert [r.k for r in validation.differences(a, b, ["k"], "v").collect()] == [2]
+
+
+def test_manifest_with_byte_order_mark_and_repeat(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("﻿id,name\n1,a\n2,b\n", encoding="utf-8")
+    assert files.manifest_csv(spark, str(tmp_path / "m.csv"), ["id", "name"], "id").count() == 2
+    (tmp_path / "r.csv").write_text("id,name\n1,a\n1,b\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="repeated"):
+        files.manifest_csv(spark, str(tmp_path / "r.csv"), ["id", "name"], "id")
+
+
+def test_existing_output_is_refused(spark, tmp_path):
+    d = spark.range(3).withColumn("l", F.array(F.lit(1)))
+    files.write_tables(d, str(tmp_path / "o"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        files.write_tables(d, str(tmp_path / "o"))
+    with pytest.raises(ValueError, match="protected"):
+        files.write_tables(d, str(tmp_path / "o" / "x"), [str(tmp_path / "o")])
+
+
+def test_late_rows_don_t_reopen_a_window(spark, tmp_path):
+    rows = [("2024-01-01 00:05:00", "a", 1, 1.0), ("2024-01-01 03:00:00", "a", 1, 2.0)]
+    d = spark.createDataFrame(rows, "ts string, event_type string, user_id int, value double").withColumn("ts", F.to_timestamp("ts"))
+    d.write.parquet(str(tmp_path / "events.parquet"))
+    out = attempts.drain(attempts.attempt_window(attempts.source(spark, str(tmp_path))), str(tmp_path / "out"))
+    assert [r.attempts for r in out.collect()] == [1]
