@@ -124,7 +124,8 @@ def _enumerate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (node, smaller node) that join what lies within REACH across components in a bucket; a spanning set, not all pairs.
 
-    The rows come sorted by key.
+    The rows come sorted by key and node, so a group's edges lead to its smallest
+    node, and the buckets of one group repeat the same few edges.
     """
 
     def edges(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -263,7 +264,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # a bucket too large to compare in one task counts as near throughout
     large = rest.where(F.col("size") > LARGE).select(F.col("node").alias("a"), F.col("least").alias("b"))
     small = rest.where(F.col("size") <= LARGE).select("key", "node", "comp").join(nodes.select("node", "sig"), "node")
-    near = small.repartition("key").sortWithinPartitions("key").mapInArrow(_near, "a long, b long").unionByName(large)
+    near = small.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near, "a long, b long").unionByName(large)
     more = stored(_across_clusters(near, comps, texts), "near-dedup-links")
     if not more.isEmpty():
         comps = roots(links.unionByName(more))
