@@ -104,8 +104,9 @@ def _finder(known: dict[int, np.ndarray]):
 
 def hits(docs: DataFrame, wins: DataFrame, key: str, text: str) -> DataFrame:
     """row, id, n_words and the (pos, sid) of shingles that some item has."""
-    d = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    kind = next(f.dataType for f in d.schema if f.name == "id").simpleString()
+    name = F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("address"))  # ids may repeat
+    d = docs.select(name.alias("id"), F.col(f"`{text}`").alias("text"))
+    kind = d.schema["id"].dataType.simpleString()
     known = wins.select("k", F.explode("sids").alias("sid")).distinct()
     n_blocks = max(1, -(-known.count() // BLOCK))
     out = None
@@ -120,7 +121,7 @@ def hits(docs: DataFrame, wins: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _by_document(found: DataFrame) -> DataFrame:
-    """The blocks of a document put together; documents with equal id, length and hits are alike."""
+    """The blocks of a document put together; documents with equal id and text are alike."""
     g = found.groupBy("id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.max("block").alias("_b"), F.count("*").alias("_n"))
     copies = F.explode(F.sequence(F.lit(1), (F.col("_n") / (F.col("_b") + 1)).cast("int")))
     return stored(g.withColumn("_c", copies).select("id", "n_words", F.array_sort(F.array_distinct("hits")).alias("hits"), F.monotonically_increasing_id().alias("row")), "decontaminate-blocks")
@@ -133,7 +134,7 @@ def _cover() -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row a document: id, n_words, spans (start, end in words, merged on reading), items (sorted), n_hit."""
+    """One row a document: id, address (hash of the text), n_words, spans (start, end in words, merged on reading), items (sorted), n_hit."""
     wins = stored(windows(items, item_key, item_text), "decontaminate-windows")
     h = hits(docs, wins, key, text)
     each = h.select("row", F.explode("hits").alias("x")).select("row", "x.pos", "x.sid")
@@ -153,7 +154,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s["start"]))).alias("n"), F.greatest(a["to"], s["end"].cast("long")).alias("to")), lambda a: a["n"])
     empty = F.array().cast("array<struct<start:int,end:int>>")
     out = h.select("row", "id", "n_words").join(spans, "row", "left")
-    return out.select("id", "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(covered, F.lit(0)).alias("n_hit"))
+    return out.select("id.id", "id.address", "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(covered, F.lit(0)).alias("n_hit"))
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,8 +163,8 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     A row is named by its id and a hash of its text, so ids may repeat or be null.
     """
     name = F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("address"))
-    found = contamination(docs.select(name.alias("id"), F.col(f"`{text}`").alias("text")), items, key="id")
-    bad = found.where(verdict()).select(F.col("id.id").alias("bad_id"), F.col("id.address").alias("bad_address")).distinct()
+    found = contamination(docs, items, key, text)
+    bad = found.where(verdict()).select(F.col("id").alias("bad_id"), F.col("address").alias("bad_address")).distinct()
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"))
     kept = row.join(bad, F.col("name.id").eqNullSafe(F.col("bad_id")) & (F.col("name.address") == F.col("bad_address")), "left_anti")
     return kept.select("row.*")
