@@ -17,8 +17,8 @@ if the Jaccard similarity of their sets is at least THRESHOLD.
 4. Second round: only buckets whose members still lie in different components
    matter.  Members of different components whose signatures differ in at most
    REACH places are joined to clusters by a spanning set of edges; each cluster is
-   compared on the full sets in tiles of two blocks, which emit one link for a
-   pair of components.  No link is lost and no list of all pairs is made.
+   compared on the full sets in tiles of two blocks, which emit a spanning set of
+   their links.  No component is torn and no list of all pairs is made.
 5. Components of the confirmed links, by star steps in Spark.
 
 Defined results
@@ -163,7 +163,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tile(unit: pd.DataFrame) -> list[tuple[int, int]]:
-    """Links across components in a tile, one for each pair of components; exact, by an index of the shingles."""
+    """Links that join the components of a tile, a spanning set of all its links; exact, by an index of the shingles."""
     sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in unit["text"]])
     size = np.array([len(x) for x in sets])
     node, comp, block = (unit[c].to_numpy() for c in ("node", "comp", "block"))
@@ -172,7 +172,14 @@ def _tile(unit: pd.DataFrame) -> list[tuple[int, int]]:
     order = np.argsort(post, kind="stable")
     holder = np.repeat(np.arange(len(right)), size[right])[order]
     first = np.searchsorted(post[order], np.arange(len(words) + 1))
-    out = {}
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = c = above.get(up, up)
+        return c
+
+    out = []
     for i in left:
         at = np.minimum(np.searchsorted(words, sets[i]), len(words) - 1)
         at = at[words[at] == sets[i]]
@@ -181,8 +188,11 @@ def _tile(unit: pd.DataFrame) -> list[tuple[int, int]]:
         both = np.bincount(holder[slots], minlength=len(right))
         for k in np.flatnonzero((100 * both >= THRESHOLD * (size[i] + size[right] - both)) & (comp[right] != comp[i])):
             j = right[k]
-            out.setdefault((min(comp[i], comp[j]), max(comp[i], comp[j])), (int(node[i]), int(node[j])))
-    return list(out.values())
+            x, y = top(int(comp[i])), top(int(comp[j]))
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                out.append((int(node[i]), int(node[j])))
+    return out
 
 
 def _tiles(rows: pd.DataFrame) -> pd.DataFrame:
