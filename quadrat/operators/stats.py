@@ -14,8 +14,7 @@ from quadrat.operators.ranking import average_rank
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     """Rank correlation with averaged ties; null where a side is constant."""
     r = average_rank(average_rank(df, x, by, "_rx"), y, by, "_ry")
-    varied = (F.max("_rx") > F.min("_rx")) & (F.max("_ry") > F.min("_ry"))
-    return r.groupBy(*by).agg(F.when(varied, F.corr("_rx", "_ry")).alias("rho"))
+    return r.groupBy(*by).agg(F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho"))
 
 
 def error_auc(df: DataFrame, score: str, wrong: str, by: Sequence[str]) -> DataFrame:
