@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,59 @@ def kappa(paired: DataFrame, by: Sequence[str]) -> DataFrame:
     chance = a.join(b, [*by, "v"]).groupBy(*by).agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("ab"))
     j = total.join(chance, list(by), "left").withColumn("exact", F.col("same") / F.col("total")).withColumn("chance", F.coalesce("ab", F.lit(0.0)) / (F.col("total") * F.col("total")))
     return j.select(*by, "exact", F.try_divide(F.col("exact") - F.col("chance"), 1 - F.col("chance")).alias("kappa"))
+
+
+ARMS = ("old", "revised")
+
+
+def _draw(*parts: Column | str) -> Column:
+    """Uniform in (0, 1) from a hash, the same in every engine."""
+    return (F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def protocol_delta(old: DataFrame, revised: DataFrame, by: str, replicates: int = 200) -> DataFrame:
+    """Agreement under an old and a revised protocol, their differences in points and a decision.
+
+    ``old`` and ``revised`` are tables of ``pairs``.  A target of one arm only is
+    left out; a share without a known pair is null.  All figures depend on the rows
+    through at most 16 counts of outcomes for each value of ``by``, so rows are
+    aggregated once and the bootstrap redraws counts: Poisson by its normal
+    approximation, from a hash.  Its cost doesn't grow with the rows.
+    """
+    key = ["class_name", "sample_id", "field"]
+    j = old.select(*key, F.col("left").alias("ol"), F.col("right").alias("or_")).join(revised.select(*key, F.col("left").alias("rl"), F.col("right").alias("rr")), key)
+    known = lambda a, b: (F.col(a) != "unknown") & (F.col(b) != "unknown")
+    flags = {"old_same": F.col("ol") == F.col("or_"), "old_both": known("ol", "or_"), "revised_same": F.col("rl") == F.col("rr"), "revised_both": known("rl", "rr")}
+    cells = j.groupBy(by, *[c.cast("int").alias(name) for name, c in flags.items()]).agg(F.count("*").alias("n"))
+
+    cell = F.concat("old_same", "old_both", "revised_same", "revised_both")
+    rep = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    z = F.sqrt(-2 * F.log(_draw(F.lit("r"), "rep", by, cell))) * F.cos(6.283185307179586 * _draw(F.lit("a"), "rep", by, cell))
+    n = F.when(F.col("rep") == 0, F.col("n").cast("double")).otherwise(F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * z)))
+    rep = rep.withColumn("n", n)
+    sums = [F.sum("n").alias("total")]
+    for arm in ARMS:
+        both = F.col(f"{arm}_both") == 1
+        sums += [F.sum(F.when(both, F.col("n")).otherwise(0.0)).alias(f"{arm}_known"), F.sum(F.when(both & (F.col(f"{arm}_same") == 1), F.col("n")).otherwise(0.0)).alias(f"{arm}_hits"), F.sum(F.when(F.col(f"{arm}_same") == 1, F.col("n")).otherwise(0.0)).alias(f"{arm}_equal")]
+    s = rep.groupBy(by, "rep").agg(*sums)
+    for arm in ARMS:
+        s = s.withColumn(f"{arm}_exact_pct", F.try_divide(100 * F.col(f"{arm}_equal"), "total")).withColumn(f"{arm}_both_known_pct", F.try_divide(100 * F.col(f"{arm}_known"), "total")).withColumn(f"{arm}_agreement_pct", F.try_divide(100 * F.col(f"{arm}_hits"), f"{arm}_known"))
+    names = ("exact_pct", "both_known_pct", "agreement_pct")
+    for c in names:
+        s = s.withColumn(f"{c}_delta", F.col(f"revised_{c}") - F.col(f"old_{c}"))
+    kept = ["old_known", *[f"{arm}_{c}" for arm in ARMS for c in names], *[f"{c}_delta" for c in names]]
+    out = s.groupBy(by).agg(
+        F.sum(F.when(F.col("rep") == 0, F.col("total"))).cast("long").alias("n"),
+        *[F.max(F.when(F.col("rep") == 0, F.col(c))).alias(c) for c in kept],
+        F.percentile(F.when(F.col("rep") > 0, F.col("agreement_pct_delta")), 0.025).alias("agreement_low"),
+        F.percentile(F.when(F.col("rep") > 0, F.col("agreement_pct_delta")), 0.975).alias("agreement_high"),
+    )
+    failed = F.col("agreement_pct_delta").isNull() | (F.col("both_known_pct_delta") < -5) | (F.col("agreement_pct_delta") < 5)
+    decision = (
+        F.when(F.col("old_known") < 30, "insufficient_known_support")
+        .when(F.col("old_agreement_pct") >= 95, "near_ceiling_descriptive_only")
+        .when(failed, "screen_not_passed")
+        .when(F.col("agreement_low") <= 0, "point_gate_passed_uncertain_direction")
+        .otherwise("promising_for_expansion")
+    )
+    return out.withColumn("decision", decision).withColumn("old_known", F.col("old_known").cast("long"))

@@ -54,19 +54,23 @@ def confirmed(pairs: DataFrame, vectors: DataFrame, key: str, v: str, rules: Seq
     return j.where(ok).select("a", "b", "distance", "cosine")
 
 
-def nearest(queries: DataFrame, pool: DataFrame, key: str, v: str, k: int, block: int = 200) -> DataFrame:
+def nearest(queries: DataFrame, pool: DataFrame, key: str, v: str, k: int, block: int = 200, groups: tuple[str, str, bool] | None = None) -> DataFrame:
     """The k nearest of ``pool`` to each query by cosine; queries in blocks that meet all rows.
 
     The queries of a block go to every task as one array of bounded size, each
     task keeps its k best, and k rows a task and query are ranked at the end.
+    ``groups`` (query column, pool column, same): only rows whose group equals
+    that of the query, or differs from it, are looked at.
     """
+    of_query, of_row, same = groups or (None, None, True)
     unit = lambda c: F.transform(c, lambda x: x / S.norm(c))
-    n = queries.count()
+    n = max(1, queries.count())
     out = None
     for i in range(-(-n // block)):
-        mine = queries.where(F.pmod(F.xxhash64(key), F.lit(-(-n // block))) == i).select(F.col(key).alias("q"), unit(F.col(v)).alias("qv"))
-        near = pool.select(F.col(key).alias("id"), unit(F.col(v)).alias("v")).crossJoin(F.broadcast(mine))  # about ``block`` rows
-        near = near.where("id <> q").select("q", "id", F.round(S.dot(F.col("qv"), F.col("v")), 9).alias("cosine"))
+        mine = queries.where(F.pmod(F.xxhash64(key), F.lit(-(-n // block))) == i).select(F.col(key).alias("q"), unit(F.col(v)).alias("qv"), (F.col(of_query) if of_query else F.lit(0)).alias("qg"))
+        rows = pool.select(F.col(key).alias("id"), unit(F.col(v)).alias("v"), (F.col(of_row) if of_row else F.lit(0)).alias("g"))
+        near = rows.crossJoin(F.broadcast(mine))  # about ``block`` rows
+        near = near.where("id <> q").where(F.col("g") == F.col("qg") if same else F.col("g") != F.col("qg")).select("q", "id", F.round(S.dot(F.col("qv"), F.col("v")), 9).alias("cosine"))
         out = near if out is None else out.unionByName(near)
     w = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

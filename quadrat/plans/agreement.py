@@ -99,3 +99,25 @@ def ag_repeatability(p: Panels):
     j = p.targets.alias("t").join(p.second.alias("s"), "sample_id").select(F.array(*[f"t.{c}" for c in f]).alias("a"), F.array(*[f"s.{c}" for c in f]).alias("b"))
     unknown = F.array_contains("a", "unknown") == F.array_contains("b", "unknown")
     return j.agg(R(F.avg((F.col("a") == F.col("b")).cast("int"))).alias("exact"), R(F.avg(S.jaccard(F.col("a"), F.col("b")))).alias("jaccard"), R(F.avg(unknown.cast("int"))).alias("unknown_agreement"))
+
+
+DELTA_SQL = PAIR_SQL + """, pq AS (SELECT *, CASE WHEN split_part(sample_id, '-', -1)::INT % 2 = 1 THEN l ELSE r END AS r2 FROM pr),
+c AS (SELECT field, (l = r)::INT AS os, (l <> 'unknown' AND r <> 'unknown')::INT AS ob, (l = r2)::INT AS rs, (l <> 'unknown' AND r2 <> 'unknown')::INT AS rb, count(*)::DOUBLE AS n FROM pq GROUP BY ALL),
+u AS (SELECT *, (('0x' || substr(sha256(concat_ws('|', 'r', rep, field, os || ob || rs || rb)), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u1, (('0x' || substr(sha256(concat_ws('|', 'a', rep, field, os || ob || rs || rb)), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u2 FROM c CROSS JOIN range(201) AS g(rep)),
+w AS (SELECT * EXCLUDE (n), CASE WHEN rep = 0 THEN n ELSE greatest(0.0, round(n + sqrt(n) * sqrt(-2 * ln(u1::DOUBLE)) * cos(6.283185307179586 * u2::DOUBLE))) END AS n FROM u),
+s AS (SELECT field, rep, sum(n) AS total, sum(n * ob) AS ok, sum(n * rb) AS rk, 100 * sum(n * os) / sum(n) AS oe, 100 * sum(n * rs) / sum(n) AS re, 100 * sum(n * os * ob) / nullif(sum(n * ob), 0) AS oa, 100 * sum(n * rs * rb) / nullif(sum(n * rb), 0) AS ra FROM w GROUP BY ALL),
+b AS (SELECT field, quantile_cont(ra - oa, 0.025) AS lo, quantile_cont(ra - oa, 0.975) AS hi FROM s WHERE rep > 0 GROUP BY field)
+SELECT field, total::BIGINT AS n, ok::BIGINT AS old_known, round(oe, 6) AS old_exact_pct, round(re, 6) AS revised_exact_pct, round(100 * ok / total, 6) AS old_both_known_pct, round(100 * rk / total, 6) AS revised_both_known_pct, round(oa, 6) AS old_agreement_pct, round(ra, 6) AS revised_agreement_pct,
+  round(re - oe, 6) AS exact_pct_delta, round(100 * rk / total - 100 * ok / total, 6) AS both_known_pct_delta, round(ra - oa, 6) AS agreement_pct_delta, round(lo, 6) AS agreement_low, round(hi, 6) AS agreement_high,
+  CASE WHEN ok < 30 THEN 'insufficient_known_support' WHEN oa >= 95 THEN 'near_ceiling_descriptive_only' WHEN ra IS NULL OR 100 * rk / total - 100 * ok / total < -5 OR ra - oa < 5 THEN 'screen_not_passed' WHEN lo <= 0 THEN 'point_gate_passed_uncertain_direction' ELSE 'promising_for_expansion' END AS decision
+FROM s JOIN b USING (field) WHERE rep = 0"""
+
+
+@query("ag_protocol_delta", DELTA_SQL)
+def ag_protocol_delta(p: Panels):
+    """Under the revised protocol the second annotator agrees with the first on odd line numbers."""
+    old = pairs(p)
+    odd = F.substring_index("sample_id", "-", -1).cast("int") % 2 == 1
+    revised = old.withColumn("right", F.when(odd, F.col("left")).otherwise(F.col("right")))
+    d = Ag.protocol_delta(old, revised, "field")
+    return d.select(*[R(c).alias(c) if kind == "double" else F.col(c) for c, kind in d.dtypes])

@@ -57,17 +57,23 @@ def sim_cosine_topk(p: Panels):
     return Sim.nearest(q, p.vecs, "vec_id", "v", 5).select("q", "id", R("cosine").alias("cosine"))
 
 
-@query("sim_dsa", None)
+DSA_SQL = (
+    "tr AS (SELECT vec_id AS id, label, v FROM vecs WHERE NOT planted), q AS (SELECT vec_id AS q, predicted AS want, v FROM vecs WHERE NOT planted AND vec_id % 50 = 0), "
+    "o AS (SELECT q, id, round(list_cosine_similarity(q.v, tr.v), 9) AS c FROM q JOIN tr ON label = want AND id <> q QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, id) = 1), "
+    "e AS (SELECT a.id, max(round(list_cosine_similarity(a.v, b.v), 9)) AS c FROM tr a JOIN tr b ON a.label <> b.label WHERE a.id IN (SELECT id FROM o) GROUP BY a.id) "
+    "SELECT q, round(sqrt(greatest(0, 2 - 2 * o.c)) / greatest(sqrt(greatest(0, 2 - 2 * e.c)), 1e-12), 6) AS dsa FROM o JOIN e USING (id)"
+)
+
+
+@query("sim_dsa", DSA_SQL)
 def sim_dsa(p: Panels):
-    """Distance to the nearest of the own class over that one's distance to the nearest of another class."""
-    train, test = p.vecs.where("vec_id % 2 = 0 and not planted"), p.vecs.where("vec_id % 50 = 1 and not planted")
-    k = 40
-    own = Sim.nearest(test, train, "vec_id", "v", k).join(p.vecs.select(F.col("vec_id").alias("q"), F.col("predicted").alias("want")), "q").join(train.select(F.col("vec_id").alias("id"), "label"), "id").where("label = want")
-    first = own.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("rank"))).where("r = 1").select("q", "id", "label", F.sqrt(F.greatest(F.lit(1e-12), 2 - 2 * F.col("cosine"))).alias("d"))
-    met = train.join(first.select(F.col("id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    other = Sim.nearest(met, train, "vec_id", "v", k).join(train.select(F.col("vec_id").alias("id"), F.col("label").alias("other")), "id").select(F.col("q").alias("id"), "other", F.sqrt(F.greatest(F.lit(1e-12), 2 - 2 * F.col("cosine"))).alias("e"))
-    j = first.join(other, "id").where("other <> label").groupBy("q", "d").agg(F.min("e").alias("e"))
-    return j.select("q", R(F.col("d") / F.greatest(F.col("e"), F.lit(1e-12))).alias("dsa"))
+    """Distance to the nearest of the predicted class over that one's distance to the nearest of another class."""
+    train = p.vecs.where("not planted")
+    distance = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine")))
+    own = Sim.nearest(train.where("vec_id % 50 = 0"), train, "vec_id", "v", 1, groups=("predicted", "label", True)).select("q", "id", distance.alias("d"))  # the query set
+    met = train.join(own.select(F.col("id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    other = Sim.nearest(met, train, "vec_id", "v", 1, groups=("label", "label", False)).select(F.col("q").alias("id"), distance.alias("e"))
+    return own.join(other, "id").select("q", R(F.col("d") / F.greatest(F.col("e"), F.lit(1e-12))).alias("dsa"))
 
 
 def text_groups(p: Panels):
