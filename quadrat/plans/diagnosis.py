@@ -209,3 +209,11 @@ def dx_panel_stability(p: Panels):
     k = Rk.average_rank(Rk.average_rank(v, "x", ["g"], "rx"), "y", ["g"], "ry")
     shift = F.abs(F.col("rx") - F.col("ry"))
     return k.agg(R(F.corr("rx", "ry")).alias("rank_correlation"), F.round(F.avg(shift), 4).alias("mean_shift"), F.max(shift).alias("max_shift"), F.count_if(F.abs(F.col("x") - F.col("y")) > 1e-9).alias("changed"))
+
+
+@query("dx_interaction_gee", None)
+def dx_interaction_gee(p: Panels):
+    """Small targets with a high discount: more errors than the two conditions explain apart?"""
+    t = p.targets.select("sample_id", (F.col("area_ratio") < 0.03).cast("int").alias("small"), (F.col("discount_band") == "high").cast("int").alias("high"))
+    f = p.facts.select("sample_id", "class_name", "model", "seed", (1 - F.col("correct")).alias("error")).join(t, "sample_id")
+    return Dx.interaction(f, "error", "small", "high", ["class_name", "model", "seed"], "sample_id")

@@ -136,3 +136,57 @@ def test_late_rows_don_t_reopen_a_window(spark, tmp_path):
     d.write.parquet(str(tmp_path / "events.parquet"))
     out = attempts.drain(attempts.attempt_window(attempts.source(spark, str(tmp_path))), str(tmp_path / "out"))
     assert [r.attempts for r in out.collect()] == [1]
+
+
+def test_interaction_against_newton(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        a, b, c = rng.randint(0, 1), rng.randint(0, 1), rng.choice("xyz")
+        rows += [(int(rng.random() < 0.15 + 0.2 * a + 0.1 * b + 0.3 * a * b), a, b, c, i) for _ in range(3)]
+    schema = "error int, a int, b int, c string, id int"
+    got = diagnosis.interaction(spark.createDataFrame([*rows, (None, 1, 1, "x", 1)], schema), "error", "a", "b", ["c"], "id").first()
+
+    y = np.array([r[0] for r in rows], float)
+    x = np.array([[1, a, b, a * b, c == "y", c == "z"] for _, a, b, c, _ in rows], float)
+    beta = np.zeros(6)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        bread = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x)
+        beta = beta + bread @ x.T @ (y - p)
+    u = ((y - p)[:, None] * x).reshape(300, 3, 6).sum(axis=1)
+    se = (bread @ u.T @ u @ bread)[3, 3] ** 0.5
+    assert (got.samples, got.decisions, got.estimable) == (300, 900, 1)
+    assert got.log_odds == pytest.approx(beta[3], abs=1e-4)
+    assert got.low == pytest.approx(math.exp(beta[3] - 1.959963984540054 * se), rel=1e-3)
+    assert got.p_value == pytest.approx(math.erfc(abs(beta[3]) / se / 2**0.5), rel=1e-2, abs=1e-12)
+
+
+def test_interaction_needs_errors_in_each_cell(spark):
+    some = spark.createDataFrame([(0, 0, 0, "x", 1), (1, 1, 1, "x", 2)], "error int, a int, b int, c string, id int")
+    for d in (some, some.limit(0)):
+        got = diagnosis.interaction(d, "error", "a", "b", ["c"], "id").first()
+        assert got.estimable == 0 and got.reason and got.log_odds is None
+
+
+def test_nearest_of_a_group(spark):
+    v = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0]), (3, "b", [1.0, 0.1]), (4, None, [1.0, 0.0])], "id int, g string, v array<double>")
+    own = similar.nearest(v.where("id = 1"), v, "id", "v", 1, groups=("g", "g", True)).first()
+    other = similar.nearest(v.where("id = 1"), v, "id", "v", 1, groups=("g", "g", False)).first()
+    assert (own.id, other.id) == (2, 3)
+    assert similar.nearest(v.limit(0), v, "id", "v", 1).count() == 0
+
+
+def test_protocol_delta_by_hand(spark):
+    from quadrat.operators import agreement
+
+    schema = "class_name string, sample_id string, field string, left string, right string"
+    old = [("k", str(i), "f", "a", "a" if i < 50 else "b") for i in range(100)] + [("k", "alone", "f", "a", "a"), ("k", "0", "rare", "a", "unknown")]
+    new = [("k", str(i), "f", "a", "a" if i < 90 else "unknown" if i > 97 else "b") for i in range(100)] + [("k", "0", "rare", "a", "a")]
+    got = {r.field: r for r in agreement.protocol_delta(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "field").collect()}
+    f, rare = got["f"], got["rare"]
+    assert (f.n, f.old_known, f.old_agreement_pct, f.both_known_pct_delta, f.decision) == (100, 100, 50.0, -2.0, "promising_for_expansion")
+    assert f.revised_agreement_pct == pytest.approx(9000 / 98) and f.agreement_low < f.agreement_pct_delta < f.agreement_high
+    assert rare.old_agreement_pct is None and rare.decision == "insufficient_known_support"
