@@ -190,3 +190,43 @@ def test_protocol_delta_by_hand(spark):
     assert (f.n, f.old_known, f.old_agreement_pct, f.both_known_pct_delta, f.decision) == (100, 100, 50.0, -2.0, "promising_for_expansion")
     assert f.revised_agreement_pct == pytest.approx(9000 / 98) and f.agreement_low < f.agreement_pct_delta < f.agreement_high
     assert rare.old_agreement_pct is None and rare.decision == "insufficient_known_support"
+
+
+def test_swaps_against_all_exchanges():
+    rng = random.Random(3)
+    for _ in range(20):
+        rows = {f"{i:02}": (rng.choice("uv"), frozenset(x for x in "abcdef" if rng.random() < 0.3)) for i in range(30)}
+        picked = set(rng.sample(sorted(rows), 8))
+        table = {}
+        for side, ids in ((0, picked), (1, set(rows) - picked)):
+            for i in sorted(ids):
+                table.setdefault((side, rows[i]), []).append(i)
+        sides = [[(cell, sorted(states), ids) for (side, (cell, states)), ids in table.items() if side == want] for want in (0, 1)]
+
+        names = sorted(set().union(*[x for _, x in rows.values()]))
+
+        def judge(ids, names=names, rows=rows):
+            n = [sum(x in rows[i][1] for i in ids) for x in names]
+            met, full = sum(k > 0 for k in n) / len(n), sum(min(k / 3, 1) for k in n) / len(n)
+            return met, full, max(0, 1 - met) + max(0, 0.9 - full) / 0.9, sum(math.log1p(min(k, 3)) for k in n) / len(n) / math.log1p(3)
+
+        want = []
+        while len(want) < 8:
+            met, full, lack, use = judge(picked)
+            if met >= 1 and full + 1e-12 >= 0.9:
+                break
+            best = []
+            for o in picked:
+                for i in set(rows) - picked:
+                    if rows[o][0] != rows[i][0]:
+                        continue
+                    m, f, d, u = judge(picked - {o} | {i})
+                    if (d < lack - 1e-12 or (abs(d - lack) <= 1e-12 and u > use + 1e-12)) and (met < 1 or m >= 1) and (full + 1e-12 < 0.9 or f + 1e-12 >= 0.9):
+                        best.append((round(d, 10), -round(u, 10), o, i))
+            if not best:
+                break
+            _, _, o, i = min(best)
+            picked = picked - {o} | {i}
+            want.append((o, i))
+        assert [row[1:3] for row in selection.swaps(*sides, 1.0, 0.9, 3, 8)] == want
+    assert list(selection.swaps([], [], 1.0, 0.9, 3, 8)) == []
