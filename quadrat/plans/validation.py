@@ -186,3 +186,13 @@ def src_annotation_json(p: Panels):
 
     raw = p.targets.select("sample_id", F.to_json(F.struct("linestatus", F.array("scale", "discount_band").alias("tags"))).alias("value"))
     return files.annotations(raw, "sample_id").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+@query("jn_nearest_control", None)
+def jn_nearest_control(p: Panels):
+    """A control without discount for each target with a high one, alike in status and tax band."""
+    from quadrat.operators import matching
+
+    t = p.targets
+    pairs = matching.nearest_controls(t.where("discount_band = 'high'"), t.where("discount_band = 'none'"), "sample_id", ["linestatus", "tax_band"], "area_ratio", "ship_year")
+    return pairs.withColumn("cost", F.round("cost", 6))

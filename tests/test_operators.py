@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat.functions import scalar as S
-from quadrat.operators import diagnosis, ranking, sampling, selection, similar, stats, validation
+from quadrat.operators import diagnosis, matching, ranking, sampling, selection, similar, stats, validation
 from quadrat.sources import files
 from quadrat.streaming import attempts
 
@@ -230,3 +230,32 @@ def test_swaps_against_all_exchanges():
             want.append((o, i))
         assert [row[1:3] for row in selection.swaps(*sides, 1.0, 0.9, 3, 8)] == want
     assert list(selection.swaps([], [], 1.0, 0.9, 3, 8)) == []
+
+
+def test_nearest_controls_are_the_greedy_pairs(spark):
+    rng = random.Random(11)
+    row = lambda i: (f"{i:03}", rng.choice(["p", "q", None]), rng.choice([0.1, 0.2, 0.35, 0.5, 0.8, 0.0]), rng.choice("st"))
+    cases, controls = [row(i) for i in range(40)], [row(i) for i in range(100, 125)]
+    schema = "id string, block string, size double, g string"
+    got = matching.nearest_controls(spark.createDataFrame(cases, schema), spark.createDataFrame(controls, schema), "id", ["block"], "size", "g").collect()
+
+    known = [r for r in cases + controls if r[1]]
+    logs = [math.log(max(r[2], 1e-8)) for r in known]
+    mean = sum(logs) / len(logs)
+    std = (sum((x - mean) ** 2 for x in logs) / (len(logs) - 1)) ** 0.5
+    cost = lambda a, b: abs(math.log(max(a[2], 1e-8)) - math.log(max(b[2], 1e-8))) / std + 0.25 * (a[3] != b[3])
+    by_id = {r[0]: r for r in known}
+    for block in "pq":
+        left, right = [r for r in cases if r[1] == block], [r for r in controls if r[1] == block]
+        mine = [r for r in got if by_id[r.case_id][1] == block]
+        assert len(mine) == min(len(left), len(right)) == len({r.case_id for r in mine}) == len({r.control_id for r in mine})
+        for r in mine:
+            a, b = by_id[r.case_id], by_id[r.control_id]
+            assert b[1] == block and r.cost == pytest.approx(cost(a, b), abs=1e-6)
+        # stable: no case and control that both got worse would rather have each other
+        worst = {r.case_id: r.cost for r in mine} | {r.control_id: r.cost for r in mine}
+        for a in left:
+            for b in right:
+                assert cost(a, b) >= min(worst.get(a[0], 99), worst.get(b[0], 99)) - 1e-6
+    nothing = spark.createDataFrame([], schema)
+    assert matching.nearest_controls(nothing, nothing, "id", ["block"], "size", "g").count() == 0
