@@ -196,3 +196,27 @@ def jn_nearest_control(p: Panels):
     t = p.targets
     pairs = matching.nearest_controls(t.where("discount_band = 'high'"), t.where("discount_band = 'none'"), "sample_id", ["linestatus", "tax_band"], "area_ratio", "ship_year")
     return pairs.withColumn("cost", F.round("cost", 6))
+
+
+def saved(p: Panels) -> str:
+    """The targets as Parquet and CSV in a new folder of the shared one."""
+    from uuid import uuid4
+
+    from quadrat.plans.shared import folder
+    from quadrat.sources import files
+
+    path = f"{folder(p.spark)}/tables-{uuid4().hex}"
+    files.write_tables(p.targets.select("sample_id", "class_name", "scale", F.array("linestatus", "discount_band").alias("bands")), path, protected=[p.sf_dir])
+    return path
+
+
+@query("src_manifest_csv", "SELECT sample_id, class_name, scale, '[\"' || linestatus || '\",\"' || discount_band || '\"]' AS bands FROM targets")
+def src_manifest_csv(p: Panels):
+    from quadrat.sources import files
+
+    return files.manifest_csv(p.spark, f"{saved(p)}/csv", ["sample_id", "class_name", "scale", "bands"], "sample_id")
+
+
+@query("snk_tables", "SELECT sample_id, class_name, scale, linestatus || '+' || discount_band AS bands FROM targets")
+def snk_tables(p: Panels):
+    return p.spark.read.parquet(f"{saved(p)}/parquet").withColumn("bands", F.array_join("bands", "+"))
