@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -68,3 +70,74 @@ def poisson_weight(*parts: Column | str) -> Column:
         out = out + (u >= total).cast("int")
         term /= k + 1
     return out
+
+
+#: Samples of one outcome up to which counts are drawn exactly; above it numpy has no hypergeometric draw and the normal approximation is used.
+EXACT = 10**9 - 1
+
+
+def _per_replicate(spark, replicates: int, columns: Sequence[str], draw) -> DataFrame:
+    """A row (rep, *columns) for each replicate; its random numbers depend on its number alone, so they are the same on every cluster."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = np.array([draw(np.random.Generator(np.random.Philox(key=int(r)))) for r in b["rep"]]).reshape(len(b), len(columns))
+            yield pd.DataFrame(dict(zip(columns, got.T, strict=True))).assign(rep=b["rep"].to_numpy())
+
+    reps = spark.range(1, replicates + 1).withColumnRenamed("id", "rep")
+    return reps.mapInPandas(run, "rep long, " + ", ".join(f"`{c}` double" for c in columns)).select("rep", *columns)
+
+
+def bootstrap_sums(outcomes: DataFrame, values: Sequence[str], count: str, replicates: int) -> DataFrame:
+    """(rep, *values): weighted sums over all samples, each with a Poisson(1) weight of its own, in ``replicates`` draws.
+
+    ``outcomes`` has one row for each distinct outcome and how many samples
+    have it.  The weights of ``count`` equal samples add up to one
+    Poisson(count) number, so a replicate costs a draw an outcome, not a sample.
+    The outcomes go to the driver: how many there are must not depend on the rows.
+    """
+    rows = sorted(tuple(r) for r in outcomes.select(*values, count).collect())
+    table = np.array(rows, dtype=float).reshape(len(rows), len(values) + 1)
+    return _per_replicate(outcomes.sparkSession, replicates, list(values), lambda rng: rng.poisson(table[:, -1]) @ table[:, :-1])
+
+
+def _taken(rng: np.random.Generator, counts: np.ndarray, size: int) -> np.ndarray:
+    """How many of each outcome are among ``size`` samples drawn without replacement."""
+    out, left = np.zeros_like(counts), int(counts.sum())
+    for i, n in enumerate(counts):
+        n = int(n)
+        if left <= EXACT:
+            k = int(rng.hypergeometric(n, left - n, size)) if size else 0
+        else:
+            spread = (size / left) * (n / left) * (1 - n / left) * left * (1 - size / left) * left / (left - 1)
+            k = min(max(round(rng.normal(size * (n / left), max(spread, 0.0) ** 0.5)), size - (left - n), 0), n, size)
+        out[i], size, left = k, size - k, left - n
+    return out
+
+
+def random_tier_gaps(outcomes: DataFrame, by: str, value: str, count: str, replicates: int, n: int = 5) -> DataFrame:
+    """(rep, d): mean of the last tier less that of the first in ``replicates`` random divisions of each group into n tiers.
+
+    ``outcomes`` has one row (by, value, count) for each distinct value of a
+    group.  Which samples of equal value enter a tier makes no difference, so
+    their numbers are drawn (hypergeometric), not the samples.  Tier sizes are
+    those of ntile.  The outcomes go to the driver: their number must not
+    depend on the rows.
+    """
+    groups: dict = {}
+    for g, v, k in sorted(tuple(r) for r in outcomes.select(by, value, count).collect()):
+        groups.setdefault(g, []).append((float(v), int(k)))
+    tables = [(np.array([v for v, _ in x]), np.array([k for _, k in x], dtype=np.int64)) for _, x in sorted(groups.items())]
+
+    def draw(rng: np.random.Generator) -> float:
+        sums, sizes = [0.0, 0.0], [0, 0]
+        for v, k in tables:
+            total = int(k.sum())
+            size = (total // n, total // n + (total % n > 0))  # the last tier, the first
+            last = _taken(rng, k, size[0])
+            for i, part in enumerate((last, _taken(rng, k - last, size[1]))):
+                sums[i] += float(part @ v)
+                sizes[i] += size[i]
+        return sums[0] / sizes[0] - sums[1] / sizes[1] if all(sizes) else np.nan
+
+    return _per_replicate(outcomes.sparkSession, replicates, ["d"], draw)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quadrat.operators import ranking as Rk
 from quadrat.operators import sampling as Sm
+from quadrat.operators import stats as T
 from quadrat.plans.aggregates import LEDGER_SQL
 from quadrat.plans.panels import Panels, query
 from quadrat.plans.projections import R
+from quadrat.plans.statistics import REPLICATES
 from quadrat.plans.windows import TIER_SQL, tiers
 from quadrat.operators import metrics as M
 
@@ -129,6 +132,23 @@ def smp_random_strata(p: Panels):
     return d.agg(R(F.min("d")).alias("low"), R(F.max("d")).alias("high"), R((1 + F.count_if(F.abs("d") >= 0.01)) / 11).alias("p"))
 
 
+def tier_gap_test(t: DataFrame, replicates: int = REPLICATES) -> DataFrame:
+    """Gap of the mean y between tier 5 and tier 1 against random tiers: observed, 95 % range, (1 + extreme) / (B + 1)."""
+    mean = lambda k: F.sum(F.when(F.col("tier") == k, F.col("y") * F.col("c"))) / F.sum(F.when(F.col("tier") == k, F.col("c")))
+    cells = t.groupBy("class_name", "tier", "y").agg(F.count("*").alias("c"))
+    seen = cells.agg((mean(5) - mean(1)).alias("seen"))
+    d = T.random_tier_gaps(cells.groupBy("class_name", "y").agg(F.sum("c").alias("c")), "class_name", "y", "c", replicates)
+    extreme = F.count_if(F.abs("d") >= F.abs("seen") - 1e-12)
+    return d.crossJoin(F.broadcast(seen)).agg(R(F.max("seen")).alias("observed"), R(F.percentile("d", 0.025)).alias("low"), R(F.percentile("d", 0.975)).alias("high"), R((1 + extreme) / (1 + F.count("d"))).alias("p"), F.count("d").alias("replicates"))  # one row
+
+
+@query("smp_random_strata_null", None)
+def smp_random_strata_null(p: Panels):
+    """The gap of the risk tiers against REPLICATES random stratifications; ``smp_random_strata`` shows the draw itself, against SQL."""
+    e = p.facts.groupBy("sample_id").agg(F.avg("correct").alias("y"))  # MODELS x SEEDS + 1 values
+    return tier_gap_test(tiers(p).select("sample_id", "class_name", "tier").join(e, "sample_id"))
+
+
 MATCH_SQL = "ms AS (SELECT m AS method, f.sample_id, f.class_name, scale, correct, row_number() OVER (PARTITION BY m, f.class_name ORDER BY sha256(concat_ws(':', m::VARCHAR, f.sample_id))) AS pick FROM facts f JOIN targets USING (sample_id) CROSS JOIN range(1, 4) AS g(m) WHERE model = 1 AND seed = 1), mk AS (SELECT * FROM ms WHERE pick <= 300)"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 
 from quadrat.operators import ranking as Rk
 from quadrat.operators import stats as T
-from quadrat.plans.panels import Panels, query
+from quadrat.plans.panels import MODELS, Panels, query
 from quadrat.plans.projections import LOGIT_SQL, R, logits
 from quadrat.functions import scalar as S
 
@@ -88,11 +88,18 @@ def st_win_counts(p: Panels):
     return d.agg(F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), F.count_if(F.col("d") < 0).alias("losses"))
 
 
-def image_replicates(p: Panels, n: int = 40):
-    """Weighted recall of each model in n replicates: images are weighted, per-image sums come first."""
-    per = p.facts.groupBy("sample_id", "class_name", "model").agg(F.sum("correct").alias("k"), F.count("*").alias("n"))
-    draws = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("w", T.poisson_weight("sample_id", "rep"))
-    return draws.groupBy("rep", "model").agg((F.sum(F.col("w") * F.col("k")) / F.sum(F.col("w") * F.col("n"))).alias("y"))
+#: Bootstrap replicates, as many as the reference draws (BOOTSTRAP_REPLICATES); they cost a draw for each distinct outcome, not for each image.
+REPLICATES = 10_000
+
+
+def image_replicates(p: Panels, n: int = REPLICATES):
+    """Weighted recall of each model in n replicates: images are weighted, images of equal outcome (at most (SEEDS + 1) ** MODELS) are counted first."""
+    models = range(1, MODELS + 1)
+    mine = lambda m: F.col("model") == m
+    per = p.facts.groupBy("sample_id").agg(*[F.sum(F.when(mine(m), F.col("correct")).otherwise(0)).alias(f"k{m}") for m in models], *[F.count_if(mine(m)).alias(f"n{m}") for m in models])
+    values = [f"{c}{m}" for c in "kn" for m in models]
+    sums = T.bootstrap_sums(per.groupBy(*values).agg(F.count("*").alias("images")), values, "images", n)
+    return sums.select("rep", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.try_divide(F.col(f"k{m}"), F.col(f"n{m}")).alias("y")) for m in models])))
 
 
 @query("st_image_bootstrap", None)
@@ -109,10 +116,11 @@ def st_contrast_record(p: Panels):
 
 @query("st_paired_bootstrap_models", None)
 def st_paired_bootstrap_models(p: Panels):
+    """Two-sided p = 2 (1 + opposite) / (B + 1), never 0, and its Holm adjustment over all pairs."""
     y = image_replicates(p)
     a, b = y.select("rep", F.col("model").alias("a"), F.col("y").alias("ya")), y.select("rep", F.col("model").alias("b"), F.col("y").alias("yb"))
     d = a.join(b, "rep").where("a < b").withColumn("d", F.col("ya") - F.col("yb"))
-    g = d.groupBy("a", "b").agg(F.avg("d").alias("difference"), F.avg((F.col("d") <= 0).cast("int")).alias("le"), F.avg((F.col("d") >= 0).cast("int")).alias("ge"))
+    g = d.groupBy("a", "b").agg(F.avg("d").alias("difference"), ((1 + F.count_if(F.col("d") <= 0)) / (1 + F.count("d"))).alias("le"), ((1 + F.count_if(F.col("d") >= 0)) / (1 + F.count("d"))).alias("ge"))
     g = g.withColumn("p", F.least(F.lit(1.0), 2 * F.least("le", "ge"))).withColumn("family", F.lit(1))
     return T.holm(g, "p", ["family"], "a", "b").select("a", "b", R("difference").alias("difference"), R("p").alias("p"), R("adjusted").alias("adjusted"))
 

@@ -259,3 +259,44 @@ def test_nearest_controls_are_the_greedy_pairs(spark):
                 assert cost(a, b) >= min(worst.get(a[0], 99), worst.get(b[0], 99)) - 1e-6
     nothing = spark.createDataFrame([], schema)
     assert matching.nearest_controls(nothing, nothing, "id", ["block"], "size", "g").count() == 0
+
+
+def test_a_true_tier_gap_is_found(spark):
+    from quadrat.plans.sampling import tier_gap_test
+
+    # tier 5 is always wrong, the rest always right: ten draws can't give a p under 1/11
+    t = spark.createDataFrame([("a", 1 + i // 40, float(i // 40 != 4)) for i in range(200)], "class_name string, tier int, y double")
+    got = tier_gap_test(t).first()
+    assert (got.observed, got.replicates, got.p) == (-1.0, 10_000, round(1 / 10_001, 6))
+    assert -0.25 < got.low < -0.1 and 0.1 < got.high < 0.25
+
+
+def test_random_tiers_have_the_spread_of_a_permutation(spark):
+    rng = random.Random(3)
+    values = [0.0] * 30 + [0.5] * 20 + [1.0] * 53
+    t = spark.createDataFrame([("a", v, values.count(v)) for v in (0.0, 0.5, 1.0)], "g string, v double, n long")
+    got = [r.d for r in stats.random_tier_gaps(t, "g", "v", "n", 4000).collect()]
+    want = []
+    for _ in range(4000):
+        rng.shuffle(values)
+        want.append(sum(values[-20:]) / 20 - sum(values[:21]) / 21)
+    spread = lambda x: math.sqrt(sum(v * v for v in x) / len(x))
+    assert len(set(got)) > 50 and abs(sum(got) / 4000) < 0.01 and abs(spread(got) / spread(want) - 1) < 0.06
+
+
+def test_bootstrap_sums_have_mean_and_spread_of_poisson_weights(spark):
+    t = spark.createDataFrame([(0, 1, 40), (1, 1, 60)], "k int, n int, images long")
+    got = stats.bootstrap_sums(t, ["k", "n"], "images", 4000).collect()
+    k, n = [r.k for r in got], [r.n for r in got]
+    mean = sum(k) / 4000
+    assert abs(mean - 60) < 0.6 and abs(sum(n) / 4000 - 100) < 0.8 and abs(sum((x - mean) ** 2 for x in k) / 4000 - 60) < 6
+    assert [tuple(r) for r in got] == [tuple(r) for r in stats.bootstrap_sums(t, ["k", "n"], "images", 4000).collect()]
+
+
+def test_replicates_are_the_references(spark):
+    from quadrat.plans import statistics
+    from quadrat.plans.panels import Panels
+
+    p = Panels(spark, "/root/testdata/sf0.001")
+    assert statistics.st_contrast_record(p).first().finite == statistics.REPLICATES == 10_000
+    assert all(r.p > 0 for r in statistics.st_paired_bootstrap_models(p).collect())
