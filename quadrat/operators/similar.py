@@ -11,14 +11,20 @@ from pyspark.sql import Window
 from quadrat.functions import scalar as S
 
 
-def bands(hash_: Column, n: int, bits: int = 64) -> Column:
-    """The hash in ``n`` parts as (part, bits): of n parts, hashes within n-1 bits share one."""
-    width = -(-bits // n)
+def bands(hash_: Column, n: int, bits: int = 64, errors: int = 0) -> Column:
+    """The hash in ``n`` parts of nearly equal width as (part, bits): of n parts, hashes within n-1 bits share one.
+
+    With ``errors`` = 1 a part also appears with each of its bits flipped: if
+    both sides have these, parts that differ in at most two bits meet.
+    """
     parts = []
     for i in range(n):
-        w = min(width, bits - i * width)
-        value = F.shiftrightunsigned(hash_, i * width).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1).cast("long"))
-        parts.append(F.struct(F.lit(i).alias("part"), value.alias("bits")))
+        low, high = i * bits // n, (i + 1) * bits // n
+        w = high - low
+        value = F.shiftrightunsigned(hash_, low).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1).cast("long"))
+        flips = [0, *(1 << k for k in range(w))] if errors else [0]
+        flips = [x - (1 << 64) if x >> 63 else x for x in flips]
+        parts += [F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(x).cast("long")).alias("bits")) for x in flips]
     return F.array(*parts)
 
 
@@ -29,15 +35,18 @@ def hamming(a: Column, b: Column) -> Column:
 def hamming_pairs(left: DataFrame, right: DataFrame | None, key: str, hash_: str, distance: int) -> DataFrame:
     """(a, b, distance) of hashes at most ``distance`` bits apart; by bands, without a cross join.
 
+    distance // 3 + 1 bands leave one with at most two differing bits; each side
+    lists its bands with up to one flipped bit, so these meet.  Such bands are
+    wide (21 bits for a distance of 8), so few strangers do.
     Equal hashes are one row while pairs are sought, so a group of copies costs
     one row a band; its members are joined back at the end.  With one table,
     a < b.
     """
-    same = right is None
+    same, n = right is None, distance // 3 + 1
     right = left if same else right
     lh, rh = left.select(F.col(hash_).alias("h")).distinct(), right.select(F.col(hash_).alias("h")).distinct()
-    a = lh.select(F.col("h").alias("ha"), F.inline(bands(F.col("h"), distance + 1)))
-    b = rh.select(F.col("h").alias("hb"), F.inline(bands(F.col("h"), distance + 1)))
+    a = lh.select(F.col("h").alias("ha"), F.inline(bands(F.col("h"), n, errors=1)))
+    b = rh.select(F.col("h").alias("hb"), F.inline(bands(F.col("h"), n, errors=1)))
     near = a.join(b, ["part", "bits"]).where(hamming(F.col("ha"), F.col("hb")) <= distance).select("ha", "hb").distinct()
     near = near.withColumn("distance", hamming(F.col("ha"), F.col("hb")))
     out = near.join(left.select(F.col(key).alias("a"), F.col(hash_).alias("ha")), "ha").join(right.select(F.col(key).alias("b"), F.col(hash_).alias("hb")), "hb")

@@ -51,6 +51,68 @@ def sim_cross_leakage(p: Panels):
     return Sim.hamming_pairs(h.where("planted"), h.where("not planted"), "vec_id", "h", 6).groupBy("a").agg(F.min("distance").alias("distance"))
 
 
+# -- the reference's rule over all 64 signs ---------------------------------------------------
+
+#: Planted copies in turn: signs flipped (of the numbers nearest to zero), spread of the others' sizes; around both limits of the rule and of the radius.
+CASES = ((0, 0.0), (4, 0.15), (4, 0.25), (5, 0.12), (7, 0.0), (8, 0.0), (8, 0.1), (9, 0.0))
+RADIUS = 8
+
+_CASE = lambda k: "CASE vec_id // 10 % 8 " + " ".join(f"WHEN {i} THEN {c[k]}" for i, c in enumerate(CASES)) + " END"
+NEAR_SQL = (
+    f"nv0 AS (SELECT vec_id, embedding::DOUBLE[] AS v, {_CASE(0)} AS flips, ({_CASE(1)})::DOUBLE AS spread FROM embeddings WHERE vec_id % 10 = 0), "
+    "nv1 AS (SELECT *, list_sort(list_transform(v, lambda x: abs(x)))[flips + 1] AS limit_ FROM nv0), "
+    "near_vecs AS (SELECT vec_id, vec_id AS source, embedding::DOUBLE[] AS v, false AS planted FROM embeddings UNION ALL SELECT vec_id + 1000000, CASE WHEN vec_id // 80 % 2 = 0 THEN vec_id ELSE vec_id + 1000000 END, "
+    "list_transform(v, lambda x, i: CASE WHEN abs(x) < limit_ THEN -x ELSE x END * (1 + CASE WHEN i % 2 = 1 THEN spread ELSE -spread END)), true FROM nv1), "
+    "h64 AS (SELECT *, list_sum(list_transform(v, lambda x, i: CASE WHEN x > 0 AND i <= 32 THEN 1::BIGINT << least(i - 1, 31) ELSE 0 END))::BIGINT AS h0, list_sum(list_transform(v, lambda x, i: CASE WHEN x > 0 AND i > 32 AND i <= 64 THEN 1::BIGINT << least(greatest(i - 33, 0), 31) ELSE 0 END))::BIGINT AS h1 FROM near_vecs)"
+)
+PAIR64_SQL = NEAR_SQL + ", d64 AS (SELECT a.vec_id AS a, b.vec_id AS b, a.source = b.source AS same, a.v AS va, b.v AS vb, bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) AS distance FROM h64 a JOIN h64 b ON a.vec_id < b.vec_id), hp AS (SELECT * FROM d64 WHERE distance <= 8)"
+CONFIRM64_SQL = PAIR64_SQL + ", cf AS (SELECT *, list_cosine_similarity(va, vb) AS cosine FROM hp), ok AS (SELECT * FROM cf WHERE (distance <= 4 AND cosine >= 0.98) OR (distance <= 8 AND cosine >= 0.995))"
+
+
+def near_vecs(p: Panels):
+    """The vectors and planted copies as in CASES, with all 64 signs as a hash; half of the copies keep their origin's source."""
+    v, turn = F.col("v"), F.floor(F.col("vec_id") / 10) % len(CASES)
+    case = lambda k: F.get(F.array(*[F.lit(c[k]) for c in CASES]), turn.cast("int"))
+    real = p.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    least = F.get(F.array_sort(F.transform("v", F.abs)), case(0))
+    copy = real.where("vec_id % 10 = 0").withColumn("least", least).withColumn("spread", case(1))
+    changed = F.transform(v, lambda x, i: F.when(F.abs(x) < F.col("least"), -x).otherwise(x) * (1 + F.when(i % 2 == 0, F.col("spread")).otherwise(-F.col("spread"))))
+    other = F.col("vec_id") + 1_000_000
+    copy = copy.select(other.alias("vec_id"), F.when(F.floor(F.col("vec_id") / 80) % 2 == 0, F.col("vec_id")).otherwise(other).alias("source"), changed.alias("v"), F.lit(True).alias("planted"))
+    return real.select("vec_id", F.col("vec_id").alias("source"), "v", F.lit(False).alias("planted")).unionByName(copy).withColumn("h", S.sign_bits(v))
+
+
+@query("sim_hamming_pairs_64", PAIR64_SQL + " SELECT a, b, distance FROM hp")
+def sim_hamming_pairs_64(p: Panels):
+    return Sim.hamming_pairs(near_vecs(p), None, "vec_id", "h", RADIUS)
+
+
+@query("sim_cosine_confirm_64", CONFIRM64_SQL + " SELECT a, b, distance, round(cosine, 6) AS cosine FROM ok")
+def sim_cosine_confirm_64(p: Panels):
+    n = near_vecs(p)
+    return Sim.confirmed(Sim.hamming_pairs(n, None, "vec_id", "h", RADIUS), n, "vec_id", "v").withColumn("cosine", R("cosine"))
+
+
+@query("sim_duplicate_status_64", CONFIRM64_SQL + ", al AS (SELECT a, b, 'corroborated' AS s, 2 AS o FROM ok UNION ALL SELECT a, b, 'same_source', 1 FROM hp WHERE same UNION ALL SELECT a, b, 'exact', 0 FROM hp WHERE distance = 0) SELECT a, b, arg_min(s, o) AS status FROM al GROUP BY a, b")
+def sim_duplicate_status_64(p: Panels):
+    n = near_vecs(p)
+    pairs = Sim.hamming_pairs(n, None, "vec_id", "h", RADIUS)
+    source = lambda k: n.select(F.col("vec_id").alias(k), F.col("source").alias(f"s{k}"))
+    tagged = lambda df, s, o: df.select("a", "b", F.lit(s).alias("s"), F.lit(o).alias("o"))
+    same = pairs.join(source("a"), "a").join(source("b"), "b").where("sa = sb")
+    u = tagged(Sim.confirmed(pairs, n, "vec_id", "v"), "corroborated", 2).unionByName(tagged(same, "same_source", 1)).unionByName(tagged(pairs.where("distance = 0"), "exact", 0))
+    return u.groupBy("a", "b").agg(F.min_by("s", "o").alias("status"))
+
+
+@query("sim_cross_leakage_64", NEAR_SQL + ", x AS (SELECT a.vec_id AS a, bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) AS distance, list_cosine_similarity(a.v, b.v) AS cosine FROM h64 a JOIN h64 b ON a.planted AND NOT b.planted) SELECT a, min(distance) AS distance, bool_or((distance <= 4 AND cosine >= 0.98) OR cosine >= 0.995) AS leaks FROM x WHERE distance <= 8 GROUP BY a")
+def sim_cross_leakage_64(p: Panels):
+    """Planted rows near to others: the least distance, and whether a pair meets the whole rule."""
+    n = near_vecs(p)
+    pairs = Sim.hamming_pairs(n.where("planted"), n.where("not planted"), "vec_id", "h", RADIUS)
+    ok = Sim.confirmed(pairs, n, "vec_id", "v").select("a").distinct().withColumn("ok", F.lit(True))
+    return pairs.groupBy("a").agg(F.min("distance").alias("distance")).join(ok, "a", "left").select("a", "distance", F.coalesce("ok", F.lit(False)).alias("leaks"))
+
+
 @query("sim_cosine_topk", "q AS (SELECT * FROM vecs WHERE vec_id % 50 = 0), j AS (SELECT q.vec_id AS q, p.vec_id AS id, round(list_cosine_similarity(q.v, p.v), 9) AS cosine FROM q JOIN vecs p ON p.vec_id <> q.vec_id) SELECT q, id, round(cosine, 6) AS cosine FROM j QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) <= 5")
 def sim_cosine_topk(p: Panels):
     q = p.vecs.where("vec_id % 50 = 0")  # the query set; the pool is all rows

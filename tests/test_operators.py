@@ -300,3 +300,33 @@ def test_replicates_are_the_references(spark):
     p = Panels(spark, "/root/testdata/sf0.001")
     assert statistics.st_contrast_record(p).first().finite == statistics.REPLICATES == 10_000
     assert all(r.p > 0 for r in statistics.st_paired_bootstrap_models(p).collect())
+
+
+def test_the_rule_accepts_and_refuses_planted_copies(spark):
+    from quadrat.plans import similarity
+    from quadrat.plans.panels import Panels
+
+    p = Panels(spark, "/root/testdata/sf0.001")
+    turn = lambda b: (b - 1_000_000) // 10 % len(similarity.CASES)
+    met = {}
+    for r in similarity.sim_hamming_pairs_64(p).collect():
+        assert r.b == r.a + 1_000_000 and r.distance == similarity.CASES[turn(r.b)][0]
+        met.setdefault(turn(r.b), set()).add(r.distance)
+    assert sorted(met) == [0, 1, 2, 3, 4, 5, 6]  # nine bits are out of reach
+    ok = {turn(r.b) for r in similarity.sim_cosine_confirm_64(p).collect()}
+    # 4 bits at .98 and 7 and 8 bits at .995 pass; 4 bits under .98 and 5 and 8 bits under .995 don't
+    assert ok == {0, 1, 4, 5}
+
+
+def test_hamming_pairs_of_64_bits_within_8(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    flip = lambda x, k: x ^ sum(1 << i for i in rng.sample(range(64), k))
+    rows = list(enumerate([*base, *(flip(x, k % 11) for k, x in enumerate(base))]))
+    d = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in rows], "id long, h long")
+    got = {(r.a, r.b, r.distance) for r in similar.hamming_pairs(d, None, "id", "h", 8).collect()}
+    want = {(a, b, bin(x ^ y).count("1")) for a, x in rows for b, y in rows if a < b and bin(x ^ y).count("1") <= 8}
+    assert got == want and {7, 8} <= {n for _, _, n in got}
+    # no band is empty: hashes of nothing in common share none
+    one_band = similar.bands(F.col("h"), 9)
+    assert spark.createDataFrame([(0,), (-1,)], "h long").select(F.inline(one_band)).distinct().count() == 18
