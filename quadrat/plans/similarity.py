@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -158,15 +159,31 @@ def sim_conflicts_in_group(p: Panels):
     return d.groupBy("h").agg(F.min("doc_id").alias("root"), F.count("*").alias("n"), F.count_distinct("source").alias("sources")).where("sources > 1").select("root", "n", "sources")
 
 
-@query("sim_error_clusters", None)
-def sim_error_clusters(p: Panels):
-    """k-means on the normalised vectors of wrong samples; k = clamp(round(sqrt n), 2, 8)."""
+def error_clusters(wrong: DataFrame) -> DataFrame:
+    """(class_name, vec_id, cluster) of wrong samples (class_name, vec_id, v): k-means on the normalised vectors of each class; k = clamp(round(sqrt n), 2, 8), at most n."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    wrong = p.vecs.where("predicted <> label").select("vec_id", array_to_vector(F.transform("v", lambda x: x / S.norm(F.col("v")))).alias("features"))
-    k = max(2, min(8, round(wrong.count() ** 0.5)))
-    return KMeans(k=k, seed=7, maxIter=10).fit(wrong).transform(wrong).groupBy("prediction").agg(F.count("*").alias("n"))
+    from quadrat.plans.shared import ready
+
+    wrong = ready(wrong.select("class_name", "vec_id", array_to_vector(F.transform("v", lambda x: x / F.greatest(S.norm(F.col("v")), F.lit(1e-12)))).alias("features")))
+    out = wrong.select("class_name", "vec_id", F.lit(0).alias("cluster")).limit(0)
+    for name, n in sorted(tuple(r) for r in wrong.groupBy("class_name").count().collect()):  # the classes of the dictionary
+        mine = wrong.where(F.col("class_name") == name)
+        k = min(n, max(2, min(8, round(n**0.5))))
+        got = KMeans(k=k, seed=7, maxIter=300, predictionCol="cluster").fit(mine).transform(mine) if k > 1 else mine.withColumn("cluster", F.lit(0))
+        out = out.unionByName(got.select("class_name", "vec_id", "cluster"))
+    return out
+
+
+def wrong_vecs(p: Panels) -> DataFrame:
+    return p.vecs.where("predicted <> label").select(F.col("label").alias("class_name"), "vec_id", "v")
+
+
+@query("sim_error_clusters", None)
+def sim_error_clusters(p: Panels):
+    """The cluster of each wrong sample inside its class; the panel holds one run."""
+    return error_clusters(wrong_vecs(p))
 
 
 @query("sim_qualify_priority", None)

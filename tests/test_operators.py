@@ -330,3 +330,14 @@ def test_hamming_pairs_of_64_bits_within_8(spark):
     # no band is empty: hashes of nothing in common share none
     one_band = similar.bands(F.col("h"), 9)
     assert spark.createDataFrame([(0,), (-1,)], "h long").select(F.inline(one_band)).distinct().count() == 18
+
+
+def test_errors_are_clustered_inside_their_class(spark):
+    from quadrat.plans.similarity import error_clusters
+
+    # nine errors of a in three directions, one of b in a direction of a
+    far = lambda i: [float(j == i % 3) for j in range(3)]
+    rows = [("a", i, [x + 0.01 * i / 9 for x in far(i)]) for i in range(9)] + [("b", 50, far(0))]
+    got = {r.vec_id: (r.class_name, r.cluster) for r in error_clusters(spark.createDataFrame(rows, "class_name string, vec_id long, v array<double>")).collect()}
+    assert sorted(got) == [*range(9), 50] and got[50] == ("b", 0)
+    assert len({got[i] for i in range(9)}) == 3 and all(got[i] == got[i % 3] for i in range(9))
