@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -10,8 +11,10 @@ from quadrat.operators import metrics as M
 from quadrat.operators import ranking as Rk
 from quadrat.operators import risk
 from quadrat.plans.aggregates import CONF_SQL
-from quadrat.plans.panels import Panels, query
+from quadrat.plans.panels import REGISTRY, Panels, query
 from quadrat.plans.projections import R
+from quadrat.plans.sampling import smp_exact_cell_pairs
+from quadrat.plans.similarity import error_clusters, wrong_vecs
 from quadrat.plans.windows import GAP_SQL, ORDER_SQL, TIER_SQL, order, tiers
 
 KEYS = ["model", "class_name", "field", "value"]
@@ -217,3 +220,48 @@ def dx_interaction_gee(p: Panels):
     t = p.targets.select("sample_id", (F.col("area_ratio") < 0.03).cast("int").alias("small"), (F.col("discount_band") == "high").cast("int").alias("high"))
     f = p.facts.select("sample_id", "class_name", "model", "seed", (1 - F.col("correct")).alias("error")).join(t, "sample_id")
     return Dx.interaction(f, "error", "small", "high", ["class_name", "model", "seed"], "sample_id")
+
+
+PAIR_GAP_SQL = (
+    f"pairs AS (WITH {REGISTRY['smp_exact_cell_pairs'][1]}), an AS (SELECT 1 AS annotator, sample_id, discount_band AS v FROM targets UNION ALL SELECT 2, sample_id, discount_band FROM second), "
+    "held AS (SELECT pairs.class_name, a.annotator, case_id, reference_id, a.v = 'high' AS is_case, b.v NOT IN ('high', 'unknown') AS is_reference FROM pairs JOIN an a ON a.sample_id = case_id JOIN an b ON b.sample_id = reference_id AND b.annotator = a.annotator), "
+    "m AS (SELECT held.*, x.model, x.seed, is_case AND is_reference AS keep, x.correct AS k1, y.correct AS k0 FROM held JOIN facts x ON x.sample_id = case_id JOIN facts y ON y.sample_id = reference_id AND y.model = x.model AND y.seed = x.seed) "
+    "SELECT class_name, annotator, model, seed, count(*) FILTER (WHERE is_case) AS case_support, count(*) FILTER (WHERE is_reference) AS reference_support, count(*) FILTER (WHERE keep) AS pairs, count(*) FILTER (WHERE keep) >= 20 AS evaluable, "
+    "round(avg(k1) FILTER (WHERE keep), 6) AS case_recall, round(avg(k0) FILTER (WHERE keep), 6) AS reference_recall, round(avg(k1 - k0) FILTER (WHERE keep), 6) AS recall_gap FROM m GROUP BY ALL"
+)
+
+
+@query("dx_pair_gap", PAIR_GAP_SQL)
+def dx_pair_gap(p: Panels):
+    """Recall of cases less that of paired references for each class, annotator and run; a pair counts if both still hold under that annotator."""
+    fields = lambda df, n: df.select(F.lit(n).alias("annotator"), "sample_id", F.col("discount_band").alias("v"))
+    an = fields(p.targets, 1).unionByName(fields(p.second, 2))
+    a, b = an.select("annotator", F.col("sample_id").alias("case_id"), (F.col("v") == "high").alias("is_case")), an.select("annotator", F.col("sample_id").alias("reference_id"), (~F.col("v").isin("high", "unknown")).alias("is_reference"))
+    held = smp_exact_cell_pairs(p).join(a, "case_id").join(b, ["reference_id", "annotator"])
+    k = lambda key, name: p.facts.select(F.col("sample_id").alias(key), "model", "seed", F.col("correct").alias(name))
+    m = held.join(k("case_id", "k1"), "case_id").join(k("reference_id", "k0"), ["reference_id", "model", "seed"]).withColumn("keep", F.expr("is_case and is_reference"))
+    kept = lambda c: R(F.avg(F.when(F.col("keep"), c)))
+    return m.groupBy("class_name", "annotator", "model", "seed").agg(
+        F.count_if("is_case").alias("case_support"),
+        F.count_if("is_reference").alias("reference_support"),
+        F.count_if("keep").alias("pairs"),
+        (F.count_if("keep") >= 20).alias("evaluable"),
+        kept(F.col("k1")).alias("case_recall"),
+        kept(F.col("k0")).alias("reference_recall"),
+        kept(F.col("k1") - F.col("k0")).alias("recall_gap"),
+    )
+
+
+def cluster_breadth(clusters: DataFrame, chosen: DataFrame, budgets: tuple[int, ...]) -> DataFrame:
+    """(class_name, budget, met, clusters, breadth): distinct error clusters among the first ``budget`` of each class over all its clusters; chosen has (vec_id, rank)."""
+    first = clusters.join(chosen.select("vec_id", "rank"), "vec_id", "left").groupBy("class_name", "cluster").agg(F.min("rank").alias("rank"))
+    first = first.withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+    g = first.groupBy("class_name", "budget").agg(F.count_if(F.coalesce(F.col("rank") <= F.col("budget"), F.lit(False))).alias("met"), F.count("*").alias("clusters"))
+    return g.withColumn("breadth", R(F.col("met") / F.col("clusters")))
+
+
+@query("dx_cluster_breadth", None)
+def dx_cluster_breadth(p: Panels):
+    """Error clusters met by the first rows of each class in a hash order, at several budgets."""
+    chosen = Rk.hash_order(p.vecs.select(F.col("label").alias("class_name"), "vec_id"), ["class_name"], F.lit("12"), F.col("vec_id").cast("string"))
+    return cluster_breadth(error_clusters(wrong_vecs(p)), chosen, (10, 20, 40, 80))

@@ -341,3 +341,18 @@ def test_errors_are_clustered_inside_their_class(spark):
     got = {r.vec_id: (r.class_name, r.cluster) for r in error_clusters(spark.createDataFrame(rows, "class_name string, vec_id long, v array<double>")).collect()}
     assert sorted(got) == [*range(9), 50] and got[50] == ("b", 0)
     assert len({got[i] for i in range(9)}) == 3 and all(got[i] == got[i % 3] for i in range(9))
+
+
+def test_cluster_breadth_by_hand(spark):
+    from quadrat.plans.diagnosis import cluster_breadth
+
+    c = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("a", 4, 2)], "class_name string, vec_id long, cluster int")
+    order = spark.createDataFrame([(3, 1), (9, 2), (2, 3), (1, 5)], "vec_id long, rank int")
+    got = {r.budget: (r.met, r.clusters, r.breadth) for r in cluster_breadth(c, order, (1, 3, 9)).collect()}
+    assert got == {1: (1, 3, 0.333333), 3: (2, 3, 0.666667), 9: (2, 3, 0.666667)}
+
+
+def test_pair_gap_and_cluster_breadth_are_registered():
+    from quadrat.plans import catalog
+
+    assert {"dx_pair_gap", "dx_cluster_breadth"} <= set(catalog.queries())
