@@ -48,3 +48,12 @@ def freeze_compare(frozen: DataFrame, now: DataFrame) -> DataFrame:
     """One row: whether the fingerprint of ``now`` is the frozen one."""
     f = table_fingerprint(frozen).toDF("rows_then", "hash_then")
     return f.crossJoin(table_fingerprint(now)).withColumn("same", (F.col("rows_then") == F.col("rows")) & (F.col("hash_then") == F.col("hash_sum")))  # one row each
+
+
+def manifest_diff(manifest: DataFrame, now: DataFrame) -> DataFrame:
+    """(name, status) of each file of a manifest (name, length, rows, hash_sum): missing, mismatched or valid."""
+    same = F.lit(True)
+    for c in ("length", "rows", "hash_sum"):
+        same = same & (F.col(f"m.{c}") == F.col(f"n.{c}"))
+    j = manifest.alias("m").join(now.alias("n"), F.col("m.name") == F.col("n.name"), "left")
+    return j.select("m.name", F.when(F.col("n.name").isNull(), "missing").when(same, "valid").otherwise("mismatched").alias("status"))

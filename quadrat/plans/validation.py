@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -131,14 +132,26 @@ def dq_freeze_compare(p: Panels):
     return V.freeze_compare(t, t.repartition("label"))
 
 
+def folder_files(p: Panels) -> DataFrame:
+    """(name, length, rows, hash_sum) of each file of the folder's tables: lengths from the listing, contents as count and order-free sum of row hashes."""
+    name = lambda c: F.regexp_extract(c, "/([^/]+[.]parquet(?:/[^/]+)?)$", 1).alias("name")
+    files = p.spark.read.format("binaryFile").load(f"{p.sf_dir}/*.parquet").select(name("path"), "length")
+    found = None
+    for t in sorted(r.t for r in files.select(F.regexp_extract("name", "^(.+?)[.]parquet", 1).alias("t")).distinct().collect()):  # the tables
+        rows = p.table(t)
+        rows = rows.select(name("_metadata.file_path"), F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)").alias("h"))
+        found = rows if found is None else found.unionByName(rows)
+    prints = found.groupBy("name").agg(F.count("*").alias("rows"), F.sum("h").cast("string").alias("hash_sum"))
+    return files.join(prints, "name", "left").select("name", "length", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("hash_sum", F.lit("0")).alias("hash_sum"))  # a file may be empty
+
+
 @query("dq_manifest_diff", None)
 def dq_manifest_diff(p: Panels):
-    """Files of the data folder against a manifest of their sizes, of which one is wrong."""
-    now = p.spark.read.format("binaryFile").load(f"{p.sf_dir}/nation.parquet").unionByName(p.spark.read.format("binaryFile").load(f"{p.sf_dir}/region.parquet"))
-    now = now.select(F.regexp_extract("path", "([^/]+)/*$", 1).alias("name"), "length", F.sha2("content", 256).alias("hash"))
-    manifest = now.select("name", F.when(F.col("name").contains("region"), F.col("length") + 1).otherwise(F.col("length")).alias("size"), F.col("hash").alias("known"))
-    j = manifest.join(now, "name", "left")
-    return j.select("name", F.when(F.col("length").isNull(), "missing").when((F.col("size") != F.col("length")) | (F.col("known") != F.col("hash")), "mismatched").otherwise("valid").alias("status"))
+    """All files of the data folder against a manifest in which one file is absent from the folder, one size and one content are wrong."""
+    now = folder_files(p)
+    known = now.select("name", F.when(F.col("name").startswith("region.parquet"), F.col("length") + 1).otherwise(F.col("length")).alias("length"), "rows", F.when(F.col("name").startswith("nation.parquet"), F.concat(F.lit("0"), "hash_sum")).otherwise(F.col("hash_sum")).alias("hash_sum"))
+    gone = known.where("name like 'region.parquet%'").withColumn("name", F.lit("absent.parquet"))
+    return V.manifest_diff(known.unionByName(gone), now)
 
 
 @query("sel_validate", "SELECT class_name, sample_id FROM targets WHERE false")

@@ -356,3 +356,12 @@ def test_pair_gap_and_cluster_breadth_are_registered():
     from quadrat.plans import catalog
 
     assert {"dx_pair_gap", "dx_cluster_breadth"} <= set(catalog.queries())
+
+
+def test_the_manifest_covers_the_folder(spark):
+    from quadrat.plans.panels import Panels
+    from quadrat.plans.validation import dq_manifest_diff
+
+    got = {r.name: r.status for r in dq_manifest_diff(Panels(spark, "/root/testdata/sf0.001")).collect()}
+    bad = {"absent.parquet": "missing", "region.parquet": "mismatched", "nation.parquet": "mismatched"}
+    assert {k: v for k, v in got.items() if v != "valid"} == bad and len(got) == 15 and got["lineitem.parquet"] == "valid"
