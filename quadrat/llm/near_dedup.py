@@ -195,16 +195,17 @@ def _tile(unit: pd.DataFrame) -> list[tuple[int, int]]:
     return out
 
 
-def _tiles(rows: pd.DataFrame) -> pd.DataFrame:
-    found = [x for _, unit in rows.groupby(["cluster", "i", "j"], sort=False) for x in _tile(unit)]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _tiles(unit: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(_tile(unit), columns=["a", "b"], dtype="int64")
 
 
 def _across_clusters(near: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
     """All links between different components of nodes that ``near`` joins.
 
     A cluster of near nodes is cut into blocks of about TILE nodes and compared
-    block by block: no task holds more than two blocks, and no pair is a row.
+    block by block: a group in pandas is one tile of two blocks, and no pair is a
+    row.  A text is a row for each block of its cluster, so a cluster of N nodes
+    makes N * N / TILE rows.
     """
     members = stored(roots(near).select("node", F.col("root").alias("cluster")), "near-dedup-clusters")
     blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
@@ -212,8 +213,7 @@ def _across_clusters(near: DataFrame, comps: DataFrame, texts: DataFrame) -> Dat
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
-    part = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(8 * slices(near.sparkSession))).cast("int")
-    return m.join(texts, "node").groupBy(part.alias("part")).applyInPandas(_tiles, "a long, b long")
+    return m.join(texts, "node").groupBy("cluster", "i", "j").applyInPandas(_tiles, "a long, b long")
 
 
 def _confirm(key: tuple, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:

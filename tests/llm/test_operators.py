@@ -283,6 +283,21 @@ def test_near_dedup_in_tiles(spark, monkeypatch):
     assert got == comp
 
 
+def test_a_pandas_group_is_one_tile(spark, monkeypatch):
+    import pandas as pd
+
+    def seen(unit):
+        return pd.DataFrame({"a": [unit.groupby(["cluster", "i", "j"]).ngroups], "b": [unit["block"].nunique()]})
+
+    monkeypatch.setattr(near_dedup, "TILE", 1)
+    monkeypatch.setattr(near_dedup, "_tiles", seen)
+    near = spark.createDataFrame([(0, i) for i in range(1, 40)], "a long, b long")
+    comps = spark.createDataFrame([], "node long, root long")
+    texts = spark.createDataFrame([(i, "x") for i in range(40)], "node long, text string")
+    got = near_dedup._across_clusters(near, comps, texts).collect()
+    assert len(got) > 300 and all(r.a == 1 and r.b <= 2 for r in got)
+
+
 def test_near_dedup_odd(spark, odd):
     got = near_dedup.near_duplicates(odd).collect()
     assert sorted((r.component_id, r.kept) for r in got if r.id == 7) == [(7, False), (7, True)]
