@@ -3,14 +3,14 @@
 Documents become pieces of at most CAPACITY tokens.  All that the packing needs
 is the histogram of piece lengths: at most CAPACITY numbers, whatever the
 corpus.  On it the configuration programme is solved (one variable for each way
-to fill a sequence): multiplicative weights hold a price for each length, a
-knapsack by dynamic programming finds the fill of the highest price, the fill is
-used in part, and the prices of the lengths that it served fall.  The fractions
-are rounded down; what stays is packed best-fit decreasing, on the histogram.
+to fill a sequence) by multiplicative weights: a price for each length that
+falls as the length is served, fills by knapsack dynamic programming at these
+prices, until the fractional solution is within GAP of the bound that the prices
+prove.  It is then rounded; what the rounding leaves is packed best-fit
+decreasing, on the histogram.
 
 The plan says how many sequences get which fill.  Spark numbers the pieces of
-each length (in parts, so a length that most pieces have is numbered by many
-tasks) and each piece looks up its sequence and place.
+each length and each piece looks up its sequence and place.
 
 Defined results
 - null text: the empty text, a piece of one token (the closing id)
@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,19 +37,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quadrat.llm.common import stored
+from quadrat.llm.words import LOWER, groups, word_places
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: Words whose ids a task remembers at most.
-REMEMBERED = 800_000
-PARTS = 64
+#: Words, and runs of letters, whose ids a Python worker remembers at most: about 150 MB.
+REMEMBERED, RUNS = 1 << 21, 300_000
+#: Pieces of one length that are numbered in one group.
+GROUP = 1_000_000
 
 
-class WordIds(dict):
+#: Line ends and tabs are blanks to the tokenizer, and it lower-cases: doing both first makes more words alike.
+SPLIT = bytes(32 if b in b"\t\n\r" else LOWER[b] for b in range(256))
+
+
+class WordIds:
     """Ids of texts by a public tokenizer, remembered word by word.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its parts between blanks, one after the other.
+    text are those of its words, one after the other.  Words are known by a
+    64-bit hash in an open table of numpy arrays; only a word that isn't there
+    yet is tokenised.  The table starts anew when it holds REMEMBERED words.
     """
 
     _simple = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:|*#$%&()-]*)")
@@ -57,64 +66,107 @@ class WordIds(dict):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self._bpe = self.tokenizer.model.tokenize
-        self._runs: dict[str, bytes] = {}
         letters = "".join(map(chr, (*range(0xDF, 0xF7), *range(0xF8, 0x100))))
         # how the model sees a letter beyond ASCII; printable ASCII is as it is
         self._shown = str.maketrans({c: "".join(t for t, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in letters})
+        self._clear()
+
+    def _clear(self) -> None:
+        slots = 2 << (REMEMBERED - 1).bit_length()
+        self._runs: dict[str, list[int]] = {}
+        self._hash, self._word = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self._first, self._ids = np.zeros(1, np.int64), np.empty(0, "<u4")
 
-    def _run(self, s: str) -> bytes:
+    def _run(self, s: str) -> list[int]:
         """Ids of a run of letters or a run of marks."""
         if (ids := self._runs.get(s)) is None:
-            ids = self._runs[s] = np.array([t.id for t in self._bpe(s if s.isascii() else s.translate(self._shown))], "<u4").tobytes()
+            if len(self._runs) >= RUNS:
+                self._runs.clear()
+            ids = self._runs[s] = [t.id for t in self._bpe(s if s.isascii() else s.translate(self._shown))]
         return ids
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self._runs.clear()
+    def _tokenise(self, word: str) -> list[int]:
         if m := self._simple.fullmatch(word):
-            ids = self._run(m[1])
-            if m[2]:
-                ids += self._run(m[2])
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+            return self._run(m[1]) + self._run(m[2]) if m[2] else self._run(m[1])
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 if it isn't known."""
+        mask = len(self._hash) - 1
+        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        out = self._word[slot]
+        go = np.flatnonzero((out >= 0) & (self._hash[slot] != hashes))
+        while len(go):
+            slot[go] = (slot[go] + 1) & mask
+            out[go] = self._word[slot[go]]
+            go = go[(out[go] >= 0) & (self._hash[slot[go]] != hashes[go])]
+        return out
+
+    def _learn(self, hashes: np.ndarray, found: list[list[int]]) -> None:
+        """Words that aren't there yet, each once."""
+        numbers = np.arange(len(self._first) - 1, len(self._first) - 1 + len(hashes), dtype=np.int32)
+        self._first = np.concatenate([self._first, self._first[-1] + np.cumsum([len(x) for x in found])])
+        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), "<u4")])
+        mask, go = len(self._hash) - 1, np.arange(len(hashes))
+        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(go):
+            free = go[self._word[slot[go]] < 0]
+            self._word[slot[free]] = numbers[free]  # of several at one slot the last stays
+            self._hash[slot[free]] = hashes[free]
+            go = go[self._word[slot[go]] != numbers[go]]
+            slot[go] = (slot[go] + 1) & mask
+
+    def _of_words(self, joined: bytes, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of at most half as many words as are remembered, one after the other, and how many each word has."""
+        word = self._find(hashes)
+        new = np.flatnonzero(word < 0)
+        if len(new) and len(self._first) + len(new) > REMEMBERED:
+            self._clear()
+            word[:], new = -1, np.arange(len(hashes))
+        if len(new):
+            fresh, at = np.unique(hashes[new], return_index=True)
+            shown = [joined[a:z].decode() for a, z in zip(start[new[at]].tolist(), end[new[at]].tolist(), strict=True)]
+            self._learn(fresh, [self._tokenise(w) for w in shown])
+            word[new] = self._find(hashes[new])
+        n = self._first[word + 1] - self._first[word]
+        before = np.cumsum(n) - n
+        return self._ids[np.repeat(self._first[word] - before, n) + np.arange(int(n.sum()))], n
+
+    def of_many(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the first id of each text and the end."""
+        joined, start, end, hashes, first = word_places(texts, SPLIT)
+        step = REMEMBERED // 2
+        parts = [self._of_words(joined, start[i : i + step], end[i : i + step], hashes[i : i + step]) for i in range(0, len(hashes), step)]
+        ids, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, "<u4"), np.empty(0, np.int64))
+        return ids, np.concatenate([[0], np.cumsum(n)])[first]
 
     def of(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the text."""
-        return b"".join(map(self.__getitem__, _lowered(text).split(" ")))
-
+        return self.of_many([text.encode()])[0].tobytes()
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xDF))))
-_LOW = str.maketrans(_UPPER + "\n\t\r", _UPPER.lower() + "   ")
 
-
-def _lowered(text: str) -> str:
-    """Lower case where it can't depend on the context; line ends and tabs as blanks.
-
-    The tokenizer lower-cases by itself; doing so first makes more words alike.
-    """
-    if text.isascii():
-        return text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    return text.translate(_LOW)
+_tokenizers: dict[str, WordIds] = {}
 
 
 def _cut(name: str, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(name)
+        ids_of = _tokenizers.get(name) or _tokenizers.setdefault(name, WordIds(name))  # a worker keeps it from task to task
         end = np.array([CLOSING_ID], "<u4").tobytes()
         for b in batches:
             which, rows = [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
-                ids = ids_of.of(t or "") + end
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    which.append(i)
-                    rows.append((p, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            for lo, hi in groups([len(t) for t in texts]):
+                ids, cuts = ids_of.of_many(texts[lo:hi])
+                whole = memoryview(ids.tobytes())
+                for i, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), lo):
+                    for p, at in enumerate(range(a, z + 1, capacity)):  # one place more: the closing id
+                        part = whole[4 * at : 4 * min(at + capacity, z)]
+                        if z < at + capacity:
+                            part = bytes(part) + end
+                        which.append(i)
+                        rows.append((p, at - a, len(part) // 4, zlib.crc32(part), bytes(part) if keep_ids else None))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             out = [b.column("key").take(pa.array(which, pa.int64()))]
             out += [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
@@ -133,80 +185,181 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 # -- the programme over the histogram ------------------------------------------------------
 
 
+#: Where the programme stops: fractional sequences over the lower bound.
+GAP = 1.05
+#: Near-best fills are taken up to this share below the best; a step serves a length by STEP of its pieces at most.
+SLACK, STEP, SHARPNESS = 0.1, 0.02, 20.0
+#: Steps of the weights between two knapsacks; knapsacks without progress before it ends.
+STEPS, PATIENCE = 20, 30
+
+
 @dataclass
 class Plan:
-    """fills: (lengths in one sequence, how many sequences are so); bound: no packing needs fewer."""
+    """fills: (lengths in one sequence, how many sequences are so).
+
+    bound: no packing needs fewer; value: sequences of the fractional programme;
+    programme: pieces that its fills hold, the rest is best-fit decreasing.
+    """
 
     fills: list[tuple[tuple[int, ...], int]]
     bound: int
+    value: float = 0.0
+    programme: int = 0
 
     @property
     def sequences(self) -> int:
         return sum(n for _, n in self.fills)
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, list[int]]:
-    """The dearest fill of ``capacity`` with any number of each length, by dynamic programming over the room."""
-    value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def knapsack(prices: np.ndarray, plenty: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> tuple[float, np.ndarray, np.ndarray]:
+    """Dynamic programming over the room, any number of each length: value of the best fill, value of a near-best one for each room, and the length it takes first.
+
+    prices, plenty: for each length from 0 to the capacity, minus infinity where
+    there is none.  Of the choices that lose less than SLACK of a piece's price
+    one is drawn, the more often the more pieces it has, so that the fills of
+    one knapsack differ.
+    """
+    capacity = len(prices) - 1
+    best, path, first = np.zeros(capacity + 1), np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)  # from full to no room
+    cost, extra, plenty = prices[1:], SLACK * prices[1:], plenty[1:]
+    shifts = rng.integers(0, len(noise) - capacity, capacity + 1)
     for room in range(1, capacity + 1):
-        n = np.searchsorted(lengths, room, side="right")
-        value[room] = value[room - 1]
-        if n:
-            got = value[room - lengths[:n]] + prices[:n]
-            k = int(np.argmax(got))
-            if got[k] > value[room]:
-                value[room], last[room] = got[k], lengths[k]
-    fill, room = [], capacity
-    while room > 0:
-        if last[room]:
-            fill.append(int(last[room]))
-            room -= int(last[room])
-        else:
-            room -= 1
-    return float(value[capacity]), fill
-
-
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 400, rate: float = 0.5) -> Plan:
-    """Fills for all pieces.  Work is bounded by capacity and steps, not by the counts."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    lengths = np.array(sorted(left), np.int64)
-    if not len(lengths):
+        at = capacity - room
+        best[at] = max(best[at + 1], (best[at + 1 :] + cost[:room]).max())
+        got = path[at + 1 :] + cost[:room]
+        most, less = got.max(), path[at + 1]
+        path[at] = less
+        if most > less:
+            near = (got + extra[:room] >= most) & (got >= less)
+            k = int(np.where(near, plenty[:room] + noise[shifts[room] : shifts[room] + room], -np.inf).argmax())
+            path[at], first[at] = got[k], k + 1
+    return float(best[0]), path[::-1], first[::-1]
+
+
+def columns(first: np.ndarray, lengths: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fill, number of the length) for each piece in the fills that begin with the lengths ``own``."""
+    capacity = len(first) - 1
+    number = np.zeros(capacity + 1, np.int64)
+    number[lengths] = np.arange(len(lengths))
+    stop = np.maximum.accumulate(np.where(first > 0, np.arange(capacity + 1), 0))  # room that nothing uses is skipped
+    fill, room = np.arange(len(own)), stop[capacity - lengths[own]]
+    fills, pieces_ = [fill], [own]
+    while (go := room > 0).any():
+        fill, room = fill[go], room[go]
+        fills.append(fill)
+        pieces_.append(number[first[room]])
+        room = stop[room - first[room]]
+    return np.concatenate(fills), np.concatenate(pieces_)
+
+
+def programme(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[tuple[int, ...], float], float, float]:
+    """Fills with fractional amounts that serve every length, their sum, and a lower bound of any such sum.
+
+    Covering by multiplicative weights.  A length's weight falls exponentially
+    with the share of it that is served.  A knapsack at these weights bounds the
+    programme from below and gives, for each length, a near-best fill that holds
+    it; then, for STEPS steps, all known fills within SLACK of the best weight
+    are used a little, none beyond STEP of a length.  The amounts since any
+    earlier knapsack, divided by the least share served since, are a solution;
+    the best one counts.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    need = np.array([histogram[int(n)] for n in lengths], float)
+    rng = np.random.default_rng(0)  # one histogram, one plan
+    noise = rng.gumbel(size=1 << 18)
+    start = lengths / (lengths @ need)
+    plenty = np.full(capacity + 1, -np.inf)
+    plenty[lengths] = np.log(need)
+    served, total = np.zeros(len(lengths)), 0.0
+    of, piece, base, amount = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
+    earlier: list[tuple[np.ndarray, float, np.ndarray]] = []
+    mean = None
+    value, bound, answer, since = np.inf, float(lengths @ need) / capacity, amount, 0
+    while value > GAP * bound and since < PATIENCE:
+        weight = start * np.exp(-SHARPNESS * (served - served.min()))
+        weight /= weight @ need
+        prices = np.full(capacity + 1, -np.inf)
+        prices[lengths] = weight
+        top, path, first = knapsack(prices, plenty, noise, rng)
+        mean = weight if mean is None else 0.9 * mean + 0.1 * weight
+        if len(earlier) % 5 == 4:  # weights swing about the best ones, so their mean proves more
+            prices[lengths] = mean
+            bound = max(bound, 1 / knapsack(prices, plenty, noise, rng)[0])
+        bound = max(bound, 1 / top)
+        own = np.flatnonzero(weight + path[capacity - lengths] >= (1 - SLACK) * top)
+        f, p = columns(first, lengths, own)
+        earlier.append((served.copy(), total, amount.copy()))
+        of, piece = np.concatenate([of, f + len(amount)]), np.concatenate([piece, p])
+        held = np.bincount(f[p == own[f]], minlength=len(own))
+        base = np.concatenate([base, need[own] / held])
+        amount = np.concatenate([amount, np.zeros(len(own))])
+        for _ in range(STEPS):
+            weight = start * np.exp(-SHARPNESS * (served - served.min()))
+            worth = np.bincount(of, weight[piece], minlength=len(amount))
+            on = worth >= (1 - SLACK) * worth.max()
+            use = np.where(on, base, 0) * STEP
+            o, q = of[on[of]], piece[on[of]]
+            limit = np.minimum(1, STEP / np.maximum(np.bincount(q, use[o], minlength=len(need)) / need, 1e-300))
+            least = np.ones(len(use))
+            np.minimum.at(least, o, limit[q])
+            use *= least
+            amount += use
+            total += use.sum()
+            served += np.bincount(q, use[o], minlength=len(need)) / need
+        since += 1
+        for s, t, x in earlier:
+            share = (served - s).min()
+            if share > 0 and (total - t) / share < value:
+                since = since if (total - t) / share > 0.999 * value else 0
+                value = (total - t) / share
+                answer = (amount - np.pad(x, (0, len(amount) - len(x)))) / share
+    sums: dict[tuple[int, ...], float] = {}
+    order = np.lexsort((-lengths[piece], of))
+    used, cuts = lengths[piece][order].tolist(), np.searchsorted(of[order], np.arange(len(answer) + 1))
+    for i in np.flatnonzero(answer > 0):
+        fill = tuple(used[cuts[i] : cuts[i + 1]])
+        sums[fill] = sums.get(fill, 0.0) + float(answer[i])
+    return sums, float(value), bound
+
+
+def rounded(sums: dict[tuple[int, ...], float], histogram: dict[int, int], capacity: int, waste: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Whole fills that leave at most ``waste`` free, and what stays: amounts rounded down, fullest fills first; then one more of each fill that still fits."""
+    left, out = dict(histogram), {}
+    fills = [(capacity - sum(f), -x, f, {v: f.count(v) for v in set(f)}) for f, x in sums.items() if capacity - sum(f) <= waste]
+    for more in (False, True):
+        for _, x, f, held in sorted(fills, key=lambda r: r[:3] if not more else (r[0], -(-r[1] % 1), r[2])):
+            n = min(1 if more else int(-x + 1e-9), *(left[v] // k for v, k in held.items()))
+            if n > 0:
+                out[f] = out.get(f, 0) + n
+                for v, k in held.items():
+                    left[v] -= n * k
+    return list(out.items()), {n: c for n, c in left.items() if c}
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Fills for all pieces.  Work depends on the number of lengths, not on the counts.
+
+    Rounding is tried with fills that leave nothing, a hundredth, and any room
+    free; what stays is packed best-fit decreasing.  The fewest sequences win,
+    at a tie the plan with more pieces in fills of the programme.
+    """
+    histogram = {n: c for n, c in histogram.items() if c > 0}
+    if not histogram:
         return Plan([], 0)
-    need = np.array([left[n] for n in lengths], float)
-    bound = -(-int(sum(n * c for n, c in left.items())) // capacity)
-    served = np.zeros(len(lengths))
-    place = {int(n): i for i, n in enumerate(lengths)}
-    share: dict[tuple[int, ...], float] = {}
-    for _ in range(steps):
-        open_ = served < need - 0.5
-        if not open_.any():
-            break
-        # prices: as the length, a little dearer the longer (long pieces fit worst), less what was served
-        prices = lengths * (1 + 0.2 * lengths / capacity) * np.exp(-rate * served / need)
-        best, fill = knapsack(lengths[open_], prices[open_], capacity)
-        bound = max(bound, -(-int(prices @ need * (1 - 1e-9)) // 1 / best).__ceil__() if best and open_.all() else 0)
-        used = {n: fill.count(n) for n in set(fill)}
-        # a fill may serve each length it holds up to what is still open
-        amount = min((need[place[n]] - served[place[n]]) / k for n, k in used.items())
-        amount = amount if amount <= 2 else amount * rate
-        for n, k in used.items():
-            served[place[n]] += k * amount
-        key = tuple(sorted(fill, reverse=True))
-        share[key] = share.get(key, 0.0) + amount
-    fills: list[tuple[tuple[int, ...], int]] = []
-    for fill, x in sorted(share.items(), key=lambda s: (-sum(s[0]), s[0])):  # rounded down, fullest first
-        n = min(int(x + 1e-9), *(left.get(v, 0) // fill.count(v) for v in set(fill)))
-        if n > 0:
-            fills.append((fill, n))
-            for v in fill:
-                left[v] -= n
-    return Plan(fills + best_fit({n: c for n, c in left.items() if c}, capacity), bound)
-
-
-def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing on counts: sequences with equal contents are one group."""
+    sums, value, bound = programme(histogram, capacity)
+    plans = []
+    for waste in (0, capacity // 100, capacity):
+        fills, left = rounded(sums, histogram, capacity, waste)
+        plans.append(Plan(best_fit(left, capacity, fills), -(-int(bound * (1 - 1e-9) * 1e6) // 10**6), value, sum(histogram.values()) - sum(left.values())))
+    return min(plans, key=lambda p: (p.sequences, -p.programme))
+
+
+def best_fit(left: dict[int, int], capacity: int, fills: Sequence[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing on counts, into the room that ``fills`` leave and new sequences: those with equal contents are one group."""
     rooms: dict[int, list[list]] = {}  # room -> groups [contents, count]
-    open_rooms: list[int] = []
+    for fill, k in fills:
+        rooms.setdefault(capacity - sum(fill), []).append([fill, k])
+    open_rooms = list(rooms)
     for n in sorted(left, reverse=True):
         count = left[n]
         while count:
@@ -254,30 +407,39 @@ def _slots(plan: Plan) -> pd.DataFrame:
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, Plan]:
-    """The pieces with sequence_id and offset, and the plan.  ``cut`` is read more than once: store it first."""
+    """The pieces with sequence_id and offset, and the plan.  ``cut`` is read more than once: store it first.
+
+    A piece of the whole capacity is a sequence by itself and isn't numbered.
+    The others are numbered in groups of one length and about GROUP pieces by
+    hash, so a task sorts that many whatever the corpus.
+    """
     spark = cut.sparkSession
-    part = F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
-    dealt = cut.withColumn("part", part)
-    counts = dealt.groupBy("length", "part").count().toPandas()  # at most CAPACITY x PARTS rows
-    counts = counts.sort_values(["length", "part"], ignore_index=True)
-    plan = solve({int(k): int(v) for k, v in counts.groupby("length")["count"].sum().items()}, capacity)
-    counts["before"] = counts.groupby("length")["count"].cumsum() - counts["count"]
-    offsets = spark.sparkContext.broadcast({(int(a), int(b)): int(c) for a, b, c in counts[["length", "part", "before"]].itertuples(index=False)})
+    short = cut.where(F.col("length") < capacity)
+    counts = short.groupBy("length").count().toPandas()  # at most ``capacity`` rows
+    plan = solve({int(n): int(c) for n, c in zip(counts["length"], counts["count"], strict=True)}, capacity)
     slots = spark.sparkContext.broadcast(_slots(plan))
-    numbered = dealt.withColumn("n", F.row_number().over(Window.partitionBy("length", "part").orderBy("key", "piece", "ids_crc32")))
+
+    kinds = short.groupBy("length").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    dealt = short.join(F.broadcast(kinds), "length")  # at most ``capacity`` rows
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.col("parts")))
+    sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("ahead"))  # a row for GROUP pieces
+    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("key", "piece", "ids_crc32"))
+    numbered = dealt.withColumn("rank", rank).join(ahead.hint("merge"), ["length", "part"])
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, part: pd.Series, n: pd.Series) -> pd.DataFrame:
-        s, before = slots.value, offsets.value
-        number = n.to_numpy(np.int64) - 1 + np.fromiter((before[k] for k in zip(length, part, strict=True)), np.int64, len(n))
-        wide = 1 << 42
-        at = np.searchsorted(s["length"].to_numpy() * wide + s["number"].to_numpy(), length.to_numpy(np.int64) * wide + number, side="right") - 1
+    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
+        s, wide = slots.value, 1 << 42
+        at = np.searchsorted(s["length"].to_numpy() * wide + s["number"].to_numpy(), length.to_numpy(np.int64) * wide + number.to_numpy(np.int64), side="right") - 1
         return pd.DataFrame({"sequence_id": s["sequence"].to_numpy()[at] + number - s["number"].to_numpy()[at], "offset": s["offset"].to_numpy()[at]})
 
-    out = numbered.withColumn("_p", place("length", "part", "n"))
-    return out.select(*cut.columns, "_p.sequence_id", "_p.offset"), plan
+    placed = numbered.withColumn("_p", place("length", F.col("ahead") + F.col("rank") - 1)).select(*cut.columns, "_p.sequence_id", "_p.offset")
+    # rows of a stored table are numbered alike however often a task is run
+    whole = cut.where(F.col("length") == capacity).select(*cut.columns, (F.monotonically_increasing_id() + plan.sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(whole), plan
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, keep_ids: bool = False) -> tuple[DataFrame, Plan]:
-    """All documents packed: key, piece, start, length, ids_crc32, ids, sequence_id, offset."""
+    """All documents packed: key, piece, start, length, ids_crc32, ids, sequence_id, offset.  The plan is that of the pieces shorter than the capacity."""
     return assign(stored(pieces(docs, key, text, tokenizer, capacity, keep_ids), "packing-pieces"), capacity)

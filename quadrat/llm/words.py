@@ -58,19 +58,38 @@ def groups(sizes: Sequence[int], limit: int = GROUP_BYTES) -> Iterator[tuple[int
         yield start, len(sizes)
 
 
-def word_hashes(texts: Sequence[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each text and the end): text i has words first[i] to first[i+1]."""
+def _parts(joined: bytes) -> Iterator[tuple[int, int]]:
+    """Ranges of about GROUP_BYTES that begin and end with a blank and share it, so no word is cut."""
+    at, last = 0, len(joined) - 1
+    while at < last:
+        to = joined.find(b" ", min(at + GROUP_BYTES, last))
+        yield at, to + 1
+        at = to
+
+
+def word_places(texts: Sequence[bytes], table: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The translated bytes of all texts, start and end of each word there, its hash, and the first word of each text and the end."""
     joined = b" ".join([b"", *texts, b""]).translate(table)  # a blank before, between and after
-    raw = np.frombuffer(joined, np.uint8)
-    inside = raw != 32
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    start, end = edge[0::2], edge[1::2]
-    sums = np.empty(len(raw) + 1, U64)
-    sums[0] = 0
-    np.cumsum(raw.astype(U64) * _power(BASE, len(raw)), out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * _power(INVERSE, len(raw))[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    starts, ends, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U64)]
+    for lo, hi in _parts(joined):
+        raw = np.frombuffer(joined, np.uint8, hi - lo, lo)
+        inside = raw != 32
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, end = edge[0::2], edge[1::2]
+        sums = np.empty(len(raw) + 1, U64)
+        sums[0] = 0
+        np.cumsum(raw.astype(U64) * _power(BASE, len(raw)), out=sums[1:])
+        hashes.append(mix((sums[end] - sums[start]) * _power(INVERSE, len(raw))[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)))
+        starts.append(start + lo)
+        ends.append(end + lo)
+    start, end = np.concatenate(starts), np.concatenate(ends)
     begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(start, begins)
+    return joined, start, end, np.concatenate(hashes), np.searchsorted(start, begins)
+
+
+def word_hashes(texts: Sequence[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text and the end): text i has words first[i] to first[i+1]."""
+    return word_places(texts, table)[3:]
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -179,6 +180,28 @@ def test_plan(seed):
         for v in fill:
             got[v] = got.get(v, 0) + n
     assert got == h and plan.bound <= plan.sequences <= 1.25 * plan.bound + 2
+    assert plan.sequences <= 1.01 * sum(n for _, n in packing.best_fit(dict(h), 2048)) + 1
+
+
+def test_programme_beats_best_fit():
+    r = random.Random(1)
+    h = {r.randint(600, 1100): r.randint(1, 60) for _ in range(40)}
+    sums, value, bound = packing.programme(h)
+    assert bound <= value <= packing.GAP * bound
+    for v, n in h.items():  # the fractional fills serve every length
+        assert sum(f.count(v) * x for f, x in sums.items()) >= n * (1 - 1e-9)
+    plan = packing.solve(h)
+    assert plan.sequences < sum(n for _, n in packing.best_fit(dict(h), 2048)) and plan.programme > 0.5 * sum(h.values())
+
+
+def test_word_ids_start_anew(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 16)
+    monkeypatch.setattr(words, "GROUP_BYTES", 100)
+    w = packing.WordIds("word_bpe_49k.json")
+    texts = [*filter(None, TEXTS), ""]
+    ids, at = w.of_many([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_packing(spark, docs, odd):
@@ -189,13 +212,15 @@ def test_packing(spark, docs, odd):
         mine = sorted((r.piece, r.start, r.length) for r in rows if r.key == i)
         n = len(w.of(t or "")) // 4 + 1
         assert [m[1] for m in mine] == list(range(0, n, 2048)) and sum(m[2] for m in mine) == n
+        ids = np.array([*w.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+        assert sorted((r.piece, r.ids_crc32) for r in rows if r.key == i) == [(k, zlib.crc32(ids[8192 * k : 8192 * (k + 1)])) for k in range(len(mine))]
     for s in {r.sequence_id for r in rows}:
         at = 0
         for r in sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
         assert at <= 2048
-    assert plan.sequences == len({r.sequence_id for r in rows})
+    assert plan.sequences + sum(r.length == 2048 for r in rows) == len({r.sequence_id for r in rows})
     assert packing.pack(odd)[0].count() == 6 and packing.pack(none(spark))[0].count() == 0
 
 
