@@ -2,19 +2,21 @@
 
 A rule is a host with a path prefix.  It fits the host, all its subdomains and
 every path that starts with its path.  The host is turned round label by label
-(``org.example.``), so a host with all subdomains is one interval of keys, and
-the intervals of a rule list are nested or disjoint.
-
-Pages and rules are merged into one sorted run for each block of keys.  A
-running window keeps, for each depth of rule host, the rule host that started
-last: that is the stack of the sweep.  A slot whose interval has ended no longer
-is a prefix of the key and counts as popped.  The rules left on the stack are
-tried against the path and the longest wins.
-
-Blocks: the first two labels of the key are hashed to ``ANCHORS`` groups and
-each group is dealt to ``SALTS`` parts by the row, so a host that holds a third
-of all pages is sorted in many tasks.  Rules go to each part of their group; a
-rule of one label goes to every block.  Nothing is broadcast.
+and the path follows (``org.example./es/``), so a rule is one interval of keys,
+and the intervals of a rule list are nested or disjoint.
+
+A page has a key for its host and one for each parent host of a depth that some
+rule has.  Keys and rules are merged into sorted runs.  At each rule the sweep
+takes over its stack: the rule itself and the rules around it.  At a key the
+last stack holds every rule around the key; those whose interval has ended are
+no prefix of it any more and count as popped.  The longest that is left wins,
+over all keys of the page.
+
+A rule's stack is as long as its path at most, so nothing holds all rules of a
+host.  Runs are of one host; a host of more than RUN keys, as ``com`` will be, is
+dealt to as many runs as its keys need, and each has the rules of that host.  A
+host of many rules has longer runs, so the copies of its rules stay below an
+eighth of its keys.  Nothing is broadcast by hand.
 
 Defined results
 - null url, or no ``://``: host and path are empty, no rule fits, verdict ``block``
@@ -34,7 +36,9 @@ from pyspark.sql import Window
 
 from quadrat.llm.common import ascii_lower
 
-ANCHORS, SALTS = 16, 64
+#: Keys of a host in one sorted run, about.
+RUN = 2000
+RULE = "struct<size:int,rule:string,path:string,verdict:string>"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,48 +51,57 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    """``www.example.org`` as ``org.example.www.``; a prefix of it is a parent."""
+    """``www.example.org`` as ``org.example.www.``; with a path behind it, a prefix is a rule that holds it."""
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def _anchor(key: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring_index(key, ".", 2)), F.lit(ANCHORS)).cast("int")
+def stacks(rules: DataFrame) -> DataFrame:
+    """base (turned host), path, stack: each rule with the rules of its host around it.
+
+    A rule looks up every beginning of its path among the rules of its host.
+    """
+    r = rules.select(ascii_lower(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), F.col("verdict").alias("v")).where("h is not null and h != ''")
+    r = r.groupBy("h", "p").agg(F.max("v").alias("v"))  # block > allow
+    entry = F.struct(F.length(F.concat("h", "p")).alias("size"), F.concat("h", "p").alias("rule"), F.col("p").alias("path"), F.col("v").alias("verdict"))
+    r = r.select("h", host_key(F.col("h")).alias("base"), "p", entry.cast(RULE).alias("entry"))
+    starts = r.select("base", "p", F.explode(F.transform(F.sequence(F.lit(0), F.length("p")), lambda n: F.substring("p", F.lit(1), n))).alias("start"))
+    around = starts.join(r.select("base", F.col("p").alias("start"), "entry"), ["base", "start"])
+    return around.groupBy("base", F.col("p").alias("path")).agg(F.collect_list("entry").alias("stack"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", unparsed: str = "block") -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
-    rules: columns host, path, verdict.  One range of keys is sorted once; pages
-    without a host skip the sweep's lookups but stay in the result.
+    rules: columns host, path, verdict.  The row itself travels with the key of
+    its whole host only; pages without a host have no key to look up.
     """
     out = ("host", "path", "rule", "verdict")
     host, path = host_and_path(F.col("`" + url + "`"))
     # names within a struct can't clash with those of the sweep
-    left = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), path.alias("path"))
-    left = left.withColumn("key", host_key(F.col("host")))
-    left = left.select("row", "host", "path", "key", _anchor(F.col("key")).alias("anchor"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"))
-
-    r = rules.select(ascii_lower(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), F.col("verdict").alias("v")).where("h is not null and h != ''")
-    r = r.groupBy("h", "p").agg(F.max("v").alias("v"))  # block > allow
-    entry = F.struct(F.length(F.concat("h", "p")).alias("size"), F.concat("h", "p").alias("rule"), F.col("p").alias("path"), F.col("v").alias("verdict"))
-    r = r.groupBy(host_key(F.col("h")).alias("key")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    r = r.withColumn("depth", F.size(F.split("key", r"\.")) - 1)
-    depths = sorted(x[0] for x in r.select("depth").distinct().collect())  # at most 127 by the limits of a host name
-
-    every = F.sequence(F.lit(0), F.lit(ANCHORS - 1))
-    r = r.withColumn("anchor", F.explode(F.when(F.col("depth") < 2, every).otherwise(F.array(_anchor(F.col("key"))))))
-    r = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    slot = F.struct("key", "entries")
-    right = r.select("anchor", "salt", "key", "depth", slot.alias("slot"), F.lit(0).alias("kind"))
-
-    run = left.unionByName(right, allowMissingColumns=True)
-    sweep = Window.partitionBy("anchor", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    stack = F.array(*[F.last(F.when(F.col("depth") == d, F.col("slot")), ignorenulls=True).over(sweep) for d in depths]) if depths else F.array(F.lit(None).cast("struct<key:string,entries:array<struct<size:int,rule:string,path:string,verdict:string>>>"))
-    swept = run.withColumn("stack", stack).where("kind = 1")
-    active = F.filter("stack", lambda s: s.isNotNull() & F.startswith(F.col("key"), s["key"]))
-    fitting = F.filter(F.flatten(F.transform(active, lambda s: s["entries"])), lambda e: F.startswith(F.col("path"), e["path"]))
-    best = F.array_max(fitting)
-    swept = swept.withColumn("best", F.when(F.col("host") != "", best))
+    p = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns], F.lit(0).alias("none")).alias("row"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("id"))
+
+    r = stacks(rules)
+    labels = F.size(F.split("base", r"\.")) - 1
+    depths = sorted(x[0] for x in r.select(labels.alias("depth")).distinct().collect())  # a host name has at most 127 labels
+    n = F.size(F.split("host", r"\."))
+    names = [F.when((F.col("host") != "") & (n >= d), host_key(F.substring_index("host", ".", -d))) for d in depths]
+    whole = F.struct("host", "path", "row")
+    # a first key that no rule has carries the row; so ids are made once and needn't be alike in two readings
+    carrier = F.struct(F.concat(F.lit(" "), F.col("id")).alias("base"), whole.alias("whole"))
+    others = [F.struct(x.alias("base"), F.lit(None).cast(p.select(whole.alias("w")).schema["w"].dataType).alias("whole")) for x in names]
+    keys = p.select("id", "path", F.explode(F.array(carrier, *others)).alias("k")).select("id", "path", "k.base", "k.whole").where("base is not null")
+
+    rows_of = r.groupBy("base").agg(F.count("*").alias("rules"))
+    runs = keys.where("whole is null").groupBy("base").agg(F.count("*").alias("keys")).join(rows_of, "base")
+    runs = runs.select("base", F.ceil(F.col("keys") / F.greatest(F.lit(RUN), 8 * F.col("rules"))).alias("runs"))
+    left = keys.join(runs, "base", "left").where("runs is not null or whole is not null")
+    left = left.select("base", F.coalesce(F.pmod(F.xxhash64("id"), F.col("runs")), F.lit(0).cast("long")).alias("run"), "path", F.lit(1).alias("kind"), "id", "whole")
+    right = r.join(runs, "base").select("base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), "path", F.lit(0).alias("kind"), "stack")
+    sweep = Window.partitionBy("base", "run").orderBy("path", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = left.unionByName(right, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
+    best = F.array_max(F.filter("stack", lambda e: F.startswith(F.col("path"), e["path"])))
+    one = swept.withColumn("best", best).groupBy("id").agg(F.first("whole", ignorenulls=True).alias("whole"), F.max("best").alias("best"))
+    one = one.select("whole.*", "best")
     kept = [F.col("row")[c].alias(c) for c in pages.columns if c not in out]
     verdict = F.coalesce("best.verdict", F.when(F.col("host") == "", F.lit(unparsed)).otherwise(F.lit(default)))
-    return swept.select(*kept, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    return one.select(*kept, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
