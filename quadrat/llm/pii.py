@@ -16,7 +16,7 @@ Defined results
 - very long texts are worked on whole
 - overlapping finds: the leftmost, then the first kind above
 - repeated rows get a row each; an empty table gives an empty result
-- other columns are kept; one named like a count column is replaced by it
+- other columns are kept; one named like a count column is replaced by it, if counts are asked for
 """
 
 from __future__ import annotations
@@ -134,8 +134,9 @@ def _card(cipher: Cipher, s: str) -> str | None:
     d = re.sub(r"[^0-9]", "", s)
     if not 13 <= len(d) <= 19 or luhn(d[:-1]) != int(d[-1]):
         return None
-    n = len(d) - 2
-    body = d[0] + f"{cipher.permute(int(d[1:-1]), 10**n, 'card'):0{n}d}"
+    lead = 2 if d[0] == "3" else 1  # 34 and 37 decide how 15 digits are grouped
+    n = len(d) - lead - 1
+    body = d[:lead] + f"{cipher.permute(int(d[lead:-1]), 10**n, 'card' + d[:lead]):0{n}d}"
     return _fill(s, body + str(luhn(body)))
 
 
@@ -235,12 +236,13 @@ def rewrite(cipher: Cipher, text: str | None) -> tuple[str | None, dict[str, int
 _ALONE = {k: re.compile(next(x for x in PATTERN.pattern.split("\n  | ") if f"(?P<{k}>" in x), re.VERBOSE | re.ASCII) for k in KINDS}
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with the text rewritten, and n_<kind> for each kind, n_private in all.
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: bool = True) -> DataFrame:
+    """``docs`` with the text rewritten and, if ``counted``, n_<kind> for each kind, n_private in all.
 
-    One pass without a shuffle; the order of columns stays.
+    One pass without a shuffle; the order of columns stays.  Without counts the
+    columns are those of ``docs``, whatever their names.
     """
-    counts = [f"n_{k}" for k in KINDS] + ["n_private"]
+    counts = [f"n_{k}" for k in KINDS] + ["n_private"] if counted else []
     kept = [c for c in docs.columns if c not in counts]
     d = docs.select(*[F.col(f"`{c}`") for c in kept])
     at, secret = kept.index(text), key.encode()
@@ -257,4 +259,6 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     kind = sent.schema["row"].dataType.simpleString()
     got = sent.mapInPandas(run, f"text string, {', '.join(f'n_{k} long' for k in KINDS)}, row {kind}")
     columns = [F.col("text").alias(c) if i == at else F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(kept)]
+    if not counted:
+        return got.select(*columns)
     return got.select(*columns, *[f"n_{k}" for k in KINDS], sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)).cast("long").alias("n_private"))
