@@ -32,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced in the text; n_chars follows the text."""
-    done = pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
+    done = pii.pseudonymise(docs, PII_KEY, counted=False)
     return done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else done
 
 
