@@ -53,8 +53,10 @@ CHUNKS, SYMBOLS, ERRORS = 12, 4, 1
 REACH = 29
 #: Bytes of the comparison table of one step within a bucket.
 TABLE = 16_000_000
-#: Members beyond which a bucket isn't compared by signatures first; nodes in a block of a tile.
-LARGE, TILE = 1000, 400
+#: Members beyond which a bucket isn't compared by signatures first; nodes and characters in a block of a tile, about.
+LARGE, TILE, TILE_CHARS = 1000, 2000, 16_000_000
+#: Pairs that are confirmed in one group.
+PAIRS = 20_000
 
 _seeds = mix(np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _variants = [tuple(i for i in range(SYMBOLS) if i not in out) for out in combinations(range(SYMBOLS), ERRORS)]
@@ -82,7 +84,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             h = joined * seed
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
-            out[full, j] = (np.minimum.reduceat(h, starts) >> np.uint64(48)).astype("<u2") ^ (np.minimum.reduceat(h, starts) >> np.uint64(20)).astype("<u2")
+            low = np.minimum.reduceat(h, starts)
+            out[full, j] = (low >> np.uint64(48)).astype("<u2") ^ (low >> np.uint64(20)).astype("<u2")
     return out
 
 
@@ -202,18 +205,22 @@ def _tiles(unit: pd.DataFrame) -> pd.DataFrame:
 def _across_clusters(near: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
     """All links between different components of nodes that ``near`` joins.
 
-    A cluster of near nodes is cut into blocks of about TILE nodes and compared
-    block by block: a group in pandas is one tile of two blocks, and no pair is a
-    row.  A text is a row for each block of its cluster, so a cluster of N nodes
-    makes N * N / TILE rows.
+    A cluster of near nodes is cut into blocks of about TILE nodes and TILE_CHARS
+    characters and compared block by block: a group in pandas is one tile of two
+    blocks, and no pair is a row.  A text is a row for each block of its cluster,
+    so a cluster of N nodes makes N * N / TILE rows, spread over its tiles.
     """
-    members = stored(roots(near).select("node", F.col("root").alias("cluster")), "near-dedup-clusters")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    m = members.join(blocks, "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    n = slices(near.sparkSession)
+    members = roots(near).select("node", F.col("root").alias("cluster"))
+    members = stored(members.join(texts.select("node", F.length("text").alias("chars")), "node"), "near-dedup-clusters")
+    wanted = F.greatest(F.count("*") / TILE, F.sum("chars") / TILE_CHARS)
+    blocks = members.groupBy("cluster").agg(F.ceil(wanted).cast("int").alias("blocks"))
+    m = members.select("node", "cluster").join(blocks, "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
-    return m.join(texts, "node").groupBy("cluster", "i", "j").applyInPandas(_tiles, "a long, b long")
+    # a stated number of partitions: a tile is little to read and much to compute, so few bytes mustn't mean few tasks
+    return m.join(texts, "node").repartition(n, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(_tiles, "a long, b long")
 
 
 def _confirm(key: tuple, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
@@ -231,12 +238,14 @@ def _confirm(key: tuple, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFra
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar.
 
-    Pairs are dealt to parts by their first node and a salt, so one node with
-    very many partners is spread; a part gets each text that it needs once.
+    Pairs are dealt to parts of about PAIRS by their first node and a salt, so
+    one node with very many partners is spread; a part gets each text that it
+    needs once.
     """
-    n = 8 * slices(pairs.sparkSession)
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(n)).cast("int"))
-    dealt = stored(dealt, "near-dedup-pairs")
+    pairs = stored(pairs, "near-dedup-pairs")
+    n = max(8 * slices(pairs.sparkSession), -(-pairs.count() // PAIRS))
+    salt = F.pmod(F.xxhash64("b"), F.lit(max(16, n // 8)))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a", salt), F.lit(n)).cast("int"))
     needed = dealt.select("part", F.explode(F.array("a", "b")).alias("node")).distinct()
     with_text = needed.join(texts, "node").select(F.col("part").alias("text_part"), "node", "text")
     return dealt.groupBy("part").cogroup(with_text.groupBy("text_part")).applyInPandas(_confirm, "a long, b long")
@@ -274,7 +283,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # a bucket too large to compare in one task counts as near throughout
     large = rest.where(F.col("size") > LARGE).select(F.col("node").alias("a"), F.col("least").alias("b"))
     small = rest.where(F.col("size") <= LARGE).select("key", "node", "comp").join(nodes.select("node", "sig"), "node")
-    near = small.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near, "a long, b long").unionByName(large)
+    near = small.repartition(slices(docs.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(_near, "a long, b long").unionByName(large)
     more = stored(_across_clusters(near, comps, texts), "near-dedup-links")
     if not more.isEmpty():
         comps = roots(links.unionByName(more))
@@ -289,11 +298,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
 
-    A row is named by its id and a hash of its text; rows equal in both are one document.
+    A row is named by its id and a hash of its text; of rows equal in both the
+    one whose columns come first as JSON stays.
     """
-    kept = stored(near_duplicates(docs, key, text).where("kept").select(F.col("id").alias("kept_id"), F.col("address").alias("kept_address")).distinct(), "near-dedup-kept")
+    found = near_duplicates(docs, key, text).groupBy(F.col("id").alias("kept_id"), F.col("address").alias("kept_address"))
+    kept = stored(found.agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept"), "near-dedup-kept")
     name = F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("address"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"))
-    out = row.join(kept, F.col("name.id").eqNullSafe(F.col("kept_id")) & (F.col("name.address") == F.col("kept_address")), "left_semi")
-    repeated = not row.groupBy("name").count().where("count > 1").isEmpty()
-    return (out.dropDuplicates(["name"]) if repeated else out).select("row.*")
+    same = F.col("name.id").eqNullSafe(F.col("kept_id")) & (F.col("name.address") == F.col("kept_address"))
+    single = row.join(kept.where("n = 1"), same, "left_semi").select("row")
+    repeated = row.join(kept.where("n > 1"), same, "left_semi").groupBy("name").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")
