@@ -41,7 +41,7 @@ def nearest_controls(cases: DataFrame, controls: DataFrame, key: str, block: Seq
     column, ``size`` or ``group``; sizes under 1e-8 count as that.  Ids are unique
     on each side.
     """
-    from quadrat.plans.shared import ready
+    from quadrat.sources.shared import ready
 
     cols = [key, *block, size, group]
     rows = cases.select(*cols, F.lit(True).alias("is_case")).unionByName(controls.select(*cols, F.lit(False).alias("is_case"))).na.drop()

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quadrat.sources.shared import ready
+
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str = "rank") -> DataFrame:
     """Rank with ties averaged.
@@ -21,20 +23,48 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str = "rank
     return df.join(ranks, [*by, value])
 
 
+def ranked(df: DataFrame, by: Sequence[str], *order: str | Column, name: str = "rank", total: str | None = None) -> DataFrame:
+    """Rank from 1 in the given order, and the number of rows of the group as ``total``; no group is sorted in one task.
+
+    Rows are dealt to tasks by ranges of (by, order).  A row's rank is its place
+    in its range plus the rows of its group in the ranges before, of which there
+    are no more than ranges and groups.  The ranges are written once, since they
+    are drawn from a sample and are read twice.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    d = df.select("*", *[(F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys, strict=True)])
+    d = ready(d.repartitionByRange(*by, *keys).withColumn("_range", F.spark_partition_id()))
+    n = d.groupBy(*by, "_range").agg(F.count("*").alias("_k"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_k").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select(*by, "_range", before.alias("_before"), F.sum("_k").over(group).alias("_all"))
+    local = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*keys))
+    out = d.withColumn(name, local).join(n, [*by, "_range"]).withColumn(name, F.col(name) + F.col("_before"))
+    out = out.withColumn(total, F.col("_all")) if total else out
+    return out.select(*df.columns, name, *([total] if total else []))
+
+
 def five_tiers(df: DataFrame, score: str, key: str, by: Sequence[str], n: int = 5) -> DataFrame:
     """Near-equal parts in the order of (score, key); the longer parts come first."""
-    return df.withColumn("tier", F.ntile(n).over(Window.partitionBy(*by).orderBy(score, key)))
+    d = ranked(df, by, score, key, name="_r", total="_n")
+    short, long = F.expr(f"_n div {n}"), F.col("_n") % n
+    head = long * (short + 1)
+    tier = F.when(F.col("_r") <= head, F.floor((F.col("_r") - 1) / (short + 1))).otherwise(long + F.floor((F.col("_r") - 1 - head) / F.greatest(short, F.lit(1))))
+    return d.withColumn("tier", (tier + 1).cast("int")).drop("_r", "_n")
 
 
 def tiers_floor(df: DataFrame, score: str, key: str, by: Sequence[str], n: int = 5) -> DataFrame:
     """floor(rank * n / rows) + 1: the same sizes, with the short parts elsewhere."""
-    w = Window.partitionBy(*by)
-    r = F.row_number().over(w.orderBy(score, key)) - 1
-    return df.withColumn("tier", (F.floor(r * n / F.count("*").over(w)) + 1).cast("int"))
+    d = ranked(df, by, score, key, name="_r", total="_n")
+    return d.withColumn("tier", (F.floor((F.col("_r") - 1) * n / F.col("_n")) + 1).cast("int")).drop("_r", "_n")
 
 
 def hash_order(df: DataFrame, by: Sequence[str], *parts: str | Column, name: str = "rank") -> DataFrame:
-    """Rank in the order of sha256 over the joined parts."""
+    """Rank in the order of sha256 over the joined parts.
+
+    For the first few of each group: a limit on the rank reaches the tasks
+    before the shuffle.  All ranks of large groups: ``ranked`` over the hash.
+    """
     key = F.sha2(F.concat_ws(":", *parts), 256)
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(key)))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quadrat.functions import scalar as S
+from quadrat.sources.shared import ready
 
 
 def bands(hash_: Column, n: int, bits: int = 64, errors: int = 0) -> Column:
@@ -32,6 +35,16 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def hamming_classes(table: DataFrame, key: str, hash_: str, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(members, links): key and class (the smallest key with an equal hash); a, b, distance between classes.
+
+    A group of copies is one class, so m copies cost m rows and no pairs.
+    """
+    classes = table.groupBy(F.col(hash_).alias("h")).agg(F.min(key).alias("class"))
+    members = table.select(F.col(key), F.col(hash_).alias("h")).join(classes, "h").select(key, "class")
+    return members, hamming_pairs(classes, None, "class", "h", distance)
+
+
 def hamming_pairs(left: DataFrame, right: DataFrame | None, key: str, hash_: str, distance: int) -> DataFrame:
     """(a, b, distance) of hashes at most ``distance`` bits apart; by bands, without a cross join.
 
@@ -63,33 +76,59 @@ def confirmed(pairs: DataFrame, vectors: DataFrame, key: str, v: str, rules: Seq
     return j.where(ok).select("a", "b", "distance", "cosine")
 
 
-def nearest(queries: DataFrame, pool: DataFrame, key: str, v: str, k: int, block: int = 200, groups: tuple[str, str, bool] | None = None) -> DataFrame:
-    """The k nearest of ``pool`` to each query by cosine; queries in blocks that meet all rows.
+#: Numbers in the table of cosines that a task holds at once.
+TABLE = 2_000_000
+
 
-    The queries of a block go to every task as one array of bounded size, each
-    task keeps its k best, and k rows a task and query are ranked at the end.
-    ``groups`` (query column, pool column, same): only rows whose group equals
-    that of the query, or differs from it, are looked at.
+def nearest(queries: DataFrame, pool: DataFrame, key: str, v: str, k: int, block: int = 20_000, groups: tuple[str, str, bool] | None = None) -> DataFrame:
+    """The k nearest of ``pool`` to each query by cosine; a query itself isn't one of them.
+
+    Queries go in blocks of about ``block`` to all tasks (a few megabytes) and a
+    block reads the pool once.  A task multiplies its rows, some at a time, with
+    the queries and keeps the k best of each, so k rows a task and query are
+    ranked at the end.  ``groups`` (query column, pool column, same): only rows
+    whose group equals that of the query, or differs from it, are looked at.
     """
     of_query, of_row, same = groups or (None, None, True)
-    unit = lambda c: F.transform(c, lambda x: x / S.norm(c))
-    n = max(1, queries.count())
+    spark, kind = queries.sparkSession, queries.schema[key].dataType.simpleString()
+    asked = queries.select(F.col(key).alias("id"), F.col(v).alias("v"), (F.col(of_query) if of_query else F.lit(0)).alias("g"))
+    rows = pool.select(F.col(key).alias("id"), F.col(v).alias("v"), (F.col(of_row) if of_row else F.lit(0)).alias("g"))
+    n = max(1, -(-asked.count() // block))
+
+    def unit(vectors) -> np.ndarray:
+        x = np.array(vectors.tolist(), float)
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
     out = None
-    for i in range(-(-n // block)):
-        mine = queries.where(F.pmod(F.xxhash64(key), F.lit(-(-n // block))) == i).select(F.col(key).alias("q"), unit(F.col(v)).alias("qv"), (F.col(of_query) if of_query else F.lit(0)).alias("qg"))
-        rows = pool.select(F.col(key).alias("id"), unit(F.col(v)).alias("v"), (F.col(of_row) if of_row else F.lit(0)).alias("g"))
-        near = rows.crossJoin(F.broadcast(mine))  # about ``block`` rows
-        near = near.where("id <> q").where(F.col("g") == F.col("qg") if same else F.col("g") != F.col("qg")).select("q", "id", F.round(S.dot(F.col("qv"), F.col("v")), 9).alias("cosine"))
-        out = near if out is None else out.unionByName(near)
+    for i in range(n):
+        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).toPandas()  # about ``block`` rows
+        sent = spark.sparkContext.broadcast((mine["id"].to_numpy(), unit(mine["v"]) if len(mine) else np.empty((0, 1)), mine["g"].to_numpy()))
+
+        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, units, own = sent.value
+            best, names = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), ids.dtype)
+            step = max(k, TABLE // max(1, len(ids)))
+            for b in (big.iloc[at : at + step] for big in batches for at in range(0, len(big), step)):
+                there, group = b["id"].to_numpy(), b["g"].to_numpy()
+                near = np.round(units @ unit(b["v"]).T, 9)
+                near[(ids[:, None] == there[None, :]) | ((own[:, None] == group[None, :]) != same) | np.isnan(near)] = -np.inf
+                near, every = np.hstack([best, near]), np.hstack([names, np.broadcast_to(there, near.shape)])
+                order = np.lexsort((every, -near), axis=1)[:, :k]
+                best, names = np.take_along_axis(near, order, 1), np.take_along_axis(every, order, 1)
+            q, j = np.nonzero(best > -np.inf)
+            yield pd.DataFrame({"q": ids[q], "id": names[q, j], "cosine": best[q, j]})
+
+        found = rows.mapInPandas(search, f"q {kind}, id {kind}, cosine double")
+        out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root: connected components, root = smallest node; large-star and small-star steps."""
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: connected components, root = smallest node; large-star and small-star steps until nothing changes."""
+    e = ready(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark or not now[0]:
             break
@@ -99,5 +138,5 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        e = ready(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -57,3 +57,10 @@ def manifest_diff(manifest: DataFrame, now: DataFrame) -> DataFrame:
         same = same & (F.col(f"m.{c}") == F.col(f"n.{c}"))
     j = manifest.alias("m").join(now.alias("n"), F.col("m.name") == F.col("n.name"), "left")
     return j.select("m.name", F.when(F.col("n.name").isNull(), "missing").when(same, "valid").otherwise("mismatched").alias("status"))
+
+
+def selection_issues(picked: DataFrame, budget: int) -> DataFrame:
+    """(class_name, code, n): classes with more than ``budget`` rows, and rows that are there again."""
+    n = picked.groupBy("class_name", "sample_id").agg(F.count("*").alias("c")).groupBy("class_name").agg(F.sum("c").alias("rows"), F.sum(F.col("c") - 1).alias("again"))
+    code = F.array(F.struct(F.lit("over_budget").alias("code"), F.when(F.col("rows") > budget, F.col("rows")).alias("n")), F.struct(F.lit("repeated").alias("code"), F.when(F.col("again") > 0, F.col("again")).alias("n")))
+    return n.select("class_name", F.inline(code)).where("n is not null")

@@ -126,9 +126,9 @@ def smp_controlled_mixture(p: Panels):
 @query("smp_random_strata", "d AS (SELECT s, sample_id, ntile(5) OVER (PARTITION BY s, class_name ORDER BY sha256(concat_ws(':', s::VARCHAR, sample_id))) AS tier FROM targets CROSS JOIN range(1, 11) AS g(s)), e AS (SELECT sample_id, avg(correct) AS y FROM facts GROUP BY sample_id), t AS (SELECT s, avg(y) FILTER (WHERE tier = 5) - avg(y) FILTER (WHERE tier = 1) AS d FROM d JOIN e USING (sample_id) GROUP BY s) SELECT round(min(d), 6) AS low, round(max(d), 6) AS high, round((1 + count(*) FILTER (WHERE abs(d) >= 0.01)) / 11, 6) AS p FROM t")
 def smp_random_strata(p: Panels):
     t = p.targets.select("sample_id", "class_name").withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(10))))
-    tier = F.ntile(5).over(Window.partitionBy("s", "class_name").orderBy(F.sha2(F.concat_ws(":", F.col("s").cast("string"), "sample_id"), 256)))
+    t = t.withColumn("draw", F.sha2(F.concat_ws(":", F.col("s").cast("string"), "sample_id"), 256))
     e = p.facts.groupBy("sample_id").agg(F.avg("correct").alias("y"))
-    d = t.withColumn("tier", tier).join(e, "sample_id").groupBy("s").agg((F.avg(F.when(F.col("tier") == 5, F.col("y"))) - F.avg(F.when(F.col("tier") == 1, F.col("y")))).alias("d"))
+    d = Rk.five_tiers(t, "draw", "sample_id", ["s", "class_name"]).join(e, "sample_id").groupBy("s").agg((F.avg(F.when(F.col("tier") == 5, F.col("y"))) - F.avg(F.when(F.col("tier") == 1, F.col("y")))).alias("d"))
     return d.agg(R(F.min("d")).alias("low"), R(F.max("d")).alias("high"), R((1 + F.count_if(F.abs("d") >= 0.01)) / 11).alias("p"))
 
 
@@ -175,7 +175,7 @@ def smp_size_matched(p: Panels):
 def smp_exact_cell_pairs(p: Panels):
     c = p.targets.select("sample_id", "class_name", "scale", "linestatus", (F.col("discount_band") == "high").alias("case"))
     cell = ["class_name", "scale", "linestatus"]
-    r = Rk.hash_order(c, [*cell, "case"], F.lit("9"), F.col("sample_id"), name="r")
+    r = Rk.ranked(c, [*cell, "case"], F.sha2(F.concat_ws(":", F.lit("9"), "sample_id"), 256), name="r")
     j = r.where("case").select(*cell, "r", F.col("sample_id").alias("case_id")).join(r.where("not case").select(*cell, "r", F.col("sample_id").alias("reference_id")), [*cell, "r"])
     return Rk.hash_order(j, ["class_name"], "case_id", "reference_id").where("rank <= 30").select("class_name", "case_id", "reference_id")
 
@@ -186,7 +186,7 @@ def smp_missingness(p: Panels):
     return p.states.where(~(draw == 0)).groupBy("class_name", "field", "value").agg(F.count("*").alias("n"))
 
 
-@query("smp_label_noise", None)
+@query("smp_label_noise", "lg AS (SELECT class_name, field, list_sort(list(DISTINCT value)) AS legal FROM states GROUP BY ALL), dr AS (SELECT f.*, list_filter(legal, lambda v: v <> f.value) AS others, ('0x' || substr(sha256(concat_ws(':', '8', sample_id, field)), 1, 12))::BIGINT AS d FROM fields f JOIN lg USING (class_name, field)), nw AS (SELECT *, CASE WHEN value <> 'unknown' AND d % 20 = 0 AND len(others) > 0 THEN others[(d // 20) % len(others) + 1] ELSE value END AS v FROM dr) SELECT class_name, sample_id, field, v AS value, v <> value AS changed FROM nw")
 def smp_label_noise(p: Panels):
     """One value in twenty becomes another legal value of its field; unknown values stay."""
     from quadrat.operators.states import dictionary
@@ -196,4 +196,5 @@ def smp_label_noise(p: Panels):
     draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit("8"), "sample_id", "field"), 256), 1, 12), 16, 10).cast("long")
     others = F.filter("legal", lambda v: v != F.col("value"))
     new = F.when((F.col("value") != "unknown") & (draw % 20 == 0) & (F.size(others) > 0), F.get(others, ((draw / 20).cast("long") % F.size(others)).cast("int"))).otherwise(F.col("value"))
-    return j.select("class_name", "sample_id", "field", new.alias("value"), (new != F.col("value")).alias("changed"))
+    j = j.withColumn("new", new)
+    return j.select("class_name", "sample_id", "field", F.col("new").alias("value"), (F.col("new") != F.col("value")).alias("changed"))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from quadrat.functions import scalar as S
 from quadrat.operators import sampling as Sm
 from quadrat.operators import selection as Sel
-from quadrat.plans.panels import Panels, query
+from quadrat.plans.panels import FIELDS, Panels, query
 from quadrat.plans.projections import LOGIT_SQL, R, logits
 from quadrat.plans.sampling import CELL_SQL, QUOTA_SQL, cell_quotas, celled, scale_quotas
 from quadrat.plans.windows import tiers
@@ -88,7 +88,7 @@ def sel_heldout_groups(p: Panels):
     """Each field is left out of the selection once and then its states are counted in it."""
     out = None
     cells = p.targets.select("class_name", "sample_id", F.lit("all").alias("cell"))
-    for field in ("scale", "discount_band"):  # the held-out groups are a few
+    for field in FIELDS:  # of the dictionary
         s = Sel.signatures(p.states.where(F.col("field") != field), cells, 20)
         got = Sel.greedy(s, 20, "concave", 20).join(p.states.where(F.col("field") == field), ["class_name", "sample_id"])
         g = got.groupBy("class_name").agg(F.count_distinct("value").alias("met")).withColumn("held_out", F.lit(field))

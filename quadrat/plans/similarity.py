@@ -88,6 +88,14 @@ def sim_hamming_pairs_64(p: Panels):
     return Sim.hamming_pairs(near_vecs(p), None, "vec_id", "h", RADIUS)
 
 
+@query("sim_hamming_classes_64", NEAR_SQL + ", hc AS (SELECT h0, h1, min(vec_id) AS class FROM h64 GROUP BY ALL), lk AS (SELECT a.class, count(*) AS n FROM hc a JOIN hc b ON a.class <> b.class AND bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) <= 8 GROUP BY a.class) SELECT vec_id, class, coalesce(n, 0) AS n_links FROM h64 JOIN hc USING (h0, h1) LEFT JOIN lk USING (class)")
+def sim_hamming_classes_64(p: Panels):
+    """Each vector's class of equal hashes and the number of other classes near to it; no copies are paired."""
+    members, links = Sim.hamming_classes(near_vecs(p), "vec_id", "h", RADIUS)
+    n = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    return members.join(n, "class", "left").select("vec_id", "class", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
 @query("sim_cosine_confirm_64", CONFIRM64_SQL + " SELECT a, b, distance, round(cosine, 6) AS cosine FROM ok")
 def sim_cosine_confirm_64(p: Panels):
     n = near_vecs(p)
@@ -148,7 +156,7 @@ def text_groups(p: Panels):
 
 @query("sim_groups", "SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY text) AS root FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
 def sim_groups(p: Panels):
-    from quadrat.plans.shared import ready
+    from quadrat.sources.shared import ready
 
     return Sim.components(ready(text_groups(p)))
 
@@ -164,7 +172,7 @@ def error_clusters(wrong: DataFrame) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    from quadrat.plans.shared import ready
+    from quadrat.sources.shared import ready
 
     wrong = ready(wrong.select("class_name", "vec_id", array_to_vector(F.transform("v", lambda x: x / F.greatest(S.norm(F.col("v")), F.lit(1e-12)))).alias("features")))
     out = wrong.select("class_name", "vec_id", F.lit(0).alias("cluster")).limit(0)
@@ -189,7 +197,7 @@ def sim_error_clusters(p: Panels):
 @query("sim_qualify_priority", None)
 def sim_qualify_priority(p: Panels):
     """In the order of ids, a row that duplicates an accepted one is skipped; rounds on the duplicate graph."""
-    from quadrat.plans.shared import ready
+    from quadrat.sources.shared import ready
 
     e = ready(near(p).select("a", "b"))
     accepted = rejected = None

@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 
 from quadrat.plans.panels import Panels, query
 from quadrat.plans.projections import R
-from quadrat.plans.shared import folder
+from quadrat.sources.shared import folder
 from quadrat.streaming import attempts as At
 
 
-@query("str_attempt_window", None)
+@query("str_attempt_window", "w AS (SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS till, event_type AS backend, value FROM events) SELECT start, backend, count(*) AS attempts, round(avg(value), 6) AS latency FROM w WHERE till <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY start, backend")
 def str_attempt_window(p: Panels):
     """Windows that the watermark has closed."""
     out = At.drain(At.attempt_window(At.source(p.spark, p.sf_dir)), folder(p.spark))
-    return out.select(F.col("window.start").alias("start"), "backend", "attempts", R("latency").alias("latency"))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "backend", "attempts", R("latency").alias("latency"))
 
 
-@query("str_attempt_dedup", None)
+@query("str_attempt_dedup", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def str_attempt_dedup(p: Panels):
     return At.drain(At.attempt_dedup(At.source(p.spark, p.sf_dir)), folder(p.spark)).groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
 

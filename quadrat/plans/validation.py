@@ -163,15 +163,84 @@ def sel_validate(p: Panels):
     return picked.join(over, "class_name", "left_semi").select("class_name", "sample_id")
 
 
+@query("sel_validate_planted", "ch AS (SELECT sample_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY sha256(sample_id)) AS r FROM targets QUALIFY r <= 43), v AS (SELECT class_name, sample_id, r FROM ch WHERE r <= CASE class_name WHEN 'N' THEN 43 ELSE 40 END UNION ALL SELECT class_name, sample_id, r FROM ch WHERE class_name = 'R' AND r <= 2) SELECT class_name, 'over_budget' AS code, count(*) AS n FROM v GROUP BY class_name HAVING count(*) > 40 UNION ALL SELECT class_name, 'repeated', sum(c - 1)::BIGINT FROM (SELECT class_name, sample_id, count(*) AS c FROM v GROUP BY ALL HAVING count(*) > 1) GROUP BY class_name")
+def sel_validate_planted(p: Panels):
+    """A selection with three rows too many of one class and two rows of another taken twice."""
+    from quadrat.plans.aggregates import chosen
+
+    more = chosen(p, 43).where("class_name = 'N'")
+    twice = chosen(p, 2).where("class_name = 'R'")
+    return V.selection_issues(chosen(p).where("class_name <> 'N'").unionByName(more).unionByName(twice), 40)
+
+
+@query("snk_refuse_overwrite", "SELECT class_name, count(*) AS n, true AS refused FROM targets GROUP BY class_name")
+def snk_refuse_overwrite(p: Panels):
+    """What a place holds after a second write to it, and one into the protected data folder, were refused."""
+    from pyspark.errors import AnalysisException
+
+    from quadrat.sources import files
+
+    path, refused = saved(p), 0
+    for place, error in ((path, AnalysisException), (f"{p.sf_dir}/inside", ValueError)):
+        try:
+            files.write_tables(p.targets.select("sample_id").limit(1), place, protected=[p.sf_dir])
+        except error:
+            refused += 1
+    kept = p.spark.read.parquet(f"{path}/parquet")
+    return kept.groupBy("class_name").agg(F.count("*").alias("n"), F.lit(refused == 2).alias("refused"))
+
+
 # -- sources ----------------------------------------------------------------------------------
 
 
+def record_files(p: Panels, faulty: bool) -> str:
+    """The first seed's predictions as gzip JSON lines, a folder for each model; with ``faulty``, some orders' records are wrong in one way each."""
+    from uuid import uuid4
+
+    from quadrat.sources.shared import folder
+
+    turn = F.element_at(F.split("sample_id", "-"), 1).cast("long") % 97 if faulty else F.lit(-1)
+    d = p.preds.where("seed = 1").withColumn("turn", turn).where("turn <> 0")
+    d = d.withColumn("copy", F.explode(F.when(F.col("turn") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    name = lambda k: F.get(F.array(*map(F.lit, CLASS_IDS)), k)
+    right = F.col("predicted") == F.col("label")
+    row = F.struct(
+        F.col("sample_id").alias("member"),
+        (F.crc32("sample_id") + F.when(F.col("turn") == 4, 1).otherwise(0)).alias("index"),
+        name((F.col("predicted") + F.when(F.col("turn") == 2, 1).otherwise(0)) % 3).alias("prediction"),
+        F.when(F.col("turn") == 3, ~right).otherwise(right).alias("correct"),
+        F.slice(F.transform(F.array(*map(F.lit, range(3))), lambda k: F.when(k == F.col("predicted"), 5.5).otherwise(-1.25)), 1, F.when(F.col("turn") == 5, 2).otherwise(3)).alias("logits"),
+        F.when(F.col("turn") == 6, "timeout").alias("error"),
+    )
+    line = F.when(F.col("turn") == 7, F.lit("{broken")).otherwise(F.to_json(row))
+    path = f"{folder(p.spark)}/records-{uuid4().hex}"
+    d.select(line.alias("value"), "model").write.partitionBy("model").option("compression", "gzip").text(path)
+    return path
+
+
+CLASS_IDS = ("A", "N", "R")
+
+
 @query("src_predictions_jsonl", "SELECT sample_id, model, seed, predicted BETWEEN 0 AND 2 AS valid FROM preds WHERE seed = 1")
 def src_predictions_jsonl(p: Panels):
+    """Records read from files, each valid if it has no issue."""
+    from quadrat.sources import files
+
+    manifest = p.targets.select(F.col("sample_id").alias("member"), F.crc32("sample_id").alias("index"), F.col("class_name").alias("class_id"))
+    rows = files.read_predictions(p.spark, record_files(p, False))
+    bad = files.prediction_issues(rows, manifest, CLASS_IDS, [str(m) for m in range(1, 5)]).select("model", "member").distinct().withColumn("bad", F.lit(True))
+    j = rows.join(bad, ["model", "member"], "left")
+    return j.select(F.col("member").alias("sample_id"), F.col("model").cast("int").alias("model"), F.lit(1).alias("seed"), F.col("bad").isNull().alias("valid"))
+
+
+@query("src_prediction_issues", "t AS (SELECT sample_id, model, split_part(sample_id, '-', 1)::BIGINT % 97 AS k FROM preds WHERE seed = 1), c(k, code) AS (VALUES (0, 'missing_prediction'), (1, 'duplicate_prediction'), (2, 'argmax_mismatch'), (3, 'historical_correctness_mismatch'), (4, 'manifest_index_mismatch'), (5, 'invalid_logits'), (6, 'inference_error'), (7, 'missing_prediction')) SELECT model, sample_id, code FROM t JOIN c USING (k) UNION ALL SELECT model, NULL, 'malformed_record' FROM t WHERE k = 7")
+def src_prediction_issues(p: Panels):
+    """The issues of record files in which orders are planted with one fault each."""
     from quadrat.sources import files
 
-    rows = p.preds.where("seed = 1").select(F.to_json(F.struct("sample_id", "model", "seed", "predicted")).alias("value"))
-    return files.predictions(rows, 3).select("sample_id", "model", "seed", "valid")
+    manifest = p.targets.select(F.col("sample_id").alias("member"), F.crc32("sample_id").alias("index"), F.col("class_name").alias("class_id"))
+    found = files.prediction_issues(files.read_predictions(p.spark, record_files(p, True)), manifest, CLASS_IDS, [str(m) for m in range(1, 5)])
+    return found.select(F.col("model").cast("int").alias("model"), F.col("member").alias("sample_id"), "code")
 
 
 @query("src_logits_matrix", LOGIT_SQL + " SELECT sample_id, round(g[1], 6) AS g0, round(g[3], 6) AS g2 FROM l")
@@ -193,7 +262,7 @@ def src_filter_annotations(p: Panels):
     return p.targets.select("class_name").where(F.col("class_name").isin("A", "R")).groupBy("class_name").agg(F.count("*").alias("n"))
 
 
-@query("src_annotation_json", None)
+@query("src_annotation_json", "SELECT 'linestatus' AS field, linestatus AS value, count(*) AS n FROM targets GROUP BY ALL UNION ALL SELECT 'tags', v, count(*) FROM (SELECT scale AS v FROM targets UNION ALL SELECT discount_band FROM targets) WHERE v NOT IN ('unknown') GROUP BY ALL")
 def src_annotation_json(p: Panels):
     from quadrat.sources import files
 
@@ -215,7 +284,7 @@ def saved(p: Panels) -> str:
     """The targets as Parquet and CSV in a new folder of the shared one."""
     from uuid import uuid4
 
-    from quadrat.plans.shared import folder
+    from quadrat.sources.shared import folder
     from quadrat.sources import files
 
     path = f"{folder(p.spark)}/tables-{uuid4().hex}"

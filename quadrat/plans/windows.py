@@ -111,8 +111,7 @@ def win_stable_sort_hash(p: Panels):
 
 @query("win_every_kth", "r AS (SELECT sample_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY sample_id) - 1 AS r, count(*) OVER (PARTITION BY class_name) AS n FROM targets), k AS (SELECT DISTINCT class_name, n, round_even(i * (n - 1) / 24, 0)::BIGINT AS r FROM r CROSS JOIN range(25) AS g(i)) SELECT sample_id, class_name FROM r SEMI JOIN k USING (class_name, r)")
 def win_every_kth(p: Panels):
-    w = Window.partitionBy("class_name")
-    t = p.targets.select("sample_id", "class_name").withColumn("r", F.row_number().over(w.orderBy("sample_id")) - 1)
+    t = Rk.ranked(p.targets.select("sample_id", "class_name"), CLASS, "sample_id", name="r").withColumn("r", F.col("r") - 1)
     n = t.groupBy("class_name").agg(F.max("r").alias("last"))
     k = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(24)))).select("class_name", F.bround(F.col("i") * F.col("last") / 24).cast("long").alias("r")).distinct()
     return t.join(F.broadcast(k), ["class_name", "r"], "left_semi").select("sample_id", "class_name")  # 25 a class

@@ -21,14 +21,47 @@ def manifest_csv(spark: SparkSession, path: str, columns: Sequence[str], key: st
     return df
 
 
-PREDICTION = "sample_id string, model int, seed int, predicted int"
-
-
-def predictions(lines: DataFrame, n_classes: int, column: str = "value") -> DataFrame:
-    """JSON lines as predictions with ``valid``; a line that doesn't parse is not valid."""
-    d = lines.select(F.from_json(column, PREDICTION).alias("p")).select("p.*")
-    ok = F.col("sample_id").isNotNull() & F.col("predicted").between(0, n_classes - 1)
-    return d.withColumn("valid", F.coalesce(ok, F.lit(False)))
+RECORD = "member string, index bigint, prediction string, correct boolean, logits array<double>, error string"
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON lines (plain or gzip) in a folder: model (the folder ``model=...`` that a file lies in), RECORD, broken.
+
+    A line that isn't a JSON object of these types has ``broken``, the line itself.
+    """
+    lines = spark.read.text(f"{path}/model=*").select("value", F.regexp_extract(F.col("_metadata.file_path"), "/model=([^/]*)/", 1).alias("model"))
+    parsed = F.from_json("value", f"{RECORD}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    return lines.select("model", parsed.alias("r")).select("model", "r.*")
+
+
+def prediction_issues(records: DataFrame, manifest: DataFrame, classes: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """(model, member, code) of all that is wrong with the records of a manifest (member, index, class_id).
+
+    Each record is held against its row of the manifest: the array is as wide as
+    the classes and finite, its first greatest place is the prediction, the
+    recorded correctness follows from it, the index is the manifest's.  Members
+    that a model has several times, not at all, and broken lines are issues too;
+    records of other members are not.
+    """
+    held = records.where("broken is null").join(manifest.select("member", F.col("index").alias("at"), "class_id"), "member")
+    n, logits = len(classes), F.col("logits")
+    finite = F.coalesce((F.size(logits) == n) & F.forall(logits, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    told = F.get(F.array(*map(F.lit, classes)), (F.array_position(logits, F.array_max(logits)) - 1).cast("int"))
+    wrong = {
+        "inference_error": F.coalesce(F.col("error"), F.lit("")) != "",
+        "invalid_logits": ~finite,
+        "argmax_mismatch": finite & ~F.col("prediction").eqNullSafe(told),
+        "historical_correctness_mismatch": finite & ~F.col("correct").eqNullSafe(told == F.col("class_id")),
+        "manifest_index_mismatch": ~F.col("index").eqNullSafe(F.col("at")),
+    }
+    codes = F.array_compact(F.array(*[F.when(bad, code) for code, bad in wrong.items()]))
+    by_record = held.select("model", "member", F.explode(codes).alias("code"))
+    count = held.groupBy("model", "member").agg(F.count("*").alias("n"))
+    again = count.where("n > 1").select("model", "member", F.explode(F.array_repeat(F.lit("duplicate_prediction"), (F.col("n") - 1).cast("int"))).alias("code"))
+    wanted = manifest.select("member", F.explode(F.array(*map(F.lit, models))).alias("model"))
+    gone = wanted.join(count, ["model", "member"], "left_anti").select("model", "member", F.lit("missing_prediction").alias("code"))
+    broken = records.where("broken is not null").select("model", F.lit(None).cast("string").alias("member"), F.lit("malformed_record").alias("code"))
+    return by_record.unionByName(again).unionByName(gone).unionByName(broken)
 
 
 def annotations(raw: DataFrame, key: str, column: str = "value") -> DataFrame:

@@ -77,8 +77,10 @@ def plain_greedy(rows, budget, kind, cap, tie):
     return out
 
 
+@pytest.mark.parametrize("pool", [1000, 2])
 @pytest.mark.parametrize("kind,tie", [("linear", "max"), ("concave", "min"), ("novelty", "min"), ("deficit", "max")])
-def test_greedy_equals_the_plain_rule(spark, kind, tie):
+def test_greedy_equals_the_plain_rule(spark, monkeypatch, kind, tie, pool):
+    monkeypatch.setattr(selection, "POOL", pool)  # one round, and several
     rng = random.Random(kind)
     rows = {f"s{i:02}": sorted({f"f{k}={rng.choice('ab')}" for k in range(3)}) for i in range(30)}
     states = spark.createDataFrame([("c", i, *s.split("=")) for i, st in rows.items() for s in st], "class_name string, sample_id string, field string, value string")
@@ -192,16 +194,14 @@ def test_protocol_delta_by_hand(spark):
     assert rare.old_agreement_pct is None and rare.decision == "insufficient_known_support"
 
 
-def test_swaps_against_all_exchanges():
+def test_swaps_against_all_exchanges(spark):
     rng = random.Random(3)
-    for _ in range(20):
+    for _ in range(5):
         rows = {f"{i:02}": (rng.choice("uv"), frozenset(x for x in "abcdef" if rng.random() < 0.3)) for i in range(30)}
         picked = set(rng.sample(sorted(rows), 8))
-        table = {}
-        for side, ids in ((0, picked), (1, set(rows) - picked)):
-            for i in sorted(ids):
-                table.setdefault((side, rows[i]), []).append(i)
-        sides = [[(cell, sorted(states), ids) for (side, (cell, states)), ids in table.items() if side == want] for want in (0, 1)]
+        states = spark.createDataFrame([("k", i, "f", x) for i, (_, st) in rows.items() for x in sorted(st)], "class_name string, sample_id string, field string, value string")
+        cells = spark.createDataFrame([("k", i, cell) for i, (cell, _) in rows.items()], "class_name string, sample_id string, cell string")
+        chosen = spark.createDataFrame([(i,) for i in sorted(picked)], "sample_id string")
 
         names = sorted(set().union(*[x for _, x in rows.values()]))
 
@@ -228,8 +228,9 @@ def test_swaps_against_all_exchanges():
             _, _, o, i = min(best)
             picked = picked - {o} | {i}
             want.append((o, i))
-        assert [row[1:3] for row in selection.swaps(*sides, 1.0, 0.9, 3, 8)] == want
-    assert list(selection.swaps([], [], 1.0, 0.9, 3, 8)) == []
+        got = selection.repair(states, cells, chosen, 8, 1.0, 0.9, 3, 8).orderBy("step").collect()
+        assert [(r.outgoing, r.incoming) for r in got] == want
+    assert selection.repair(states.limit(0), cells.limit(0), chosen.limit(0), 8, 1.0, 0.9, 3).count() == 0
 
 
 def test_nearest_controls_are_the_greedy_pairs(spark):
