@@ -38,6 +38,8 @@ from quadrat.llm.common import ascii_lower
 
 #: Keys of a host in one sorted run, about.
 RUN = 2000
+#: Parts in which the keys of a host learn its number of runs.
+SALTS = 32
 RULE = "struct<size:int,rule:string,path:string,verdict:string>"
 
 
@@ -94,7 +96,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     rows_of = r.groupBy("base").agg(F.count("*").alias("rules"))
     runs = keys.where("whole is null").groupBy("base").agg(F.count("*").alias("keys")).join(rows_of, "base")
     runs = runs.select("base", F.ceil(F.col("keys") / F.greatest(F.lit(RUN), 8 * F.col("rules"))).alias("runs"))
-    left = keys.join(runs, "base", "left").where("runs is not null or whole is not null")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    left = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(runs.select("*", salt), ["base", "salt"], "left")
+    left = left.where("runs is not null or whole is not null")
     left = left.select("base", F.coalesce(F.pmod(F.xxhash64("id"), F.col("runs")), F.lit(0).cast("long")).alias("run"), "path", F.lit(1).alias("kind"), "id", "whole")
     right = r.join(runs, "base").select("base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), "path", F.lit(0).alias("kind"), "stack")
     sweep = Window.partitionBy("base", "run").orderBy("path", "kind").rowsBetween(Window.unboundedPreceding, 0)
