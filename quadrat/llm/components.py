@@ -16,7 +16,7 @@ def _with(edges: DataFrame, low: DataFrame) -> DataFrame:
     """``edges`` (a, b) with the columns that ``low`` has for a."""
     parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    return salted.join(low.withColumn("salt", parts), ["a", "salt"]).drop("salt")
+    return salted.join(low.withColumn("salt", parts).hint("merge"), ["a", "salt"]).drop("salt")
 
 
 def _mark(edges: DataFrame) -> tuple:

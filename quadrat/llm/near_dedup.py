@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of_print = nodes.select("print", "node").join(comps, "node", "left").select("print", F.coalesce("root", "node").alias("node"))
     placed_rows = rows.join(of_print, "print", "left").select("id", "address", "row", "n_shingles", F.coalesce("node", "row").alias("node"))
     smallest = placed_rows.groupBy("node").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    out = placed_rows.join(smallest, "node")
+    # stored, so that both sides of the join come from a shuffle and the rows of one very large component can be split
+    out = placed_rows.join(stored(smallest, "near-dedup-smallest"), "node")
     return out.select("id", "address", "n_shingles", "component_id", "node", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
