@@ -94,3 +94,11 @@ def removed(rows, n=50):
                 flags[p : p + n] = b"\1" * n
         out[i] = flags
     return out
+
+
+def base_spans(t):
+    """(start, kind number, end) of the base secrets, by the words of the contract."""
+    t, out = t or "", []
+    for k, (pattern, least, group) in enumerate([(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12, 2), (r"AKIA[A-Z0-9]+", 18, 0), (r"[0-9a-f]+", 16, 0)]):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, t) if len(m[group]) >= least]
+    return sorted(out)

@@ -68,6 +68,18 @@ def test_url_filter(spark):
     assert got == {i: judged(u, rules) for i, u in enumerate(urls)}
 
 
+def test_nested_paths_and_hot_hosts(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "RUN", 3)  # many runs for one host
+    r = random.Random(3)
+    part = lambda k: "".join(r.choice("ab/") for _ in range(k))
+    hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "org", "x.org", ".com", "com.", "a..com"]
+    rules = list({(h, p): (h, p, r.choice(["allow", "block"])) for h, p in ((r.choice(hosts), "/" + part(r.randint(0, 4))) for _ in range(60))}.values())
+    urls = [f"http://{r.choice(hosts)}/{part(r.randint(0, 8))}" for _ in range(400)] + ["http://" + "a." * 500 + "com/a/b" + "a" * 5000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {i: judged(u, rules) for i, u in enumerate(urls)}
+
+
 def test_url_filter_without_rules_or_pages(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
@@ -94,6 +106,20 @@ def test_pii_forms():
     assert both == [spaced]  # equal values stay linked whatever their form
 
 
+def test_every_card_form_stays():
+    c, r = pii.Cipher(b"k"), random.Random(5)
+    for form in ("dddddddddddddddd", "dddd dddd dddd dddd", "dddd-dddd-dddd-dddd", "ddddddddddddd", "ddddddddddddddddddd", "ddd dddddd".replace("ddd ", "dddd ", 1) + " ddddd", "dddd-dddddd-ddddd", "ddddddddddddddd", "dddd dddd dddd d"):
+        n = form.count("d")
+        for lead in (("34", "37") if "dddddd " in form or "dddddd-" in form else ("2", "34", "37", "3", "4", "5", "6")):
+            for _ in range(20):
+                body = lead + "".join(r.choice("0123456789") for _ in range(n - 1 - len(lead)))
+                it = iter(body + str(pii.luhn(body)))
+                value = "".join(next(it) if x == "d" else x for x in form)
+                new, found = pii.rewrite(c, value)
+                assert found == {"card": 1}, value
+                assert pii.rewrite(c, new)[1] == found and [x for x in new if not x.isdigit()] == [x for x in value if not x.isdigit()]
+
+
 @pytest.mark.parametrize("n", [2, 3, 10, 97, 1000, 4096])
 def test_permutation(n):
     c = pii.Cipher(b"k")
@@ -105,6 +131,9 @@ def test_pii_rows(spark, docs, odd):
     assert out.columns[: len(docs.columns)] == docs.columns
     got = {r.doc_id: r for r in out.collect()}
     assert got[4].n_private == 10 and got[1].text is None and got[7].text == TEXTS[2] and got[16].row == "own"
+    own = docs.withColumn("n_email", F.lit("own"))
+    plain = pii.pseudonymise(own, "k", counted=False)
+    assert plain.columns == own.columns and plain.first().n_email == "own"
     assert pii.pseudonymise(odd, "k").count() == 6 and pii.pseudonymise(none(spark), "k").count() == 0
 
 
@@ -123,6 +152,17 @@ def test_secrets(spark, odd):
     again, new = secret_scan.scan(odd.withColumn("text", F.when(F.col("doc_id") == 7, t).otherwise(F.col("text"))), spark.createDataFrame(ledger, secret_scan.LEDGER), path="doc_id")
     assert new.count() == 0 and sorted(map(repr, again.collect())) == sorted(map(repr, got))
     assert secret_scan.scan(none(spark), path="doc_id")[0].count() == 0
+    clashing = spark.createDataFrame([(1, t)] * 50 + [(None, t), (2, t * 20_000)], "path long, text string").withColumns({c: F.lit("own") for c in ("blob", "place", "part", "spans")})
+    rows, entries = secret_scan.scan(clashing)
+    got = rows.collect()
+    assert len(got) == 52 and len(entries.collect()) == 2 and {len(x.spans) for x in got} == {len(s), len(secret_scan.find(t * 20_000))}
+
+
+def test_a_blob_passes_once():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"blob": x, "text": [f"{b}{i}" for i, b in enumerate(x)]}) for x in (["a", "b", "a"], ["b", "c", "c"], [])]
+    assert [r["text"] for b in secret_scan._first_of_each(iter(batches)) for r in b.to_pylist()] == ["a0", "b1", "c1"]
 
 
 # -- 4 ------------------------------------------------------------------------------------------
@@ -238,12 +278,11 @@ def test_suffix_array():
             assert lcp[k] == next((i for i in range(50) if i >= min(len(x), len(y)) or x[i] != y[i]), 50)
 
 
-@pytest.mark.parametrize("block,stretch", [(1_000_000, 1_000_000), (300, 1_000_000), (2000, 200)])
-def test_suffix_dedup(spark, docs, monkeypatch, block, stretch):
-    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+@pytest.mark.parametrize("sizes", [{}, {"block": 300}, {"block": 2000, "stretch": 200, "chunk": 3000}, {"hot": 3, "chunk": 2000, "shard": 2000}, {"hot": 0, "block": 500}])
+def test_suffix_dedup(spark, docs, sizes):
+    """The sizes reach the workers and change what they do, never the result."""
     want = R.removed(ROWS)
-    got = {r.id: r for r in suffix_dedup.deduplicate(docs.repartition(3)).collect()}
+    got = {r.id: r for r in suffix_dedup.deduplicate(docs.repartition(3), **sizes).collect()}
     for i, t in ROWS:
         b = (t or "").encode()
         kept = bytes(c for c, f in zip(b, want[i], strict=True) if not f)
@@ -251,6 +290,36 @@ def test_suffix_dedup(spark, docs, monkeypatch, block, stretch):
         assert sum(s.end - s.start for s in got[i].spans) == sum(want[i])
 
 
+@pytest.mark.parametrize("block", [10**6, 700])
+def test_blocks_are_merged(monkeypatch, block):
+    """One anchor over many blocks: what the blocks say is merged, and that is needed for the right ids."""
+    r, core = random.Random(7), b"the very same middle of all contexts"
+    texts = [bytes(r.choice(b"ab") for _ in range(24)) + core + bytes(r.choice(b"ab") for _ in range(24)) for _ in range(60)]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts])
+    n, start, ids = size - 49, np.cumsum(size) - size, np.array(r.sample(range(1000), 60))
+    calls, real = [], suffix_dedup.merged
+    monkeypatch.setattr(suffix_dedup, "merged", lambda tables: calls.append(len(tables)) or real(tables))
+    got = suffix_dedup.smallest_ids(raw, start, n, ids, np.zeros(60, np.int64), block)
+    first: dict = {}
+    for t, i in zip(texts, ids.tolist(), strict=True):
+        for p in range(len(t) - 49):
+            first[t[p : p + 50]] = min(i, first.get(t[p : p + 50], i))
+    assert got.tolist() == [first[t[p : p + 50]] for t in texts for p in range(len(t) - 49)]
+    assert calls == ([] if block > 10**5 else [-(-sum(size) // (block - block % size[0]))])
+
+
+def test_a_hot_anchor_is_split():
+    keep = suffix_dedup.contexts([b"x" * 10 + bytes(range(65, 91)) * 3])
+    key = np.unique(suffix_dedup._key(keep[4], 4))
+    split = suffix_dedup.contexts([b"x" * 10 + bytes(range(65, 91)) * 3], key, 4)
+    assert (keep[2] < 64).all() and (split[2] >= 64).all() and keep[3].sum() == split[3].sum()
+    assert suffix_dedup.shared_anchors([(1, np.array([5, 9], "<u4").tobytes(), np.packbits([True, False]).tobytes(), bytes([7])), (2, np.array([9], "<u4").tobytes(), np.packbits([False]).tobytes(), b"")], hot=6) == [
+        (1, np.packbits([True, True]).tobytes(), np.array([5], "<u4").tobytes()),
+        (2, np.packbits([True]).tobytes(), b""),
+    ]
+
+
 def test_suffix_merge():
     tables = [(np.array([b"a", b"c"], "S1"), np.array([5, 9])), (np.array([b"b", b"c"], "S1"), np.array([7, 2])), (np.array([b"a"], "S1"), np.array([1]))]
     assert [x.tolist() for x in suffix_dedup.merged(tables)] == [[1, 2], [7, 2], [1]]

@@ -46,3 +46,16 @@ def test_columns_stay(spark, at):
 def test_nothing(spark, at):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[at][1](spark, docs, SF).count() == 0
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_odd_rows(spark, at):
+    """Null ids and texts, repeated rows, names that the operators use inside."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, text, "en", "s", 1), (None, None, None, None, None), (5, text + " more", "en", "s", 1), (5, text + " more", "en", "s", 1), (7, "", "en", "s", 0), (8, "mail a.b7@mail8.example.com " + text[::-1], "en", "s", 3)]
+    names = ["n_email", "n_private", "n_words", "kept", "row", "name", "id", "address", "key", "failed", "piece"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'own' AS {c}" for c in names])
+    got = corpus_pipeline.STAGES[at][1](spark, docs, SF)
+    if at < 4:
+        assert got.columns == docs.columns and {r[c] for r in got.collect() for c in names} == {"own"}
+    assert got.count() == [4, 5, 6, 6, 6][at]
