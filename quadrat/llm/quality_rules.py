@@ -5,8 +5,8 @@ each rule that fails; a policy is a mask of those bits with a version, so a new
 policy or an ablation reads the ledger and never the texts.
 
 Repeated windows are found inside the row: each window of five words has a
-64-bit hash, the (hash, position) pairs are sorted, and neighbours with equal
-hashes mark their words.
+64-bit hash.  Only if the distinct hashes are fewer, the (hash, position) pairs
+are sorted, and neighbours with equal hashes mark their words.
 
 Defined results
 - null text: no words, every measurement 0; it fails the rule ``too_few_words``
@@ -60,14 +60,15 @@ def measurements(text: Column) -> dict[str, Column]:
     """Everything but the repeated windows, as columns over one text."""
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    return {"lines": lines, "words": F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""), "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, ""))}
+    inside = F.btrim(t, F.lit(BLANKS))  # so no part of the split is empty
+    words = F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, r"[\x20\x09-\x0D]+"))
+    return {"lines": lines, "words": words, "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]"))}
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words inside windows of five that occur twice or more, given a hash for each word."""
+def window_hashes(hashes: Column) -> Column:
+    """A hash for each window of five words, given a hash for each word."""
     n = F.size(hashes)
-    window = F.transform(hashes, lambda h, i: F.struct(F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)]).alias("h"), i.alias("i")))
-    return F.when(n >= WINDOW, F.slice(window, 1, n - (WINDOW - 1)))
+    return F.when(n > WINDOW, F.transform(F.slice(hashes, 1, n - (WINDOW - 1)), lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,10 +84,12 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_words").cast("long").alias("n_words"),
-        F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     )
-    d = d.withColumn("_sorted", F.sort_array(F.coalesce(repeated_words(F.col("_hashes")), F.array().cast("array<struct<h:bigint,i:int>>"))))
+    d = d.withColumn("_windows", window_hashes(F.col("_hashes")))
+    pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    d = d.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     # start positions of windows that equal a neighbour in hash order
     same = lambda i, by: F.coalesce(F.get(F.col("_sorted"), i + by)["h"] == F.get(F.col("_sorted"), i)["h"], F.lit(False))
     marked = F.transform(F.filter(F.transform("_sorted", lambda s, i: F.struct(s["i"].alias("i"), ((i > 0) & same(i, -1) | same(i, 1)).alias("on"))), lambda s: s["on"]), lambda s: s["i"])
