@@ -58,4 +58,4 @@ def test_odd_rows(spark, at):
     got = corpus_pipeline.STAGES[at][1](spark, docs, SF)
     if at < 4:
         assert got.columns == docs.columns and {r[c] for r in got.collect() for c in names} == {"own"}
-    assert got.count() == [4, 5, 6, 6, 6][at]
+    assert got.count() == [4, 4, 6, 6, 6][at]  # the texts of no id and of 5 are near copies
