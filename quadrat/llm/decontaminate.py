@@ -38,6 +38,8 @@ from quadrat.llm.words import ALNUM_SPLIT, groups, shingles, word_hashes
 WINDOW, SHINGLE = 13, 4
 #: Item shingles sent to the tasks at once: 8 MB.
 BLOCK = 1_000_000
+#: Parts that the places of one shingle are joined in.
+PARTS = 8
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -145,7 +147,10 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     prefix = ranked.groupBy("wid").agg(F.min(F.struct("docs", "at", "sid")).alias("rare"), F.count("*").alias("n"), F.first("m").alias("m"), F.first("k").alias("k"), F.first("sids").alias("sids"))
     prefix = prefix.where(F.col("n") == F.size("sids")).select("wid", "m", F.col("rare.sid").alias("sid"), F.col("rare.at").alias("at"), F.transform(_cover(), lambda o: F.struct(o.alias("o"), F.get("sids", o).alias("s"))).alias("cover"))
     lengths = h.where("size(hits) > 0").select("row", "n_words")
-    cand = each.join(prefix, "sid").select("row", "wid", "m", "cover", (F.col("pos") - F.col("at")).alias("start")).where("start >= 0")
+    # a common word as a whole item meets all its occurrences: they are dealt to parts, the few prefixes go to each
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    dealt = each.withColumn("part", F.pmod(F.xxhash64("row", "pos"), F.lit(PARTS)).cast("int"))
+    cand = dealt.join(prefix.withColumn("part", parts), ["sid", "part"]).select("row", "wid", "m", "cover", (F.col("pos") - F.col("at")).alias("start")).where("start >= 0")
     cand = cand.join(lengths, "row").where(F.col("start") + F.col("m") <= F.col("n_words"))
     needed = cand.select("row", "wid", "m", "start", F.size("cover").alias("need"), F.explode("cover").alias("c")).select("row", "wid", "m", "start", "need", (F.col("start") + F.col("c.o")).alias("pos"), F.col("c.s").alias("sid"))
     held = needed.join(each, ["row", "pos", "sid"]).groupBy("row", "wid", "start").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("m").alias("m")).where("n = need")
