@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,17 +50,42 @@ def _has_dir(sc) -> bool:
     return sc._jsc.sc().getCheckpointDir().isDefined()
 
 
+#: Folders that ``stored`` wrote and nobody has released.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 
     It cuts the lineage, so a lost executor costs a reread, not a recomputation.
+    The folder stays until ``release``: a result that reads it may be lazy.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> tuple[str, ...]:
+    """The folders that ``stored`` wrote and that are there."""
+    return tuple(_written)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None, before: Sequence[str] = ()) -> None:
+    """Delete what ``stored`` has written, but for the table that ``keep`` reads and what was written ``before``.
+
+    For the end of a job, or when a result that needed the tables is itself
+    written: results that still read them can't be computed any more.
+    """
+    kept = keep.inputFiles() if keep is not None else []
+    for path in set(_written).difference(before):
+        if not any(f"/{path.rpartition('/')[2]}/" in f for f in kept):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _written.remove(path)
+
+
 def slices(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

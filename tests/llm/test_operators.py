@@ -436,6 +436,19 @@ def test_decontaminate(spark, docs, odd, monkeypatch):
     assert {r.n_hit for r in decontaminate.contamination(docs, items.limit(0)).collect()} == {0}
 
 
+def test_release(spark):
+    from pathlib import Path
+
+    from quadrat.llm import common
+
+    before = common.written()
+    a, b, c = (common.stored(spark.range(n), "release-test") for n in (3, 5, 0))
+    paths = common.written()[-3:]
+    common.release(spark, keep=b, before=[*before, paths[2]])
+    assert b.count() == 5 and c.count() == 0 and set(common.written()) == {*before, *paths[1:]}
+    assert [Path(p.removeprefix("file:")).exists() for p in paths] == [False, True, True]
+
+
 def test_words():
     for table, find in ((words.BLANK_SPLIT, lambda t: R.blank_words(R.lower(t))), (words.ALNUM_SPLIT, R.alnum_words)):
         hashes, first = words.word_hashes([(t or "").encode() for t in TEXTS], table)
