@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm import decontaminate, near_dedup, packing, pii, quality_rules
-from quadrat.llm.common import stored, table
+from quadrat.llm.common import release, stored, table, written
 from quadrat.llm.queries import PII_KEY
 
 
@@ -49,9 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"pipeline-{name}")
+            release(spark, keep=docs, before=before)  # the stage is written: what it stored on its way isn't needed any more
     return docs
