@@ -24,9 +24,10 @@ def largest_remainder(cells: DataFrame, by: Sequence[str], weight: str, total: C
     return c.withColumn("quota", F.col("_q") + F.when(place <= left, 1).otherwise(0)).drop("_t", "_w", "_q", "_r")
 
 
-def take(rows: DataFrame, quotas: DataFrame, by: Sequence[str], *order: str | Column) -> DataFrame:
-    """The first ``quota`` rows of each cell in hash order of the parts."""
+def take(rows: DataFrame, quotas: DataFrame, by: Sequence[str], *order: str | Column, most: int | None = None) -> DataFrame:
+    """The first ``quota`` rows of each cell in hash order of the parts; ``most``: what no quota exceeds, a limit that reaches the tasks."""
     r = hash_order(rows, by, *order, name="_n")
+    r = r if most is None else r.where(F.col("_n") <= most)
     return r.join(F.broadcast(quotas.select(*by, "quota")), list(by)).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")  # cells are few
 
 

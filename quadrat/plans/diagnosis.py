@@ -15,7 +15,7 @@ from quadrat.plans.panels import REGISTRY, Panels, query
 from quadrat.plans.projections import R
 from quadrat.plans.sampling import smp_exact_cell_pairs
 from quadrat.plans.similarity import error_clusters, wrong_vecs
-from quadrat.plans.windows import GAP_SQL, ORDER_SQL, TIER_SQL, order, tiers
+from quadrat.plans.windows import GAP_SQL, ORDER_SQL, TIER_SQL, tiers
 
 KEYS = ["model", "class_name", "field", "value"]
 
@@ -177,8 +177,8 @@ def dx_challenge_suite(p: Panels):
     from quadrat.functions.scalar import slices
 
     suites = slices({"small": F.col("scale").isin("tiny", "small"), "deep": F.col("discount_band") == "high"})
-    m = order(p).join(p.targets.select("sample_id", F.explode(suites).alias("suite")), "sample_id")
-    m = m.withColumn("r", F.row_number().over(Window.partitionBy("class_name", "suite").orderBy("rank"))).where("r <= 30")
+    m = p.targets.select("sample_id", "class_name", F.explode(suites).alias("suite"))
+    m = Rk.hash_order(m, ["class_name", "suite"], F.lit("7"), F.col("sample_id"), name="r").where("r <= 30")  # the order of the class
     j = p.facts.select("sample_id", "correct").join(F.broadcast(m.select("sample_id", "suite", "class_name")), "sample_id")  # 30 a class and suite
     return j.groupBy("suite", "class_name").agg(F.count("*").alias("n"), R(F.avg("correct")).alias("recall"))
 

@@ -56,7 +56,7 @@ def smp_tier_allocation(p: Panels):
 @query("smp_stratified_random", QUOTA_SQL + " SELECT s AS repeat, sample_id, class_name, scale FROM (SELECT s, sample_id, class_name, scale, row_number() OVER (PARTITION BY s, class_name, scale ORDER BY sha256(concat_ws(':', '11', s::VARCHAR, sample_id))) AS r FROM targets CROSS JOIN range(1, 4) AS g(s)) JOIN quotas USING (class_name, scale) WHERE r <= quota")
 def smp_stratified_random(p: Panels):
     t = p.targets.select("sample_id", "class_name", "scale").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(3))))
-    r = Rk.hash_order(t, ["repeat", "class_name", "scale"], F.lit("11"), F.col("repeat").cast("string"), F.col("sample_id"), name="_n")
+    r = Rk.hash_order(t, ["repeat", "class_name", "scale"], F.lit("11"), F.col("repeat").cast("string"), F.col("sample_id"), name="_n").where("_n <= 200")  # no quota is more
     q = scale_quotas(p).select("class_name", "scale", "quota")
     return r.join(F.broadcast(q), ["class_name", "scale"]).where("_n <= quota").select("repeat", "sample_id", "class_name", "scale")  # cells are few
 

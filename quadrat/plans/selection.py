@@ -19,14 +19,14 @@ RARE_SQL = "n AS (SELECT class_name, field, value, count(*) AS n FROM states GRO
 @query("sel_static_rarity", QUOTA_SQL + ", " + RARE_SQL + " SELECT class_name, sample_id FROM (SELECT t.class_name, scale, t.sample_id, row_number() OVER (PARTITION BY t.class_name, scale ORDER BY score DESC, t.sample_id) AS r FROM targets t JOIN rs USING (sample_id)) JOIN quotas USING (class_name, scale) WHERE r <= quota")
 def sel_static_rarity(p: Panels):
     s = Sel.static_rarity(p.states, ["class_name"]).withColumn("score", F.round("score", 9)).join(p.targets.select("sample_id", "scale"), "sample_id")
-    r = s.withColumn("r", F.row_number().over(Window.partitionBy("class_name", "scale").orderBy(F.desc("score"), "sample_id")))
+    r = s.withColumn("r", F.row_number().over(Window.partitionBy("class_name", "scale").orderBy(F.desc("score"), "sample_id"))).where("r <= 200")  # no quota is more
     return r.join(F.broadcast(scale_quotas(p).select("class_name", "scale", "quota")), ["class_name", "scale"]).where("r <= quota").select("class_name", "sample_id")  # cells are few
 
 
 @query("sel_score_quota", CELL_SQL + ", " + LOGIT_SQL + ", gi AS (SELECT sample_id, round(1 - list_sum(list_transform(p, lambda x: x * x)), 9) AS g FROM pr) SELECT class_name, sample_id FROM (SELECT t.class_name, tier, t.scale, sample_id, row_number() OVER (PARTITION BY t.class_name, tier, t.scale ORDER BY g DESC, sample_id) AS r FROM tiers JOIN targets t USING (sample_id) JOIN gi USING (sample_id)) JOIN cellq USING (class_name, tier, scale) WHERE r <= quota")
 def sel_score_quota(p: Panels):
     g = p.targets.select("sample_id", F.round(S.deepgini(S.softmax(logits(), 2.0)), 9).alias("g"))
-    r = celled(p).join(g, "sample_id").withColumn("r", F.row_number().over(Window.partitionBy("class_name", "tier", "scale").orderBy(F.desc("g"), "sample_id")))
+    r = celled(p).join(g, "sample_id").withColumn("r", F.row_number().over(Window.partitionBy("class_name", "tier", "scale").orderBy(F.desc("g"), "sample_id"))).where("r <= 40")  # no quota is more
     return r.join(F.broadcast(cell_quotas(p)), ["class_name", "tier", "scale"]).where("r <= quota").select("class_name", "sample_id")  # cells are few
 
 

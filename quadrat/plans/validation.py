@@ -126,10 +126,17 @@ def dq_harmonise(p: Panels):
     return a.unionByName(p.second.select("class_name", "sample_id", "discount_band"), allowMissingColumns=True)
 
 
-@query("dq_freeze_compare", None)
+@query("dq_freeze_compare", "SELECT 'reordered' AS now, count(*) AS rows_then, count(*) AS rows, true AS same FROM targets UNION ALL SELECT 'one_changed', count(*), count(*), false FROM targets UNION ALL SELECT 'one_less', count(*), count(*) - 1, false FROM targets")
 def dq_freeze_compare(p: Panels):
+    """The targets against themselves in another order, with one label changed, and with one row less."""
     t = p.targets.select("sample_id", "label")
-    return V.freeze_compare(t, t.repartition("label"))
+    first = t.join(F.broadcast(t.agg(F.min("sample_id").alias("first"))), how="cross").withColumn("at", F.col("sample_id") == F.col("first"))  # one row
+    cases = {"reordered": t.repartition("label"), "one_changed": first.select("sample_id", (F.col("label") + F.col("at").cast("int")).alias("label")), "one_less": first.where("not at").select("sample_id", "label")}
+    out = None
+    for name, now in cases.items():
+        one = V.freeze_compare(t, now).select(F.lit(name).alias("now"), "rows_then", "rows", "same")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def folder_files(p: Panels) -> DataFrame:
