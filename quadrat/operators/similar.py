@@ -87,12 +87,13 @@ def nearest(queries: DataFrame, pool: DataFrame, key: str, v: str, k: int, block
     block reads the pool once.  A task multiplies its rows, some at a time, with
     the queries and keeps the k best of each, so k rows a task and query are
     ranked at the end.  ``groups`` (query column, pool column, same): only rows
-    whose group equals that of the query, or differs from it, are looked at.
+    whose group equals that of the query, or differs from it, are looked at; a null
+    group neither equals nor differs.
     """
     of_query, of_row, same = groups or (None, None, True)
     spark, kind = queries.sparkSession, queries.schema[key].dataType.simpleString()
-    asked = queries.select(F.col(key).alias("id"), F.col(v).alias("v"), (F.col(of_query) if of_query else F.lit(0)).alias("g"))
-    rows = pool.select(F.col(key).alias("id"), F.col(v).alias("v"), (F.col(of_row) if of_row else F.lit(0)).alias("g"))
+    asked = queries.select(F.col(key).alias("id"), F.col(v).alias("v"), (F.col(of_query) if of_query else F.lit(0)).alias("g")).where("g is not null")
+    rows = pool.select(F.col(key).alias("id"), F.col(v).alias("v"), (F.col(of_row) if of_row else F.lit(0)).alias("g")).where("g is not null")
     n = max(1, -(-asked.count() // block))
 
     def unit(vectors) -> np.ndarray:
