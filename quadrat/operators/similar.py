@@ -107,6 +107,8 @@ def nearest(queries: DataFrame, pool: DataFrame, key: str, v: str, k: int, block
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, units, own = sent.value
+            if not len(ids):
+                return
             best, names = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), ids.dtype)
             step = max(k, TABLE // max(1, len(ids)))
             for b in (big.iloc[at : at + step] for big in batches for at in range(0, len(big), step)):
