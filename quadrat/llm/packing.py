@@ -32,7 +32,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -150,9 +150,14 @@ class WordIds:
 _tokenizers: dict[str, WordIds] = {}
 
 
+def word_ids(name: str) -> WordIds:
+    """The tokenizer of that name; a Python worker keeps it from task to task."""
+    return _tokenizers.get(name) or _tokenizers.setdefault(name, WordIds(name))
+
+
 def _cut(name: str, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _tokenizers.get(name) or _tokenizers.setdefault(name, WordIds(name))  # a worker keeps it from task to task
+        ids_of = word_ids(name)
         end = np.array([CLOSING_ID], "<u4").tobytes()
         for b in batches:
             which, rows = [], []
@@ -406,6 +411,24 @@ def _slots(plan: Plan) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "number", "sequence", "offset"]).astype("int64").sort_values(["length", "number"], ignore_index=True)
 
 
+def numbered(pieces: DataFrame, group: Column, *order: str) -> DataFrame:
+    """``pieces`` with a number from 0 among those of the same length.
+
+    Pieces of a length are numbered in parts of about ``group`` rows, so a task
+    sorts that many whatever the corpus.  ``order`` names columns that decide in
+    a part and deal the pieces to parts.
+    """
+    kinds = pieces.groupBy("length").agg(F.count("*").alias("n")).select("length", F.greatest(F.lit(1), F.ceil(F.col("n") / group)).alias("parts"))
+    dealt = pieces.join(F.broadcast(kinds), "length")  # a row for each length below the capacity
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(*order), F.col("parts")))
+    sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("ahead"))  # a row for ``group`` pieces
+    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy(*order))
+    joined = dealt.withColumn("rank", rank).join(ahead.hint("merge"), ["length", "part"])
+    return joined.withColumn("number", F.col("ahead") + F.col("rank") - 1)
+
+
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, Plan]:
     """The pieces with sequence_id and offset, and the plan.  ``cut`` is read more than once: store it first.
 
@@ -419,22 +442,13 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, Plan]:
     plan = solve({int(n): int(c) for n, c in zip(counts["length"], counts["count"], strict=True)}, capacity)
     slots = spark.sparkContext.broadcast(_slots(plan))
 
-    kinds = short.groupBy("length").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    dealt = short.join(F.broadcast(kinds), "length")  # at most ``capacity`` rows
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.col("parts")))
-    sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    ahead = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("ahead"))  # a row for GROUP pieces
-    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("key", "piece", "ids_crc32"))
-    numbered = dealt.withColumn("rank", rank).join(ahead.hint("merge"), ["length", "part"])
-
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
         s, wide = slots.value, 1 << 42
         at = np.searchsorted(s["length"].to_numpy() * wide + s["number"].to_numpy(), length.to_numpy(np.int64) * wide + number.to_numpy(np.int64), side="right") - 1
         return pd.DataFrame({"sequence_id": s["sequence"].to_numpy()[at] + number - s["number"].to_numpy()[at], "offset": s["offset"].to_numpy()[at]})
 
-    placed = numbered.withColumn("_p", place("length", F.col("ahead") + F.col("rank") - 1)).select(*cut.columns, "_p.sequence_id", "_p.offset")
+    placed = numbered(short, F.lit(GROUP), "key", "piece", "ids_crc32").withColumn("_p", place("length", "number")).select(*cut.columns, "_p.sequence_id", "_p.offset")
     # rows of a stored table are numbered alike however often a task is run
     whole = cut.where(F.col("length") == capacity).select(*cut.columns, (F.monotonically_increasing_id() + plan.sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(whole), plan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat_format, decontaminate, language_id, near_dedup, packing, pii, quality_rules, secret_scan, suffix_dedup, url_filter
+from quadrat.llm import chat_format, decontaminate, fill_in_middle, hard_negatives, language_id, near_dedup, packing, pii, quality_rules, secret_scan, suffix_dedup, tiered_packing, url_filter
 from quadrat.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -143,6 +143,49 @@ con AS (SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT
 """
 OP10_SQL = f"WITH {HITS_SQL} SELECT * FROM con"
 
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select(F.col("key").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                  WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b FROM r),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), F.col("id") % 100 == 0, label=label)
+
+
+OP12_SQL = """
+WITH e AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, b.id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor, id AS positive, score AS p FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor, positive, p, s.id AS negative, s.score AS score, row_number() OVER (PARTITION BY p.anchor, positive ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p <= 100 * s.score AND 100 * s.score <= 90 * p)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INTEGER AS rank, negative AS negative_id, p AS positive_score, score AS negative_score FROM n WHERE rank <= 10
+"""
+
+
+def op13_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, _ = tiered_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.withColumnRenamed("key", "doc_id").drop("ids")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
@@ -154,5 +197,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_tiered_packing": op13_tiered_packing,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_hard_negatives": OP12_SQL}

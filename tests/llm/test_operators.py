@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat_format, components, decontaminate, language_id, near_dedup, packing, pii, quality_rules, secret_scan, suffix_dedup, url_filter, words
+from quadrat.llm import chat_format, components, decontaminate, fill_in_middle, hard_negatives, language_id, near_dedup, packing, pii, quality_rules, secret_scan, suffix_dedup, tiered_packing, url_filter, words
 
 from . import reference as R
 
@@ -457,3 +457,156 @@ def test_words():
             for w, h in zip(find(t), hashes[first[i] : first[i + 1]], strict=True):
                 assert known.setdefault(w, h) == h
         assert len(set(known.values())) == len(known)
+
+
+# -- 11 -----------------------------------------------------------------------------------------
+
+
+def cut_plainly(key, t, units=lambda t: list(t), seed="1"):
+    t = t or ""
+    u = units(t)
+    h = hashlib.sha256(f"{seed}:{'' if key is None else key}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * i : 8 * i + 8], 16) for i in range(4))
+    a, b = sorted((h1 % (len(u) + 1), h2 % (len(u) + 1)))
+    pre, mid, suf = "".join(u[:a]), "".join(u[a:b]), "".join(u[b:])
+    if not t or any(s in t for s in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return len(u), "plain", None, None, t
+    form = "spm" if h4 % 100 < 20 else "psm"
+    out = f"<P>{pre}<S>{suf}<M>{mid}" if form == "psm" else f"<S>{suf}<P>{pre}<M>{mid}"
+    return len(u), form, len(pre), len(mid), out
+
+
+AWKWARD = [(100 + i, t) for i, t in enumerate(["<", "<P", "P>", "<<S", "a<P>b", "<S>", "<M><M>", "x퟿\U0010ffff́e", "\r\n\x0b", "<" * 40, "<S" * 30, "\U0001f600" * 70_000])]
+
+
+def test_fill_in_middle(spark, docs, odd):
+    d = docs.select("doc_id", "text", *CLASHES).unionByName(spark.createDataFrame(AWKWARD, "doc_id long, text string"), allowMissingColumns=True)
+    d = d.withColumns({c: F.lit("own") for c in ("n", "form", "output", "at")})
+    rows = fill_in_middle.transform(d).withColumn("back", fill_in_middle.restore(F.col("output"), F.col("form"))).collect()
+    want = {i: (t, *cut_plainly(i, t)) for i, t in ROWS + AWKWARD}
+    assert {r.key: (r.back, r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in rows} == {i: (t or "", *x) for i, (t, *x) in want.items()}
+    assert len(rows) == len(ROWS + AWKWARD) and {r.form for r in rows} == {"plain", "psm", "spm"}
+    twice = fill_in_middle.transform(odd).collect()
+    assert len(twice) == odd.count() and {r.output for r in twice if r.key is None} == {cut_plainly(None, BASE[0])[-1], ""}
+    assert fill_in_middle.transform(none(spark)).collect() == []
+
+
+def test_fill_in_middle_by_other_units(spark):
+    texts = [(i, BASE[i % 6] + " énd" * i) for i in range(40)]
+    made = fill_in_middle.transform(spark.createDataFrame(texts, "doc_id long, text string"), unit=r"\s*\S+", seed="s")
+    got = {r.key: (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in made.collect()}
+    import re
+
+    assert got == {i: cut_plainly(i, t, lambda t: re.findall(r"\s*\S+", t), "s") for i, t in texts}
+    odd_end = fill_in_middle.transform(spark.createDataFrame([(1, "ends in a blank ")], "doc_id long, text string"), unit=r"\s*\S+").first()
+    assert (odd_end.n, odd_end.form, odd_end.output) == (None, "plain", "ends in a blank ")
+
+
+# -- 12 -----------------------------------------------------------------------------------------
+
+
+def mined(rows, anchor, positives=5, negatives=10, lower=30, upper=90):
+    """Plain Python: rows of (id, label, vector)."""
+    import math
+
+    good = {(i, c, tuple(math.floor(256 * x) for x in v)) for i, c, v in rows if i is not None and c is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    out = set()
+    for i, c, v in good:
+        if anchor(i):
+            scored = sorted({(-sum(x * y for x, y in zip(v, w, strict=False)), j, d == c) for j, d, w in good})
+            for p, j in [(-s, j) for s, j, same in scored if same and j != i][:positives]:
+                fit = [(-s, k) for s, k, same in scored if not same and lower * p <= -100 * s <= upper * p]
+                out |= {(i, j, r, k, p, s) for r, (s, k) in enumerate(fit[:negatives], 1)}
+    return out
+
+
+VECTORS = "vec_id long, label int, embedding array<double>, anchor string, slot int, id string"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(*r, "own", 7, "own") for r in rows], VECTORS)
+
+
+def told(df):
+    rows = [tuple(r) for r in df.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_hard_negatives(spark, small, monkeypatch):
+    if small:
+        monkeypatch.setattr(hard_negatives, "SCORES", 40)
+        monkeypatch.setattr(hard_negatives, "GATHERED", 30)
+    r = random.Random(5)
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, r.randint(0, 3), [r.choice([-0.4, -0.1, 0.0, 0.1, 0.25, 0.3, 0.9]) for _ in range(4)]) for i in range(160)]
+    rows += [(300 + i, r.randint(0, 3), [0.3, 0.3, 0.1, 0.0]) for i in range(60)]  # many ties
+    rows += [(400, None, [1.0] * 4), (410, 1, None), (420, 1, [1.0, None, 0.0, 0.0]), (430, 1, [nan, 0.0, 0.0, 0.0]), (440, 2, [inf] * 4), (None, 1, [1.0] * 4), (450, 1, []), (460, 0, [0.5, 0.5]), (470, 9, [0.2] * 4)]
+    rows += [rows[3], rows[3], rows[10], (12, 2, [0.9] * 4)]  # rows that are there twice, an id with two vectors
+    got = told(hard_negatives.mine(vectors(spark, rows).repartition(5), F.col("id") % 10 == 0, block=7 if small else 4096))
+    assert got == mined(rows, lambda i: i % 10 == 0) and len(got) > 300
+    assert hard_negatives.mine(vectors(spark, rows).limit(0), F.col("id") % 10 == 0).collect() == []
+    assert hard_negatives.mine(vectors(spark, rows), F.lit(False)).collect() == []
+    assert hard_negatives.mine(vectors(spark, [(10, 1, [1.0]), (20, 2, [1.0])]), F.col("id") % 10 == 0).collect() == []
+
+
+def test_hard_negatives_of_large_numbers(spark):
+    r = random.Random(6)
+    for size in (2.0**18, 2.0**21):  # products beyond 2**53
+        rows = [(i, i % 2, [r.uniform(0.5, 1) * size for _ in range(3)]) for i in range(30)]
+        got = told(hard_negatives.mine(vectors(spark, rows), F.col("id") % 10 == 0, lower=0))
+        assert got == mined(rows, lambda i: i % 10 == 0, lower=0) and got
+    a = np.array([[2.0**30, 3.0], [-(2.0**31), 1.0]])
+    assert hard_negatives.products(a, a[:, :1] + 1).tolist() == [[2**30 * (2**30 + 1), 2**30 * (1 - 2**31)], [-(2**31) * (2**30 + 1), -(2**31) * (1 - 2**31)]]
+    with pytest.raises(OverflowError):
+        hard_negatives.products(np.full((1, 2), 2.0**32), np.full((1, 2), 2.0**31))
+
+
+# -- 13 -----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["mixed", "long", "equal", "tiny", "one", "sparse"])
+def test_tier_plan(kind):
+    r = random.Random(kind)
+    histogram = {
+        "mixed": lambda: {n: r.randint(1, 50) for n in r.sample(range(1, 2048), 700)},
+        "long": lambda: {n: r.randint(1, 9) for n in r.sample(range(1500, 2048), 90)},  # no shorter piece to fill with
+        "equal": lambda: {1025: 1000},
+        "tiny": lambda: {1: 5, 2: 3},
+        "one": lambda: {1900: 1},
+        "sparse": lambda: {3: 10**9, 700: 10**9 + 1, 1300: 10**8},
+    }[kind]()
+    plan = tiered_packing.Plan(histogram)
+    t, ends = plan.table(), {}
+    total = 0
+    for row in t.itertuples():
+        ends.setdefault((row.length, row.number), []).append((row.start, row.part))
+    for (n, _), parts in ends.items():  # the parts of a piece are all of it, in order
+        assert [p for p, _ in parts] == [sum(x for _, x in parts[:k]) for k in range(len(parts))] and sum(x for _, x in parts) == n
+    for n, c in histogram.items():
+        assert (n, 0) in ends
+        total += n * c
+    made = plan.sequences()
+    assert sum(size * k for size, k in made.items()) == total and all(not s & (s - 1) and s <= 2048 for s in made)
+    for size, kinds, _ in plan.fills:
+        assert sum(plan._length[k] for k in kinds) == size
+    assert plan.cuts <= sum(made.values()) + 12
+
+
+@pytest.mark.parametrize("tiers", [(4, 8, 16, 32), (32,), (2, 64)])
+def test_tiered_packing(spark, docs, odd, tiers):
+    from .test_queries import check_tiers
+
+    packed, plan = tiered_packing.pack(docs, tiers=tiers, tokens=128, keep_ids=True)
+    rows = packed.withColumnRenamed("key", "doc_id").collect()
+    order = check_tiers(rows, dict(ROWS), tiers[-1], 128)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
+    n = {t: order.count(t) for t in set(order)}
+    for t, all_ in n.items():  # every beginning of the schedule holds each size by its share, to one step a size
+        seen = np.cumsum([x == t for x in order])
+        assert np.abs(seen - (np.arange(len(order)) + 1) * all_ / len(order)).max() <= len(n)
+    again, _ = tiered_packing.pack(odd, tiers=tiers, tokens=128)
+    assert sum(r.length for r in again.collect()) == sum(len(packing.WordIds("word_bpe_49k.json").tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in odd.collect())
+    nothing, plan = tiered_packing.pack(none(spark))
+    assert nothing.collect() == [] and plan.sequences() == {}

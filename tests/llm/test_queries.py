@@ -116,3 +116,34 @@ def test_op9(spark, texts):
     comp, size = R.components(list(texts.items()))
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op9_near_dedup"](spark, SF).collect()}
     assert got == {i: (size[i], comp[i], comp[i] == i) for i in texts}
+
+
+def test_op13(spark, texts):
+    rows = QUERIES["op13_tiered_packing"](spark, SF).collect()
+    check_tiers(rows, texts, 2048, 1 << 16)
+
+
+def check_tiers(rows, texts, longest, tokens):
+    """Every id in one piece, sequences gapless and as long as a power of two, steps of one size and no more than their tokens."""
+    encode = WordIds("word_bpe_49k.json").tokenizer.encode
+    ids = {i: np.array([*encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
+    at = dict.fromkeys(ids, 0)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
+        at[r.doc_id] += r.length
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : at[r.doc_id]].tobytes())
+    assert at == {i: len(x) for i, x in ids.items()}
+    held, tier = {}, {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == held.get(r.sequence_id, 0) and tier.setdefault(r.sequence_id, (r.tier, r.step)) == (r.tier, r.step)
+        held[r.sequence_id] = r.offset + r.length
+    assert all(n == tier[s][0] and n <= longest and not n & (n - 1) for s, n in held.items())
+    assert set(held) == set(range(len(held)))
+    steps: dict = {}
+    for s, n in held.items():
+        steps.setdefault(tier[s][1], []).append((tier[s][0], n))
+    assert set(steps) == set(range(len(steps)))
+    assert all(len({t for t, _ in x}) == 1 and sum(n for _, n in x) <= tokens for x in steps.values())
+    short = [x[0][0] for x in steps.values() if sum(n for _, n in x) < tokens]
+    assert len(short) == len(set(short))  # of each size at most one step isn't full
+    return [steps[k][0][0] for k in sorted(steps)]
