@@ -85,6 +85,38 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(rows).withColumnRenamed("path", "doc_id")
 
 
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+#: kind -> pattern and what a match must be; spans are told by the texts between the matches.
+OP3_KINDS = {
+    "assign": ("(" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + r")[\"\x27]?\x20*[:=]\x20*[\"\x27]?([A-Za-z0-9+/_.=-]+)", "length(g) >= 12"),
+    "access": ("AKIA[A-Z0-9]+", "length(m) >= 18"),
+    "hex": ("[0-9a-f]+", "length(m) >= 16"),
+    "private_key": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+    "code_host_token": (r"\bgh[opsur]_[A-Za-z0-9]{36,}", "true"),
+    "chat_token": (r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "true"),
+    "web_token": (r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+}
+_MATCHES = """SELECT doc_id, {k} AS k, '{kind}' AS kind, ms[i] AS m, {group} AS g, (list_sum(list_slice(gaps, 1, i)) + coalesce(list_sum(list_slice(sizes, 1, i - 1)), 0))::BIGINT AS a
+FROM (SELECT doc_id, ms, gs, sizes, gaps, unnest(range(1, len(ms) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, {groups} AS gs, list_transform(regexp_extract_all(t, '{p}'), lambda x: length(x)) AS sizes,
+                   list_transform(string_split_regex(t, '{p}'), lambda x: length(x)) AS gaps FROM d))"""
+_EACH = " UNION ALL ".join(
+    f"SELECT doc_id, k, kind, a, a + length(m) AS z FROM ({_MATCHES.format(k=k, kind=kind, p=p, group='gs[i]' if k == 0 else 'NULL', groups=f'regexp_extract_all(t, {chr(39)}{p}{chr(39)}, 2)' if k == 0 else 'NULL')}) WHERE {rule}"
+    for k, (kind, (p, rule)) in enumerate(OP3_KINDS.items())
+)
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_EACH}),
+o AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+             string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+"""
+
+
 PII_KEY = "production key of the deployment"  # a parameter; set your own
 
 
@@ -201,4 +233,4 @@ QUERIES = {
     "op12_hard_negatives": op12_hard_negatives,
     "op13_tiered_packing": op13_tiered_packing,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_secret_scan": OP3_SQL, "op4_chat_format": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_hard_negatives": OP12_SQL}

@@ -8,9 +8,14 @@ it, and the findings are joined back to all paths.
 Base kinds, leftmost and non-overlapping for each kind: ``assign``, ``access``
 and ``hex``.  Further kinds (FORMATS) add spans and never remove one.
 
+A blob is scanned where one of its rows is: the row of its smallest place, a hash
+of the path.  Rows that share path and blob have one place and one text, so no
+choice among them matters.  Only blobs that were scanned become ledger entries.
+
 Defined results
 - null text: the empty blob, no finding; a null path is a path
-- equal texts share one scan; repeated rows get a result row each
+- equal texts share one scan (rows that repeat path and blob at most one for each task that meets them)
+- repeated rows get a result row each
 - very long texts are scanned whole
 - empty table: empty results; ledger ``None`` or empty: everything is unseen
 - columns other than the path and the text are not carried
@@ -26,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import stored
+from quadrat.llm.common import hot_parts, stored
 
-RULE_VERSION = "base-1+formats-1"
+RULE_VERSION = "base-1+formats-2"
 KINDS = ("assign", "access", "hex")
-#: Parts that the rows of one blob are joined to its findings in.
-PARTS = 16
+#: Places that a task remembers so as not to pass on a repeated row.
+REMEMBERED = 1 << 18
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
@@ -42,9 +47,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, so the same as runs of any l
 #: kind -> (string that a match must hold, pattern)
 FORMATS: dict[str, tuple[str, re.Pattern]] = {
     "private_key": ("-----BEGIN ", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
-    "code_host_token": ("gh", re.compile(r"\bgh[opsur]_[A-Za-z0-9]{36,}")),
-    "chat_token": ("xox", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
-    "web_token": ("eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    "code_host_token": ("gh", re.compile(r"(?a)\bgh[opsur]_[A-Za-z0-9]{36,}")),
+    "chat_token": ("xox", re.compile(r"(?a)\bxox[abprs]-[A-Za-z0-9-]{10,}")),
+    "web_token": ("eyJ", re.compile(r"(?a)\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
 }
 
 
@@ -68,19 +73,21 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        spans = [find(t) for t in b["text"]]
-        b = pd.DataFrame({"blob": b["blob"], "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]})
-        yield b[[bool(x) for x in spans]]
+        yield pd.DataFrame({"blob": b["blob"], "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in find(t)] for t in b["text"]]})
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose blob this task hasn't passed on yet."""
-    seen: set[str] = set()
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without those that repeat (place, blob), as far as the task remembers."""
+    seen: set[tuple[int, bytes]] = set()
     for b in batches:
-        names = b.column("blob").to_pylist()
-        fresh = dict(zip(reversed(names), range(len(names) - 1, -1, -1), strict=True))  # the first place of each
-        at = sorted(i for blob, i in fresh.items() if blob not in seen)
-        seen.update(fresh)
+        names = list(zip(b.column("place").to_pylist(), map(bytes.fromhex, b.column("blob").to_pylist()), strict=True))
+        at = []
+        for i, name in enumerate(names):
+            if name not in seen:
+                at.append(i)
+                seen.add(name)
+        if len(seen) > REMEMBERED:  # a row more is scanned twice, none is lost
+            seen = set(names[-1:])
         yield b.take(pa.array(at, pa.int64()))
 
 
@@ -95,30 +102,28 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path
 
     The first pass reads the texts only to address them; its shuffle holds one
     key for each blob and task.  The second moves each text once to meet the
-    list of unseen blobs, spread by path, so copies of one blob don't meet in
-    one task; rows that repeat path and blob are dropped before they move and
-    where they meet, so a blob is scanned once.  What is found is stored before
-    either result reads it.
+    list of unseen blobs, by path and blob, so neither the copies of one blob
+    nor the versions of one path meet in one task.  What is scanned is stored
+    before either result reads it.  A blob that very many rows hold is joined
+    to its findings in parts.
     """
     # a hash of the path stands for it, so a null path needs no rule of its own
     all_rows = blobs(versions, path, text).withColumn("place", F.xxhash64("path"))
-    addressed = all_rows.select("path", "blob")
-    todo = all_rows.groupBy("blob").agg(F.min("place").alias("place"))
+    held = stored(all_rows.groupBy("blob").agg(F.min("place").alias("place"), F.count("*").alias("n")), "secret-scan-blobs")
+    todo = held.select("blob", "place")
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob", "spans").dropDuplicates(["blob"])
         todo = todo.join(seen.select("blob"), "blob", "left_anti")
-    each = all_rows.select("place", "blob", "text").mapInArrow(_first_of_each, "place long, blob string, text string")
-    one_each = each.join(todo.hint("shuffle_hash"), ["place", "blob"], "left_semi").select("blob", "text").mapInArrow(_first_of_each, "blob string, text string")
-    found = one_each.mapInPandas(_scan, f"blob string, spans {SPANS}").dropDuplicates(["blob"])
-    found = stored(found, "secret-scan-found")
-    fresh = found if ledger is None else found.unionByName(seen.where("size(spans) > 0"))
-    none = F.array().cast(SPANS)
-    # a blob that very many paths hold is joined in parts
-    parts = fresh.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    rows = addressed.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int")).join(parts, ["blob", "part"], "left")
-    rows = rows.select("path", "blob", F.coalesce("spans", none).alias("spans"))
-    entries = todo.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", none).alias("spans"))
-    return rows, entries
+    each = all_rows.select("place", "blob", "text").mapInArrow(_once, "place long, blob string, text string")
+    scanned = each.join(todo, ["place", "blob"], "left_semi").select("blob", "text").mapInPandas(_scan, f"blob string, spans {SPANS}").dropDuplicates(["blob"])
+    scanned = stored(scanned, "secret-scan-found")
+    found = scanned if ledger is None else scanned.unionByName(seen)
+    hot = F.broadcast(hot_parts(held, "blob"))  # bounded by its rule
+    parts = found.where("size(spans) > 0").join(hot, "blob", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    rows = all_rows.select("path", "blob").join(hot, "blob", "left").withColumn("part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0)).cast("int"))
+    rows = rows.drop("parts").join(parts.drop("parts"), ["blob", "part"], "left")
+    rows = rows.select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return rows, scanned.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
 
 
 def told(spans: Column) -> Column:

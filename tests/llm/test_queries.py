@@ -62,6 +62,14 @@ def test_op3(spark, texts):
         assert [got[i][f"n_{x}"] for x in secret_scan.KINDS] == [sum(k == j for _, k, _ in base) for j in range(3)]
 
 
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_op3_repeated_texts(spark, sf):
+    """A table in which texts with secrets occur under several ids."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.spans for r in QUERIES["op3_secret_scan"](spark, f"/root/testdata/{sf}").collect()}
+    assert got == {i: ",".join(f"{k}:{a}:{z}" for k, a, z in secret_scan.find(t)) for i, t in docs.items()}
+
+
 def test_op3_in_two_rounds(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     early = docs.where("doc_id % 3 != 0")
