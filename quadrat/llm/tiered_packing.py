@@ -41,6 +41,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,29 +63,36 @@ STEP = 1 << 16
 def _tokens(name: str, capacity: int, closing: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, task, full = word_ids(name), TaskContext.get().partitionId(), 0
+        narrow = "<u2" if max(closing, ids_of.tokenizer.get_vocab_size() - 1) < 1 << 16 else "<u4"
         for b in batches:
-            which, rows = [], []
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            for lo, hi in groups([len(t) for t in texts]):
-                ids, cuts = ids_of.of_many(texts[lo:hi])
+            column = b.column("text").cast(pa.binary())
+            for lo, hi in groups(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                which, rows = [], []
+                ids, cuts = ids_of.of_many([t or b"" for t in column.slice(lo, hi - lo).to_pylist()])
                 for i, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), lo):
                     own = np.append(ids[a:z], np.uint32(closing)).astype("<u4", copy=False)
                     for at in range(0, len(own), capacity):
-                        part = own[at : at + capacity].tobytes()
-                        whole = len(part) == 4 * capacity
+                        part = own[at : at + capacity]
+                        whole = len(part) == capacity
+                        kept = None if whole and not keep_ids else part.astype(narrow).tobytes()
                         which.append(i)
-                        rows.append((at, len(part) // 4, zlib.crc32(part), len(own), task, full if whole else None, part if keep_ids or not whole else None))
+                        rows.append((at, len(part), zlib.crc32(part.tobytes()), len(own), task, full if whole else None, kept))
                         full += whole
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            out = [b.column("key").take(pa.array(which, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]]
-            yield pa.RecordBatch.from_arrays(out, ["key", "start", "length", "ids_crc32", "doc_tokens", "task", "nth", "ids"])
+                cols = list(zip(*rows, strict=True)) or [[]] * 7
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                out = [b.column("key").take(pa.array(which, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]]
+                yield pa.RecordBatch.from_arrays(out, ["key", "start", "length", "ids_crc32", "doc_tokens", "task", "nth", "ids"])
 
     return run
 
 
+def _wide(ids: bytes, length: int, start: int, end: int) -> bytes:
+    """Ids from start to end as little-endian 32-bit numbers."""
+    return np.frombuffer(ids, f"<u{len(ids) // length}")[start:end].astype("<u4").tobytes()
+
+
 def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, closing: int, keep_ids: bool) -> DataFrame:
-    """key, start, length, ids_crc32, doc_tokens; task, nth: number of a full piece in its task; ids: null for full pieces unless asked for."""
+    """key, start, length, ids_crc32, doc_tokens; task, nth: number of a full piece in its task; ids, of 16 bits each if they fit: null for full pieces unless asked for."""
     d = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = d.schema["key"].dataType.simpleString()
     return d.mapInArrow(_tokens(tokenizer, capacity, closing, keep_ids), f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long, ids binary")
@@ -315,10 +323,11 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
             row = np.repeat(np.arange(len(spot)), parts)
             at = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts) + np.repeat(lo, parts)
             beyond = (spot - own)[row]
-            ids, crc = b.column("ids"), b.column("ids_crc32").to_numpy()[row].copy()
+            ids, length, crc = b.column("ids"), b.column("length").to_numpy(), b.column("ids_crc32").to_numpy()[row].copy()
             kept: list[bytes | None] = [None] * len(row)
             for k in np.flatnonzero((parts[row] > 1) | keep_ids).tolist():
-                part = ids[int(row[k])].as_py()[4 * int(t["start"][at[k]]) :][: 4 * int(t["part"][at[k]])]
+                start = int(t["start"][at[k]])
+                part = _wide(ids[int(row[k])].as_py(), int(length[row[k]]), start, start + int(t["part"][at[k]]))
                 crc[k], kept[k] = zlib.crc32(part), part if keep_ids else None
             take = pa.array(row)
             columns = [b.column("key").take(take), pa.array(b.column("start").to_numpy()[row] + t["start"][at]), pa.array(t["part"][at]), pa.array(crc), b.column("doc_tokens").take(take), pa.array(kept, pa.binary())]
@@ -327,8 +336,15 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
     kind = cut.schema["key"].dataType.simpleString()
     # of one length about 64 MB of ids are numbered in one group
-    placed = numbered(short, F.ceil(F.lit(1 << 24) / F.col("length")), "key", "start", "ids_crc32").select("key", "start", "length", "ids_crc32", "doc_tokens", "ids", "number").mapInArrow(place, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, number long, offset long, tier long")
+    placed = numbered(short, F.ceil(F.lit(1 << 25) / F.col("length")), "key", "start", "ids_crc32").select("key", "start", "length", "ids_crc32", "doc_tokens", "ids", "number").mapInArrow(place, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, number long, offset long, tier long")
     number = F.col("ahead") + F.col("nth") + (sequences[longest] - n_full)
+
+    @F.pandas_udf("binary")
+    def wide(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: _wide(x, longest, 0, longest))
+
+    if keep_ids:
+        full = full.withColumn("ids", wide("ids"))
     whole = full.join(F.broadcast(ahead), "task").select("key", "start", "length", "ids_crc32", "doc_tokens", "ids", number.alias("number"), F.lit(0).cast("long").alias("offset"), F.lit(longest).cast("long").alias("tier"))
     every = placed.unionByName(whole)
     start = F.lit(0).cast("long")
