@@ -9,6 +9,14 @@ prices, until the fractional solution is within GAP of the bound that the prices
 prove.  It is then rounded; what the rounding leaves is packed best-fit
 decreasing, on the histogram.
 
+Where lengths abound, a fill can be exactly full, and then no packing does better.
+So the weights are first followed over such fills alone, in whole numbers
+(``perfect``): each round prices the lengths, the dynamic programme gives a full
+sequence around every length, and each is used as often as its scarcest length
+allows for the round.  A reserve, mostly of short pieces, is left out, so that
+best-fit decreasing closes what stays.  What full sequences can't hold goes to
+the programme with any fills.
+
 The plan says how many sequences get which fill.  Spark numbers the pieces of
 each length and each piece looks up its sequence and place.
 
@@ -25,6 +33,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
@@ -194,8 +203,13 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 GAP = 1.05
 #: Near-best fills are taken up to this share below the best; a step serves a length by STEP of its pieces at most.
 SLACK, STEP, SHARPNESS = 0.1, 0.02, 20.0
-#: Steps of the weights between two knapsacks; knapsacks without progress before it ends.
-STEPS, PATIENCE = 20, 30
+#: Steps of the weights between two knapsacks; after WAIT knapsacks without progress slack and step are halved, HALVINGS times at most.
+STEPS, WAIT, HALVINGS = 20, 30, 4
+
+#: Full sequences: share of each length that is left out, more of it of short pieces (about SHORT tokens), and how much may stay beyond that.
+RESERVE, RESERVE_SHORT, SHORT, STAYS = 0.03, 0.8, 30, 0.04
+#: Near-best choices, sharpness of the weights and share of a length for a round; a round that places less than STALL of the pieces widens the share.
+CHOICE, PULL, SHARE, STALL = 0.05, 10.0, 0.04, 0.0005
 
 
 @dataclass
@@ -216,17 +230,17 @@ class Plan:
         return sum(n for _, n in self.fills)
 
 
-def knapsack(prices: np.ndarray, plenty: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> tuple[float, np.ndarray, np.ndarray]:
+def knapsack(prices: np.ndarray, plenty: np.ndarray, noise: np.ndarray, rng: np.random.Generator, slack: float = SLACK) -> tuple[float, np.ndarray, np.ndarray]:
     """Dynamic programming over the room, any number of each length: value of the best fill, value of a near-best one for each room, and the length it takes first.
 
     prices, plenty: for each length from 0 to the capacity, minus infinity where
-    there is none.  Of the choices that lose less than SLACK of a piece's price
+    there is none.  Of the choices that lose less than ``slack`` of a piece's price
     one is drawn, the more often the more pieces it has, so that the fills of
     one knapsack differ.
     """
     capacity = len(prices) - 1
     best, path, first = np.zeros(capacity + 1), np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)  # from full to no room
-    cost, extra, plenty = prices[1:], SLACK * prices[1:], plenty[1:]
+    cost, extra, plenty = prices[1:], slack * prices[1:], plenty[1:]
     shifts = rng.integers(0, len(noise) - capacity, capacity + 1)
     for room in range(1, capacity + 1):
         at = capacity - room
@@ -241,6 +255,68 @@ def knapsack(prices: np.ndarray, plenty: np.ndarray, noise: np.ndarray, rng: np.
     return float(best[0]), path[::-1], first[::-1]
 
 
+def full_knapsack(prices: np.ndarray, plenty: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """As ``knapsack``, over fills that leave nothing of the room: value for each room, minus infinity where there is no such fill, and the length it takes first."""
+    capacity = len(prices) - 1
+    path, first = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)  # from full to no room
+    path[capacity] = 0.0
+    cost, extra, plenty = prices[1:], CHOICE * prices[1:], plenty[1:]
+    shifts = rng.integers(0, len(noise) - capacity, capacity + 1)
+    for room in range(1, capacity + 1):
+        at = capacity - room
+        got = path[at + 1 :] + cost[:room]
+        if (most := got.max()) > -np.inf:
+            k = int(np.where(got + extra[:room] >= most, plenty[:room] + noise[shifts[room] : shifts[room] + room], -np.inf).argmax())
+            path[at], first[at] = got[k], k + 1
+    return path[::-1], first[::-1]
+
+
+def perfect(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[tuple[int, ...], int], dict[int, int]]:
+    """Full sequences by multiplicative weights, in whole numbers, and the pieces that stay.
+
+    Ends when STAYS of the pieces are left beside the reserve, or when a round
+    without a limit on shares places less than STALL of them, so after
+    1 / STALL rounds and a few at most.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    whole = np.array([histogram[int(n)] for n in lengths], np.int64)
+    rng = np.random.default_rng(0)  # one histogram, one plan
+    noise = rng.gumbel(size=1 << 18)
+    kept = np.floor((RESERVE + RESERVE_SHORT * np.exp(-lengths / SHORT)) * whole + rng.random(len(whole))).astype(np.int64)
+    need = whole - np.minimum(kept, whole)
+    left, share, total = need.copy(), SHARE, int(whole.sum())
+    fills: dict[tuple[int, ...], int] = {}
+    while left.sum() > STAYS * total:
+        served = 1 - left / np.maximum(need, 1)
+        on = left > 0
+        weight = lengths * np.exp(-PULL * (served - served[on].min()))
+        prices, plenty = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -np.inf)
+        prices[lengths[on]], plenty[lengths[on]] = weight[on] / weight[on].max(), np.log(left[on])
+        path, first = full_knapsack(prices, plenty, noise, rng)
+        own = np.flatnonzero(on & (path[capacity - lengths] > -np.inf))
+        fill, piece = columns(first, lengths, own) if len(own) else (own, own)
+        order = np.argsort(fill, kind="stable")
+        piece, cuts = piece[order].tolist(), np.searchsorted(fill[order], np.arange(len(own) + 1)).tolist()
+        limit = np.minimum(left, np.maximum(1, np.ceil(share * need))).astype(np.int64).tolist()
+        placed = 0
+        for i in rng.permutation(len(own)).tolist():
+            held = Counter(piece[cuts[i] : cuts[i + 1]])
+            n = min(limit[v] // k for v, k in held.items())
+            if n:
+                key = tuple(sorted((int(lengths[v]) for v in held.elements()), reverse=True))
+                fills[key] = fills.get(key, 0) + n
+                for v, k in held.items():
+                    limit[v] -= n * k
+                    left[v] -= n * k
+                placed += n * held.total()
+        if placed < STALL * total:
+            if share >= 1:
+                break
+            share = min(1.0, 2 * share)
+    stay = whole - need + left
+    return fills, {int(n): int(c) for n, c in zip(lengths, stay, strict=True) if c}
+
+
 def columns(first: np.ndarray, lengths: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(fill, number of the length) for each piece in the fills that begin with the lengths ``own``."""
     capacity = len(first) - 1
@@ -266,7 +342,7 @@ def programme(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict
     it; then, for STEPS steps, all known fills within SLACK of the best weight
     are used a little, none beyond STEP of a length.  The amounts since any
     earlier knapsack, divided by the least share served since, are a solution;
-    the best one counts.
+    the best one counts.  Without progress, slack and step are halved.
     """
     lengths = np.array(sorted(histogram), np.int64)
     need = np.array([histogram[int(n)] for n in lengths], float)
@@ -280,18 +356,23 @@ def programme(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict
     earlier: list[tuple[np.ndarray, float, np.ndarray]] = []
     mean = None
     value, bound, answer, since = np.inf, float(lengths @ need) / capacity, amount, 0
-    while value > GAP * bound and since < PATIENCE:
+    slack, step, halved = SLACK, STEP, 0
+    while value > GAP * bound:
+        if since >= WAIT:
+            if halved == HALVINGS:
+                break
+            slack, step, halved, since = slack / 2, step / 2, halved + 1, 0
         weight = start * np.exp(-SHARPNESS * (served - served.min()))
         weight /= weight @ need
         prices = np.full(capacity + 1, -np.inf)
         prices[lengths] = weight
-        top, path, first = knapsack(prices, plenty, noise, rng)
+        top, path, first = knapsack(prices, plenty, noise, rng, slack)
         mean = weight if mean is None else 0.9 * mean + 0.1 * weight
         if len(earlier) % 5 == 4:  # weights swing about the best ones, so their mean proves more
             prices[lengths] = mean
             bound = max(bound, 1 / knapsack(prices, plenty, noise, rng)[0])
         bound = max(bound, 1 / top)
-        own = np.flatnonzero(weight + path[capacity - lengths] >= (1 - SLACK) * top)
+        own = np.flatnonzero(weight + path[capacity - lengths] >= (1 - slack) * top)
         f, p = columns(first, lengths, own)
         earlier.append((served.copy(), total, amount.copy()))
         of, piece = np.concatenate([of, f + len(amount)]), np.concatenate([piece, p])
@@ -301,10 +382,10 @@ def programme(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict
         for _ in range(STEPS):
             weight = start * np.exp(-SHARPNESS * (served - served.min()))
             worth = np.bincount(of, weight[piece], minlength=len(amount))
-            on = worth >= (1 - SLACK) * worth.max()
-            use = np.where(on, base, 0) * STEP
+            on = worth >= (1 - slack) * worth.max()
+            use = np.where(on, base, 0) * step
             o, q = of[on[of]], piece[on[of]]
-            limit = np.minimum(1, STEP / np.maximum(np.bincount(q, use[o], minlength=len(need)) / need, 1e-300))
+            limit = np.minimum(1, step / np.maximum(np.bincount(q, use[o], minlength=len(need)) / need, 1e-300))
             least = np.ones(len(use))
             np.minimum.at(least, o, limit[q])
             use *= least
@@ -344,19 +425,47 @@ def rounded(sums: dict[tuple[int, ...], float], histogram: dict[int, int], capac
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Fills for all pieces.  Work depends on the number of lengths, not on the counts.
 
-    Rounding is tried with fills that leave nothing, a hundredth, and any room
-    free; what stays is packed best-fit decreasing.  The fewest sequences win,
-    at a tie the plan with more pieces in fills of the programme.
+    Full sequences first; if more than a tenth of the pieces stay, the programme
+    with any fills is solved for them, and for all pieces as another plan.  Its
+    amounts are rounded with fills that leave nothing, a hundredth, and any room
+    free, and it is solved again for what stays until that is less than a tenth;
+    the last is packed best-fit decreasing.  The fewest sequences win,
+    at a tie the plan with more pieces in fills of the programme.  Best-fit
+    decreasing alone is one of the plans, so none is worse than it.
     """
     histogram = {n: c for n, c in histogram.items() if c > 0}
     if not histogram:
         return Plan([], 0)
-    sums, value, bound = programme(histogram, capacity)
-    plans = []
-    for waste in (0, capacity // 100, capacity):
-        fills, left = rounded(sums, histogram, capacity, waste)
-        plans.append(Plan(best_fit(left, capacity, fills), -(-int(bound * (1 - 1e-9) * 1e6) // 10**6), value, sum(histogram.values()) - sum(left.values())))
-    return min(plans, key=lambda p: (p.sequences, -p.programme))
+    total, tokens = sum(histogram.values()), sum(n * c for n, c in histogram.items())
+    least = -(-tokens // capacity)
+    plans = [Plan(best_fit(histogram, capacity), least, tokens / capacity)]
+
+    def add(fills: list[tuple[tuple[int, ...], int]], left: dict[int, int]) -> None:
+        plans.append(Plan(best_fit(left, capacity, fills), least, tokens / capacity, total - sum(left.values())))
+
+    def rounds(of: dict[int, int], fills: list[tuple[tuple[int, ...], int]]) -> tuple[float, float]:
+        first = None
+        while sum(of.values()) > 0.1 * total:
+            sums, *proven = programme(of, capacity)
+            first = first or proven
+            for waste in (0, capacity // 100, capacity):
+                more, left = rounded(sums, of, capacity, waste)
+                add(fills + more, left)
+            if not more:
+                break
+            fills, of = fills + more, left
+        return first
+
+    made, stay = perfect(histogram, capacity)
+    full = list(made.items())
+    add(full, stay)
+    value = tokens / capacity
+    if sum(stay.values()) > 0.1 * total:
+        value, bound = rounds(histogram, [])
+        least = max(least, -(-int(bound * (1 - 1e-9) * 1e6) // 10**6))
+        rounds(stay, full)
+    best = min(plans, key=lambda p: (p.sequences, -p.programme))
+    return Plan(best.fills, least, value, best.programme)
 
 
 def best_fit(left: dict[int, int], capacity: int, fills: Sequence[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
