@@ -2,27 +2,27 @@
 
 A rule is a host with a path prefix.  It fits the host, all its subdomains and
 every path that starts with its path.  The host is turned round label by label
-and the path follows (``org.example./es/``), so a rule is one interval of keys,
-and the intervals of a rule list are nested or disjoint.
+and the path follows (``org.example./es/``): one key, and a rule is the interval of
+all keys that begin with its own.  Such intervals are nested or disjoint.
 
 A page has a key for its host and one for each parent host of a depth that some
-rule has.  Keys and rules are merged into sorted runs.  At each rule the sweep
-takes over its stack: the rule itself and the rules around it.  At a key the
-last stack holds every rule around the key; those whose interval has ended are
-no prefix of it any more and count as popped.  The longest that is left wins,
-over all keys of the page.
-
-A rule's stack is as long as its path at most, so nothing holds all rules of a
-host.  Runs are of one host; a host of more than RUN keys, as ``com`` will be, is
-dealt to as many runs as its keys need, and each has the rules of that host.  A
-host of many rules has longer runs, so the copies of its rules stay below an
-eighth of its keys.  Nothing is broadcast by hand.
+rule has, each with the page's path.  Keys and rules are sorted together, by
+ranges of the key; the sweep goes through a range and keeps the stack of rules.
+A rule inside k others has level k, and rules of one level are disjoint, so of
+each level only the last one passed can be open: the stack is one running "last"
+for each level, and an entry that is no prefix of the key at hand has ended.
+What is open at the start of a range is carried over from the ranges before,
+whose last rules are a row a range.  The longest open rule wins, over all keys
+of the page.
+
+Ranges are drawn by key and row, so equal keys, however many, lie in as many
+ranges as they need, and so do the rules of one host.
 
 Defined results
 - null url, or no ``://``: host and path are empty, no rule fits, verdict ``block``
 - url with a host that no rule fits: verdict ``allow``
 - equal rules (same host and path): the one that says ``block`` wins
-- rules with a null or empty host are ignored; a null path counts as empty
+- rules with a null or empty host are ignored; a null path counts as empty; a path that is neither empty nor begins with / fits nothing
 - repeated pages: one result row each; an empty table gives an empty result
 - extra columns of the pages are kept; those named like a result column are
   replaced by it
@@ -34,13 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quadrat.llm.common import ascii_lower
+from quadrat.llm.common import ascii_lower, stored
 
-#: Keys of a host in one sorted run, about.
-RUN = 2000
-#: Parts in which the keys of a host learn its number of runs.
-SALTS = 32
-RULE = "struct<size:int,rule:string,path:string,verdict:string>"
+RULE = "struct<key:string,size:int,rule:string,verdict:string>"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -57,54 +53,59 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def stacks(rules: DataFrame) -> DataFrame:
-    """base (turned host), path, stack: each rule with the rules of its host around it.
+def levelled(rules: DataFrame) -> DataFrame:
+    """key, rule (RULE), depth (labels of the host), level (how many rules hold it, itself included).
 
-    A rule looks up every beginning of its path among the rules of its host.
+    A rule looks up every beginning of its key among the rules.
     """
-    r = rules.select(ascii_lower(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), F.col("verdict").alias("v")).where("h is not null and h != ''")
+    r = rules.select(ascii_lower(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), F.col("verdict").alias("v")).where("h is not null and h != '' and (p = '' or p like '/%')")
     r = r.groupBy("h", "p").agg(F.max("v").alias("v"))  # block > allow
-    entry = F.struct(F.length(F.concat("h", "p")).alias("size"), F.concat("h", "p").alias("rule"), F.col("p").alias("path"), F.col("v").alias("verdict"))
-    r = r.select("h", host_key(F.col("h")).alias("base"), "p", entry.cast(RULE).alias("entry"))
-    starts = r.select("base", "p", F.explode(F.transform(F.sequence(F.lit(0), F.length("p")), lambda n: F.substring("p", F.lit(1), n))).alias("start"))
-    around = starts.join(r.select("base", F.col("p").alias("start"), "entry"), ["base", "start"])
-    return around.groupBy("base", F.col("p").alias("path")).agg(F.collect_list("entry").alias("stack"))
+    base = host_key(F.col("h"))
+    entry = F.struct(F.concat(base, F.col("p")).alias("key"), F.length(F.concat("h", "p")).alias("size"), F.concat("h", "p").alias("rule"), F.col("v").alias("verdict"))
+    r = r.select(entry.cast(RULE).alias("rule"), F.size(F.split("h", r"\.")).alias("depth"))
+    key = F.col("rule.key")
+    starts = r.select(key.alias("key"), F.explode(F.transform(F.sequence(F.lit(1), F.length(key)), lambda n: F.substring(key, F.lit(1), n))).alias("start"))
+    level = starts.join(r.select(F.col("rule.key").alias("start")), "start").groupBy("key").agg(F.count("*").cast("int").alias("level"))
+    return r.select(F.col("rule.key").alias("key"), "rule", "depth").join(level, "key")
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", unparsed: str = "block") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", unparsed: str = "block", ranges: int | None = None) -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
-    rules: columns host, path, verdict.  The row itself travels with the key of
-    its whole host only; pages without a host have no key to look up.
+    rules: columns host, path, verdict.  ``ranges``: into how many the sorted
+    keys are cut, by default the session's number of shuffle partitions.  The
+    row itself travels with one event of its page; pages without a host have no key.
     """
     out = ("host", "path", "rule", "verdict")
     host, path = host_and_path(F.col("`" + url + "`"))
     # names within a struct can't clash with those of the sweep
     p = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns], F.lit(0).alias("none")).alias("row"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("id"))
 
-    r = stacks(rules)
-    labels = F.size(F.split("base", r"\.")) - 1
-    depths = sorted(x[0] for x in r.select(labels.alias("depth")).distinct().collect())  # a host name has at most 127 labels
+    r = stored(levelled(rules), "url-filter-rules")
+    known = r.agg(F.max("level").alias("levels"), F.collect_set("depth").alias("depths")).first()
+    levels, depths = known["levels"] or 0, sorted(known["depths"])  # a host name has at most 127 labels
     n = F.size(F.split("host", r"\."))
-    names = [F.when((F.col("host") != "") & (n >= d), host_key(F.substring_index("host", ".", -d))) for d in depths]
+    names = [F.when((F.col("host") != "") & (n >= d), F.concat(host_key(F.substring_index("host", ".", -d)), F.col("path"))) for d in depths]
     whole = F.struct("host", "path", "row")
-    # a first key that no rule has carries the row; so ids are made once and needn't be alike in two readings
-    carrier = F.struct(F.concat(F.lit(" "), F.col("id")).alias("base"), whole.alias("whole"))
-    others = [F.struct(x.alias("base"), F.lit(None).cast(p.select(whole.alias("w")).schema["w"].dataType).alias("whole")) for x in names]
-    keys = p.select("id", "path", F.explode(F.array(carrier, *others)).alias("k")).select("id", "path", "k.base", "k.whole").where("base is not null")
-
-    rows_of = r.groupBy("base").agg(F.count("*").alias("rules"))
-    runs = keys.where("whole is null").groupBy("base").agg(F.count("*").alias("keys")).join(rows_of, "base")
-    runs = runs.select("base", F.ceil(F.col("keys") / F.greatest(F.lit(RUN), 8 * F.col("rules"))).alias("runs"))
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    left = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(runs.select("*", salt), ["base", "salt"], "left")
-    left = left.where("runs is not null or whole is not null")
-    left = left.select("base", F.coalesce(F.pmod(F.xxhash64("id"), F.col("runs")), F.lit(0).cast("long")).alias("run"), "path", F.lit(1).alias("kind"), "id", "whole")
-    right = r.join(runs, "base").select("base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), "path", F.lit(0).alias("kind"), "stack")
-    sweep = Window.partitionBy("base", "run").orderBy("path", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = left.unionByName(right, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
-    best = F.array_max(F.filter("stack", lambda e: F.startswith(F.col("path"), e["path"])))
-    one = swept.withColumn("best", best).groupBy("id").agg(F.first("whole", ignorenulls=True).alias("whole"), F.max("best").alias("best"))
+    # an event that no rule holds carries the row; so ids are made once and needn't be alike in two readings
+    carrier = F.struct(F.concat(F.lit(" "), F.col("id")).alias("key"), whole.alias("whole"))
+    others = [F.struct(x.alias("key"), F.lit(None).cast(p.select(whole.alias("w")).schema["w"].dataType).alias("whole")) for x in names]
+    keys = p.select("id", F.explode(F.array(carrier, *others)).alias("k")).select("id", "k.key", "k.whole").where("key is not null")
+
+    # a rule comes before the pages with its very key
+    events = keys.unionByName(r.select("key", "rule", "level", F.lit(-1).cast("long").alias("id")), allowMissingColumns=True)
+    dealt = events.repartitionByRange(ranges, "key", "id") if ranges else events.repartitionByRange("key", "id")
+    # stored: ranges are drawn from a sample and are read twice
+    dealt = stored(dealt.withColumn("range", F.spark_partition_id()), "url-filter-events")
+    stack = [F.when(F.col("level") == k, F.col("rule")) for k in range(1, levels + 1)]
+    ends = dealt.groupBy("range").agg(F.count("*").alias("n"), *[F.max(x).alias(f"end{k}") for k, x in enumerate(stack)])
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("range", *[F.last(f"end{k}", ignorenulls=True).over(before).alias(f"carried{k}") for k in range(levels)])  # a row a range
+    sweep = Window.partitionBy("range").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
+    swept = dealt.select("*", *[F.last(x, ignorenulls=True).over(sweep).alias(f"open{k}") for k, x in enumerate(stack)]).where("id >= 0").join(F.broadcast(carried), "range")
+    held = [F.coalesce(f"open{k}", f"carried{k}") for k in reversed(range(levels))]
+    best = F.coalesce(*[F.when(F.startswith(F.col("key"), x["key"]), F.struct(x["size"].alias("size"), x["rule"].alias("rule"), x["verdict"].alias("verdict"))) for x in held], F.lit(None).cast("struct<size:int,rule:string,verdict:string>"))
+    one = swept.select("id", "whole", best.alias("best")).groupBy("id").agg(F.first("whole", ignorenulls=True).alias("whole"), F.max("best").alias("best"))
     one = one.select("whole.*", "best")
     kept = [F.col("row")[c].alias(c) for c in pages.columns if c not in out]
     verdict = F.coalesce("best.verdict", F.when(F.col("host") == "", F.lit(unparsed)).otherwise(F.lit(default)))

@@ -68,18 +68,31 @@ def test_url_filter(spark):
     assert got == {i: judged(u, rules) for i, u in enumerate(urls)}
 
 
-def test_nested_paths_and_hot_hosts(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "RUN", 3)  # many runs for one host
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_nested_paths_and_hot_hosts(spark, ranges):
     r = random.Random(3)
     part = lambda k: "".join(r.choice("ab/") for _ in range(k))
-    hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "org", "x.org", ".com", "com.", "a..com"]
-    rules = list({(h, p): (h, p, r.choice(["allow", "block"])) for h, p in ((r.choice(hosts), "/" + part(r.randint(0, 4))) for _ in range(60))}.values())
-    urls = [f"http://{r.choice(hosts)}/{part(r.randint(0, 8))}" for _ in range(400)] + ["http://" + "a." * 500 + "com/a/b" + "a" * 5000]
+    hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "-c.b.a.com", "org", "x.org", ".com", "com.", "a..com"]
+    rules = list({(h, p): (h, p, r.choice(["allow", "block"])) for h, p in ((r.choice(hosts), r.choice(["/", "/", "/", ""]) + part(r.randint(0, 4))) for _ in range(80))}.values())
+    rules += [(h, "", "block") for h in ("com", "b.a.com", "org") if (h, "") not in {x[:2] for x in rules}]
+    urls = [f"http://{r.choice(hosts)}/{part(r.randint(0, 8))}" for _ in range(400)] + ["http://" + "a." * 500 + "com/a/b" + "a" * 5000] + ["http://a.com/ab"] * 300
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
-    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), ranges=ranges).collect()}
     assert got == {i: judged(u, rules) for i, u in enumerate(urls)}
 
 
+def test_a_host_of_many_rules(spark):
+    r = random.Random(9)
+    rules = list({p: ("x.org", p, r.choice(["allow", "block"])) for p in ("/" + "".join(r.choice("abc/") for _ in range(r.randint(0, 9))) for _ in range(1500))}.values())
+    urls = [f"http://{r.choice(['x.org', 'w.x.org', 'org'])}/" + "".join(r.choice("abc/") for _ in range(r.randint(0, 12))) for _ in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), ranges=9).collect()}
+    assert got == {i: judged(u, rules) for i, u in enumerate(urls)}
+    empty = spark.createDataFrame([], "host string, path string, verdict string")
+    assert {(x.rule, x.verdict) for x in url_filter.judge(pages, empty).collect()} == {(None, "allow")}
+    assert url_filter.judge(pages.limit(0), empty).collect() == []
+
+
 def test_url_filter_without_rules_or_pages(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
