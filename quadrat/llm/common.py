@@ -87,18 +87,22 @@ def release(spark: SparkSession, keep: DataFrame | None = None, before: Sequence
 
 
 #: A key of more rows than this, or than one of SHARES of all rows, is split.
-HOT, SHARES = 20_000, 2_000
+HOT, SHARES = 2_000, 2_000
 
 
-def hot_parts(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+def hot_parts(counts: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
     """key, parts: in how many parts the rows of a hot key are worked on; other keys aren't listed.
 
-    ``counts``: a row for each key with its rows.  A hot key has more than HOT
+    ``counts``: a row for each key with its rows; ``total``: their sum, if known.  A hot key has more than HOT
     rows and more than one of SHARES of all, so there are fewer than SHARES hot
     keys whatever the table: the list is safe to broadcast.
     """
-    limit = counts.agg(F.greatest(F.lit(HOT), F.ceil(F.sum(n) / SHARES)).alias("limit"))
-    hot = counts.select(key, n).crossJoin(F.broadcast(limit)).where(F.col(n) > F.col("limit"))  # one row
+    if total is None:
+        limit = counts.agg(F.greatest(F.lit(HOT), F.ceil(F.sum(n) / SHARES)).alias("limit"))
+        hot = counts.select(key, n).crossJoin(F.broadcast(limit))  # one row
+    else:
+        hot = counts.select(key, n, F.lit(max(HOT, -(-total // SHARES))).alias("limit"))
+    hot = hot.where(F.col(n) > F.col("limit"))
     return hot.select(key, F.ceil(F.col(n) / F.col("limit")).cast("int").alias("parts"))
 
 

@@ -55,8 +55,8 @@ REACH = 29
 TABLE = 16_000_000
 #: Members beyond which a bucket isn't compared by signatures first; nodes and characters in a block of a tile, about.
 LARGE, TILE, TILE_CHARS = 1000, 2000, 16_000_000
-#: Pairs that are confirmed in one group.
-PAIRS = 20_000
+#: Pairs that are confirmed in one group, and characters of their texts, about.
+PAIRS, PAIR_CHARS = 20_000, 32_000_000
 
 _seeds = mix(np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _variants = [tuple(i for i in range(SYMBOLS) if i not in out) for out in combinations(range(SYMBOLS), ERRORS)]
@@ -212,7 +212,7 @@ def _across_clusters(near: DataFrame, comps: DataFrame, texts: DataFrame) -> Dat
     """
     n = slices(near.sparkSession)
     members = roots(near).select("node", F.col("root").alias("cluster"))
-    members = stored(members.join(texts.select("node", F.length("text").alias("chars")), "node"), "near-dedup-clusters")
+    members = stored(members.join(texts.select("node", "chars"), "node"), "near-dedup-clusters")
     wanted = F.greatest(F.count("*") / TILE, F.sum("chars") / TILE_CHARS)
     blocks = members.groupBy("cluster").agg(F.ceil(wanted).cast("int").alias("blocks"))
     m = members.select("node", "cluster").join(blocks, "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
@@ -220,7 +220,7 @@ def _across_clusters(near: DataFrame, comps: DataFrame, texts: DataFrame) -> Dat
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
     # a stated number of partitions: a tile is little to read and much to compute, so few bytes mustn't mean few tasks
-    return m.join(texts, "node").repartition(n, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(_tiles, "a long, b long")
+    return m.join(texts.drop("chars"), "node").repartition(n, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(_tiles, "a long, b long")
 
 
 def _confirm(key: tuple, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
@@ -238,12 +238,14 @@ def _confirm(key: tuple, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFra
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar.
 
-    Pairs are dealt to parts of about PAIRS by their first node and a salt, so
-    one node with very many partners is spread; a part gets each text that it
-    needs once.
+    Pairs are dealt to parts of about PAIRS pairs and PAIR_CHARS characters at
+    most by their first node and a salt, so one node with very many partners is
+    spread; a part gets each text that it needs once.
     """
     pairs = stored(pairs, "near-dedup-pairs")
-    n = max(8 * slices(pairs.sparkSession), -(-pairs.count() // PAIRS))
+    uses = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    held = uses.join(texts.select("node", "chars"), "node").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("chars")), F.lit(0))).first()
+    n = max(8 * slices(pairs.sparkSession), -(-held[0] // (2 * PAIRS)), -(-held[1] // PAIR_CHARS))
     salt = F.pmod(F.xxhash64("b"), F.lit(max(16, n // 8)))
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a", salt), F.lit(n)).cast("int"))
     needed = dealt.select("part", F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -272,7 +274,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     star = shared.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
     first = star.groupBy("node").agg(F.max(F.struct("n", F.negative("pivot").alias("p"))).alias("best")).select(F.negative("best.p").alias("a"), F.col("node").alias("b"))
     wanted = shared.select("node").distinct().join(nodes.select("node", "at.id", "at.address"), "node")
-    texts = d.select("id", "address", "text").alias("t").join(wanted.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.address") == F.col("w.address"))).select("w.node", "t.text")
+    texts = d.select("id", "address", "text").alias("t").join(wanted.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.address") == F.col("w.address"))).select("w.node", "t.text", F.length("t.text").cast("long").alias("chars"))
     texts = stored(texts, "near-dedup-texts")
 
     links = stored(confirmed(first, texts), "near-dedup-links")

@@ -453,11 +453,56 @@ def test_a_pandas_group_is_one_tile(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_tiles", seen)
     near = spark.createDataFrame([(0, i) for i in range(1, 40)], "a long, b long")
     comps = spark.createDataFrame([], "node long, root long")
-    texts = spark.createDataFrame([(i, "x") for i in range(40)], "node long, text string")
+    texts = spark.createDataFrame([(i, "x", 1) for i in range(40)], "node long, text string, chars long")
     got = near_dedup._across_clusters(near, comps, texts).collect()
     assert len(got) > 300 and all(r.a == 1 and r.b <= 2 for r in got)
 
 
+def test_confirmed_groups_are_bounded_by_characters(spark, monkeypatch):
+    """Pairs of long texts are dealt to groups of about PAIR_CHARS characters, and the same pairs hold."""
+    import pandas as pd
+
+    long = [sentence(4000) for _ in range(6)]
+    rows = [(i, long[i % 6] + " tail" * (i // 6) * (300 if i % 2 else 1)) for i in range(48)]
+    texts = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "node long, text string, chars long")
+    pairs = [(i % 6, i) for i in range(6, 48)] + [(0, 1), (2, 3)]
+    table = spark.createDataFrame(pairs, "a long, b long")
+    sets = {i: R.shingle_set(t) for i, t in rows}
+    want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    for most in (32_000_000, 100_000):
+        monkeypatch.setattr(near_dedup, "PAIR_CHARS", most)
+        assert {tuple(r) for r in near_dedup.confirmed(table, texts).collect()} == want
+    assert 0 < len(want) < len(pairs)
+
+    def size(key, pairs, texts):
+        return pd.DataFrame({"a": [int(texts["text"].str.len().sum())], "b": [len(pairs)]})
+
+    monkeypatch.setattr(near_dedup, "_confirm", size)
+    got = near_dedup.confirmed(table, texts).collect()
+    assert sum(r.b for r in got) == len(pairs) and max(r.a for r in got) < 4 * 100_000
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from quadrat.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    r = random.Random(2)
+    edges = [(0, i) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(129, 200), (200, 201), (5, None)] + [(r.randint(300, 360), r.randint(300, 360)) for _ in range(50)]
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {x.node: x.root for x in components.roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
 def test_near_dedup_odd(spark, odd):
     got = near_dedup.near_duplicates(odd).collect()
     assert sorted((r.component_id, r.kept) for r in got if r.id == 7) == [(7, False), (7, True)]
