@@ -11,35 +11,49 @@ from pyspark.sql import Window
 from quadrat.sources.shared import ready
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``; a null in ``by`` equals a null."""
+    r = right.withColumnsRenamed({c: f"_join_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_join_{c}"))
+    return left.join(r, same, how).drop(*[f"_join_{c}" for c in by])
+
+
+def running(df: DataFrame, by: Sequence[str], keys: Sequence[str], amount: str, name: str, total: str) -> DataFrame:
+    """The sum of ``amount`` over the rows of a group that come before in the order of ``keys``, and over the whole group; no group is sorted in one task.
+
+    Rows are dealt to tasks by ranges of (by, keys).  What comes before a row
+    is what comes before it in its range plus the sums of its group in the ranges
+    before, of which there are no more than ranges and groups.  The ranges are
+    written once, since they are drawn from a sample and are read twice.
+    """
+    d = ready(df.repartitionByRange(*by, *keys).withColumn("_range", F.spark_partition_id()))
+    n = d.groupBy(*by, "_range").agg(F.sum(amount).alias("_k"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_k").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select(*by, "_range", before.alias("_before"), F.sum("_k").over(group).alias(total))
+    local = F.coalesce(F.sum(amount).over(Window.partitionBy(*by, "_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = null_safe_join(d.withColumn(name, local), n, [*by, "_range"])
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str = "rank") -> DataFrame:
-    """Rank with ties averaged.
+    """Rank with ties averaged; a null value has no rank and counts for none, a null in ``by`` is a group.
 
-    Equal values are counted before they are ranked, so what is ordered is one
-    row for each distinct value.
+    Equal values are counted before they are ranked, so what is ordered, by
+    ranges, is one row for each distinct value.
     """
-    n = df.groupBy(*by, value).agg(F.count("*").alias("_k"))
-    before = F.coalesce(F.sum("_k").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = n.select(*by, value, (before + (F.col("_k") + 1) / 2).alias(name))
-    return df.join(ranks, [*by, value])
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
+    ranks = running(n, by, [value], "_k", "_b", "_all").select(*by, value, (F.col("_b") + (F.col("_k") + 1) / 2).alias(name))
+    return null_safe_join(df, ranks, [*by, value], "left")
 
 
 def ranked(df: DataFrame, by: Sequence[str], *order: str | Column, name: str = "rank", total: str | None = None) -> DataFrame:
-    """Rank from 1 in the given order, and the number of rows of the group as ``total``; no group is sorted in one task.
-
-    Rows are dealt to tasks by ranges of (by, order).  A row's rank is its place
-    in its range plus the rows of its group in the ranges before, of which there
-    are no more than ranges and groups.  The ranges are written once, since they
-    are drawn from a sample and are read twice.
-    """
+    """Rank from 1 in the given order, and the number of rows of the group as ``total``; a null in ``by`` is a group, and no group is sorted in one task."""
     keys = [f"_o{i}" for i in range(len(order))]
-    d = df.select("*", *[(F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys, strict=True)])
-    d = ready(d.repartitionByRange(*by, *keys).withColumn("_range", F.spark_partition_id()))
-    n = d.groupBy(*by, "_range").agg(F.count("*").alias("_k"))
-    group = Window.partitionBy(*by)
-    before = F.coalesce(F.sum("_k").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = n.select(*by, "_range", before.alias("_before"), F.sum("_k").over(group).alias("_all"))
-    local = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*keys))
-    out = d.withColumn(name, local).join(n, [*by, "_range"]).withColumn(name, F.col(name) + F.col("_before"))
+    d = df.select("*", *[(F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys, strict=True)], F.lit(1).alias("_one"))
+    out = running(d, by, keys, "_one", "_b", "_all").withColumn(name, (F.col("_b") + 1).cast("int"))
     out = out.withColumn(total, F.col("_all")) if total else out
     return out.select(*df.columns, name, *([total] if total else []))
 

@@ -277,16 +277,32 @@ def src_annotation_json(p: Panels):
     return files.annotations(raw, "sample_id").groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
-@query("jn_nearest_control", None)
-def jn_nearest_control(p: Panels):
-    """A control without discount for each target with a high one, alike in status and tax band."""
+def controls(p: Panels):
     from quadrat.operators import matching
 
     t = p.targets
-    pairs = matching.nearest_controls(t.where("discount_band = 'high'"), t.where("discount_band = 'none'"), "sample_id", ["linestatus", "tax_band"], "area_ratio", "ship_year")
+    return matching.nearest_controls(t.where("discount_band = 'high'"), t.where("discount_band = 'none'"), "sample_id", ["linestatus", "tax_band"], "area_ratio", "ship_year")
+
+
+@query("jn_nearest_control", None)
+def jn_nearest_control(p: Panels):
+    """A control without discount for each target with a high one, alike in status and tax band, at the least total cost."""
+    pairs, _ = controls(p)
     return pairs.withColumn("cost", F.round("cost", 6))
 
 
+@query("jn_control_balance", "c AS (SELECT linestatus, tax_band, count(*) FILTER (WHERE discount_band = 'high') AS a, count(*) FILTER (WHERE discount_band = 'none') AS b FROM targets GROUP BY ALL) SELECT linestatus, tax_band, least(a, b) AS pairs, least(a, b) AS cases, least(a, b) AS controls, true AS near_best FROM c WHERE least(a, b) > 0")
+def jn_control_balance(p: Panels):
+    """Each block's pairs, how many different rows they use, and whether their cost is as near to the proven bound as stated."""
+    from quadrat.operators import matching
+
+    pairs, flows = controls(p)
+    found = pairs.join(p.targets.select(F.col("sample_id").alias("case_id"), "linestatus", "tax_band"), "case_id")
+    gap = flows.agg((F.sum(F.col("m") * F.col("cost")) - F.sum("bound")).alias("gap"), F.sum("m").alias("m"))  # one row
+    near = F.col("gap") <= matching.EPSILON * F.col("m") + 1e-6
+    return found.groupBy("linestatus", "tax_band").agg(F.count("*").alias("pairs"), F.count_distinct("case_id").alias("cases"), F.count_distinct("control_id").alias("controls")).crossJoin(F.broadcast(gap)).select("linestatus", "tax_band", "pairs", "cases", "controls", near.alias("near_best"))
+
+
 def saved(p: Panels) -> str:
     """The targets as Parquet and CSV in a new folder of the shared one."""
     from uuid import uuid4

@@ -233,12 +233,52 @@ def test_swaps_against_all_exchanges(spark):
     assert selection.repair(states.limit(0), cells.limit(0), chosen.limit(0), 8, 1.0, 0.9, 3).count() == 0
 
 
-def test_nearest_controls_are_the_greedy_pairs(spark):
+def cheapest(cost):
+    """Least total cost of giving each row of a small matrix a column of its own: dynamic programming over sets of columns."""
+    best = {0: 0.0}
+    for row in cost:
+        now: dict = {}
+        for used, total in best.items():
+            for j, c in enumerate(row):
+                if not used >> j & 1:
+                    key = used | 1 << j
+                    if total + c < now.get(key, math.inf):
+                        now[key] = total + c
+        best = now
+    return min(best.values())
+
+
+def test_auction_is_within_epsilon_of_the_optimum():
+    import numpy as np
+
+    rng = random.Random(3)
+    for trial in range(60):
+        need = [rng.randint(1, 3) for _ in range(rng.randint(1, 4))]
+        room = [rng.randint(1, 3) for _ in range(rng.randint(1, 5))]
+        while sum(room) < sum(need):
+            room.append(rng.randint(1, 3))
+        c = np.array([[rng.choice([0.0, 0.25, 0.5, rng.random()]) for _ in room] for _ in need])
+        epsilon = 10.0 ** -rng.randint(2, 5)
+        done = matching.Auction(lambda i, items, c=c: c[i, items], np.array(need), np.array(room), epsilon)
+        held, used = [0] * len(need), [0] * len(room)
+        for i, j, m in done.flows:
+            held[i] += m
+            used[j] += m
+        assert held == need and all(u <= r for u, r in zip(used, room, strict=True))
+        rows = [[c[i, j] for j, r in enumerate(room) for _ in range(r)] for i, n in enumerate(need) for _ in range(n)]
+        best = cheapest(rows)
+        assert best - 1e-9 <= done.total <= best + epsilon * sum(need) + 1e-9
+        assert done.bound <= best + 1e-9 and done.total - done.bound <= epsilon * sum(need) + 1e-9
+
+
+@pytest.mark.parametrize("grid", [0.0, 0.01])
+def test_nearest_controls_cost_the_least(spark, grid):
     rng = random.Random(11)
-    row = lambda i: (f"{i:03}", rng.choice(["p", "q", None]), rng.choice([0.1, 0.2, 0.35, 0.5, 0.8, 0.0]), rng.choice("st"))
-    cases, controls = [row(i) for i in range(40)], [row(i) for i in range(100, 125)]
+    row = lambda i: (f"{i:03}", rng.choice(["p", "q", "q", None]), rng.choice([0.1, 0.2, 0.35, 0.5, 0.8, 0.0]), rng.choice("st"))
+    cases, controls = [row(i) for i in range(26)], [row(i) for i in range(100, 120)]
     schema = "id string, block string, size double, g string"
-    got = matching.nearest_controls(spark.createDataFrame(cases, schema), spark.createDataFrame(controls, schema), "id", ["block"], "size", "g").collect()
+    pairs, flows = matching.nearest_controls(spark.createDataFrame(cases, schema), spark.createDataFrame(controls, schema), "id", ["block"], "size", "g", grid=grid)
+    got = pairs.collect()
 
     known = [r for r in cases + controls if r[1]]
     logs = [math.log(max(r[2], 1e-8)) for r in known]
@@ -248,18 +288,38 @@ def test_nearest_controls_are_the_greedy_pairs(spark):
     by_id = {r[0]: r for r in known}
     for block in "pq":
         left, right = [r for r in cases if r[1] == block], [r for r in controls if r[1] == block]
+        few, many = sorted([left, right], key=len)
         mine = [r for r in got if by_id[r.case_id][1] == block]
-        assert len(mine) == min(len(left), len(right)) == len({r.case_id for r in mine}) == len({r.control_id for r in mine})
+        assert len(mine) == len(few) == len({r.case_id for r in mine}) == len({r.control_id for r in mine})
         for r in mine:
-            a, b = by_id[r.case_id], by_id[r.control_id]
-            assert b[1] == block and r.cost == pytest.approx(cost(a, b), abs=1e-6)
-        # stable: no case and control that both got worse would rather have each other
-        worst = {r.case_id: r.cost for r in mine} | {r.control_id: r.cost for r in mine}
-        for a in left:
-            for b in right:
-                assert cost(a, b) >= min(worst.get(a[0], 99), worst.get(b[0], 99)) - 1e-6
+            assert by_id[r.control_id][1] == block and r.cost == pytest.approx(cost(by_id[r.case_id], by_id[r.control_id]), abs=1e-6)
+        best = cheapest([[cost(a, b) for b in many] for a in few])
+        assert best - 1e-6 <= sum(r.cost for r in mine) <= best + (grid + matching.EPSILON) * len(few) + 1e-6
+    assert sum(r.m for r in flows.collect()) == len(got)
     nothing = spark.createDataFrame([], schema)
-    assert matching.nearest_controls(nothing, nothing, "id", ["block"], "size", "g").count() == 0
+    assert matching.nearest_controls(nothing, nothing, "id", ["block"], "size", "g")[0].count() == 0
+
+
+def test_ranks_keep_null_groups_and_values(spark):
+    rows = [(1, 5.0, "a"), (1, 5.0, "b"), (1, 9.0, "c"), (None, 2.0, "d"), (None, 2.0, "e"), (None, 1.0, "f"), (2, None, "g")]
+    d = spark.createDataFrame(rows, "g int, v double, id string")
+    got = {r.id: r["rank"] for r in ranking.average_rank(d, "v", ["g"]).collect()}
+    assert got == {"a": 1.5, "b": 1.5, "c": 3.0, "d": 2.5, "e": 2.5, "f": 1.0, "g": None}
+    got = {r.id: (r["rank"], r.n) for r in ranking.ranked(d, ["g"], "v", "id", total="n").collect()}
+    assert got == {"a": (1, 3), "b": (2, 3), "c": (3, 3), "d": (2, 3), "e": (3, 3), "f": (1, 3), "g": (1, 1)}
+    assert ranking.five_tiers(d, "v", "id", ["g"]).count() == ranking.tiers_floor(d, "v", "id", ["g"]).count() == len(rows)
+
+
+def test_ranks_over_many_ranges(spark):
+    """Distinct values of one class lie in several ranges; ties and ranges carry over."""
+    rng = random.Random(4)
+    values = [rng.choice([rng.random(), 0.5, -1.0]) for _ in range(3000)]
+    d = spark.createDataFrame([(i, "x", v) for i, v in enumerate(values)], "id int, g string, v double").repartition(6)
+    order = sorted(values)
+    from bisect import bisect_left, bisect_right
+
+    want = {i: (bisect_left(order, v) + 1 + bisect_right(order, v)) / 2 for i, v in enumerate(values)}
+    assert {r.id: r["rank"] for r in ranking.average_rank(d, "v", ["g"]).collect()} == want
 
 
 def test_a_true_tier_gap_is_found(spark):
