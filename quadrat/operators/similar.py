@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,21 +15,37 @@ from quadrat.functions import scalar as S
 from quadrat.sources.shared import ready
 
 
-def bands(hash_: Column, n: int, bits: int = 64, errors: int = 0) -> Column:
-    """The hash in ``n`` parts of nearly equal width as (part, bits): of n parts, hashes within n-1 bits share one.
+#: Band layouts: number of bands of a hash, and below how many hashes it is the cheapest for a distance around 8 of 64 bits.
+LAYOUTS = ((3, 2_000_000), (2, None))
 
-    With ``errors`` = 1 a part also appears with each of its bits flipped: if
-    both sides have these, parts that differ in at most two bits meet.
+
+def layout(n: int, distance: int, bits: int = 64) -> int:
+    """Number of bands for ``n`` hashes: wider bands, with more flips, as the hashes grow in number.
+
+    A band of w bits in which e may differ meets about n * C(w, <= e) / 2**w
+    strangers a hash, so w follows log2 n: 21 bits below two million hashes, 32
+    from there, which keeps a hash's candidates at a few hundred up to 10**7.
     """
-    parts = []
-    for i in range(n):
-        low, high = i * bits // n, (i + 1) * bits // n
-        w = high - low
-        value = F.shiftrightunsigned(hash_, low).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1).cast("long"))
-        flips = [0, *(1 << k for k in range(w))] if errors else [0]
-        flips = [x - (1 << 64) if x >> 63 else x for x in flips]
-        parts += [F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(x).cast("long")).alias("bits")) for x in flips]
-    return F.array(*parts)
+    count = next(b for b, most in LAYOUTS if most is None or n < most)
+    return max(1, min(count, distance + 1, bits // 2))
+
+
+def variants(part_bits: Sequence[tuple[int, int]], flips: int) -> str:
+    """SQL of an array of (part, low, width, mask, n, least, most): each part as it is and with up to ``flips`` of its bits flipped."""
+    rows = []
+    for part, (low, width) in enumerate(part_bits):
+        for n in range(flips + 1):
+            for at in combinations(range(width), n):
+                rows.append(f"({part}, {low}, {(1 << width) - 1}L, {sum(1 << i for i in at)}L, {n}, {min(at, default=-1)}, {max(at, default=-1)})")
+    return f"array({','.join(f'struct{r}' for r in rows)})"
+
+
+def banded(hashes: DataFrame, hash_: str, side: str, n: int, flips: int, bits: int = 64) -> DataFrame:
+    """hash, part, bits, and of the flipped bits their number and edges, a row for each part and each way to flip up to ``flips`` of its bits."""
+    cuts = [(i * bits // n, (i + 1) * bits // n) for i in range(n)]
+    d = hashes.select(F.col(hash_).alias(f"h{side}"), F.expr(f"inline({variants([(lo, hi - lo) for lo, hi in cuts], flips)})").alias("part", "_low", "_mask", "_flip", f"n{side}", f"least{side}", f"most{side}"))
+    value = F.expr(f"shiftrightunsigned(h{side}, _low)").bitwiseAND(F.col("_mask")).bitwiseXOR(F.col("_flip"))
+    return d.select(f"h{side}", "part", value.alias("bits"), f"n{side}", f"least{side}", f"most{side}")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -45,25 +62,37 @@ def hamming_classes(table: DataFrame, key: str, hash_: str, distance: int) -> tu
     return members, hamming_pairs(classes, None, "class", "h", distance)
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame | None, key: str, hash_: str, distance: int) -> DataFrame:
+def hamming_pairs(left: DataFrame, right: DataFrame | None, key: str, hash_: str, distance: int, bands: int | None = None) -> DataFrame:
     """(a, b, distance) of hashes at most ``distance`` bits apart; by bands, without a cross join.
 
-    distance // 3 + 1 bands leave one with at most two differing bits; each side
-    lists its bands with up to one flipped bit, so these meet.  Such bands are
-    wide (21 bits for a distance of 8), so few strangers do.
+    Of ``bands`` bands one has at most e = distance // bands differing bits.  One
+    side lists its bands with up to half of e bits flipped, the other with the
+    rest, so these meet, and in one way only: the first side flips the lower of
+    the differing bits and as many as it may, the second what is left.  The
+    number of bands follows the number of hashes (``layout``).
+
     Equal hashes are one row while pairs are sought, so a group of copies costs
     one row a band; its members are joined back at the end.  With one table,
-    a < b.
+    a < b, and only the smaller hash looks for the larger.
     """
-    same, n = right is None, distance // 3 + 1
+    same = right is None
     right = left if same else right
-    lh, rh = left.select(F.col(hash_).alias("h")).distinct(), right.select(F.col(hash_).alias("h")).distinct()
-    a = lh.select(F.col("h").alias("ha"), F.inline(bands(F.col("h"), n, errors=1)))
-    b = rh.select(F.col("h").alias("hb"), F.inline(bands(F.col("h"), n, errors=1)))
-    near = a.join(b, ["part", "bits"]).where(hamming(F.col("ha"), F.col("hb")) <= distance).select("ha", "hb").distinct()
+    lh, rh = left.select(F.col(hash_).alias("h")).where("h is not null").distinct(), right.select(F.col(hash_).alias("h")).where("h is not null").distinct()
+    n = bands or layout(rh.count(), distance)
+    errors = distance // n
+    first, second = (errors + 1) // 2, errors // 2
+    a, b = banded(lh, "h", "a", n, first), banded(rh, "h", "b", n, second)
+    once = (F.col("nb") == 0) | ((F.col("na") == first) & (F.col("mosta") < F.col("leastb")))
+    meet = ["part", "bits"]
+    ordered = (F.col("ha") <= F.col("hb")) if same else F.lit(True)
+    near = a.join(b, meet).where(once & ordered & (hamming(F.col("ha"), F.col("hb")) <= distance)).select("ha", "hb").distinct()
     near = near.withColumn("distance", hamming(F.col("ha"), F.col("hb")))
     out = near.join(left.select(F.col(key).alias("a"), F.col(hash_).alias("ha")), "ha").join(right.select(F.col(key).alias("b"), F.col(hash_).alias("hb")), "hb")
-    return out.where("a < b").select("a", "b", "distance") if same else out.select("a", "b", "distance")
+    if not same:
+        return out.select("a", "b", "distance")
+    # hashes were ordered, not their keys; within a group of copies the keys are
+    out = out.where((F.col("ha") != F.col("hb")) | (F.col("a") < F.col("b")))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
 def confirmed(pairs: DataFrame, vectors: DataFrame, key: str, v: str, rules: Sequence[tuple[int, float]] = ((4, 0.98), (8, 0.995))) -> DataFrame:

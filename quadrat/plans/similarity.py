@@ -11,48 +11,7 @@ from quadrat.operators import similar as Sim
 from quadrat.plans.panels import Panels, query
 from quadrat.plans.projections import R
 
-HASH_SQL = "hs AS (SELECT vec_id, label, predicted, planted, v, list_sum(list_transform(v, lambda x, i: CASE WHEN x > 0 AND i <= 62 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS h FROM vecs)"
-PAIR_SQL = HASH_SQL + ", hp AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h)) AS distance FROM hs a JOIN hs b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 6)"
-
-
-def hashed(p: Panels):
-    """Signs of the first 62 numbers as a hash."""
-    return p.vecs.withColumn("h", S.sign_bits(F.col("v"), 62))
-
-
-def near(p: Panels):
-    return Sim.hamming_pairs(hashed(p), None, "vec_id", "h", 6)
-
-
-@query("sim_hamming_pairs", PAIR_SQL + " SELECT a, b, distance FROM hp")
-def sim_hamming_pairs(p: Panels):
-    return near(p)
-
-
-CONFIRM_SQL = PAIR_SQL + ", cf AS (SELECT hp.*, list_cosine_similarity(x.v, y.v) AS cosine FROM hp JOIN vecs x ON x.vec_id = a JOIN vecs y ON y.vec_id = b), ok AS (SELECT * FROM cf WHERE (distance <= 4 AND cosine >= 0.9) OR (distance <= 6 AND cosine >= 0.95))"
-RULES = ((4, 0.9), (6, 0.95))
-
-
-@query("sim_cosine_confirm", CONFIRM_SQL + " SELECT a, b, distance, round(cosine, 6) AS cosine FROM ok")
-def sim_cosine_confirm(p: Panels):
-    return Sim.confirmed(near(p), p.vecs, "vec_id", "v", RULES).withColumn("cosine", R("cosine"))
-
-
-@query("sim_duplicate_status", CONFIRM_SQL + ", al AS (SELECT a, b, 'corroborated' AS s, 2 AS o FROM ok UNION ALL SELECT a, b, 'same_source', 1 FROM hp WHERE b = a + 1000000 UNION ALL SELECT a, b, 'exact', 0 FROM hp WHERE distance = 0) SELECT a, b, arg_min(s, o) AS status FROM al GROUP BY a, b")
-def sim_duplicate_status(p: Panels):
-    n = near(p)
-    tagged = lambda df, s, o: df.select("a", "b", F.lit(s).alias("s"), F.lit(o).alias("o"))
-    u = tagged(Sim.confirmed(n, p.vecs, "vec_id", "v", RULES), "corroborated", 2).unionByName(tagged(n.where("b = a + 1000000"), "same_source", 1)).unionByName(tagged(n.where("distance = 0"), "exact", 0))
-    return u.groupBy("a", "b").agg(F.min_by("s", "o").alias("status"))
-
-
-@query("sim_cross_leakage", HASH_SQL + " SELECT a.vec_id AS a, min(bit_count(xor(a.h, b.h))) AS distance FROM hs a JOIN hs b ON bit_count(xor(a.h, b.h)) <= 6 WHERE a.planted AND NOT b.planted GROUP BY a.vec_id")
-def sim_cross_leakage(p: Panels):
-    h = hashed(p)
-    return Sim.hamming_pairs(h.where("planted"), h.where("not planted"), "vec_id", "h", 6).groupBy("a").agg(F.min("distance").alias("distance"))
-
-
-# -- the reference's rule over all 64 signs ---------------------------------------------------
+# -- near duplicates: one rule, over all 64 signs ------------------------------------------------
 
 #: Planted copies in turn: signs flipped (of the numbers nearest to zero), spread of the others' sizes; around both limits of the rule and of the radius.
 CASES = ((0, 0.0), (4, 0.15), (4, 0.25), (5, 0.12), (7, 0.0), (8, 0.0), (8, 0.1), (9, 0.0))
@@ -84,6 +43,7 @@ def near_vecs(p: Panels):
 
 
 @query("sim_hamming_pairs_64", PAIR64_SQL + " SELECT a, b, distance FROM hp")
+@query("sim_hamming_pairs", PAIR64_SQL + " SELECT a, b, distance FROM hp")
 def sim_hamming_pairs_64(p: Panels):
     return Sim.hamming_pairs(near_vecs(p), None, "vec_id", "h", RADIUS)
 
@@ -97,12 +57,14 @@ def sim_hamming_classes_64(p: Panels):
 
 
 @query("sim_cosine_confirm_64", CONFIRM64_SQL + " SELECT a, b, distance, round(cosine, 6) AS cosine FROM ok")
+@query("sim_cosine_confirm", CONFIRM64_SQL + " SELECT a, b, distance, round(cosine, 6) AS cosine FROM ok")
 def sim_cosine_confirm_64(p: Panels):
     n = near_vecs(p)
     return Sim.confirmed(Sim.hamming_pairs(n, None, "vec_id", "h", RADIUS), n, "vec_id", "v").withColumn("cosine", R("cosine"))
 
 
 @query("sim_duplicate_status_64", CONFIRM64_SQL + ", al AS (SELECT a, b, 'corroborated' AS s, 2 AS o FROM ok UNION ALL SELECT a, b, 'same_source', 1 FROM hp WHERE same UNION ALL SELECT a, b, 'exact', 0 FROM hp WHERE distance = 0) SELECT a, b, arg_min(s, o) AS status FROM al GROUP BY a, b")
+@query("sim_duplicate_status", CONFIRM64_SQL + ", al AS (SELECT a, b, 'corroborated' AS s, 2 AS o FROM ok UNION ALL SELECT a, b, 'same_source', 1 FROM hp WHERE same UNION ALL SELECT a, b, 'exact', 0 FROM hp WHERE distance = 0) SELECT a, b, arg_min(s, o) AS status FROM al GROUP BY a, b")
 def sim_duplicate_status_64(p: Panels):
     n = near_vecs(p)
     pairs = Sim.hamming_pairs(n, None, "vec_id", "h", RADIUS)
@@ -114,6 +76,7 @@ def sim_duplicate_status_64(p: Panels):
 
 
 @query("sim_cross_leakage_64", NEAR_SQL + ", x AS (SELECT a.vec_id AS a, bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) AS distance, list_cosine_similarity(a.v, b.v) AS cosine FROM h64 a JOIN h64 b ON a.planted AND NOT b.planted) SELECT a, min(distance) AS distance, bool_or((distance <= 4 AND cosine >= 0.98) OR cosine >= 0.995) AS leaks FROM x WHERE distance <= 8 GROUP BY a")
+@query("sim_cross_leakage", NEAR_SQL + ", x AS (SELECT a.vec_id AS a, bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) AS distance, list_cosine_similarity(a.v, b.v) AS cosine FROM h64 a JOIN h64 b ON a.planted AND NOT b.planted) SELECT a, min(distance) AS distance, bool_or((distance <= 4 AND cosine >= 0.98) OR cosine >= 0.995) AS leaks FROM x WHERE distance <= 8 GROUP BY a")
 def sim_cross_leakage_64(p: Panels):
     """Planted rows near to others: the least distance, and whether a pair meets the whole rule."""
     n = near_vecs(p)
@@ -199,7 +162,8 @@ def sim_qualify_priority(p: Panels):
     """In the order of ids, a row that duplicates an accepted one is skipped; rounds on the duplicate graph."""
     from quadrat.sources.shared import ready
 
-    e = ready(near(p).select("a", "b"))
+    vecs = near_vecs(p)
+    e = Sim.hamming_pairs(vecs, None, "vec_id", "h", RADIUS).select("a", "b")
     accepted = rejected = None
     left = ready(e)
     while not left.isEmpty():
@@ -209,6 +173,6 @@ def sim_qualify_priority(p: Panels):
         accepted = now if accepted is None else accepted.unionByName(now)
         rejected = out if rejected is None else rejected.unionByName(out)
         left = ready(left.join(now, "a", "left_anti").join(out, "a", "left_anti").join(out.select(F.col("a").alias("b")), "b", "left_anti"))
-    none = p.vecs.select(F.col("vec_id").alias("a")).limit(0)
+    none = vecs.select(F.col("vec_id").alias("a")).limit(0)
     rejected = none if rejected is None else rejected
-    return p.vecs.select("vec_id").join(rejected.select(F.col("a").alias("vec_id")), "vec_id", "left_anti")
+    return vecs.select("vec_id").join(rejected.select(F.col("a").alias("vec_id")), "vec_id", "left_anti")

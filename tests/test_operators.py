@@ -388,9 +388,25 @@ def test_hamming_pairs_of_64_bits_within_8(spark):
     got = {(r.a, r.b, r.distance) for r in similar.hamming_pairs(d, None, "id", "h", 8).collect()}
     want = {(a, b, bin(x ^ y).count("1")) for a, x in rows for b, y in rows if a < b and bin(x ^ y).count("1") <= 8}
     assert got == want and {7, 8} <= {n for _, _, n in got}
-    # no band is empty: hashes of nothing in common share none
-    one_band = similar.bands(F.col("h"), 9)
-    assert spark.createDataFrame([(0,), (-1,)], "h long").select(F.inline(one_band)).distinct().count() == 18
+    for bands in (2, 3, 5, 9):  # every layout finds them, in one way a band
+        found = similar.hamming_pairs(d, None, "id", "h", 8, bands=bands).collect()
+        assert len(found) == len(want) and {tuple(r) for r in found} == want
+    left, right = d.where("id % 2 = 0"), d.where("id % 2 = 1")
+    across = {tuple(r) for r in similar.hamming_pairs(left, right, "id", "h", 8).collect()}
+    assert across == {(a, b, bin(x ^ y).count("1")) for a, x in rows for b, y in rows if a % 2 == 0 and b % 2 == 1 and bin(x ^ y).count("1") <= 8}
+
+
+def test_candidates_of_the_hamming_index_stay_few(spark):
+    """Rows that meet in the index, for a hash: a few at 20,000 hashes, and the layout widens its bands before they are many."""
+    rng = random.Random(6)
+    rows = [(rng.getrandbits(64) - (1 << 63),) for _ in range(20_000)]
+    h = spark.createDataFrame(rows, "h long")
+    a, b = similar.banded(h, "h", "a", 3, 1), similar.banded(h, "h", "b", 3, 1)
+    met = a.join(b, ["part", "bits"]).where("ha < hb and (nb = 0 or (na = 1 and mosta < leastb))").count()
+    assert met <= 6 * len(rows)
+    strangers = lambda n, bands: bands * n * sum(math.comb(64 // bands, e) for e in range(8 // bands + 1)) / 2 ** (64 // bands)
+    assert all(strangers(n, similar.layout(n, 8)) < 800 for n in (10**5, 10**6, 10**7))
+    assert similar.layout(10**5, 8) < 4 and similar.layout(10**7, 8) == 2
 
 
 def test_errors_are_clustered_inside_their_class(spark):
