@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from quadrat.operators import metrics as M
 from quadrat.operators import validation as V
-from quadrat.plans.panels import Panels, query
+from quadrat.plans.panels import MODELS, Panels, query
 from quadrat.plans.projections import LOGIT_SQL, R, logits
 from quadrat.plans.windows import TIER_SQL, tiers
 from quadrat.functions import scalar as S
@@ -182,26 +182,28 @@ def sel_validate_planted(p: Panels):
 
 @query("snk_refuse_overwrite", "SELECT class_name, count(*) AS n, true AS refused FROM targets GROUP BY class_name")
 def snk_refuse_overwrite(p: Panels):
-    """What a place holds after a second write to it, and one into the protected data folder, were refused."""
+    """What a place holds after a second write to it, and three into or above it while it was protected, were refused."""
     from pyspark.errors import AnalysisException
 
     from quadrat.sources import files
 
+    # all places lie in the shared folder, so nothing else is at stake
     path, refused = saved(p), 0
-    for place, error in ((path, AnalysisException), (f"{p.sf_dir}/inside", ValueError)):
+    parent, _, name = path.rpartition("/")
+    for place, error in ((path, AnalysisException), (f"{path}/inside", ValueError), (parent, ValueError), (f"{path}/../x/../{name}/inside", ValueError)):
         try:
-            files.write_tables(p.targets.select("sample_id").limit(1), place, protected=[p.sf_dir])
+            files.write_tables(p.targets.select("sample_id").limit(1), place, protected=[path] if error is ValueError else [p.sf_dir])
         except error:
             refused += 1
     kept = p.spark.read.parquet(f"{path}/parquet")
-    return kept.groupBy("class_name").agg(F.count("*").alias("n"), F.lit(refused == 2).alias("refused"))
+    return kept.groupBy("class_name").agg(F.count("*").alias("n"), F.lit(refused == 4).alias("refused"))
 
 
 # -- sources ----------------------------------------------------------------------------------
 
 
 def record_files(p: Panels, faulty: bool) -> str:
-    """The first seed's predictions as gzip JSON lines, a folder for each model; with ``faulty``, some orders' records are wrong in one way each."""
+    """The first seed's predictions as gzip JSON lines, a folder ``{model}.jsonl.gz`` of parts for each model; with ``faulty``, some orders' records are wrong in one way each.  Even models name their numbers ``logits_10``."""
     from uuid import uuid4
 
     from quadrat.sources.shared import folder
@@ -217,11 +219,19 @@ def record_files(p: Panels, faulty: bool) -> str:
         name((F.col("predicted") + F.when(F.col("turn") == 2, 1).otherwise(0)) % 3).alias("prediction"),
         F.when(F.col("turn") == 3, ~right).otherwise(right).alias("correct"),
         F.slice(F.transform(F.array(*map(F.lit, range(3))), lambda k: F.when(k == F.col("predicted"), 5.5).otherwise(-1.25)), 1, F.when(F.col("turn") == 5, 2).otherwise(3)).alias("logits"),
+        F.lit(None).cast("array<double>").alias("logits_10"),
         F.when(F.col("turn") == 6, "timeout").alias("error"),
     )
+    ten = F.col("model") % 2 == 0
+    numbers = row.getField("logits")
+    row = row.withField("logits", F.when(~ten, numbers)).withField("logits_10", F.when(ten, numbers))  # a null isn't written
     line = F.when(F.col("turn") == 7, F.lit("{broken")).otherwise(F.to_json(row))
     path = f"{folder(p.spark)}/records-{uuid4().hex}"
     d.select(line.alias("value"), "model").write.partitionBy("model").option("compression", "gzip").text(path)
+    hadoop = p.spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(p.spark._jsc.hadoopConfiguration())
+    for m in range(1, MODELS + 1):
+        fs.rename(hadoop(f"{path}/model={m}"), hadoop(f"{path}/{m}.jsonl.gz"))
     return path
 
 
@@ -234,19 +244,22 @@ def src_predictions_jsonl(p: Panels):
     from quadrat.sources import files
 
     manifest = p.targets.select(F.col("sample_id").alias("member"), F.crc32("sample_id").alias("index"), F.col("class_name").alias("class_id"))
-    rows = files.read_predictions(p.spark, record_files(p, False))
-    bad = files.prediction_issues(rows, manifest, CLASS_IDS, [str(m) for m in range(1, 5)]).select("model", "member").distinct().withColumn("bad", F.lit(True))
+    models = [str(m) for m in range(1, MODELS + 1)]
+    rows = files.read_predictions(p.spark, record_files(p, False), models)
+    bad = files.prediction_issues(rows, manifest, CLASS_IDS, models).select("model", "member").distinct().withColumn("bad", F.lit(True))
     j = rows.join(bad, ["model", "member"], "left")
     return j.select(F.col("member").alias("sample_id"), F.col("model").cast("int").alias("model"), F.lit(1).alias("seed"), F.col("bad").isNull().alias("valid"))
 
 
-@query("src_prediction_issues", "t AS (SELECT sample_id, model, split_part(sample_id, '-', 1)::BIGINT % 97 AS k FROM preds WHERE seed = 1), c(k, code) AS (VALUES (0, 'missing_prediction'), (1, 'duplicate_prediction'), (2, 'argmax_mismatch'), (3, 'historical_correctness_mismatch'), (4, 'manifest_index_mismatch'), (5, 'invalid_logits'), (6, 'inference_error'), (7, 'missing_prediction')) SELECT model, sample_id, code FROM t JOIN c USING (k) UNION ALL SELECT model, NULL, 'malformed_record' FROM t WHERE k = 7")
+@query("src_prediction_issues", "t AS (SELECT sample_id, model, split_part(sample_id, '-', 1)::BIGINT % 97 AS k FROM preds WHERE seed = 1), c(k, code) AS (VALUES (0, 'missing_prediction'), (1, 'duplicate_prediction'), (2, 'argmax_mismatch'), (3, 'historical_correctness_mismatch'), (4, 'manifest_index_mismatch'), (5, 'invalid_logits'), (6, 'inference_error'), (7, 'missing_prediction')) SELECT model, sample_id, code FROM t JOIN c USING (k) UNION ALL SELECT model, NULL, 'malformed_record' FROM t WHERE k = 7 UNION ALL SELECT 5, sample_id, 'missing_prediction_file' FROM targets")
 def src_prediction_issues(p: Panels):
-    """The issues of record files in which orders are planted with one fault each."""
+    """The issues of record files in which orders are planted with one fault each; the last model has no file."""
     from quadrat.sources import files
 
     manifest = p.targets.select(F.col("sample_id").alias("member"), F.crc32("sample_id").alias("index"), F.col("class_name").alias("class_id"))
-    found = files.prediction_issues(files.read_predictions(p.spark, record_files(p, True)), manifest, CLASS_IDS, [str(m) for m in range(1, 5)])
+    path, models = record_files(p, True), [str(m) for m in range(1, MODELS + 2)]
+    absent = [m for m, file in files.prediction_files(p.spark, path, models).items() if file is None]
+    found = files.prediction_issues(files.read_predictions(p.spark, path, models), manifest, CLASS_IDS, models, absent)
     return found.select(F.col("model").cast("int").alias("model"), F.col("member").alias("sample_id"), "code")
 
 
@@ -269,6 +282,32 @@ def src_filter_annotations(p: Panels):
     return p.targets.select("class_name").where(F.col("class_name").isin("A", "R")).groupBy("class_name").agg(F.count("*").alias("n"))
 
 
+#: What every 13th supplier's annotation file holds instead of an object with features, in turn.
+SPOILT = ("{cut", '{"note":"x"}', "[1]")
+
+
+def annotation_folder(p: Panels) -> str:
+    """A file for each supplier (the target) with the states of its rows, as an annotator gives them; some files are spoilt."""
+    from uuid import uuid4
+
+    from quadrat.sources.shared import folder
+
+    per = p.targets.groupBy("l_suppkey").agg(F.array_sort(F.collect_set("scale")).alias("scales"), F.array_sort(F.collect_set("discount_band")).alias("bands"), F.max("ship_year").alias("last_year"))
+    whole = F.to_json(F.struct(F.struct("scales", "bands", "last_year").alias("features")))
+    spoilt = F.get(F.array(*map(F.lit, SPOILT)), (F.floor(F.col("l_suppkey") / 13) % 3).cast("int"))
+    path = f"{folder(p.spark)}/annotations-{uuid4().hex}"
+    rows = per.select(F.when(F.col("l_suppkey") % 13 == 0, spoilt).otherwise(whole).alias("value"), F.col("l_suppkey").alias("target"))
+    rows.write.partitionBy("target").text(path)
+    # Spark names a part file itself: it becomes {target}.json
+    hadoop = p.spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(p.spark._jsc.hadoopConfiguration())
+    for at in fs.listStatus(hadoop(path)):
+        if at.isDirectory():
+            for part in fs.listStatus(at.getPath()):
+                fs.rename(part.getPath(), hadoop(at.getPath(), at.getPath().getName().partition("=")[2] + ".json"))
+    return path
+
+
 @query("src_annotation_json", "SELECT 'linestatus' AS field, linestatus AS value, count(*) AS n FROM targets GROUP BY ALL UNION ALL SELECT 'tags', v, count(*) FROM (SELECT scale AS v FROM targets UNION ALL SELECT discount_band FROM targets) WHERE v NOT IN ('unknown') GROUP BY ALL")
 def src_annotation_json(p: Panels):
     from quadrat.sources import files
@@ -277,6 +316,15 @@ def src_annotation_json(p: Panels):
     return files.annotations(raw, "sample_id").groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
+@query("src_annotation_files", "f AS (SELECT l_suppkey, 'scales' AS field, scale AS value FROM targets UNION SELECT l_suppkey, 'bands', discount_band FROM targets UNION SELECT l_suppkey, 'last_year', max(ship_year) FROM targets GROUP BY l_suppkey), b AS (SELECT DISTINCT l_suppkey, CASE l_suppkey // 13 % 3 WHEN 1 THEN 'missing_features' ELSE 'malformed_annotation' END AS code FROM targets WHERE l_suppkey % 13 = 0) SELECT field, value, count(*) AS n FROM f WHERE l_suppkey % 13 <> 0 GROUP BY ALL UNION ALL SELECT 'issue', code, count(*) FROM b GROUP BY ALL")
+def src_annotation_files(p: Panels):
+    """Values and issues read from one JSON file for each supplier."""
+    from quadrat.sources import files
+
+    values, issues = files.annotation_files(p.spark, annotation_folder(p))
+    return values.groupBy("field", "value").agg(F.count("*").alias("n")).unionByName(issues.groupBy(F.lit("issue").alias("field"), F.col("code").alias("value")).agg(F.count("*").alias("n")))
+
+
 def controls(p: Panels):
     from quadrat.operators import matching
 

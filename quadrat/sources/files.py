@@ -21,34 +21,71 @@ def manifest_csv(spark: SparkSession, path: str, columns: Sequence[str], key: st
     return df
 
 
-RECORD = "member string, index bigint, prediction string, correct boolean, logits array<double>, error string"
-
-
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON lines (plain or gzip) in a folder: model (the folder ``model=...`` that a file lies in), RECORD, broken.
-
-    A line that isn't a JSON object of these types has ``broken``, the line itself.
+ENDINGS = (".jsonl.gz", ".jsonl")
+
+
+def _place(spark: SparkSession, path: str):
+    """The file system of a path and the path there, without detours by ``..`` and with links resolved as far as it exists."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    place, rest = fs.makeQualified(place), []
+    while not fs.exists(place) and place.getParent() is not None:
+        rest.append(place.getName())
+        place = place.getParent()
+    place = fs.resolvePath(place)
+    for name in reversed(rest):
+        place = jvm.org.apache.hadoop.fs.Path(place, name)
+    return fs, place
+
+
+def prediction_files(spark: SparkSession, path: str, models: Sequence[str]) -> dict[str, str | None]:
+    """model -> its file of JSON lines, ``{model}.jsonl.gz`` or ``{model}.jsonl`` (or a folder of parts of that name), None if there is none."""
+    found: dict[str, str | None] = {}
+    for m in models:
+        places = (f"{path.rstrip('/')}/{m}{end}" for end in ENDINGS)
+        found[m] = next((x for x in places if (at := _place(spark, x))[0].exists(at[1])), None)
+    return found
+
+
+def read_predictions(spark: SparkSession, path: str, models: Sequence[str]) -> DataFrame:
+    """Records of the models' files in a folder: model, member, index, prediction, correct, logits, error, broken.
+
+    ``logits`` is the record's ``logits_10`` if it has that field, else its
+    ``logits``; null if that isn't a list of numbers.  Fields are read as text, so
+    that one of an odd type doesn't spoil the others.  A line that isn't a JSON
+    object has ``broken``, the line itself.  A model without a file has no record
+    (``prediction_files``).
     """
-    lines = spark.read.text(f"{path}/model=*").select("value", F.regexp_extract(F.col("_metadata.file_path"), "/model=([^/]*)/", 1).alias("model"))
-    parsed = F.from_json("value", f"{RECORD}, broken string", {"columnNameOfCorruptRecord": "broken"})
-    return lines.select("model", parsed.alias("r")).select("model", "r.*")
-
-
-def prediction_issues(records: DataFrame, manifest: DataFrame, classes: Sequence[str], models: Sequence[str]) -> DataFrame:
+    files = [x for x in prediction_files(spark, path, models).values() if x]
+    lines = spark.read.text(files) if files else spark.createDataFrame([], "value string").withColumn("_none", F.lit(""))
+    source = F.col("_metadata.file_path") if files else F.col("_none")
+    lines = lines.select("value", F.regexp_extract(source, r"/([^/]+)\.jsonl(\.gz)?(/[^/]*)?$", 1).alias("model"))
+    told = lines.select("model", "value", F.from_json("value", "map<string,string>").alias("r"))
+    object_ = F.col("r").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{"))
+    logits = F.from_json(F.when(F.map_contains_key("r", F.lit("logits_10")), F.col("r")["logits_10"]).otherwise(F.col("r")["logits"]), "array<double>")
+    correct = F.when(F.col("r")["correct"].isin("true", "false"), F.col("r")["correct"] == "true")
+    text = lambda c: F.when(object_, F.col("r")[c]).alias(c)
+    fields = [text("member"), F.when(object_, F.expr("try_cast(r['index'] AS bigint)")).alias("index"), text("prediction"), F.when(object_, correct).alias("correct"), F.when(object_, logits).alias("logits"), text("error"), F.when(~object_, F.col("value")).alias("broken")]
+    return told.select("model", *fields)
+
+
+def prediction_issues(records: DataFrame, manifest: DataFrame, classes: Sequence[str], models: Sequence[str], absent: Sequence[str] = ()) -> DataFrame:
     """(model, member, code) of all that is wrong with the records of a manifest (member, index, class_id).
 
     Each record is held against its row of the manifest: the array is as wide as
     the classes and finite, its first greatest place is the prediction, the
     recorded correctness follows from it, the index is the manifest's.  Members
     that a model has several times, not at all, and broken lines are issues too;
-    records of other members are not.
+    records of other members are not.  Of a model in ``absent``, one without a
+    file, every member is missing with its file.
     """
     held = records.where("broken is null").join(manifest.select("member", F.col("index").alias("at"), "class_id"), "member")
     n, logits = len(classes), F.col("logits")
     finite = F.coalesce((F.size(logits) == n) & F.forall(logits, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     told = F.get(F.array(*map(F.lit, classes)), (F.array_position(logits, F.array_max(logits)) - 1).cast("int"))
     wrong = {
-        "inference_error": F.coalesce(F.col("error"), F.lit("")) != "",
+        "inference_error": ~F.coalesce(F.col("error"), F.lit("")).isin("", "false", "0", "[]", "{}"),
         "invalid_logits": ~finite,
         "argmax_mismatch": finite & ~F.col("prediction").eqNullSafe(told),
         "historical_correctness_mismatch": finite & ~F.col("correct").eqNullSafe(told == F.col("class_id")),
@@ -59,7 +96,8 @@ def prediction_issues(records: DataFrame, manifest: DataFrame, classes: Sequence
     count = held.groupBy("model", "member").agg(F.count("*").alias("n"))
     again = count.where("n > 1").select("model", "member", F.explode(F.array_repeat(F.lit("duplicate_prediction"), (F.col("n") - 1).cast("int"))).alias("code"))
     wanted = manifest.select("member", F.explode(F.array(*map(F.lit, models))).alias("model"))
-    gone = wanted.join(count, ["model", "member"], "left_anti").select("model", "member", F.lit("missing_prediction").alias("code"))
+    code = F.when(F.col("model").isin(*absent), "missing_prediction_file").otherwise("missing_prediction")
+    gone = wanted.join(count, ["model", "member"], "left_anti").select("model", "member", code.alias("code"))
     broken = records.where("broken is not null").select("model", F.lit(None).cast("string").alias("member"), F.lit("malformed_record").alias("code"))
     return by_record.unionByName(again).unionByName(gone).unionByName(broken)
 
@@ -71,6 +109,30 @@ def annotations(raw: DataFrame, key: str, column: str = "value") -> DataFrame:
     return d.select(key, "field", F.explode(parse_values(F.col("_v"))).alias("value"))
 
 
+def annotation_files(spark: SparkSession, path: str, member: str = "features") -> tuple[DataFrame, DataFrame]:
+    """(values, issues) of a folder of JSON files, one a target: (target, field, value); (target, code).
+
+    The target is the file's name without ``.json``.  A file is an object whose
+    ``member`` is an object, its values a string or a list of strings.  Spark
+    lists the folder and its subfolders, and packs small files into partitions
+    by their size and ``spark.sql.files.openCostInBytes``, so very many files are
+    few tasks; a file is read whole.  Issues: ``malformed_annotation`` (no JSON
+    object), ``missing_features`` (without ``member``), ``repeated_target`` (a name
+    in several folders).
+    """
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    name = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    raw = raw.select(F.regexp_extract(name, r"([^/]+)\.json$", 1).alias("target"), "value")
+    whole = F.from_json("value", "map<string,string>")
+    object_ = whole.isNotNull() & F.rlike("value", F.lit(r"^\s*\{"))
+    raw = raw.withColumn("features", F.when(object_, whole[member]))
+    inner = F.from_json("features", "map<string,string>").isNotNull() & F.rlike("features", F.lit(r"^\s*\{"))
+    code = F.when(~object_, "malformed_annotation").when(~F.coalesce(inner, F.lit(False)), "missing_features")
+    issues = raw.select("target", code.alias("code")).where("code is not null")
+    again = raw.groupBy("target").agg(F.count("*").alias("n")).where("n > 1").select("target", F.lit("repeated_target").alias("code"))
+    return annotations(raw.where(inner).select("target", F.col("features").alias("value")), "target"), issues.unionByName(again)
+
+
 def dictionary(schema: DataFrame, exclusive: Sequence[str]) -> DataFrame:
     """One row for each (field, possible value)."""
     d = schema.select("field", F.explode(F.from_json("possible_values", "array<string>")).alias("value"))
@@ -78,9 +140,17 @@ def dictionary(schema: DataFrame, exclusive: Sequence[str]) -> DataFrame:
 
 
 def write_tables(df: DataFrame, path: str, protected: Sequence[str] = ()) -> None:
-    """Parquet and CSV of the same rows; an existing or protected place is refused."""
-    if any(path.rstrip("/") == p.rstrip("/") or path.startswith(p.rstrip("/") + "/") for p in protected):
-        raise ValueError(f"{path} lies in a protected folder")
+    """Parquet and CSV of the same rows; an existing place is refused, and one that is a protected input, lies in it or holds it."""
+
+    def told(p: str) -> str:
+        uri = _place(df.sparkSession, p)[1].toUri()  # in parts: one place has several spellings as a whole
+        return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath().rstrip('/')}/"
+
+    mine = told(path)
+    for p in protected:
+        other = told(p)
+        if mine.startswith(other) or other.startswith(mine):
+            raise ValueError(f"{path} isn't apart from the protected {p}")
     df.write.mode("errorifexists").parquet(f"{path}/parquet")
     flat = {f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
     df.withColumns(flat).write.mode("errorifexists").option("header", True).csv(f"{path}/csv")

@@ -128,8 +128,85 @@ def test_existing_output_is_refused(spark, tmp_path):
     files.write_tables(d, str(tmp_path / "o"))
     with pytest.raises(Exception, match="(?i)exist"):
         files.write_tables(d, str(tmp_path / "o"))
-    with pytest.raises(ValueError, match="protected"):
-        files.write_tables(d, str(tmp_path / "o" / "x"), [str(tmp_path / "o")])
+    (tmp_path / "link").symlink_to(tmp_path / "o")
+    inner = tmp_path / "o" / "parquet"
+    for place, kept in [("o/x", "o"), ("o", "o"), ("o", "o/parquet"), ("", "o"), ("o/../q/../o/x/y", "o"), ("new/../o/z", "o"), ("o/new/deep", "o/")]:
+        for scheme in ("", "file:", "file://"):
+            with pytest.raises(ValueError, match="protected"):
+                files.write_tables(d, f"{scheme}{tmp_path}/{place}", [f"{tmp_path}/{kept}"])
+    assert sorted(x.name for x in (tmp_path / "o").iterdir()) == ["csv", "parquet"] and inner.is_dir()
+    files.write_tables(d, str(tmp_path / "other"), [str(tmp_path / "o")])
+    files.write_tables(d, str(tmp_path / "o2"), [str(tmp_path / "o")])  # a name that only begins alike is apart
+
+
+def reference_files(folder):
+    """Prediction files as the reference's own fixture has them: two classes, 40 members, three models; then faults."""
+    import gzip
+    import json
+
+    manifest = []
+    for i in range(20):
+        c = "ab"[i % 2]
+        manifest += [(f"train/{c}/{c}_{i}.png", 2 * i, c), (f"base/{c}_{i}.png", 2 * i + 1, c)]
+    for model in ("m1", "m2", "v"):
+        with gzip.open(folder / f"{model}.jsonl.gz", "wt") as out:
+            for member, index, c in manifest:
+                i = index // 2
+                predicted = {"a": "b", "b": "a"}[c] if i % 4 == 0 else c
+                out.write(json.dumps({"index": index, "member": member, "prediction": predicted, "correct": predicted == c, "logits_10": [6.0, 0.0] if predicted == "a" else [0.0, 6.0]}) + "\n")
+    return [r for r in manifest if r[0].startswith("base/")]
+
+
+def test_the_references_prediction_files_have_no_issue(spark, tmp_path):
+    import json
+
+    members = spark.createDataFrame(reference_files(tmp_path), "member string, index long, class_id string")
+    models = ["m1", "m2", "v"]
+    assert files.prediction_files(spark, str(tmp_path), [*models, "gone"])["gone"] is None
+    records = files.read_predictions(spark, str(tmp_path), models)
+    assert records.count() == 120 and {r.model for r in records.select("model").distinct().collect()} == set(models)
+    assert files.prediction_issues(records, members, ["a", "b"], models).collect() == []
+
+    row = lambda **x: json.dumps({"index": 1, "member": "base/a_0.png", "prediction": "b", "correct": False, "logits_10": [0.0, 6.0]} | x)
+    faults = {
+        row(): None,
+        row(logits_10=[True, 1.0]): "invalid_logits",
+        row(logits_10=None, logits=[0.0, 6.0]): "invalid_logits",
+        row(logits_10=[0.0, float("nan")]): "invalid_logits",
+        row(logits_10="[0.0, 6.0"): "invalid_logits",
+        row(prediction="a"): "argmax_mismatch",
+        row(correct=None): "historical_correctness_mismatch",
+        row(correct=0): "historical_correctness_mismatch",
+        row(index=None): "manifest_index_mismatch",
+        row(index={"a": 1}): "manifest_index_mismatch",
+        row(error="timeout"): "inference_error",
+        "{cut": "malformed_record",
+        "[1, 2]": "malformed_record",
+    }
+    one = members.where("member = 'base/a_0.png'")
+    for k, (line, code) in enumerate(faults.items()):
+        (tmp_path / f"f{k}.jsonl").write_text(line + "\n")
+        found = files.prediction_issues(files.read_predictions(spark, str(tmp_path), [f"f{k}"]), one, ["a", "b"], [f"f{k}"]).collect()
+        assert {r.code for r in found} - {"missing_prediction"} == ({code} if code else set()), line
+    gone = files.prediction_issues(files.read_predictions(spark, str(tmp_path), ["gone"]), one, ["a", "b"], ["gone"], ["gone"]).collect()
+    assert [(r.model, r.member, r.code) for r in gone] == [("gone", "base/a_0.png", "missing_prediction_file")]
+
+
+def test_annotation_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "deep").mkdir()
+    good = {"a 1": {"x": "p", "y": ["q", "r"]}, "b+2": {"x": ["p"]}, "ü": {}}
+    for name, features in good.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps({"features": features, "note": "n"}, indent=2))
+    (tmp_path / "cut.json").write_text('{"features": {"x": ')
+    (tmp_path / "list.json").write_text("[]")
+    (tmp_path / "bare.json").write_text("{}")
+    (tmp_path / "deep" / "b+2.json").write_text(json.dumps({"features": {"x": "s"}}))
+    (tmp_path / "ignored.txt").write_text("x")
+    values, issues = files.annotation_files(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in values.collect()) == [("a 1", "x", "p"), ("a 1", "y", "q"), ("a 1", "y", "r"), ("b+2", "x", "p"), ("b+2", "x", "s")]
+    assert sorted(tuple(r) for r in issues.collect()) == [("b+2", "repeated_target"), ("bare", "missing_features"), ("cut", "malformed_annotation"), ("list", "malformed_annotation")]
 
 
 def test_late_rows_don_t_reopen_a_window(spark, tmp_path):
