@@ -131,20 +131,11 @@ def sim_conflicts_in_group(p: Panels):
 
 
 def error_clusters(wrong: DataFrame) -> DataFrame:
-    """(class_name, vec_id, cluster) of wrong samples (class_name, vec_id, v): k-means on the normalised vectors of each class; k = clamp(round(sqrt n), 2, 8), at most n."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """(class_name, vec_id, cluster) of wrong samples (class_name, vec_id, v): k-means on the normalised vectors of each class, the best of 20 starts."""
+    from quadrat.operators.clusters import clusters
 
-    from quadrat.sources.shared import ready
-
-    wrong = ready(wrong.select("class_name", "vec_id", array_to_vector(F.transform("v", lambda x: x / F.greatest(S.norm(F.col("v")), F.lit(1e-12)))).alias("features")))
-    out = wrong.select("class_name", "vec_id", F.lit(0).alias("cluster")).limit(0)
-    for name, n in sorted(tuple(r) for r in wrong.groupBy("class_name").count().collect()):  # the classes of the dictionary
-        mine = wrong.where(F.col("class_name") == name)
-        k = min(n, max(2, min(8, round(n**0.5))))
-        got = KMeans(k=k, seed=7, maxIter=300, predictionCol="cluster").fit(mine).transform(mine) if k > 1 else mine.withColumn("cluster", F.lit(0))
-        out = out.unionByName(got.select("class_name", "vec_id", "cluster"))
-    return out
+    found = clusters(wrong.select(F.col("class_name").alias("group"), F.col("vec_id").alias("id"), "v"))
+    return found.select(F.col("group").alias("class_name"), F.col("id").alias("vec_id"), "cluster")
 
 
 def wrong_vecs(p: Panels) -> DataFrame:

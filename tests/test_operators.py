@@ -497,6 +497,41 @@ def test_errors_are_clustered_inside_their_class(spark):
     assert len({got[i] for i in range(9)}) == 3 and all(got[i] == got[i % 3] for i in range(9))
 
 
+def test_more_starts_never_raise_the_inertia(spark):
+    import numpy as np
+
+    from quadrat.operators import clusters
+
+    rng = np.random.default_rng(4)
+    rows = [(g, i, (rng.normal(size=3) + 4 * rng.integers(0, 2, 3)).tolist()) for g in "ab" for i in range(120)] + [("c", i, [1.0, 2.0, 3.0]) for i in range(5)]
+    table = spark.createDataFrame(rows, "`group` string, id long, v array<double>").repartition(3)
+    k = {"a": 6, "b": 4, "c": 3}
+    centres, inertia = clusters.fit(table, k, starts=8)
+    few, less = clusters.fit(table, k, starts=3)
+    best = lambda found, g: min(x for (h, _), x in found.items() if h == g)
+    assert all(best(inertia, g) <= best(less, g) + 1e-9 for g in k) and {key: inertia[key] for key in less} == pytest.approx(less)
+    assert len({round(x, 6) for (g, _), x in inertia.items() if g == "a"}) > 1  # starts do differ
+    for (g, _), c in centres.items():  # settled: every centre is the mean of what is nearest to it
+        v = np.array([x for h, _, x in rows if h == g])
+        d = ((v[:, None] - c[None]) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        assert len(c) == (1 if g == "c" else k[g])  # equal rows give one centre
+        shift = sum(((v[near == j].mean(axis=0) - c[j]) ** 2).sum() for j in set(near))
+        assert shift <= 2 * clusters.SHIFT * v.var(axis=0).mean() + 1e-12
+    for (g, s), x in inertia.items():
+        v = np.array([y for h, _, y in rows if h == g])
+        assert x == pytest.approx(((v[:, None] - centres[g, s][None]) ** 2).sum(axis=2).min(axis=1).sum())
+
+
+def test_clusters_of_odd_rows(spark):
+    from quadrat.operators.clusters import clusters
+
+    rows = [("a", 1, [1.0, 0.0]), ("a", 2, None), (None, 3, [1.0, 0.0]), ("b", None, [1.0, 0.0]), ("d", 4, [0.0, 0.0]), ("d", 5, [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "`group` string, id long, v array<double>")
+    assert sorted(tuple(r) for r in clusters(table).collect()) == [("a", 1, 0), ("d", 4, 0), ("d", 5, 0)]
+    assert clusters(table.limit(0)).collect() == []
+
+
 def test_cluster_breadth_by_hand(spark):
     from quadrat.plans.diagnosis import cluster_breadth
 
