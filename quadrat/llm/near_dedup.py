@@ -38,6 +38,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +92,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-        for lo, hi in groups([len(t) for t in texts]):
-            sets = shingle_sets(texts[lo:hi])
+        column = b.column("text").cast(pa.binary())
+        for lo, hi in groups(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+            sets = shingle_sets([t or b"" for t in column.slice(lo, hi - lo).to_pylist()])
             sig = signatures(sets)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(

@@ -41,6 +41,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -169,10 +170,10 @@ def _cut(name: str, capacity: int, keep_ids: bool):
         ids_of = word_ids(name)
         end = np.array([CLOSING_ID], "<u4").tobytes()
         for b in batches:
-            which, rows = [], []
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            for lo, hi in groups([len(t) for t in texts]):
-                ids, cuts = ids_of.of_many(texts[lo:hi])
+            column = b.column("text").cast(pa.binary())
+            for lo, hi in groups(pc.fill_null(pc.binary_length(column), 0).to_pylist()):  # a result for each group, so a worker stays small
+                which, rows = [], []
+                ids, cuts = ids_of.of_many([t or b"" for t in column.slice(lo, hi - lo).to_pylist()])
                 whole = memoryview(ids.tobytes())
                 for i, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), lo):
                     for p, at in enumerate(range(a, z + 1, capacity)):  # one place more: the closing id
@@ -181,10 +182,10 @@ def _cut(name: str, capacity: int, keep_ids: bool):
                             part = bytes(part) + end
                         which.append(i)
                         rows.append((p, at - a, len(part) // 4, zlib.crc32(part), bytes(part) if keep_ids else None))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            out = [b.column("key").take(pa.array(which, pa.int64()))]
-            out += [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays(out, ["key", "piece", "start", "length", "ids_crc32", "ids"])
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                out = [b.column("key").take(pa.array(which, pa.int64()))]
+                out += [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(out, ["key", "piece", "start", "length", "ids_crc32", "ids"])
 
     return run
 

@@ -205,6 +205,9 @@ def _date(cipher: Cipher, s: str) -> str | None:
     return None
 
 
+#: Rows of one result batch, so that a worker holds few texts twice.
+ROWS = 1000
+
 WRITERS: dict[str, Callable[[Cipher, str], str | None]] = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
 _NEEDED = re.compile(r"[0-9@]")
 
@@ -249,7 +252,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: bool =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cipher = Cipher(secret)
-        for b in batches:
+        for b in (big.iloc[at : at + ROWS] for big in batches for at in range(0, len(big), ROWS)):
             done = [rewrite(cipher, t) for t in b["text"]]
             yield pd.DataFrame({"text": [t for t, _ in done], **{f"n_{k}": [c.get(k, 0) for _, c in done] for k in KINDS}, "row": list(b["row"])})
 
