@@ -36,7 +36,7 @@ def _draw(*parts: Column | str) -> Column:
     return (F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def protocol_delta(old: DataFrame, revised: DataFrame, by: str, replicates: int = 200) -> DataFrame:
+def protocol_delta(old: DataFrame, revised: DataFrame, by: str, replicates: int = 2000) -> DataFrame:
     """Agreement under an old and a revised protocol, their differences in points and a decision.
 
     ``old`` and ``revised`` are tables of ``pairs``.  A target of one arm only is

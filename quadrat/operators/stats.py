@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quadrat.operators.ranking import average_rank
+from quadrat.operators.ranking import average_rank, ranked
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
@@ -141,3 +141,29 @@ def random_tier_gaps(outcomes: DataFrame, by: str, value: str, count: str, repli
         return sums[0] / sizes[0] - sums[1] / sizes[1] if all(sizes) else np.nan
 
     return _per_replicate(outcomes.sparkSession, replicates, ["d"], draw)
+
+
+def bootstrap_median(df: DataFrame, value: str, replicates: int) -> DataFrame:
+    """rep, m: the median of ``value`` (rep 0) and of ``replicates`` samples of as many rows drawn with replacement.
+
+    The rows are sorted once, by ranges, and none is copied.  The ranks of the
+    middle rows of a sample are order statistics of as many uniform numbers, so a
+    replicate draws one or two beta numbers and looks its ranks up: its cost
+    doesn't depend on the rows.  Nulls take no part; no rows, no result.
+    """
+    v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    n = v.count()
+    middle, spark = (n + 1) // 2, df.sparkSession
+
+    def draw(rng: np.random.Generator) -> tuple[float, float]:
+        low = rng.beta(middle, n - middle + 1)
+        high = low if n % 2 else low + (1 - low) * rng.beta(1, n - middle)
+        return max(1.0, np.ceil(n * low)), max(1.0, np.ceil(n * high))
+
+    if not n:
+        return spark.createDataFrame([], "rep long, m double")
+    drawn = _per_replicate(spark, replicates, ["low", "high"], draw)
+    whole = spark.createDataFrame([(0, float(middle), float(n // 2 + 1))], "rep long, low double, high double")
+    wanted = drawn.unionByName(whole).select("rep", F.explode(F.array("low", "high").cast("array<bigint>")).alias("at"))
+    ranks = ranked(v, [], "v", name="at")
+    return ranks.join(F.broadcast(wanted), "at").groupBy("rep").agg(F.avg("v").alias("m"))  # two rows a replicate

@@ -103,7 +103,7 @@ def ag_repeatability(p: Panels):
 
 DELTA_SQL = PAIR_SQL + """, pq AS (SELECT *, CASE WHEN split_part(sample_id, '-', -1)::INT % 2 = 1 THEN l ELSE r END AS r2 FROM pr),
 c AS (SELECT field, (l = r)::INT AS os, (l <> 'unknown' AND r <> 'unknown')::INT AS ob, (l = r2)::INT AS rs, (l <> 'unknown' AND r2 <> 'unknown')::INT AS rb, count(*)::DOUBLE AS n FROM pq GROUP BY ALL),
-u AS (SELECT *, (('0x' || substr(sha256(concat_ws('|', 'r', rep, field, os || ob || rs || rb)), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u1, (('0x' || substr(sha256(concat_ws('|', 'a', rep, field, os || ob || rs || rb)), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u2 FROM c CROSS JOIN range(201) AS g(rep)),
+u AS (SELECT *, (('0x' || substr(sha256(concat_ws('|', 'r', rep, field, os || ob || rs || rb)), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u1, (('0x' || substr(sha256(concat_ws('|', 'a', rep, field, os || ob || rs || rb)), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u2 FROM c CROSS JOIN range(2001) AS g(rep)),
 w AS (SELECT * EXCLUDE (n), CASE WHEN rep = 0 THEN n ELSE greatest(0.0, round(n + sqrt(n) * sqrt(-2 * ln(u1::DOUBLE)) * cos(6.283185307179586 * u2::DOUBLE))) END AS n FROM u),
 s AS (SELECT field, rep, sum(n) AS total, sum(n * ob) AS ok, sum(n * rb) AS rk, 100 * sum(n * os) / sum(n) AS oe, 100 * sum(n * rs) / sum(n) AS re, 100 * sum(n * os * ob) / nullif(sum(n * ob), 0) AS oa, 100 * sum(n * rs * rb) / nullif(sum(n * rb), 0) AS ra FROM w GROUP BY ALL),
 b AS (SELECT field, quantile_cont(ra - oa, 0.025) AS lo, quantile_cont(ra - oa, 0.975) AS hi FROM s WHERE rep > 0 GROUP BY field)

@@ -90,6 +90,8 @@ def st_win_counts(p: Panels):
 
 #: Bootstrap replicates, as many as the reference draws (BOOTSTRAP_REPLICATES); they cost a draw for each distinct outcome, not for each image.
 REPLICATES = 10_000
+#: Draws of architectures and seeds.
+HIERARCHICAL = 5_000
 
 
 def image_replicates(p: Panels, n: int = REPLICATES):
@@ -129,7 +131,7 @@ def st_paired_bootstrap_models(p: Panels):
 def st_hier_bootstrap(p: Panels):
     """Architectures are drawn, then seeds inside them; draws are hash numbers."""
     m = p.facts.groupBy("model", "seed").agg(F.avg("correct").alias("y"))
-    slots = p.targets.limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(200))).alias("rep")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    slots = p.targets.limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(HIERARCHICAL))).alias("rep")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(3))))
     slots = slots.withColumn("model", (F.pmod(F.xxhash64("rep", "i"), F.lit(4)) + 1).cast("int")).withColumn("seed", (F.pmod(F.xxhash64("rep", "i", "j"), F.lit(3)) + 1).cast("int"))
     y = slots.join(F.broadcast(m), ["model", "seed"]).groupBy("rep", "i").agg(F.avg("y").alias("y")).groupBy("rep").agg(F.avg("y").alias("y"))  # 12 runs
     return y.agg(R(F.avg("y")).alias("mean"), R(F.percentile("y", 0.025)).alias("low"), R(F.percentile("y", 0.975)).alias("high"))
@@ -139,7 +141,7 @@ def st_hier_bootstrap(p: Panels):
 def st_permutation_rho(p: Panels):
     """(1 + extreme) / (B + 1) over hash orders of the values."""
     x = p.facts.join(p.targets.select("sample_id", "ship_year"), "sample_id").groupBy("ship_year").agg(F.avg("correct").alias("y")).withColumn("x", F.rank().over(Window.orderBy("ship_year"))).withColumn("r", F.rank().over(Window.orderBy("y")))  # a row for each year
-    rep = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
+    rep = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES))))
     shuffled = F.when(F.col("rep") == 0, F.col("r")).otherwise(F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("rep", "x"))))
     rho = rep.withColumn("s", shuffled).groupBy("rep").agg(F.corr("x", "s").alias("rho"))
     seen = rho.where("rep = 0").select(F.col("rho").alias("seen"))
@@ -148,10 +150,11 @@ def st_permutation_rho(p: Panels):
 
 @query("st_paired_cost_ratio", None)
 def st_paired_cost_ratio(p: Panels):
+    """Median over users of the ratio of their two means, with the range of REPLICATES bootstrap medians."""
     e = p.table("events").groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") != "click", F.col("value"))).alias("b")).where("a > 0 and b > 0")
-    r = e.withColumn("ratio", F.col("a") / F.col("b")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(100)))).withColumn("w", T.poisson_weight("user_id", "rep")).where("w > 0")
-    m = r.groupBy("rep").agg(F.median("ratio").alias("m"))
-    return m.agg(R(F.avg("m")).alias("median_ratio"), R(F.percentile("m", 0.025)).alias("low"), R(F.percentile("m", 0.975)).alias("high"))
+    m = T.bootstrap_median(e.select((F.col("a") / F.col("b")).alias("ratio")), "ratio", REPLICATES)
+    drawn = F.when(F.col("rep") > 0, F.col("m"))
+    return m.agg(R(F.max(F.when(F.col("rep") == 0, F.col("m")))).alias("median_ratio"), R(F.percentile(drawn, 0.025)).alias("low"), R(F.percentile(drawn, 0.975)).alias("high"))
 
 
 @query("st_loess", None)

@@ -431,6 +431,23 @@ def test_bootstrap_sums_have_mean_and_spread_of_poisson_weights(spark):
     assert [tuple(r) for r in got] == [tuple(r) for r in stats.bootstrap_sums(t, ["k", "n"], "images", 4000).collect()]
 
 
+@pytest.mark.parametrize("n", [1, 2, 20, 101])
+def test_bootstrap_medians_spread_as_resampled_rows_do(spark, n):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.lognormal(size=n), 1)  # with ties
+    d = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(3)
+    m = {r.rep: r.m for r in stats.bootstrap_median(d, "v", 4000).collect()}
+    assert m.pop(0) == pytest.approx(np.median(x)) and sorted(m) == list(range(1, 4001))
+    got, want = np.array(list(m.values())), np.median(x[rng.integers(0, n, (4000, n))], axis=1)
+    spread = max(want.std(), 1e-9)
+    assert abs(got.mean() - want.mean()) < 0.1 * spread and 0.93 < (got.std() + 1e-9) / spread < 1.07 or n == 1
+    for q in (0.05, 0.5, 0.95):
+        assert np.quantile(got, q) == pytest.approx(np.quantile(want, q), abs=0.25 * spread)
+    assert stats.bootstrap_median(d.limit(0), "v", 10).collect() == []
+
+
 def test_replicates_are_the_references(spark):
     from quadrat.plans import statistics
     from quadrat.plans.panels import Panels
