@@ -143,11 +143,40 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, base, substr(h, 2 * base + 1, 1098) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 500)) AS base FROM d)),
+g AS (SELECT doc_id, base + q AS p, substr(h, 2 * q + 1, 100) AS g FROM (SELECT doc_id, base, h, unnest(range(0, length(h) // 2 - 49)) AS q FROM part)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+hit AS (SELECT doc_id, p FROM g JOIN f ON f.g = g.g WHERE first < doc_id),
+n AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM hit),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM n) GROUP BY doc_id, k),
+gap AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM r UNION ALL SELECT d.doc_id, coalesce(max(z), 0), max(length(h) // 2) FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id),
+k AS (SELECT gap.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS h FROM gap JOIN d ON d.doc_id = gap.doc_id GROUP BY gap.doc_id),
+s AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN k ON k.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 75 * (x.n + y.n - met)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.other),
+m AS (SELECT doc_id, min(other) AS component_id FROM c GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
@@ -233,4 +262,4 @@ QUERIES = {
     "op12_hard_negatives": op12_hard_negatives,
     "op13_tiered_packing": op13_tiered_packing,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op3_secret_scan": OP3_SQL, "op4_chat_format": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_secret_scan": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_hard_negatives": OP12_SQL}
