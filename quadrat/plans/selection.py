@@ -108,7 +108,7 @@ def sel_trace(p: Panels):
 
 @query("sel_kcenter", None)
 def sel_kcenter(p: Panels):
-    return Sel.k_center(p.vecs.where("not planted"), "vec_id", "v", 6)
+    return Sel.k_center(p.vecs.where("not planted"), "vec_id", "v", 6)[0]
 
 
 @query("sel_swap_repair", None)

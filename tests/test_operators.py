@@ -89,6 +89,26 @@ def test_greedy_equals_the_plain_rule(spark, monkeypatch, kind, tie, pool):
     assert [r.sample_id for r in got] == plain_greedy(rows, 12, kind, 4, tie)
 
 
+@pytest.mark.parametrize("pool", [1, 4, 1000])
+def test_farthest_first_in_few_passes(spark, pool):
+    rng = random.Random(8)
+    rows = [(i, [round(rng.gauss(0, 1), 2) for _ in range(3)]) for i in range(90)] + [(200 + i, [1.0, 0.0, 0.0]) for i in range(4)] + [(300, None)]
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    u = {i: unit(v) for i, v in rows if v}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    centre = [sum(x[j] for x in u.values()) / len(u) for j in range(3)]
+    picks = [min(u, key=lambda i: (-round(dot(u[i], centre), 9), i))]
+    while len(picks) < 12:
+        d = {i: min(max(0.0, round(1 - dot(u[i], u[j]), 9)) for j in picks) for i in u if i not in picks}
+        picks.append(min(d, key=lambda i: (-d[i], i)))
+    got, passes = selection.k_center(spark.createDataFrame(rows, "id long, v array<double>").repartition(3), "id", "v", 12, pool)
+    assert [r.id for r in got.orderBy("rank").collect()] == picks
+    assert passes == 2 if pool == 1000 else passes <= 12
+    few = spark.createDataFrame(rows[:3], "id long, v array<double>")
+    assert sorted(r.id for r in selection.k_center(few, "id", "v", 9, pool)[0].collect()) == [0, 1, 2]
+    assert selection.k_center(few.limit(0), "id", "v", 9, pool)[0].collect() == []
+
+
 def test_hamming_pairs_equal_all_pairs(spark):
     rng = random.Random(3)
     rows = [(i, rng.getrandbits(63) if i % 3 else 7 ^ (1 << (i % 60))) for i in range(60)] + [(100, 7), (101, 7)]
