@@ -147,6 +147,9 @@ def test_pii_rows(spark, docs, odd):
     own = docs.withColumn("n_email", F.lit("own"))
     plain = pii.pseudonymise(own, "k", counted=False)
     assert plain.columns == own.columns and plain.first().n_email == "own"
+    once, times = pii.rewrite(pii.Cipher(b"k"), PRIVATE)[0], 20_000
+    long = pii.pseudonymise(spark.createDataFrame([(1, (PRIVATE + "\n") * times)], "doc_id long, text string"), "k").first()
+    assert long.n_private == 10 * times and long.text == (once + "\n") * times
     assert pii.pseudonymise(odd, "k").count() == 6 and pii.pseudonymise(none(spark), "k").count() == 0
 
 
@@ -246,6 +249,9 @@ def test_language(spark):
     assert set(got[1].mixture) == {"de", "en"} and abs(got[1].mixture["de"] - 0.5) < 0.15
     assert [got[i].lang_pred for i in (2, 3, 4, 5)] == ["und", "und", "und", "de"]
     assert language_id.predict(none(spark), profiles).count() == 0
+    twice = mixed.unionByName(mixed).withColumns({c: F.lit("own") for c in ("key", "mixture", "score", "lang_pred", "lang", "gram", "n")})
+    rows = language_id.predict(twice, profiles).collect()
+    assert sorted((r.key, r.lang_pred, r.score) for r in rows) == sorted((r.key, r.lang_pred, r.score) for r in got.values() for _ in range(2))
     empty = language_id.fit(d.select("doc_id", "text", F.lit(None).cast("string").alias("lang")))
     assert {r.lang_pred for r in language_id.predict(mixed, empty).collect()} == {"und"}
 
