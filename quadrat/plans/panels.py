@@ -171,4 +171,4 @@ def query(name: str, sql: str | None):
 
 def full_sql(sql: str) -> str:
     sql = sql.strip()
-    return f"WITH {PANEL_SQL.strip()}" + (" " if sql.upper().startswith("SELECT") else ", ") + sql
+    return f"WITH RECURSIVE {PANEL_SQL.strip()}" + (" " if sql.upper().startswith("SELECT") else ", ") + sql

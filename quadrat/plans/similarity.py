@@ -148,7 +148,14 @@ def sim_error_clusters(p: Panels):
     return error_clusters(wrong_vecs(p))
 
 
-@query("sim_qualify_priority", None)
+QUALIFY_SQL = (
+    PAIR64_SQL + ", o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n, coalesce(before, []) AS before FROM near_vecs LEFT JOIN (SELECT b, list(a) AS before FROM hp GROUP BY b) ON b = vec_id), "
+    "acc(n, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.n, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, vec_id) END FROM acc JOIN o ON o.n = acc.n + 1) "
+    "SELECT unnest(kept) AS vec_id FROM acc WHERE n = (SELECT count(*) FROM o)"
+)
+
+
+@query("sim_qualify_priority", QUALIFY_SQL)
 def sim_qualify_priority(p: Panels):
     """In the order of ids, a row that duplicates an accepted one is skipped; rounds on the duplicate graph."""
     from quadrat.sources.shared import ready

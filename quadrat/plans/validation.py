@@ -161,16 +161,11 @@ def dq_manifest_diff(p: Panels):
     return V.manifest_diff(known.unionByName(gone), now)
 
 
-@query("sel_validate", "SELECT class_name, sample_id FROM targets WHERE false")
-def sel_validate(p: Panels):
-    from quadrat.plans.aggregates import chosen
-
-    picked = chosen(p)
-    over = picked.groupBy("class_name").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("d")).where("n <> least(n, 40) or n <> d")
-    return picked.join(over, "class_name", "left_semi").select("class_name", "sample_id")
+PLANTED_SQL = "ch AS (SELECT sample_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY sha256(sample_id)) AS r FROM targets QUALIFY r <= 43), v AS (SELECT class_name, sample_id, r FROM ch WHERE r <= CASE class_name WHEN 'N' THEN 43 ELSE 40 END UNION ALL SELECT class_name, sample_id, r FROM ch WHERE class_name = 'R' AND r <= 2) SELECT class_name, 'over_budget' AS code, count(*) AS n FROM v GROUP BY class_name HAVING count(*) > 40 UNION ALL SELECT class_name, 'repeated', sum(c - 1)::BIGINT FROM (SELECT class_name, sample_id, count(*) AS c FROM v GROUP BY ALL HAVING count(*) > 1) GROUP BY class_name"
 
 
-@query("sel_validate_planted", "ch AS (SELECT sample_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY sha256(sample_id)) AS r FROM targets QUALIFY r <= 43), v AS (SELECT class_name, sample_id, r FROM ch WHERE r <= CASE class_name WHEN 'N' THEN 43 ELSE 40 END UNION ALL SELECT class_name, sample_id, r FROM ch WHERE class_name = 'R' AND r <= 2) SELECT class_name, 'over_budget' AS code, count(*) AS n FROM v GROUP BY class_name HAVING count(*) > 40 UNION ALL SELECT class_name, 'repeated', sum(c - 1)::BIGINT FROM (SELECT class_name, sample_id, count(*) AS c FROM v GROUP BY ALL HAVING count(*) > 1) GROUP BY class_name")
+@query("sel_validate", PLANTED_SQL)
+@query("sel_validate_planted", PLANTED_SQL)
 def sel_validate_planted(p: Panels):
     """A selection with three rows too many of one class and two rows of another taken twice."""
     from quadrat.plans.aggregates import chosen
