@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import hot_parts, stored
+from quadrat.llm.common import stored
 
 
-def _with(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """``edges`` (a, b) with the columns that ``low`` (one row a node, n edges) has for a; the edges of a hub are joined in parts by their number."""
-    hot = F.broadcast(hot_parts(low, "a", total=total))  # bounded by its rule
-    parts = low.join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts", "n")
-    salted = edges.join(hot, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    return salted.join(parts.hint("merge"), ["a", "salt"]).drop("salt")
+#: Parts that the edges of one node are dealt to in a join, so that a hub isn't one task's work; counting hubs first costs more stages than it saves.
+SALTS = 8
+
+
+def _with(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with the columns that ``low`` has for a."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return salted.join(low.withColumn("salt", parts).hint("merge"), ["a", "salt"]).drop("salt")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -33,10 +36,10 @@ def roots(edges: DataFrame) -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = _with(both, low, 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        moved = _with(large, low, 2 * mark[0])
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = _with(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = _with(large, low)
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         e = stored(small, "components")
         now = _mark(e)
