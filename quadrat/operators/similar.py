@@ -85,7 +85,8 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None, key: str, hash_: str
     once = (F.col("nb") == 0) | ((F.col("na") == first) & (F.col("mosta") < F.col("leastb")))
     meet = ["part", "bits"]
     ordered = (F.col("ha") <= F.col("hb")) if same else F.lit(True)
-    near = a.join(b, meet).where(once & ordered & (hamming(F.col("ha"), F.col("hb")) <= distance)).select("ha", "hb").distinct()
+    # a band row for each flip: what the optimizer takes for the size of the hashes is many times that, so never sent whole
+    near = a.join(b.hint("merge"), meet).where(once & ordered & (hamming(F.col("ha"), F.col("hb")) <= distance)).select("ha", "hb").distinct()
     near = near.withColumn("distance", hamming(F.col("ha"), F.col("hb")))
     out = near.join(left.select(F.col(key).alias("a"), F.col(hash_).alias("ha")), "ha").join(right.select(F.col(key).alias("b"), F.col(hash_).alias("hb")), "hb")
     if not same:
