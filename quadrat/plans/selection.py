@@ -12,6 +12,7 @@ from quadrat.plans.panels import FIELDS, Panels, query
 from quadrat.plans.projections import LOGIT_SQL, R, logits
 from quadrat.plans.sampling import CELL_SQL, QUOTA_SQL, cell_quotas, celled, scale_quotas
 from quadrat.plans.windows import tiers
+from quadrat.sources.shared import ready
 
 RARE_SQL = "n AS (SELECT class_name, field, value, count(*) AS n FROM states GROUP BY ALL), rs AS (SELECT s.class_name, s.sample_id, round(sum(1 / n), 9) AS score FROM states s JOIN n USING (class_name, field, value) GROUP BY ALL)"
 
@@ -31,8 +32,8 @@ def sel_score_quota(p: Panels):
 
 
 def signed(p: Panels, budget: int, tie: str = "min", cell: bool = False):
-    cells = tiers(p).select("class_name", "sample_id", F.col("tier").cast("string").alias("cell")) if cell else p.targets.select("class_name", "sample_id", F.lit("all").alias("cell"))
-    return Sel.signatures(p.states, cells, budget, tie)
+    rows = p.sets.join(tiers(p).select("sample_id", F.col("tier").cast("string").alias("cell")), "sample_id") if cell else p.sets.withColumn("cell", F.lit("all"))
+    return Sel.folded(rows, budget, tie)
 
 
 def tier_quotas(p: Panels, budget: int):
@@ -78,8 +79,8 @@ def sel_two_stage(p: Panels):
     s = signed(p, 20)
     gap = Sel.greedy(s, 10, "linear", 3).select("class_name", "sample_id", "rank", "gain", F.lit("gap").alias("stage"))
     start = p.states.join(F.broadcast(gap.select("sample_id")), "sample_id", "left_semi").groupBy("class_name", F.concat_ws("=", "field", "value").alias("state")).agg(F.count("*").alias("n"))  # ten a class
-    rest = p.targets.join(F.broadcast(gap.select("sample_id")), "sample_id", "left_anti").select("class_name", "sample_id", F.lit("all").alias("cell"))
-    new = Sel.greedy(Sel.signatures(p.states, rest, 10), 10, "novelty", 1_000_000, start=start)
+    rest = p.sets.join(F.broadcast(gap.select("sample_id")), "sample_id", "left_anti").withColumn("cell", F.lit("all"))
+    new = Sel.greedy(Sel.folded(rest, 10), 10, "novelty", 1_000_000, start=start)
     return rounded(gap.unionByName(new.select("class_name", "sample_id", (F.col("rank") + 10).alias("rank"), "gain", F.lit("novelty").alias("stage"))))
 
 
@@ -87,11 +88,12 @@ def sel_two_stage(p: Panels):
 def sel_heldout_groups(p: Panels):
     """Each field is left out of the selection once and then its states are counted in it."""
     out = None
-    cells = p.targets.select("class_name", "sample_id", F.lit("all").alias("cell"))
+    whole = ready(signed(p, 20))  # first ids of each signature; the table is read once
+    of = whole.select("class_name", F.explode("ids").alias("sample_id"), "states")
     for field in FIELDS:  # of the dictionary
-        s = Sel.signatures(p.states.where(F.col("field") != field), cells, 20)
-        got = Sel.greedy(s, 20, "concave", 20).join(p.states.where(F.col("field") == field), ["class_name", "sample_id"])
-        g = got.groupBy("class_name").agg(F.count_distinct("value").alias("met")).withColumn("held_out", F.lit(field))
+        picks = Sel.greedy(Sel.without(whole, field, 20), 20, "concave", 20)
+        got = of.join(F.broadcast(picks), ["class_name", "sample_id"]).select("class_name", F.explode("states").alias("state")).where(F.startswith("state", F.lit(f"{field}=")))  # 20 a class
+        g = got.groupBy("class_name").agg(F.count_distinct("state").alias("met")).withColumn("held_out", F.lit(field))
         out = g if out is None else out.unionByName(g)
     return out
 
