@@ -73,11 +73,15 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None, key: str, hash_: str
 
     Equal hashes are one row while pairs are sought, so a group of copies costs
     one row a band; its members are joined back at the end.  With one table,
-    a < b, and only the smaller hash looks for the larger.
+    a < b, and only the smaller hash looks for the larger.  The distinct hashes
+    and the pairs of hashes are checkpointed.
     """
     same = right is None
     right = left if same else right
-    lh, rh = left.select(F.col(hash_).alias("h")).where("h is not null").distinct(), right.select(F.col(hash_).alias("h")).where("h is not null").distinct()
+    # written once: what hashes are made of is read and planned once, not for each side, the count and the members
+    hashes = lambda t: ready(t.select(F.col(hash_).alias("h")).where("h is not null").distinct())
+    lh = hashes(left)
+    rh = lh if same else hashes(right)
     n = bands or layout(rh.count(), distance)
     errors = distance // n
     first, second = (errors + 1) // 2, errors // 2
@@ -87,7 +91,7 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None, key: str, hash_: str
     ordered = (F.col("ha") <= F.col("hb")) if same else F.lit(True)
     # a band row for each flip: what the optimizer takes for the size of the hashes is many times that, so never sent whole
     near = a.join(b.hint("merge"), meet).where(once & ordered & (hamming(F.col("ha"), F.col("hb")) <= distance)).select("ha", "hb").distinct()
-    near = near.withColumn("distance", hamming(F.col("ha"), F.col("hb")))
+    near = ready(near.withColumn("distance", hamming(F.col("ha"), F.col("hb"))))
     out = near.join(left.select(F.col(key).alias("a"), F.col(hash_).alias("ha")), "ha").join(right.select(F.col(key).alias("b"), F.col(hash_).alias("hb")), "hb")
     if not same:
         return out.select("a", "b", "distance")

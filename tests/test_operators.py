@@ -650,3 +650,14 @@ def test_signatures_without_a_field_come_from_the_whole_ones(spark):
     got = selection.without(selection.folded(d, 4), "f", 4)
     want = selection.folded(d.withColumn("states", F.filter("states", lambda s: ~F.startswith(s, F.lit("f=")))), 4)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_near_duplicates_plan_their_hashes_once(spark):
+    from quadrat.plans import similarity
+    from quadrat.plans.panels import Panels
+
+    p = Panels(spark, "/root/testdata/sf0.001")
+    for q in (similarity.sim_hamming_pairs_64, similarity.sim_hamming_classes_64, similarity.sim_duplicate_status_64, similarity.sim_cosine_confirm_64):
+        plan = q(p)._jdf.queryExecution().optimizedPlan().toString()
+        # the signs are 64 shifts each time that they are planned
+        assert "shiftleft" not in plan and len(plan) < 30_000
