@@ -10,13 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quadrat.operators.ranking import average_rank, ranked
+from quadrat.operators.ranking import average_rank, null_safe_join, ranked
+from quadrat.sources.shared import ready
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    """Rank correlation with averaged ties; null where a side is constant."""
-    r = average_rank(average_rank(df, x, by, "_rx"), y, by, "_ry")
-    return r.groupBy(*by).agg(F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho"))
+    """Rank correlation with averaged ties; null where a side is constant.
+
+    Equal pairs of values are one row with a count, checkpointed, before anything is ranked.
+    """
+    n = ready(df.groupBy(*by, x, y).agg(F.count("*").alias("_n")))
+    r = average_rank(average_rank(n, x, by, "_rx", "_n"), y, by, "_ry", "_n")
+    # around the middle of all ranks, which keeps the sums small
+    rows = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("_n")))
+    middle = r.groupBy(*by).agg(((rows("_rx") + 1) / 2).alias("_mx"), ((rows("_ry") + 1) / 2).alias("_my"))
+    r = null_safe_join(r, middle, by).withColumn("_dx", F.col("_rx") - F.col("_mx")).withColumn("_dy", F.col("_ry") - F.col("_my"))
+    both = F.col("_dx").isNotNull() & F.col("_dy").isNotNull()
+    mean = lambda v: F.sum(F.when(both, F.col("_n") * v)) / F.sum(F.when(both, F.col("_n")))
+    spread = lambda c: F.sqrt(F.sum(F.col("_n") * F.col(c) * F.col(c)) / rows(c))
+    a, b = F.col("_dx"), F.col("_dy")
+    return r.groupBy(*by).agg(F.try_divide(mean(a * b) - mean(a) * mean(b), spread("_dx") * spread("_dy")).alias("rho"))
 
 
 def error_auc(df: DataFrame, score: str, wrong: str, by: Sequence[str]) -> DataFrame:
