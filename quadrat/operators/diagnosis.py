@@ -88,10 +88,10 @@ def interaction(df: DataFrame, error: str, a: str, b: str, factors: Sequence[str
     patterns = d.groupBy(a, b, *factors).agg(F.count("*").alias("_n"), F.sum(error).alias("_k"))
     counts = patterns.collect()  # one row for each pattern
     decisions = sum(r["_n"] for r in counts)
-    samples = d.select(cluster).distinct().count()
 
-    def row(reason: str | None, *figures: float) -> DataFrame:
+    def row(reason: str | None, *figures: float, samples: int | None = None) -> DataFrame:
         figures = figures or (None,) * 5
+        samples = d.select(cluster).distinct().count() if samples is None else samples
         return spark.createDataFrame([(samples, decisions, int(reason is None), reason, *figures)], INTERACTION)
 
     for x in (0, 1):
@@ -122,11 +122,11 @@ def interaction(df: DataFrame, error: str, a: str, b: str, factors: Sequence[str
     residual = d.select(cluster, (F.col(error) - 1 / (1 + F.exp(-linear))).alias("_r"), *[t.alias(c) for t, c in zip(terms, names, strict=True)])
     scores = residual.groupBy(cluster).agg(*[F.sum(F.col(c) * F.col("_r")).alias(c) for c in names])
     at = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = scores.agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in at]).first()
+    sums = scores.agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in at], F.count("*")).first()
     filling = np.zeros((len(names), len(names)))
-    for (i, j), v in zip(at, sums, strict=True):
+    for (i, j), v in zip(at, sums[:-1], strict=True):
         filling[i, j] = filling[j, i] = v
     se = math.sqrt(float((bread @ filling @ bread)[3, 3]))
     effect = beta[3]
     p_value = math.erfc(abs(effect) / se / math.sqrt(2)) if se else None
-    return row(None, effect, math.exp(effect), math.exp(effect - 1.959963984540054 * se), math.exp(effect + 1.959963984540054 * se), p_value)
+    return row(None, effect, math.exp(effect), math.exp(effect - 1.959963984540054 * se), math.exp(effect + 1.959963984540054 * se), p_value, samples=sums[-1])
