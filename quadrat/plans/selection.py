@@ -118,6 +118,5 @@ def sel_swap_repair(p: Panels):
     """Hash draws of 40 a class, repaired inside the scale cells."""
     from quadrat.plans.aggregates import chosen
 
-    cells = p.targets.select("class_name", "sample_id", F.col("scale").alias("cell"))
-    s = Sel.repair(p.states, cells, chosen(p).select("sample_id"), 40, 1.0, 0.9, 10)
+    s = Sel.repair_rows(p.sets_with(F.col("scale").alias("cell")), chosen(p).select("sample_id"), 40, 1.0, 0.9, 10)
     return s.select(*[R(c).alias(c) if kind == "double" else F.col(c) for c, kind in s.dtypes])
